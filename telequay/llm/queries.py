@@ -21,6 +21,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary=f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats, read_chats
 

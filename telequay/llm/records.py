@@ -24,7 +24,9 @@ from .shared import filesystem, shared_dir, written
 MAGIC = b"TQREC01\n"
 END_ID = 2
 _GAP = re.compile(r"(?<=\S)(?= )")
-_WIDE = re.compile(r"\s ")
+_WIDE = re.compile(r"\s\s")
+#: Fixed: how byte-level vocabularies of this family cut text.
+PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def masked(data: bytes) -> int:
@@ -63,46 +65,75 @@ def unpack(body: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(body, f"<u{width}", offset=10)
 
 
+class Remembered:
+    """Results by key; of what was not used for a while, the older half goes."""
+
+    def __init__(self, keep: int):
+        self.keep, self.young, self.old = keep, {}, {}
+
+    def missing(self, keys) -> list:
+        """Which keys have to be worked out; the others are in ``young`` from now on."""
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    young[k] = v
+        return out
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembered by piece.
 
-    A byte-level tokenizer never joins what a space after a non-space parts, so
-    a text is cut there and the library encodes each distinct piece once; the
-    texts that hold one of its added tokens go to it whole.
+    A byte-level tokenizer never joins a non-space with white space after it, so
+    a text is cut there; a piece is cut further by the tokenizer's own pattern,
+    and the library encodes each distinct part once.  Texts that hold one of
+    its added tokens go to it whole.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.pieces_known, self.parts_known = Tokenizer.from_file(path), Remembered(keep), Remembered(keep)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.parts = regex.compile(PARTS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         top = max([self.tokenizer.get_vocab_size() - 1, END_ID, *self.tokenizer.get_added_tokens_decoder()])
         self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
 
-    def pieces(self, text: str) -> list[str]:
+    @staticmethod
+    def pieces(text: str) -> list[str]:
         if _WIDE.search(text):
             return _GAP.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if rest else [first]
+        out: list[str] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out += (first, *[" " + x for x in rest], "\n")
+        return out[:-1]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
-        cut, new, known = [], set(), self.known
-        if len(known) > self.keep:
-            known.clear()
+        cut, distinct = [], set()
         for text in texts:
-            if any(s in text for s in self.special):
-                cut.append(None)
-            else:
-                p = self.pieces(text)
-                cut.append(p)
-                new.update(p)
-        new = [x for x in new if x not in known]
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = np.array(e.ids, self.dtype).tobytes()
-        get = known.__getitem__
+            p = None if any(s in text for s in self.special) else self.pieces(text)
+            cut.append(p)
+            distinct.update(p or ())
+        new = self.pieces_known.missing(distinct)
+        parts = [self.parts(x) for x in new]
+        fresh = self.parts_known.missing(set().union(*parts)) if parts else []
+        known = self.parts_known.young
+        for part, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            known[part] = np.array(e.ids, self.dtype).tobytes()
+        pieces = self.pieces_known.young
+        for piece, p in zip(new, parts):
+            pieces[piece] = b"".join([known[x] for x in p])
+        get = pieces.__getitem__
         return [b"".join(map(get, p)) if p is not None
                 else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
                 for p, text in zip(cut, texts)]
