@@ -35,6 +35,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(format_chats(turns.unionByName(odd)))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import token_records
 
