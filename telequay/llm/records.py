@@ -99,7 +99,8 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces_known, self.parts_known = Tokenizer.from_file(path), Remembered(keep), Remembered(keep)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain, self.spaced, self.parts_known = Remembered(keep // 5), Remembered(keep), Remembered(keep)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.parts = regex.compile(PARTS).findall
@@ -107,36 +108,61 @@ class Encoder:
         top = max([self.tokenizer.get_vocab_size() - 1, END_ID, *self.tokenizer.get_added_tokens_decoder()])
         self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if _WIDE.search(text):
-            return _GAP.split(text)
-        out: list[str] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out += (first, *[" " + x for x in rest], "\n")
-        return out[:-1]
+    def encode_parts(self, parts: list[str]) -> None:
+        """Work out parts by the library; those that begin with a space go to it many at once."""
+        known = self.parts_known.young
+        led = [x for x in parts if x[0] == " " and len(x) > 1 and x[1] != " "]
+        for lo in range(0, len(led), 500):
+            own = led[lo:lo + 500]
+            e = self.tokenizer.encode("".join(own), add_special_tokens=False)
+            of = np.array(e.word_ids)
+            ids = np.array(e.ids, self.dtype)
+            at = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), ids.size) * self.dtype.itemsize
+            if at.size != len(own) + 1:
+                raise ValueError("the tokenizer cuts text otherwise than it should")
+            raw = ids.tobytes()
+            known.update(zip(own, [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]))
+        rest = [x for x in parts if x not in known]
+        for part, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[part] = np.array(e.ids, self.dtype).tobytes()
+
+    def learn(self, plain: set[str], spaced: set[str]) -> None:
+        """Make sure that pieces (``plain``) and words after a space (``spaced``) are known."""
+        new, new_spaced = self.plain.missing(plain), self.spaced.missing(spaced)
+        parts = [self.parts(x) for x in new]
+        parts_spaced = [self.parts(" " + x) for x in new_spaced]
+        self.encode_parts(self.parts_known.missing(set().union(*parts, *parts_spaced)))
+        known = self.parts_known.young
+        for to, keys, cut in ((self.plain.young, new, parts), (self.spaced.young, new_spaced, parts_spaced)):
+            for key, p in zip(keys, cut):
+                to[key] = known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
-        cut, distinct = [], set()
+        cut, plain, spaced = [], {"\n"}, set()
         for text in texts:
-            p = None if any(s in text for s in self.special) else self.pieces(text)
-            cut.append(p)
-            distinct.update(p or ())
-        new = self.pieces_known.missing(distinct)
-        parts = [self.parts(x) for x in new]
-        fresh = self.parts_known.missing(set().union(*parts)) if parts else []
-        known = self.parts_known.young
-        for part, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[part] = np.array(e.ids, self.dtype).tobytes()
-        pieces = self.pieces_known.young
-        for piece, p in zip(new, parts):
-            pieces[piece] = b"".join([known[x] for x in p])
-        get = pieces.__getitem__
-        return [b"".join(map(get, p)) if p is not None
-                else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-                for p, text in zip(cut, texts)]
+            if any(s in text for s in self.special):
+                cut.append(None)
+            elif _WIDE.search(text):
+                cut.append((_GAP.split(text),))
+                plain.update(cut[-1][0])
+            else:
+                lines = [line.split(" ") for line in text.split("\n")]
+                cut.append(lines)
+                for line in lines:
+                    plain.add(line[0])
+                    spaced.update(line[1:])
+        self.learn(plain, spaced)
+        of, after = self.plain.young, self.spaced.young.__getitem__
+        newline, out = of["\n"], []
+        for text, lines in zip(texts, cut):
+            if lines is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+            elif isinstance(lines, tuple):
+                out.append(b"".join([of[x] for x in lines[0]]))
+            else:
+                out.append(newline.join([of[line[0]] + b"".join(map(after, line[1:])) for line in lines]))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
