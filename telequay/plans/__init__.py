@@ -1 +1,12 @@
-"""See the package docstring of telequay."""
+"""Whole queries over the test tables, with oracle SQL."""
+
+from . import signals  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(ORACLES)
