@@ -121,24 +121,27 @@ def samples(s: Shingles, weights: np.ndarray, block: int = 1 << 17) -> np.ndarra
 
 
 def sketches(documents: DataFrame, idf) -> DataFrame:
-    """doc_id, text_hash, node (hash of the words; null without words), bands (array of long) of every row."""
+    """doc_id, text_hash, node (hash of the words; null without words), weight, bands (array of long) of every row."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
                 w = words(part.column("text"))
                 s = shingles(w)
-                x = samples(s, weigh(s, idf.value))
+                weights = weigh(s, idf.value)
+                x = samples(s, weights)
+                total = np.append(0, np.cumsum(weights, dtype=np.float64))
                 bands = x.reshape(len(x), BANDS, ROWS)
                 hashed = mix64(np.arange(BANDS, dtype=np.uint64) + mix64(bands[:, :, 0] + mix64(bands[:, :, 1] + mix64(bands[:, :, 2] + mix64(bands[:, :, 3])))))
                 has = np.diff(w.first) > 0
                 node = [int.from_bytes(hashlib.blake2b(w.hashes[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else None
                         for a, b in zip(w.first[:-1], w.first[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * BANDS)).astype(np.int32)), pa.array(hashed.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node, pa.int64()), lists],
-                                                 names=["doc_id", "text_hash", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node, pa.int64()),
+                                                  pa.array(total[s.first[1:]] - total[s.first[:-1]]), lists],
+                                                 names=["doc_id", "text_hash", "node", "weight", "bands"])
 
-    return _keyed(documents).mapInArrow(run, "doc_id long, text_hash long, node long, bands array<long>")
+    return _keyed(documents).mapInArrow(run, "doc_id long, text_hash long, node long, weight double, bands array<long>")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -152,8 +155,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum()) + float(b[1].sum()) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """a, b, sim of the pairs (a, b) at or above the threshold.
+def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """a, b, sim of the pairs (a, b).
 
     Pairs of one ``a`` are dealt out in groups of about 64, each with one copy
     of its text, so neither a frequent ``a`` nor its text is a task's whole work.
@@ -175,8 +178,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
                     x = slice(s.first[i], s.first[i + 1])
                     if b is None:
                         own, features = a, (s.keys[x].copy(), w[x].copy())
-                    elif own == a and (sim := similarity(features, (s.keys[x], w[x]))) >= threshold:
-                        out.append((a, b, sim))
+                    elif own == a:
+                        out.append((a, b, similarity(features, (s.keys[x], w[x]))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b", "sim"])
 
@@ -184,7 +187,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     return rows.mapInArrow(run, "a long, b long, sim double")
 
 
-def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, small: int = 64, leaders: int = 8) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, leaders: int = 64) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size (rows), kept for every row.
 
     Texts are linked at a weighted Jaccard similarity >= ``threshold``; classes
@@ -196,13 +199,15 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, small: int
     doc_id counts as larger than all others.  An empty table gives an empty
     result; other columns are dropped.
 
-    Within a group of candidates the smallest node is compared with all others
-    first.  Where that leaves the group in several components, nodes outside
-    its largest component lead in turn (all at once in groups of up to
-    ``small`` nodes, about ``leaders`` a round in larger ones) and are compared
-    with the nodes of other components, until every such node has led.  Then no
-    untested pair could join two components: no link is lost, and no group is
-    expanded into all its pairs.
+    Within a group of candidates one node, that with most copies, is compared
+    with all others first.  Where that leaves the group in several components,
+    nodes outside its largest component lead in turn, at most about ``leaders``
+    a round, and are compared with the nodes of other components, until every
+    such node has led.  Pairs that can't reach the threshold are passed over:
+    the similarity is at most the ratio of the total weights, and as 1 - sim is
+    a metric, at most 1 minus the difference of the distances from the group's
+    first node.  So no link that could join two classes is lost, and no group
+    is expanded into all its pairs.
     """
     sc = documents.sparkSession.sparkContext
     df, n = document_frequencies(documents)
@@ -210,23 +215,30 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, small: int
     rows = written(sketches(documents, idf))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")
     nodes = written(rows.where("node is not null").groupBy("node").agg(
-        first, F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lead")).where("m > 1")
-    members = written(banded.join(sizes, "bucket"))
+        first, F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
+    banded = nodes.select("node", "weight", "copies", F.explode("bands").alias("bucket"))
+    lead = F.min_by(F.struct("node", "weight"), F.struct(-F.col("copies"), F.col("node"))).alias("lead")
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), lead).where("m > 1")
+    members = written(banded.drop("copies").join(sizes.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.weight").alias("lead_weight")), "bucket"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
         "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"))
     of_rep = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash"))
     texts = written(_keyed(documents).join(wanted, of_rep).select("node", "text").dropDuplicates(["node"]))
 
-    pairs = written(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    tested, links = pairs, written(verified(pairs, texts, idf, threshold))
+    def near(a: str, b: str):
+        return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-6)
+
+    tested = written(similarities(members.where(F.col("node") != F.col("lead")).where(near("weight", "lead_weight")).select(
+        F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, idf))
+    away = tested.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("sim")).alias("away"))
+    members = written(members.join(away, ["lead", "node"], "left").select(
+        "bucket", "node", "weight", F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.col("away")).alias("away")))
     led, turn = None, 0
     while True:
         turn += 1
-        comp = written(components(links))
+        comp = written(components(tested.where(F.col("sim") >= threshold)))
         now = (members.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-               .select("bucket", "node", "m", F.coalesce("component", "node").alias("comp")))
+               .select("bucket", "node", "weight", "away", F.coalesce("component", "node").alias("comp")))
         parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
         largest = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("top")).where(
             "comps > 1").select("bucket", F.col("top.comp").alias("top"))
@@ -234,17 +246,20 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, small: int
         waiting = now.where("comp <> top")
         waiting = waiting if led is None else waiting.join(led, ["bucket", "node"], "left_anti")
         many = waiting.groupBy("bucket").agg(F.count(F.lit(1)).alias("waiting"))
-        if many.isEmpty():
-            break
-        chosen = (F.col("m") <= small) | (F.pmod(F.xxhash64(F.lit(turn), F.col("node")), F.col("waiting")) < leaders)
-        lead = written(waiting.join(many, "bucket").where(chosen).select("bucket", "node", "comp"))
+        chosen = F.pmod(F.xxhash64(F.lit(turn), F.col("node")), F.col("waiting")) < leaders
+        lead = written(waiting.join(many, "bucket").where(chosen).select("bucket", "node", "weight", "away", "comp"))
+        if lead.isEmpty():
+            if waiting.isEmpty():
+                break
+            continue
         led = lead.select("bucket", "node") if led is None else written(led.union(lead.select("bucket", "node")))
-        l = lead.select("bucket", F.col("node").alias("l_node"), F.col("comp").alias("l_comp"))
-        across = now.join(l, "bucket").where("comp <> l_comp").select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b"))
-        pairs = written(across.distinct().join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            links = written(links.union(verified(pairs, texts, idf, threshold)))
-            tested = written(tested.union(pairs))
+        l = lead.select("bucket", F.col("node").alias("l_node"), F.col("comp").alias("l_comp"), F.col("weight").alias("l_weight"), F.col("away").alias("l_away"))
+        apart = F.coalesce(F.abs(F.col("away") - F.col("l_away")), F.lit(0.0)) <= 1 - threshold + 1e-6
+        across = now.join(l, (now["bucket"] == l["bucket"]) & (F.col("comp") != F.col("l_comp")) & near("weight", "l_weight") & apart)
+        pairs = across.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti"))
+        tested = written(tested.union(similarities(pairs, texts, idf)))
 
     comp = comp.withColumnRenamed("node", "c_node")
     of_node = nodes.join(comp, F.col("node") == F.col("c_node"), "left").select(
