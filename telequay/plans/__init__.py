@@ -1,6 +1,6 @@
 """Whole queries over the test tables, with oracle SQL."""
 
-from . import identity, signals  # noqa: F401
+from . import detection, forecasting, identity, signals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -123,4 +123,4 @@ def with_views(sql: str, *names: str, **more: str) -> str:
     for name in names:
         add(name)
     parts = [f"{n} AS ({VIEWS[n]})" for n in order] + [f"{n} AS ({text})" for n, text in more.items()]
-    return f"WITH {', '.join(parts)} {sql}"
+    return f"WITH {', '.join(parts)} {sql}" if parts else sql
