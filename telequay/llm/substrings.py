@@ -3,8 +3,9 @@
 A gear hash of the last 16 bytes decides where a text may be cut; the cut goes
 to the next word.  So the same passage gives the same chunks wherever it
 stands, and an insertion only changes the chunks around it.  Chunks whose
-digest occurred before are repeats; runs of them that may hold a passage of
-more than ``min_words`` words are removed, the first occurrence stays.
+digest occurred before are repeats.  A run of repeats of more than
+``min_words`` words is removed; where only the chunks beside a run could make
+it that long, their words are compared with those beside the first occurrence.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .words import chunks, mix64, random_table, text_bytes, words
+from .words import Words, chunks, mix64, random_table, words
 
 WINDOW = 16
 #: Cut where these bits of the hash are 0: on average every 32 bytes.
@@ -44,8 +45,8 @@ def gear_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return cut
 
 
-def chunk_column(texts: pa.Array, max_words: int = 64) -> dict[str, np.ndarray]:
-    """Chunks of a column: text (index), begin, end (bytes in the text), n_words, digest.
+def chunk_column(texts: pa.Array, max_words: int = 64) -> tuple[dict[str, np.ndarray], Words]:
+    """Chunks of a column: text (index), begin, end (bytes in the text), word (its first), n_words, digest; and the words.
 
     A chunk is a run of whole words; its digest covers its words, not the white
     space.  Where no cut comes for ``max_words`` words (long repetitions of one
@@ -55,7 +56,7 @@ def chunk_column(texts: pa.Array, max_words: int = 64) -> dict[str, np.ndarray]:
     n = w.hashes.size
     none = np.empty(0, np.int64)
     if not n:
-        return {"text": none, "begin": none, "end": none, "n_words": none, "digest": np.empty(0, np.uint64)}
+        return {"text": none, "begin": none, "end": none, "word": none, "n_words": none, "digest": np.empty(0, np.uint64)}, w
     text = np.repeat(np.arange(len(texts)), np.diff(w.first))
     cuts = np.flatnonzero(gear_cuts(w.data, w.at))
     begins = np.zeros(n, bool)
@@ -72,32 +73,42 @@ def chunk_column(texts: pa.Array, max_words: int = 64) -> dict[str, np.ndarray]:
     within = np.arange(n) - np.repeat(first, size)
     digest = mix64(np.add.reduceat(mix64(w.hashes + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) + size.astype(np.uint64))
     own = text[first]
-    return {"text": own, "begin": w.starts[first] - w.at[own], "end": w.ends[first + size - 1] - w.at[own], "n_words": size, "digest": digest}
+    return {"text": own, "begin": w.starts[first] - w.at[own], "end": w.ends[first + size - 1] - w.at[own], "word": first, "n_words": size, "digest": digest}, w
+
+
+#: Bits of the filter that says which texts are asked for their words: 1 MB on every executor.
+FILTER_BITS = 1 << 23
 
 
 def _identified(documents: DataFrame) -> DataFrame:
-    """Rows with the key that orders occurrences: doc_id, and the hash of the text between rows that share one."""
-    return documents.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_hash", "text")
+    """dk (key of doc_id and text), doc_id, text_hash, text: occurrences go by doc_id, then the hash of the text."""
+    return documents.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_hash", "text").select(
+        F.xxhash64("doc_id", "text_hash").alias("dk"), "doc_id", "text_hash", "text")
 
 
 def chunk_rows(documents: DataFrame) -> DataFrame:
-    """digest, doc_id, text_hash, pos (number of the chunk in its text) of every chunk."""
+    """digest, dk, doc_id, text_hash, pos, sizes (words of the two chunks before, the chunk and the one after, 8 bits each)."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                c = chunk_column(part.column("text"))
-                pos = np.arange(c["text"].size) - np.searchsorted(c["text"], c["text"])
-                at = pa.array(c["text"])
+                c, _ = chunk_column(part.column("text"))
+                text, size = c["text"], c["n_words"]
+                pos = np.arange(text.size) - np.searchsorted(text, text)
+                same = np.append(text[1:] == text[:-1], False)
+                after = np.where(same, np.append(size[1:], 0), 0)
+                before = np.where(pos > 0, np.append(0, size[:-1]), 0) + np.where(pos > 1, np.append([0, 0], size[:-2]), 0) if text.size > 1 else 0 * size
+                at = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c["digest"].view(np.int64)), part.column("doc_id").take(at), part.column("text_hash").take(at), pa.array(pos.astype(np.int32))],
-                    names=["digest", "doc_id", "text_hash", "pos"])
+                    [pa.array(c["digest"].view(np.int64)), *[part.column(x).take(at) for x in ("dk", "doc_id", "text_hash")],
+                     pa.array(pos.astype(np.int32)), pa.array((before << 16 | size << 8 | after).astype(np.int32))],
+                    names=["digest", "dk", "doc_id", "text_hash", "pos", "sizes"])
 
-    return _identified(documents).mapInArrow(run, "digest long, doc_id long, text_hash long, pos int")
+    return _identified(documents).mapInArrow(run, "digest long, dk long, doc_id long, text_hash long, pos int, sizes int")
 
 
 def repeats(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, repeated (numbers of the chunks that occurred before) of texts that have any.
+    """dk, chunks (array of pos, sizes, f_dk, f_pos by pos) of texts with chunks that occurred before.
 
     The first occurrence of a digest by (doc_id, text_hash, pos) is no repeat.
     Digests are counted in each task before they are shuffled, and only those
@@ -105,39 +116,105 @@ def repeats(documents: DataFrame) -> DataFrame:
     """
     rows = chunk_rows(documents)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")).alias("first")
-    twice = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select(
-        F.col("digest").alias("t_digest"), F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_hash"), F.col("first.pos").alias("f_pos")))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash")) & (F.col("pos") == F.col("f_pos")))
-    found = rows.join(twice, F.col("digest") == F.col("t_digest")).where(later)
-    return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("repeated"))
-
-
-def _keep(raw: bytes, c: dict[str, np.ndarray], repeated: list[int], min_words: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """(the text without its removed spans, the spans in bytes)."""
-    n = c["begin"].size
-    flag = np.zeros(n + 2, bool)
-    flag[1 + np.array(repeated)] = True
-    edge = np.diff(flag.astype(np.int8))
-    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.append(0, np.cumsum(c["n_words"]))
-    spans = []
-    for a, b in zip(begins, ends):  # chunks a..b-1 are repeats
-        run = total[b] - total[a]
-        reach = total[min(b + 1, n)] - total[max(a - 1, 0)]  # the passage may end within the chunks beside the run
-        if reach > min_words and 2 * run >= min_words:
-            spans.append((int(c["begin"][a]), int(c["begin"][b]) if b < n else len(raw)))
-    out, at = [], 0
-    for a, b in spans:
-        out.append(raw[at:a])
-        at = b
-    return b"".join([*out, raw[at:]]), spans
+    twice = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select(
+        F.col("digest").alias("t_digest"), F.xxhash64("first.doc_id", "first.text_hash").alias("f_dk"), F.col("first.pos").alias("f_pos"))
+    found = rows.join(written(twice), F.col("digest") == F.col("t_digest")).where((F.col("dk") != F.col("f_dk")) | (F.col("pos") != F.col("f_pos")))
+    return found.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("pos", "sizes", "f_dk", "f_pos"))).alias("chunks"))
+
+
+_RUN = "struct<a:int,b:int,words:int,reach:int,l_dk:long,l_pos:int,r_dk:long,r_pos:int>"
+
+
+def runs(repeated: DataFrame, min_words: int) -> DataFrame:
+    """dk, runs: the runs of consecutive repeats (chunks a to b - 1) that may hold more than ``min_words`` words.
+
+    ``words`` counts the run, ``reach`` also the chunk after and two before it
+    (cuts in a passage's first 16 bytes depend on what stands before it); l and
+    r name the chunks beside the first occurrences of the run's two ends.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for chunk_list in batch.column("chunks").to_pylist():
+                own, start = [], 0
+                for i in range(len(chunk_list)):
+                    if i + 1 < len(chunk_list) and chunk_list[i + 1]["pos"] == chunk_list[i]["pos"] + 1:
+                        continue
+                    head, tail = chunk_list[start], chunk_list[i]
+                    n = sum(c["sizes"] >> 8 & 255 for c in chunk_list[start:i + 1])
+                    reach = n + (head["sizes"] >> 16) + (tail["sizes"] & 255)
+                    if reach > min_words:
+                        own.append({"a": head["pos"], "b": tail["pos"] + 1, "words": n, "reach": reach, "l_dk": head["f_dk"], "l_pos": head["f_pos"] - 1,
+                                    "r_dk": tail["f_dk"], "r_pos": tail["f_pos"] + 1})
+                    start = i + 1
+                out.append(own)
+            kind = pa.struct([(x, pa.int64() if x.endswith("dk") else pa.int32()) for x in ("a", "b", "words", "reach", "l_dk", "l_pos", "r_dk", "r_pos")])
+            yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(out, pa.list_(kind))], names=["dk", "runs"])
+
+    return repeated.mapInArrow(run, f"dk long, runs array<{_RUN}>").where("size(runs) > 0")
+
+
+def words_of(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """dk, pos, hashes (of the chunk's words) for the chunks (dk, pos) asked for.
+
+    The texts are scanned, not shuffled: a filter of fixed size names the texts
+    asked for, perhaps some more; those are sorted out by the join.
+    """
+    bit = F.pmod("dk", F.lit(FILTER_BITS)) + 1  # buckets and their bits count from 1
+    bitmap = asked.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS, bool)
+    for bucket, raw in zip(bitmap["bucket"].to_pylist(), bitmap["bits"].to_pylist()):
+        one = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little").astype(bool)
+        bits[(bucket - 1) * one.size:bucket * one.size] |= one
+    packed = documents.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches):
+        own_bits = np.unpackbits(packed.value).astype(bool)
+        for batch in batches:
+            dk = batch.column("dk").to_numpy()
+            some = batch.filter(pa.array(own_bits[dk % FILTER_BITS]))
+            for part in chunks(some) if some.num_rows else ():
+                c, w = chunk_column(part.column("text"))
+                pos = np.arange(c["text"].size) - np.searchsorted(c["text"], c["text"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(c["word"], w.hashes.size).astype(np.int32)), pa.array(w.hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("dk").take(pa.array(c["text"])), pa.array(pos.astype(np.int32)), lists], names=["dk", "pos", "hashes"])
+
+    found = _identified(documents).select("dk", "text").mapInArrow(run, "dk long, pos int, hashes array<long>")
+    return found.join(asked, ["dk", "pos"], "left_semi").dropDuplicates(["dk", "pos"])
+
+
+def removals(documents: DataFrame, min_words: int) -> DataFrame:
+    """dk, cuts (array of a, b, left, right): what to remove, chunks a to b - 1 with so many words before and after them."""
+    run = written(runs(repeats(documents), min_words)).select("dk", F.explode("runs").alias("run")).select("dk", "run.*")
+    sure = run.where(F.col("words") > min_words).select("dk", "a", "b", F.lit(0).alias("left"), F.lit(0).alias("right"))
+    open_ = run.where(F.col("words") <= min_words)
+    side = lambda name, dk, pos: F.struct(F.lit(name).alias("side"), F.col(dk).alias("q_dk"), pos.cast("int").alias("q_pos"))
+    q = open_.withColumn("q", F.explode(F.array(
+        side("own_left", "dk", F.col("a") - 1), side("own_left2", "dk", F.col("a") - 2), side("own_right", "dk", F.col("b")),
+        side("left", "l_dk", F.col("l_pos")), side("left2", "l_dk", F.col("l_pos") - 1), side("right", "r_dk", F.col("r_pos")))))
+    q = written(q.select("dk", "a", "b", "words", "q.*"))
+    got = words_of(documents, q.select(F.col("q_dk").alias("dk"), F.col("q_pos").alias("pos")).distinct())
+    d = q.join(got.select(F.col("dk").alias("q_dk"), F.col("pos").alias("q_pos"), "hashes"), ["q_dk", "q_pos"], "left")
+    pick = lambda name: F.coalesce(F.max(F.when(F.col("side") == name, F.col("hashes"))), F.array().cast("array<bigint>")).alias(name)
+    d = d.groupBy("dk", "a", "b", "words").agg(*[pick(x) for x in ("own_left", "own_left2", "own_right", "left", "left2", "right")])
+    d = d.withColumns({"own_left": F.concat("own_left2", "own_left"), "left": F.concat("left2", "left")})
+
+    def common(x, y):
+        first_other = F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), F.lit(False))
+        return F.when(first_other > 0, first_other - 1).otherwise(F.least(F.size(x), F.size(y))).cast("int")
+
+    d = d.select("dk", "a", "b", "words", common(F.reverse("own_left"), F.reverse("left")).alias("left"), common(F.col("own_right"), F.col("right")).alias("right"))
+    long_enough = d.where(F.col("words") + F.col("left") + F.col("right") > min_words).drop("words")
+    return sure.unionByName(long_enough).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("a", "b", "left", "right"))).alias("cuts"))
 
 
 def deduplicate(documents: DataFrame, *, min_words: int = 50) -> DataFrame:
     """All columns of documents with the text cut, and removed_spans (bytes of the old text), removed_words.
 
     A passage of more than ``min_words`` words that stood before, in a document
-    of smaller doc_id or earlier in the same one, is removed up to the chunks
+    of smaller doc_id or earlier in the same one, is removed, up to a few words
     at its ends; shorter repeats stay.  Exact copies of a long text lose all of
     it: their text becomes empty.  Null texts stay null, texts without repeats
     stay as they are, byte for byte.  A null doc_id comes last.  Rows repeated
@@ -146,27 +223,35 @@ def deduplicate(documents: DataFrame, *, min_words: int = 50) -> DataFrame:
     """
     new = {"removed_spans", "removed_words"}
     columns = [c for c in documents.columns if c not in new]
-    marked = repeats(documents).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), F.col("repeated").alias("_repeated"))
-    keyed = documents.select(*columns, F.xxhash64("text").alias("_hash"))
-    joined = keyed.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("r_id")) & (F.col("_hash") == F.col("r_hash")), "left").select(*columns, "_repeated")
+    cuts = removals(documents, min_words).select(F.col("dk").alias("_c_dk"), F.col("cuts").alias("_cuts"))
+    keyed = documents.select(*columns, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_dk"))
+    joined = keyed.join(cuts, F.col("_dk") == F.col("_c_dk"), "left").select(*columns, "_cuts")
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
                 texts = part.column("text").to_pylist()
-                marks = part.column("_repeated").to_pylist()
+                marks = part.column("_cuts").to_pylist()
                 spans, counts = [[] for _ in texts], [0] * len(texts)
                 at = [i for i, m in enumerate(marks) if m]
                 if at:
-                    c = chunk_column(part.column("text").take(pa.array(at)))
+                    c, w = chunk_column(part.column("text").take(pa.array(at)))
                     bounds = np.searchsorted(c["text"], np.arange(len(at) + 1))
                     for k, i in enumerate(at):
-                        own = {x: v[bounds[k]:bounds[k + 1]] for x, v in c.items()}
-                        raw, spans[i] = _keep(texts[i].encode(), own, marks[i], min_words)
-                        texts[i] = raw.decode()
-                        counts[i] = int(sum(own["n_words"][(own["begin"] >= a) & (own["begin"] < b)].sum() for a, b in spans[i]))
+                        raw, end, out, done = texts[i].encode(), w.first[k + 1], [], 0
+                        word = np.append(c["word"][bounds[k]:bounds[k + 1]], end)  # the first word of each chunk
+                        for cut in marks[i]:
+                            lo, hi = max(int(word[cut["a"]]) - cut["left"], w.first[k]), min(int(word[cut["b"]]) + cut["right"], end)
+                            a = max(int(w.starts[lo] - w.at[k]), done)
+                            b = int(w.starts[hi] - w.at[k]) if hi < end else len(raw)
+                            if b > a:
+                                out.append(raw[done:a])
+                                spans[i].append({"start": a, "end": b})
+                                counts[i] += int(hi - lo)
+                                done = b
+                        texts[i] = b"".join([*out, raw[done:]]).decode()
                 arrays = [pa.array(texts, pa.string()) if f == "text" else part.column(f) for f in columns]
-                lists = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                lists = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([*arrays, lists, pa.array(counts, pa.int64())], names=[*columns, "removed_spans", "removed_words"])
 
     kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in documents.schema if f.name not in new)
