@@ -122,15 +122,16 @@ def repeats(documents: DataFrame) -> DataFrame:
     return found.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("pos", "sizes", "f_dk", "f_pos"))).alias("chunks"))
 
 
-_RUN = "struct<a:int,b:int,words:int,reach:int,l_dk:long,l_pos:int,r_dk:long,r_pos:int>"
+_RUN = "struct<a:int,b:int,words:int,reach:int,f_dk:long,l_pos:int,r_pos:int>"
 
 
 def runs(repeated: DataFrame, min_words: int) -> DataFrame:
     """dk, runs: the runs of consecutive repeats (chunks a to b - 1) that may hold more than ``min_words`` words.
 
     ``words`` counts the run, ``reach`` also the chunk after and two before it
-    (cuts in a passage's first 16 bytes depend on what stands before it); l and
-    r name the chunks beside the first occurrences of the run's two ends.
+    (cuts in a passage's first 16 bytes depend on what stands before it); f_dk,
+    l_pos and r_pos name the chunks beside the passage's first occurrence, found
+    from that of the run's longest chunk.
     """
 
     def run(batches):
@@ -145,11 +146,12 @@ def runs(repeated: DataFrame, min_words: int) -> DataFrame:
                     n = sum(c["sizes"] >> 8 & 255 for c in chunk_list[start:i + 1])
                     reach = n + (head["sizes"] >> 16) + (tail["sizes"] & 255)
                     if reach > min_words:
-                        own.append({"a": head["pos"], "b": tail["pos"] + 1, "words": n, "reach": reach, "l_dk": head["f_dk"], "l_pos": head["f_pos"] - 1,
-                                    "r_dk": tail["f_dk"], "r_pos": tail["f_pos"] + 1})
+                        most = max(chunk_list[start:i + 1], key=lambda c: c["sizes"] >> 8 & 255)  # a short chunk may stand elsewhere by chance
+                        at = most["f_pos"] - most["pos"]
+                        own.append({"a": head["pos"], "b": tail["pos"] + 1, "words": n, "reach": reach, "f_dk": most["f_dk"], "l_pos": head["pos"] + at - 1, "r_pos": tail["pos"] + at + 1})
                     start = i + 1
                 out.append(own)
-            kind = pa.struct([(x, pa.int64() if x.endswith("dk") else pa.int32()) for x in ("a", "b", "words", "reach", "l_dk", "l_pos", "r_dk", "r_pos")])
+            kind = pa.struct([(x, pa.int64() if x.endswith("dk") else pa.int32()) for x in ("a", "b", "words", "reach", "f_dk", "l_pos", "r_pos")])
             yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(out, pa.list_(kind))], names=["dk", "runs"])
 
     return repeated.mapInArrow(run, f"dk long, runs array<{_RUN}>").where("size(runs) > 0")
@@ -193,7 +195,7 @@ def removals(documents: DataFrame, min_words: int) -> DataFrame:
     side = lambda name, dk, pos: F.struct(F.lit(name).alias("side"), F.col(dk).alias("q_dk"), pos.cast("int").alias("q_pos"))
     q = open_.withColumn("q", F.explode(F.array(
         side("own_left", "dk", F.col("a") - 1), side("own_left2", "dk", F.col("a") - 2), side("own_right", "dk", F.col("b")),
-        side("left", "l_dk", F.col("l_pos")), side("left2", "l_dk", F.col("l_pos") - 1), side("right", "r_dk", F.col("r_pos")))))
+        side("left", "f_dk", F.col("l_pos")), side("left2", "f_dk", F.col("l_pos") - 1), side("right", "f_dk", F.col("r_pos")))))
     q = written(q.select("dk", "a", "b", "words", "q.*"))
     got = words_of(documents, q.select(F.col("q_dk").alias("dk"), F.col("q_pos").alias("pos")).distinct())
     d = q.join(got.select(F.col("dk").alias("q_dk"), F.col("pos").alias("q_pos"), "hashes"), ["q_dk", "q_pos"], "left")
