@@ -187,7 +187,76 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, sim double")
 
 
-def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, leaders: int = 64) -> DataFrame:
+#: Nodes of a block: larger groups of candidates are compared block by block.
+BLOCK = 512
+
+
+def _compare(rows: pa.Table, s: Shingles, w: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, sim) between components of one block, among pairs of which at least one waits.
+
+    Pairs that can't reach the threshold are passed over: the similarity is at
+    most the ratio of the total weights and, as 1 - sim is a metric, at most 1
+    minus the difference of the distances from the group's first node; so are
+    pairs that meet in an earlier band and pairs already joined.
+    """
+    col = lambda c: rows.column(c).to_numpy()
+    node, root, waits, weight, away, part = col("node"), col("comp").copy(), col("waits"), col("weight"), col("away"), col("part")
+    i, j, band = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), rows.column("band")[0].as_py()
+    bands = np.array(rows.column("bands").to_pylist(), np.int64)[:, :band - 1]
+    _, slot = np.unique(s.keys, return_inverse=True)
+    dense, begin, out = np.zeros(slot.max() + 1), s.first[:-1], []
+    turn = np.arange(node.size)
+    for u in np.flatnonzero(waits):
+        v = (root != root[u]) & (np.minimum(weight, weight[u]) >= np.maximum(weight, weight[u]) * (threshold - 1e-6))
+        v &= ~(np.abs(away - away[u]) > 1 - threshold + 1e-6) & ~(waits & (turn < u))
+        v &= (part == i) | (part == j) if i == j else part != part[u]
+        if not v.any() or band > 1 and not (v := v & ~(bands == bands[u]).any(axis=1)).any():
+            continue
+        own = slice(s.first[u], s.first[u + 1])
+        dense[slot[own]] = w[own]
+        both = np.add.reduceat(np.minimum(dense[slot], w), begin)
+        dense[slot[own]] = 0
+        sim = both / (weight + weight[u] - both)
+        for x in np.flatnonzero(v & (sim >= threshold)):
+            if root[x] != root[u]:
+                out.append((int(node[u]), int(node[x]), float(sim[x])))
+                root[root == root[x]] = root[u]
+    return out
+
+
+def block_links(blocks: DataFrame, idf, threshold: float) -> DataFrame:
+    """a, b, sim: links between the components of each block (bucket, i, j)."""
+    key = ["bucket", "i", "j"]
+
+    def run(batches):
+        def links(tab):
+            for chunk in chunks(tab.combine_chunks().to_batches()[0], size=1 << 60):
+                s = shingles(words(chunk.column("text")))
+                yield from _compare(pa.Table.from_batches([chunk]), s, weigh(s, idf.value).astype(np.float64), threshold)
+
+        def done(tab, last):
+            k = [tab.column(c).to_numpy() for c in key]
+            new = np.append(True, np.any([x[1:] != x[:-1] for x in k], axis=0))
+            at = np.append(np.flatnonzero(new), tab.num_rows)
+            end = len(at) - 1 if last else len(at) - 2
+            out = [x for g in range(end) if at[g + 1] - at[g] > 1 for x in links(tab.slice(at[g], at[g + 1] - at[g]))]
+            a, b, sim = zip(*out) if out else ((), (), ())
+            return None if last else tab.slice(at[-2]), pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
+
+        held = None
+        for batch in batches:
+            for part in chunks(batch, size=8 << 20):
+                tab = pa.Table.from_batches([part])
+                held, out = done(pa.concat_tables([held, tab]).combine_chunks() if held is not None else tab, False)
+                yield out
+        if held is not None:
+            yield done(held.combine_chunks(), True)[1]
+
+    return spread(blocks, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, sim double")
+
+
+def near_duplicates(documents: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size (rows), kept for every row.
 
     Texts are linked at a weighted Jaccard similarity >= ``threshold``; classes
@@ -201,13 +270,10 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, leaders: in
 
     Within a group of candidates one node, that with most copies, is compared
     with all others first.  Where that leaves the group in several components,
-    nodes outside its largest component lead in turn, at most about ``leaders``
-    a round, and are compared with the nodes of other components, until every
-    such node has led.  Pairs that can't reach the threshold are passed over:
-    the similarity is at most the ratio of the total weights, and as 1 - sim is
-    a metric, at most 1 minus the difference of the distances from the group's
-    first node.  So no link that could join two classes is lost, and no group
-    is expanded into all its pairs.
+    the nodes outside its largest component wait to be compared with those of
+    other components; that is done in blocks of at most ``BLOCK`` nodes against
+    as many, so a group of any size spreads over many tasks and no pair but a
+    link becomes a row.  No link that could join two classes is lost.
     """
     sc = documents.sparkSession.sparkContext
     df, n = document_frequencies(documents)
@@ -219,47 +285,31 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, leaders: in
     banded = nodes.select("node", "weight", "copies", F.explode("bands").alias("bucket"))
     lead = F.min_by(F.struct("node", "weight"), F.struct(-F.col("copies"), F.col("node"))).alias("lead")
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), lead).where("m > 1")
-    members = written(banded.drop("copies").join(sizes.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.weight").alias("lead_weight")), "bucket"))
+    members = written(banded.drop("copies").join(sizes.select("bucket", "m", F.col("lead.node").alias("lead"), F.col("lead.weight").alias("lead_weight")), "bucket"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
         "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"))
     of_rep = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash"))
     texts = written(_keyed(documents).join(wanted, of_rep).select("node", "text").dropDuplicates(["node"]))
 
-    def near(a: str, b: str):
-        return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-6)
-
-    tested = written(similarities(members.where(F.col("node") != F.col("lead")).where(near("weight", "lead_weight")).select(
+    near = F.least("weight", "lead_weight") >= F.greatest("weight", "lead_weight") * (threshold - 1e-6)
+    stars = written(similarities(members.where(F.col("node") != F.col("lead")).where(near).select(
         F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, idf))
-    away = tested.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("sim")).alias("away"))
-    members = written(members.join(away, ["lead", "node"], "left").select(
-        "bucket", "node", "weight", F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.col("away")).alias("away")))
-    led, turn = None, 0
-    while True:
-        turn += 1
-        comp = written(components(tested.where(F.col("sim") >= threshold)))
-        now = (members.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-               .select("bucket", "node", "weight", "away", F.coalesce("component", "node").alias("comp")))
-        parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-        largest = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("top")).where(
-            "comps > 1").select("bucket", F.col("top.comp").alias("top"))
-        now = written(now.join(largest, "bucket"))
-        waiting = now.where("comp <> top")
-        waiting = waiting if led is None else waiting.join(led, ["bucket", "node"], "left_anti")
-        many = waiting.groupBy("bucket").agg(F.count(F.lit(1)).alias("waiting"))
-        chosen = F.pmod(F.xxhash64(F.lit(turn), F.col("node")), F.col("waiting")) < leaders
-        lead = written(waiting.join(many, "bucket").where(chosen).select("bucket", "node", "weight", "away", "comp"))
-        if lead.isEmpty():
-            if waiting.isEmpty():
-                break
-            continue
-        led = lead.select("bucket", "node") if led is None else written(led.union(lead.select("bucket", "node")))
-        l = lead.select("bucket", F.col("node").alias("l_node"), F.col("comp").alias("l_comp"), F.col("weight").alias("l_weight"), F.col("away").alias("l_away"))
-        apart = F.coalesce(F.abs(F.col("away") - F.col("l_away")), F.lit(0.0)) <= 1 - threshold + 1e-6
-        across = now.join(l, (now["bucket"] == l["bucket"]) & (F.col("comp") != F.col("l_comp")) & near("weight", "l_weight") & apart)
-        pairs = across.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = written(pairs.join(done, ["a", "b"], "left_anti"))
-        tested = written(tested.union(similarities(pairs, texts, idf)))
+    links = stars.where(F.col("sim") >= threshold)
+    comp = written(components(links)).withColumnRenamed("node", "c_node")
+    away = stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("sim")).alias("away"))
+    now = (members.join(away, ["lead", "node"], "left").join(comp, F.col("node") == F.col("c_node"), "left").select(
+        "bucket", "m", "node", "weight", F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.coalesce("away", F.lit(float("nan")))).alias("away"),
+        F.coalesce("component", "node").alias("comp")))
+    parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("top")).where(
+        # two nodes in two components were compared as a star
+        "comps > 1 and not (comps = 2 and top.size = 1)").select("bucket", F.col("top.comp").alias("top"))
+    n_parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = now.join(largest, "bucket").withColumn("waits", F.col("comp") != F.col("top")).withColumn("part", F.pmod(F.xxhash64("node"), n_parts).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    blocks = blocks.drop("other", "top", "m").join(nodes.select("node", "bands"), "node").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int"))
+    links = links.unionByName(block_links(blocks.join(texts, "node"), idf, threshold))
+    comp = written(components(written(links)))
 
     comp = comp.withColumnRenamed("node", "c_node")
     of_node = nodes.join(comp, F.col("node") == F.col("c_node"), "left").select(
