@@ -76,6 +76,9 @@ def chunk_column(texts: pa.Array, max_words: int = 64) -> tuple[dict[str, np.nda
     return {"text": own, "begin": w.starts[first] - w.at[own], "end": w.ends[first + size - 1] - w.at[own], "word": first, "n_words": size, "digest": digest}, w
 
 
+#: Chunks compared on either side of a run: cuts in a passage's first 16 bytes depend on what stands before it,
+#: and a short chunk at its ends may have stood elsewhere before.
+SIDE = 3
 #: Bits of the filter that says which texts are asked for their words: 1 MB on every executor.
 FILTER_BITS = 1 << 23
 
@@ -87,7 +90,7 @@ def _identified(documents: DataFrame) -> DataFrame:
 
 
 def chunk_rows(documents: DataFrame) -> DataFrame:
-    """digest, dk, doc_id, text_hash, pos, sizes (words of the two chunks before, the chunk and the one after, 8 bits each)."""
+    """digest, dk, doc_id, text_hash, pos, sizes (words of the SIDE chunks before, the chunk and the SIDE after, 8 bits each)."""
 
     def run(batches):
         for batch in batches:
@@ -95,9 +98,9 @@ def chunk_rows(documents: DataFrame) -> DataFrame:
                 c, _ = chunk_column(part.column("text"))
                 text, size = c["text"], c["n_words"]
                 pos = np.arange(text.size) - np.searchsorted(text, text)
-                same = np.append(text[1:] == text[:-1], False)
-                after = np.where(same, np.append(size[1:], 0), 0)
-                before = np.where(pos > 0, np.append(0, size[:-1]), 0) + np.where(pos > 1, np.append([0, 0], size[:-2]), 0) if text.size > 1 else 0 * size
+                left = np.searchsorted(text, text, "right") - 1 - np.arange(text.size)  # chunks after it
+                after = sum(np.where(left >= k, np.append(size, np.zeros(k, np.int64))[k:], 0) for k in range(1, SIDE + 1))
+                before = sum(np.where(pos >= k, np.append(np.zeros(k, np.int64), size)[:size.size], 0) for k in range(1, SIDE + 1))
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c["digest"].view(np.int64)), *[part.column(x).take(at) for x in ("dk", "doc_id", "text_hash")],
@@ -122,19 +125,19 @@ def repeats(documents: DataFrame) -> DataFrame:
     return found.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("pos", "sizes", "f_dk", "f_pos"))).alias("chunks"))
 
 
-_RUN = "struct<a:int,b:int,words:int,reach:int,f_dk:long,l_pos:int,r_pos:int>"
+_RUN = "struct<a:int,b:int,words:int,c:int,d:int,same:int,f_dk:long,f_c:int,f_d:int>"
 
 
 def runs(repeated: DataFrame, min_words: int) -> DataFrame:
     """dk, runs: the runs of consecutive repeats (chunks a to b - 1) that may hold more than ``min_words`` words.
 
-    ``words`` counts the run, ``reach`` also the chunk after and two before it
-    (cuts in a passage's first 16 bytes depend on what stands before it); f_dk,
-    l_pos and r_pos name the chunks beside the passage's first occurrence, found
-    from that of the run's longest chunk.
+    ``words`` counts the run.  Chunks c to d - 1 of it, around its longest one,
+    repeat chunks f_c to f_d - 1 of the text f_dk; they have ``same`` words.  (A
+    short chunk among them may have stood elsewhere before, by chance.)
     """
 
     def run(batches):
+        size = lambda c: c["sizes"] >> 8 & 255
         for batch in batches:
             out = []
             for chunk_list in batch.column("chunks").to_pylist():
@@ -142,16 +145,17 @@ def runs(repeated: DataFrame, min_words: int) -> DataFrame:
                 for i in range(len(chunk_list)):
                     if i + 1 < len(chunk_list) and chunk_list[i + 1]["pos"] == chunk_list[i]["pos"] + 1:
                         continue
-                    head, tail = chunk_list[start], chunk_list[i]
-                    n = sum(c["sizes"] >> 8 & 255 for c in chunk_list[start:i + 1])
-                    reach = n + (head["sizes"] >> 16) + (tail["sizes"] & 255)
-                    if reach > min_words:
-                        most = max(chunk_list[start:i + 1], key=lambda c: c["sizes"] >> 8 & 255)  # a short chunk may stand elsewhere by chance
-                        at = most["f_pos"] - most["pos"]
-                        own.append({"a": head["pos"], "b": tail["pos"] + 1, "words": n, "reach": reach, "f_dk": most["f_dk"], "l_pos": head["pos"] + at - 1, "r_pos": tail["pos"] + at + 1})
-                    start = i + 1
+                    part, start = chunk_list[start:i + 1], i + 1
+                    n = sum(map(size, part))
+                    if n + (part[0]["sizes"] >> 16) + (part[-1]["sizes"] & 255) > min_words:
+                        k = max(range(len(part)), key=lambda x: size(part[x]))
+                        like = lambda x: (part[x]["f_dk"], part[x]["f_pos"] - part[x]["pos"]) == (part[k]["f_dk"], part[k]["f_pos"] - part[k]["pos"])  # noqa: B023, E731
+                        alike = [x for x in range(len(part)) if like(x)]
+                        lo, hi = alike[0], alike[-1] + 1
+                        own.append({"a": part[0]["pos"], "b": part[-1]["pos"] + 1, "words": n, "c": part[lo]["pos"], "d": part[hi - 1]["pos"] + 1,
+                                    "same": sum(map(size, part[lo:hi])), "f_dk": part[lo]["f_dk"], "f_c": part[lo]["f_pos"], "f_d": part[hi - 1]["f_pos"] + 1})
                 out.append(own)
-            kind = pa.struct([(x, pa.int64() if x.endswith("dk") else pa.int32()) for x in ("a", "b", "words", "reach", "f_dk", "l_pos", "r_pos")])
+            kind = pa.struct([(x, pa.int64() if x == "f_dk" else pa.int32()) for x in ("a", "b", "words", "c", "d", "same", "f_dk", "f_c", "f_d")])
             yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(out, pa.list_(kind))], names=["dk", "runs"])
 
     return repeated.mapInArrow(run, f"dk long, runs array<{_RUN}>").where("size(runs) > 0")
@@ -188,28 +192,32 @@ def words_of(documents: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def removals(documents: DataFrame, min_words: int) -> DataFrame:
-    """dk, cuts (array of a, b, left, right): what to remove, chunks a to b - 1 with so many words before and after them."""
+    """dk, cuts (array of a, b, c, d, left, right): what to remove, chunks a to b - 1 and
+    what goes from ``left`` words before chunk c to ``right`` words after chunk d - 1."""
     run = written(runs(repeats(documents), min_words)).select("dk", F.explode("runs").alias("run")).select("dk", "run.*")
-    sure = run.where(F.col("words") > min_words).select("dk", "a", "b", F.lit(0).alias("left"), F.lit(0).alias("right"))
+    bounds = ["a", "b", "c", "d"]
+    sure = run.where(F.col("words") > min_words).select("dk", *bounds, F.lit(0).alias("left"), F.lit(0).alias("right"))
     open_ = run.where(F.col("words") <= min_words)
     side = lambda name, dk, pos: F.struct(F.lit(name).alias("side"), F.col(dk).alias("q_dk"), pos.cast("int").alias("q_pos"))
-    q = open_.withColumn("q", F.explode(F.array(
-        side("own_left", "dk", F.col("a") - 1), side("own_left2", "dk", F.col("a") - 2), side("own_right", "dk", F.col("b")),
-        side("left", "f_dk", F.col("l_pos")), side("left2", "f_dk", F.col("l_pos") - 1), side("right", "f_dk", F.col("r_pos")))))
-    q = written(q.select("dk", "a", "b", "words", "q.*"))
+    steps = range(SIDE)
+    own_l, own_r, l, r = ([f"{x}{k}" for k in steps] for x in ("own_l", "own_r", "l", "r"))
+    q = open_.withColumn("q", F.explode(F.array(*[x for k in steps for x in (
+        side(own_l[k], "dk", F.col("c") - SIDE + k), side(own_r[k], "dk", F.col("d") + k),
+        side(l[k], "f_dk", F.col("f_c") - SIDE + k), side(r[k], "f_dk", F.col("f_d") + k))])))
+    q = written(q.select("dk", *bounds, "same", "q.*"))
     got = words_of(documents, q.select(F.col("q_dk").alias("dk"), F.col("q_pos").alias("pos")).distinct())
     d = q.join(got.select(F.col("dk").alias("q_dk"), F.col("pos").alias("q_pos"), "hashes"), ["q_dk", "q_pos"], "left")
     pick = lambda name: F.coalesce(F.max(F.when(F.col("side") == name, F.col("hashes"))), F.array().cast("array<bigint>")).alias(name)
-    d = d.groupBy("dk", "a", "b", "words").agg(*[pick(x) for x in ("own_left", "own_left2", "own_right", "left", "left2", "right")])
-    d = d.withColumns({"own_left": F.concat("own_left2", "own_left"), "left": F.concat("left2", "left")})
+    d = d.groupBy("dk", *bounds, "same").agg(*[pick(x) for x in (*own_l, *own_r, *l, *r)])
+    d = d.withColumns({"own_left": F.concat(*own_l), "own_right": F.concat(*own_r), "left": F.concat(*l), "right": F.concat(*r)})
 
     def common(x, y):
         first_other = F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), F.lit(False))
         return F.when(first_other > 0, first_other - 1).otherwise(F.least(F.size(x), F.size(y))).cast("int")
 
-    d = d.select("dk", "a", "b", "words", common(F.reverse("own_left"), F.reverse("left")).alias("left"), common(F.col("own_right"), F.col("right")).alias("right"))
-    long_enough = d.where(F.col("words") + F.col("left") + F.col("right") > min_words).drop("words")
-    return sure.unionByName(long_enough).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("a", "b", "left", "right"))).alias("cuts"))
+    d = d.select("dk", *bounds, "same", common(F.reverse("own_left"), F.reverse("left")).alias("left"), common(F.col("own_right"), F.col("right")).alias("right"))
+    long_enough = d.where(F.col("same") + F.col("left") + F.col("right") > min_words).drop("same")
+    return sure.unionByName(long_enough).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct(*bounds, "left", "right"))).alias("cuts"))
 
 
 def deduplicate(documents: DataFrame, *, min_words: int = 50) -> DataFrame:
@@ -243,7 +251,8 @@ def deduplicate(documents: DataFrame, *, min_words: int = 50) -> DataFrame:
                         raw, end, out, done = texts[i].encode(), w.first[k + 1], [], 0
                         word = np.append(c["word"][bounds[k]:bounds[k + 1]], end)  # the first word of each chunk
                         for cut in marks[i]:
-                            lo, hi = max(int(word[cut["a"]]) - cut["left"], w.first[k]), min(int(word[cut["b"]]) + cut["right"], end)
+                            lo = max(min(int(word[cut["a"]]), int(word[cut["c"]]) - cut["left"]), int(w.first[k]))
+                            hi = min(max(int(word[cut["b"]]), int(word[cut["d"]]) + cut["right"]), int(end))
                             a = max(int(w.starts[lo] - w.at[k]), done)
                             b = int(w.starts[hi] - w.at[k]) if hi < end else len(raw)
                             if b > a:
