@@ -49,3 +49,25 @@ def series_shape(data_type: Column) -> Column:
     has = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda m: F.contains(t, m))
     flags = F.concat_ws("+", F.when(has("gauge"), F.lit("gauge")), F.when(has("counter"), F.lit("counter")), F.when(has("histogram", "summary"), F.lit("histogram")))
     return F.when(flags != "", flags).when(has(*NON_SERIES), "non-series").otherwise("unknown")
+
+
+def capability_state(kind: Column, kernel: Column, present: Column, log_pipeline: Column, kubelet: Column) -> Column:
+    """ok, out-of-scope or indeterminate for a capability by its kind.
+
+    kernel: needs 4.19; presence-sufficient: a tool gives it, without one it is
+    open; presence-necessary: without the tool it is out, with it open;
+    any-log-pipeline; kubelet: needs 1.22; any other kind is indeterminate.
+    """
+    met = lambda state: F.when(state == "met", "ok").when(state == "unmet", "out-of-scope").otherwise("indeterminate")
+    unknown = F.lit("indeterminate")
+    return (F.when(kind == "kernel", met(kernel_at_least(kernel, 4, 19)))
+            .when(kind == "presence-sufficient", F.when(present, "ok").otherwise(unknown))
+            .when(kind == "presence-necessary", F.when(present.isNotNull() & ~present, "out-of-scope").otherwise(unknown))
+            .when(kind == "any-log-pipeline", F.when(log_pipeline, "ok").when(~log_pipeline, "out-of-scope").otherwise(unknown))
+            .when(kind == "kubelet", met(kernel_at_least(F.regexp_replace(kubelet, "^v", ""), 1, 22))).otherwise(unknown))
+
+
+def gate_active(gate: Column, kubelet: Column, runtime: Column) -> Column:
+    """Whether a distribution gate applies: dockershim from 1.24 on another runtime, k3s and microk8s by the version's text."""
+    newer = kernel_at_least(F.regexp_replace(kubelet, "^v", ""), 1, 24) == "met"
+    return F.coalesce(F.when(gate == "dockershim", newer & ~F.startswith(runtime, F.lit("docker"))).otherwise(F.contains(F.lower(kubelet), gate)), F.lit(False))

@@ -161,3 +161,18 @@ def budget_top_k(targets: DataFrame, ceiling: int) -> DataFrame:
     rank = F.row_number().over(W.orderBy(F.col("precursor").desc(), "uid", "metric"))
     d = targets.withColumn("rank", rank)
     return d.withColumn("budgeted", (F.col("rank") <= ceiling) if ceiling > 0 else F.lit(True))
+
+
+def closure(tier: DataFrame, reached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(neighbours, gaps) of selected entities: (tick_seq, uid, target, hop), and (tick_seq, uid) where nothing can be reached."""
+    own = reached.select("tick_seq", F.col("key").alias("uid"), "target", "hop").join(tier.select("uid").distinct(), "uid", "left_semi")
+    ticks = reached.select("tick_seq").distinct()
+    gaps = tier.select("uid").distinct().crossJoin(F.broadcast(ticks)).join(own.select("tick_seq", "uid").distinct(), ["tick_seq", "uid"], "left_anti")
+    return own.select("tick_seq", "uid", "target", "hop"), gaps.select("tick_seq", "uid")
+
+
+def warning_cards(projected: DataFrame, names: DataFrame, at_risk: DataFrame) -> DataFrame:
+    """Projected crossings (uid, metric, crosses_us) with the entity's name and how many entities are at risk, soonest first."""
+    risk = at_risk.select("uid", "at_risk").distinct().groupBy("uid").agg(F.count(F.lit(1)).alias("at_risk"))
+    d = projected.join(names, "uid", "left").join(risk, "uid", "left")
+    return d.select("uid", "metric", "name", "crosses_us", F.coalesce("at_risk", F.lit(0)).alias("at_risk")).orderBy("crosses_us", "uid", "metric")

@@ -101,3 +101,29 @@ def binding_qa(features: DataFrame) -> DataFrame:
             .when(F.col("samples") < 3, F.struct(F.lit("suspect").alias("verdict"), F.lit("thin-evidence").alias("test")))
             .otherwise(F.struct(F.lit("verified").alias("verdict"), F.lit(None).cast("string").alias("test"))))
     return features.select("pair", test.alias("t")).select("pair", "t.*")
+
+
+def stream_audit(outcomes: DataFrame, verified: DataFrame) -> DataFrame:
+    """One row: resolved, dropped, quarantined, the share of quarantined (orphans), verified streams and their accuracy."""
+    c = lambda x: F.count_if(F.col("outcome") == x)
+    a = outcomes.agg(c("resolve").alias("resolved"), c("drop").alias("dropped"), c("quarantine").alias("quarantined"))
+    a = a.withColumn("orphan_rate", F.coalesce(F.try_divide("quarantined", F.col("resolved") + F.col("quarantined")), F.lit(0.0)))
+    right, wrong = F.count_if(F.col("verdict") == "correct"), F.count_if(F.col("verdict") == "misjoin")
+    b = verified.agg((right + wrong).alias("verified"), F.coalesce(F.try_divide(right, right + wrong), F.lit(1.0)).alias("accuracy"))
+    return a.crossJoin(F.broadcast(b))  # one row each
+
+
+def coverage_view(coverage: DataFrame, resolved: DataFrame, observability: DataFrame) -> DataFrame:
+    """One row of headline figures over rules, resolvability and phenomena."""
+    a = coverage.agg(F.count(F.lit(1)).alias("rules"), F.sum("pairs").alias("pairs"), F.count_if(F.col("config_bound") + F.col("default_bound") > 0).alias("rules_bound"))
+    c = lambda s: F.count_if(F.col("state") == s).alias(f"phenomena_{s}")
+    b = observability.agg(c("full"), c("partial"), c("none"))
+    return a.crossJoin(F.broadcast(resolved)).crossJoin(F.broadcast(b))  # one row each
+
+
+def intake_feeds(candidates: DataFrame, unbounded: DataFrame, failed: DataFrame) -> DataFrame:
+    """Three feeds to one shape: recurring unexplained signatures, unbounded metrics (one item each), failed bindings."""
+    a = candidates.select(F.lit(0).alias("priority"), F.concat(F.lit("unexplained:"), "signature").alias("signature"), F.col("windows").alias("recurrence"))
+    b = unbounded.groupBy("metric").agg(F.count(F.lit(1)).alias("recurrence")).select(F.lit(1).alias("priority"), F.concat(F.lit("unbounded:"), "metric").alias("signature"), "recurrence")
+    c = failed.select(F.lit(2).alias("priority"), F.concat_ws(":", F.lit("failed"), "pair", "test").alias("signature"), F.lit(1).cast("long").alias("recurrence"))
+    return a.unionByName(b).unionByName(c)
