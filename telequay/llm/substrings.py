@@ -79,8 +79,9 @@ def chunk_column(texts: pa.Array, max_words: int = 64) -> tuple[dict[str, np.nda
 #: Chunks compared on either side of a run: cuts in a passage's first 16 bytes depend on what stands before it,
 #: and a short chunk at its ends may have stood elsewhere before.
 SIDE = 3
-#: Bits of the filter that says which texts are asked for their words: 1 MB on every executor.
+#: Bits of the filter that says which chunks are asked for their words: 1 MB on every executor.
 FILTER_BITS = 1 << 23
+_SPOT = 40503
 
 
 def _identified(documents: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _identified(documents: DataFrame) -> DataFrame:
 
 
 def chunk_rows(documents: DataFrame) -> DataFrame:
-    """digest, dk, doc_id, text_hash, pos, sizes (words of the SIDE chunks before, the chunk and the SIDE after, 8 bits each)."""
+    """digest, dk, doc_id, text_hash, pos, sizes (words of the chunk before, the chunk and the one after, 8 bits each)."""
 
     def run(batches):
         for batch in batches:
@@ -98,9 +99,9 @@ def chunk_rows(documents: DataFrame) -> DataFrame:
                 c, _ = chunk_column(part.column("text"))
                 text, size = c["text"], c["n_words"]
                 pos = np.arange(text.size) - np.searchsorted(text, text)
-                left = np.searchsorted(text, text, "right") - 1 - np.arange(text.size)  # chunks after it
-                after = sum(np.where(left >= k, np.append(size, np.zeros(k, np.int64))[k:], 0) for k in range(1, SIDE + 1))
-                before = sum(np.where(pos >= k, np.append(np.zeros(k, np.int64), size)[:size.size], 0) for k in range(1, SIDE + 1))
+                same = text[1:] == text[:-1]
+                before, after = np.zeros_like(size), np.zeros_like(size)
+                before[1:], after[:-1] = np.where(same, size[:-1], 0), np.where(same, size[1:], 0)
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c["digest"].view(np.int64)), *[part.column(x).take(at) for x in ("dk", "doc_id", "text_hash")],
@@ -113,16 +114,17 @@ def chunk_rows(documents: DataFrame) -> DataFrame:
 def repeats(documents: DataFrame) -> DataFrame:
     """dk, chunks (array of pos, sizes, f_dk, f_pos by pos) of texts with chunks that occurred before.
 
-    The first occurrence of a digest by (doc_id, text_hash, pos) is no repeat.
-    Digests are counted in each task before they are shuffled, and only those
-    that occur twice are joined with the chunks again.
+    The first occurrence of a digest by (doc_id, dk, pos) is no repeat.  Digests
+    are counted in each task before they are shuffled; only occurrences of those
+    that occur twice are kept, and the first is sought among them.
     """
-    rows = chunk_rows(documents)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")).alias("first")
-    twice = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select(
-        F.col("digest").alias("t_digest"), F.xxhash64("first.doc_id", "first.text_hash").alias("f_dk"), F.col("first.pos").alias("f_pos"))
-    found = rows.join(written(twice), F.col("digest") == F.col("t_digest")).where((F.col("dk") != F.col("f_dk")) | (F.col("pos") != F.col("f_pos")))
-    return found.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("pos", "sizes", "f_dk", "f_pos"))).alias("chunks"))
+    rows = chunk_rows(documents).drop("text_hash")
+    twice = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    found = written(rows.join(twice, "digest", "left_semi"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dk", "pos")).alias("first")
+    first = found.groupBy("digest").agg(first).select("digest", F.col("first.dk").alias("f_dk"), F.col("first.pos").alias("f_pos"))
+    later = found.join(first, "digest").where((F.col("dk") != F.col("f_dk")) | (F.col("pos") != F.col("f_pos")))
+    return later.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("pos", "sizes", "f_dk", "f_pos"))).alias("chunks"))
 
 
 _RUN = "struct<a:int,b:int,words:int,c:int,d:int,same:int,f_dk:long,f_c:int,f_d:int>"
@@ -147,7 +149,9 @@ def runs(repeated: DataFrame, min_words: int) -> DataFrame:
                         continue
                     part, start = chunk_list[start:i + 1], i + 1
                     n = sum(map(size, part))
-                    if n + (part[0]["sizes"] >> 16) + (part[-1]["sizes"] & 255) > min_words:
+                    # All whole chunks of a passage are repeats; its ends lie in the chunks beside them,
+                    # or in chunks cut off within its first WINDOW bytes, which hold at most half as many words.
+                    if n + (part[0]["sizes"] >> 16) + WINDOW // 2 + (part[-1]["sizes"] & 255) > min_words:
                         k = max(range(len(part)), key=lambda x: size(part[x]))
                         like = lambda x: (part[x]["f_dk"], part[x]["f_pos"] - part[x]["pos"]) == (part[k]["f_dk"], part[k]["f_pos"] - part[k]["pos"])  # noqa: B023, E731
                         alike = [x for x in range(len(part)) if like(x)]
@@ -164,10 +168,11 @@ def runs(repeated: DataFrame, min_words: int) -> DataFrame:
 def words_of(documents: DataFrame, asked: DataFrame) -> DataFrame:
     """dk, pos, hashes (of the chunk's words) for the chunks (dk, pos) asked for.
 
-    The texts are scanned, not shuffled: a filter of fixed size names the texts
+    The texts are scanned, not shuffled: a filter of fixed size names the chunks
     asked for, perhaps some more; those are sorted out by the join.
     """
-    bit = F.pmod("dk", F.lit(FILTER_BITS)) + 1  # buckets and their bits count from 1
+    spot = F.col("dk").bitwiseXOR(F.col("pos").cast("long") * _SPOT)
+    bit = F.pmod(spot, F.lit(FILTER_BITS)) + 1  # buckets and their bits count from 1
     bitmap = asked.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS, bool)
@@ -179,13 +184,14 @@ def words_of(documents: DataFrame, asked: DataFrame) -> DataFrame:
     def run(batches):
         own_bits = np.unpackbits(packed.value).astype(bool)
         for batch in batches:
-            dk = batch.column("dk").to_numpy()
-            some = batch.filter(pa.array(own_bits[dk % FILTER_BITS]))
-            for part in chunks(some) if some.num_rows else ():
+            for part in chunks(batch):
                 c, w = chunk_column(part.column("text"))
+                dk = part.column("dk").to_numpy()[c["text"]]
                 pos = np.arange(c["text"].size) - np.searchsorted(c["text"], c["text"])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(c["word"], w.hashes.size).astype(np.int32)), pa.array(w.hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("dk").take(pa.array(c["text"])), pa.array(pos.astype(np.int32)), lists], names=["dk", "pos", "hashes"])
+                at = np.flatnonzero(own_bits[(dk ^ pos * _SPOT) % FILTER_BITS])
+                if at.size:
+                    lists = [w.hashes[a:a + n].view(np.int64) for a, n in zip(c["word"][at], c["n_words"][at])]
+                    yield pa.RecordBatch.from_arrays([pa.array(dk[at]), pa.array(pos[at].astype(np.int32)), pa.array(lists, pa.list_(pa.int64()))], names=["dk", "pos", "hashes"])
 
     found = _identified(documents).select("dk", "text").mapInArrow(run, "dk long, pos int, hashes array<long>")
     return found.join(asked, ["dk", "pos"], "left_semi").dropDuplicates(["dk", "pos"])
