@@ -91,28 +91,33 @@ def _identified(documents: DataFrame) -> DataFrame:
 
 
 def chunk_rows(documents: DataFrame) -> DataFrame:
-    """digest, dk, doc_id, text_hash, pos, sizes (words of the chunk before, the chunk and the one after, 8 bits each)."""
+    """digest, dk, doc_id, text_hash, pos, sizes (words of the chunk before, the chunk and the one after, 8 bits each)
+    and sides (16 bits of the word before the chunk and of the one after it)."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                c, _ = chunk_column(part.column("text"))
-                text, size = c["text"], c["n_words"]
+                c, w = chunk_column(part.column("text"))
+                text, size, word = c["text"], c["n_words"], c["word"]
                 pos = np.arange(text.size) - np.searchsorted(text, text)
                 same = text[1:] == text[:-1]
                 before, after = np.zeros_like(size), np.zeros_like(size)
                 before[1:], after[:-1] = np.where(same, size[:-1], 0), np.where(same, size[1:], 0)
+                short = (w.hashes & np.uint64(0xFFFF)).astype(np.int64)
+                sides = np.zeros_like(size)
+                sides[1:] |= np.where(same, short[word[1:] - 1], 0) << 16
+                sides[:-1] |= np.where(same, short[word[1:]], 0)
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c["digest"].view(np.int64)), *[part.column(x).take(at) for x in ("dk", "doc_id", "text_hash")],
-                     pa.array(pos.astype(np.int32)), pa.array((before << 16 | size << 8 | after).astype(np.int32))],
-                    names=["digest", "dk", "doc_id", "text_hash", "pos", "sizes"])
+                     pa.array(pos.astype(np.int32)), pa.array((before << 16 | size << 8 | after).astype(np.int32)), pa.array(sides.astype(np.uint32).view(np.int32))],
+                    names=["digest", "dk", "doc_id", "text_hash", "pos", "sizes", "sides"])
 
-    return _identified(documents).mapInArrow(run, "digest long, dk long, doc_id long, text_hash long, pos int, sizes int")
+    return _identified(documents).mapInArrow(run, "digest long, dk long, doc_id long, text_hash long, pos int, sizes int, sides int")
 
 
 def repeats(documents: DataFrame) -> DataFrame:
-    """dk, chunks (array of pos, sizes, f_dk, f_pos by pos) of texts with chunks that occurred before.
+    """dk, chunks (array of pos, sizes, sides, f_dk, f_pos, f_sides by pos) of texts with chunks that occurred before.
 
     The first occurrence of a digest by (doc_id, dk, pos) is no repeat.  Digests
     are counted in each task before they are shuffled; only occurrences of those
@@ -121,10 +126,11 @@ def repeats(documents: DataFrame) -> DataFrame:
     rows = chunk_rows(documents).drop("text_hash")
     twice = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     found = written(rows.join(twice, "digest", "left_semi"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dk", "pos")).alias("first")
-    first = found.groupBy("digest").agg(first).select("digest", F.col("first.dk").alias("f_dk"), F.col("first.pos").alias("f_pos"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dk", "pos", "sides")).alias("first")
+    first = found.groupBy("digest").agg(first).select(
+        "digest", F.col("first.dk").alias("f_dk"), F.col("first.pos").alias("f_pos"), F.col("first.sides").alias("f_sides"))
     later = found.join(first, "digest").where((F.col("dk") != F.col("f_dk")) | (F.col("pos") != F.col("f_pos")))
-    return later.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("pos", "sizes", "f_dk", "f_pos"))).alias("chunks"))
+    return later.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("pos", "sizes", "sides", "f_dk", "f_pos", "f_sides"))).alias("chunks"))
 
 
 _RUN = "struct<a:int,b:int,words:int,c:int,d:int,same:int,f_dk:long,f_c:int,f_d:int>"
@@ -149,13 +155,18 @@ def runs(repeated: DataFrame, min_words: int) -> DataFrame:
                         continue
                     part, start = chunk_list[start:i + 1], i + 1
                     n = sum(map(size, part))
-                    # All whole chunks of a passage are repeats; its ends lie in the chunks beside them,
-                    # or in chunks cut off within its first WINDOW bytes, which hold at most half as many words.
-                    if n + (part[0]["sizes"] >> 16) + WINDOW // 2 + (part[-1]["sizes"] & 255) > min_words:
-                        k = max(range(len(part)), key=lambda x: size(part[x]))
-                        like = lambda x: (part[x]["f_dk"], part[x]["f_pos"] - part[x]["pos"]) == (part[k]["f_dk"], part[k]["f_pos"] - part[k]["pos"])  # noqa: B023, E731
-                        alike = [x for x in range(len(part)) if like(x)]
-                        lo, hi = alike[0], alike[-1] + 1
+                    k = max(range(len(part)), key=lambda x: size(part[x]))
+                    like = lambda x: (part[x]["f_dk"], part[x]["f_pos"] - part[x]["pos"]) == (part[k]["f_dk"], part[k]["f_pos"] - part[k]["pos"])  # noqa: B023, E731
+                    alike = [x for x in range(len(part)) if like(x)]
+                    lo, hi = alike[0], alike[-1] + 1
+                    # All whole chunks of a passage are repeats; its ends lie in the chunks beside them, or in chunks
+                    # cut off within its first WINDOW bytes, which hold at most half as many words.  It can only go
+                    # on where the next word is the one beside the first occurrence.
+                    left = sum(map(size, part[:lo])) + (part[0]["sizes"] >> 16) + WINDOW // 2
+                    right = sum(map(size, part[hi:])) + (part[-1]["sizes"] & 255)
+                    left *= part[lo]["sides"] >> 16 == part[lo]["f_sides"] >> 16
+                    right *= part[hi - 1]["sides"] & 65535 == part[hi - 1]["f_sides"] & 65535
+                    if n > min_words or sum(map(size, part[lo:hi])) + left + right > min_words:
                         own.append({"a": part[0]["pos"], "b": part[-1]["pos"] + 1, "words": n, "c": part[lo]["pos"], "d": part[hi - 1]["pos"] + 1,
                                     "same": sum(map(size, part[lo:hi])), "f_dk": part[lo]["f_dk"], "f_c": part[lo]["f_pos"], "f_d": part[hi - 1]["f_pos"] + 1})
                 out.append(own)
