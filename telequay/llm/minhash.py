@@ -256,17 +256,16 @@ def block_links(blocks: DataFrame, idf, threshold: float) -> DataFrame:
     return spread(blocks, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, sim double")
 
 
-def near_duplicates(documents: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_size (rows), kept for every row.
+def classes(documents: DataFrame, *, threshold: float = 0.8) -> DataFrame:
+    """doc_id, text_hash, linked (has words), n (rows), class_id, class_size, first (stands for its class) for every distinct (doc_id, text).
 
     Texts are linked at a weighted Jaccard similarity >= ``threshold``; classes
     are connected by links.  Texts with the same words (case and white space
     aside) are one node.  Null texts and texts without words are never linked
     and kept.  A text of fewer than five words has one shingle, of all its
-    words.  ``kept`` marks the row with the smallest doc_id of each class; rows
-    that repeat that doc_id are the same document and kept with it.  A null
-    doc_id counts as larger than all others.  An empty table gives an empty
-    result; other columns are dropped.
+    words.  The text with the smallest doc_id stands for its class, of several
+    under that doc_id the one of smallest hash.  A null doc_id counts as larger
+    than all others.
 
     Within a group of candidates one node, that with most copies, is compared
     with all others first.  Where that leaves the group in several components,
@@ -315,16 +314,37 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8) -> DataFram
     of_node = nodes.join(comp, F.col("node") == F.col("c_node"), "left").select(
         F.col("node").alias("k_node"), "rep", "copies", F.coalesce("component", "node").alias("component"))
     classes = of_node.groupBy("component").agg(F.min("rep").alias("least"), F.sum("copies").alias("class_size"))
-    of_node = of_node.join(classes, "component").select("k_node", F.col("least.doc_id").alias("class_id"), "class_size")
-    out = rows.select("doc_id", "node").join(of_node, F.col("node") == F.col("k_node"), "left")
+    of_node = of_node.join(classes, "component").select("k_node", F.col("least.doc_id").alias("class_id"), F.col("least.text_hash").alias("class_hash"), "class_size")
+    own = rows.groupBy("doc_id", "text_hash", "node").agg(F.count(F.lit(1)).alias("n"))
+    out = own.join(of_node, F.col("node") == F.col("k_node"), "left")
     alone = F.col("k_node").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return out.select("doc_id", "text_hash", (~alone).alias("linked"), "n", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("class_size", F.lit(1)).alias("class_size"),
-                      (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+                      (alone | F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))).alias("first"))
+
+
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_size (rows), kept for every row.
+
+    The options and the classes are those of ``classes``.  One row of each class
+    is kept, whatever doc_ids repeat or are null, and every row without words.
+    An empty table gives an empty result; other columns are dropped.
+    """
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("row")
+    rows = classes(documents, **options).select("doc_id", "class_id", "class_size", "linked", "first", each)
+    return rows.select("doc_id", "class_id", "class_size", (F.col("first") & (~F.col("linked") | (F.col("row") == 1))).alias("kept"))
 
 
 def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
-    """The rows of documents without all but the first document of each near-duplicate class."""
-    found = near_duplicates(documents, **options).where("not kept").select(F.col("doc_id").alias("d_id")).distinct()
-    kept = documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("d_id")), "left_anti")
-    return kept
+    """One row of each near-duplicate class, and the rows without words; all columns unchanged.
+
+    Rows go by doc_id and text, so a text is never lost for another one under
+    its doc_id; of rows that repeat both one stays.
+    """
+    found = classes(documents, **options).where("not first or linked and n > 1").select(
+        F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash"), "first")
+    found = written(found)
+    keyed = documents.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d_id")) & (F.col("_hash") == F.col("d_hash"))
+    repeated = keyed.join(found.where("first"), same, "left_semi").withColumn("_id", F.col("doc_id").cast("long")).dropDuplicates(["_id", "_hash"])
+    return keyed.join(found, same, "left_anti").unionByName(repeated.drop("_id")).select(*documents.columns)

@@ -264,6 +264,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b, c, d, e, f, g = (made(900 + i, 60) for i in range(7))
+    # null ids: a copy of 1, a unique text, twice the same one; 7 has two texts, one of them a copy of 2; 8 twice the same row
+    rows = [(1, a), (None, a.upper()), (None, b), (None, c), (None, c), (2, d), (7, d), (7, e), (8, f), (8, f), (None, None), (None, ""), (9, g)]
+    table = spark.createDataFrame([(i, t, "en", "s", None, "x") for i, t in rows], DOCS)
+    left = minhash.without_near_duplicates(table)
+    assert left.columns == table.columns
+    want = [(1, a), (2, d), (7, e), (8, f), (9, g), (None, ""), (None, None), (None, b), (None, c)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr)
+    got = minhash.near_duplicates(table).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == len(want)
+    assert sorted(r.kept for r in got if r.doc_id == 7) == [False, True] == sorted(r.kept for r in got if r.doc_id == 8)
+
+
 def test_samples_estimate_the_similarity():
     g = np.random.default_rng(5)
     a = np.sort(g.integers(0, 1 << 63, 4000).astype(np.uint64))
