@@ -3,12 +3,14 @@
 A document is its set of five-word shingles, weighted by tf * idf.  Improved
 consistent weighted sampling draws K samples whose agreement estimates the
 weighted Jaccard similarity; bands of samples give candidate groups; every
-link is verified by the exact weighted Jaccard similarity.
+link is verified by the exact weighted Jaccard similarity.  The document
+frequency of every shingle is counted exactly, by shards of its hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .quality import _counted, _distinct, _pack, _unpack
 from .shared import spread, written
 from .words import Shingles, chunks, mix64, random_table, shingles, words
 
-#: Slots in which document frequencies are counted: 4 MB on every executor, whatever the input.
-SLOTS = 1 << 20
-_PART = 1 << 12
+#: Bytes of text in a block, and blocks a shard of shingles has to answer: a shard holds about as many shingles as these have words.
+BLOCK_BYTES, BLOCKS_A_SHARD = 8 << 20, 8
 BANDS, ROWS = 12, 4
 _SEEDS = random_table(BANDS * ROWS, 41)
 
@@ -39,49 +41,97 @@ def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
 _GAMMA: list[np.ndarray] = []
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(44)).astype(np.int64)
+def text_blocks(documents: DataFrame) -> DataFrame:
+    """block, n (texts with words), texts (doc_id, text_hash and text of about ``BLOCK_BYTES`` of text, an Arrow stream)."""
 
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = 0
+        for batch in batches:
+            for part in chunks(batch, size=BLOCK_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                n = sum(int((np.diff(words(x.column("text")).first) > 0).sum()) for x in chunks(part))
+                yield pa.RecordBatch.from_pydict({"block": [f"{TaskContext.get().partitionId()}-{number}"], "n": [n],
+                                                  "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+                number += 1
+
+    return _keyed(documents).mapInArrow(run, "block string, n long, texts binary")
+
+
+def _texts(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all().combine_chunks()
 
-def document_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
-    """(number of documents with a shingle in each slot, number of documents with words), over all rows.
 
-    Each task counts in one array and sends it in parts; parts are added by key.
+def document_counts(blocks: DataFrame, shards: int) -> DataFrame:
+    """block, shard, df (packed): in how many documents each of the block's distinct shingles is, by shard in ascending order.
+
+    A shard has a range of the hashes.  Each block sends the shingles of the
+    shard once with the number of its texts that have them; the shard adds them
+    up over all blocks and answers each.
     """
 
-    def count(batches):
-        df, n = np.zeros(SLOTS, np.int64), 0
+    def ask(batches):
         for batch in batches:
-            for part in chunks(batch):
-                s = shingles(words(part.column("text")))
-                df += np.bincount(slots(s.keys), minlength=SLOTS)
-                n += int((np.diff(s.first) > 0).sum())
-        for lo in range(0, SLOTS, _PART):
-            yield pa.RecordBatch.from_arrays([pa.array([lo // _PART]), pa.array([df[lo:lo + _PART].astype(np.uint32).tobytes()], pa.binary()),
-                                              pa.array([n if lo == 0 else 0])], names=["part", "df", "n"])
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("texts")):
+                parts = [shingles(words(x.column("text"))).keys for b in _texts(raw.as_py()).to_batches() for x in chunks(b)]
+                keys, counts = _distinct(np.concatenate([np.empty(0, np.uint64), *parts]))
+                at = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+                own = np.flatnonzero(np.diff(at))
+                cut = lambda x: pa.array([_pack(x[at[k]:at[k + 1]]) for k in own], pa.binary())  # noqa: B023, E731
+                gaps = np.diff(keys, prepend=np.uint64(0))
+                gaps[at[own]] = keys[at[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([block] * own.size, pa.string()), cut(gaps), cut(counts.astype(np.uint32))],
+                                                 names=["shard", "block", "keys", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpack(x)) for x in table.column("keys").to_pylist()]
+        counts = [_unpack(x) for x in table.column("counts").to_pylist()]
+        every, total = _counted([x for pair in zip(keys, counts) for x in pair])
+        df = [_pack(total[np.searchsorted(every, x)].astype(np.uint32)) for x in keys]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "df": pa.array(df, pa.binary())})
+
+    return blocks.select("block", "texts").mapInArrow(ask, "shard long, block string, keys binary, counts binary").groupBy("shard").applyInArrow(
+        answer, "block string, shard long, df binary")
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(_PART, np.int64)
-        for x in table.column("df").to_pylist():
-            total += np.frombuffer(x, np.uint32 if len(x) == 4 * _PART else np.int64)
-        return pa.table({"part": table.column("part").slice(0, 1), "df": pa.array([total.tobytes()], pa.binary()),
-                         "n": pa.array([sum(table.column("n").to_pylist())])})
 
-    kind = "part long, df binary, n long"
-    parts = documents.select("text").mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).toArrow()
-    df = np.zeros(SLOTS, np.int64)
-    for part, x in zip(parts["part"].to_pylist(), parts["df"].to_pylist()):
-        df[part * _PART:(part + 1) * _PART] = np.frombuffer(x, np.int64)
-    return df, sum(parts["n"].to_pylist())
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    """Smoothed inverse document frequency, at least 1."""
+    return (np.log((n + 1) / (df.astype(np.float64) + 1)).clip(0) + 1).astype(np.float32)
 
 
-def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    """Smoothed inverse document frequency of each slot, always above 1."""
-    return (np.log((n + 1) / (df + 1)).clip(0) + 1).astype(np.float32)
+def weigh_by(s: Shingles, df: pa.Array, n: int) -> np.ndarray:
+    """Weights of the shingles of a column of texts, from their packed document frequencies."""
+    return s.counts * idf_of(np.concatenate([np.empty(0, np.uint32), *map(_unpack, df.drop_null().to_pylist())]), n)
 
 
-def weigh(s: Shingles, idf: np.ndarray) -> np.ndarray:
-    return s.counts * idf[slots(s.keys)]
+class Frequencies(NamedTuple):
+    keys: np.ndarray  # sorted
+    values: np.ndarray
+
+
+def document_frequencies(documents: DataFrame) -> tuple[Frequencies, int]:
+    """(number of documents that have each shingle, number of documents with words) of a small table, on the driver."""
+    rows, n = sketches(documents)
+    rows = rows.where("node is not null").select("text_hash", "df").dropDuplicates(["text_hash"])
+    found = _keyed(documents).dropDuplicates(["text_hash"]).join(rows, "text_hash").select("text", "df").toArrow().combine_chunks()
+    keys, df = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    for batch in found.to_batches():
+        keys.append(shingles(words(batch.column("text"))).keys)
+        df += map(_unpack, batch.column("df").to_pylist())
+    every, at = np.unique(np.concatenate(keys), return_index=True)
+    return Frequencies(every, np.concatenate(df)[at]), n
+
+
+def idf_table(df: Frequencies, n: int) -> Frequencies:
+    return Frequencies(df.keys, idf_of(df.values, n))
+
+
+def weigh(s: Shingles, idf: Frequencies) -> np.ndarray:
+    """Weights of shingles that are all in the table."""
+    return s.counts * idf.values[np.searchsorted(idf.keys, s.keys)]
 
 
 def samples(s: Shingles, weights: np.ndarray, block: int = 1 << 17) -> np.ndarray:
@@ -120,28 +170,41 @@ def samples(s: Shingles, weights: np.ndarray, block: int = 1 << 17) -> np.ndarra
     return out
 
 
-def sketches(documents: DataFrame, idf) -> DataFrame:
-    """doc_id, text_hash, node (hash of the words; null without words), weight, bands (array of long) of every row."""
-
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch):
-                w = words(part.column("text"))
-                s = shingles(w)
-                weights = weigh(s, idf.value)
-                x = samples(s, weights)
-                total = np.append(0, np.cumsum(weights, dtype=np.float64))
-                bands = x.reshape(len(x), BANDS, ROWS)
-                hashed = mix64(np.arange(BANDS, dtype=np.uint64) + mix64(bands[:, :, 0] + mix64(bands[:, :, 1] + mix64(bands[:, :, 2] + mix64(bands[:, :, 3])))))
-                has = np.diff(w.first) > 0
-                node = [int.from_bytes(hashlib.blake2b(w.hashes[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else None
-                        for a, b in zip(w.first[:-1], w.first[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * BANDS)).astype(np.int32)), pa.array(hashed.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node, pa.int64()),
-                                                  pa.array(total[s.first[1:]] - total[s.first[:-1]]), lists],
-                                                 names=["doc_id", "text_hash", "node", "weight", "bands"])
-
-    return _keyed(documents).mapInArrow(run, "doc_id long, text_hash long, node long, weight double, bands array<long>")
+def sketches(documents: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text_hash, node (hash of the words; null without words), weight, bands (array of long), df (packed document
+    frequencies of the text's shingles) of every row; and the number of documents with words."""
+    blocks = written(text_blocks(documents))
+    n, many = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // BLOCKS_A_SHARD))
+
+    def sketch(own: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = [x for b in _texts(own.column("texts")[0].as_py()).to_batches() for x in chunks(b)]
+        each = [shingles(words(x.column("text"))) for x in texts]
+        keys, _ = _distinct(np.concatenate([np.empty(0, np.uint64), *(s.keys for s in each)]))
+        order = np.argsort(answers.column("shard").to_numpy())
+        packed = answers.column("df").to_pylist()
+        df = np.concatenate([np.empty(0, np.uint32), *(_unpack(packed[k]) for k in order)])
+        return pa.Table.from_batches([row for x, s in zip(texts, each) for row in sketched(x, s, df[np.searchsorted(keys, s.keys)])])
+
+    def sketched(part, s, df):
+        w = words(part.column("text"))
+        weights = s.counts * idf_of(df, n)
+        x = samples(s, weights)
+        total = np.append(0, np.cumsum(weights, dtype=np.float64))
+        bands = x.reshape(len(x), BANDS, ROWS)
+        hashed = mix64(np.arange(BANDS, dtype=np.uint64) + mix64(bands[:, :, 0] + mix64(bands[:, :, 1] + mix64(bands[:, :, 2] + mix64(bands[:, :, 3])))))
+        has = np.diff(w.first) > 0
+        node = [int.from_bytes(hashlib.blake2b(w.hashes[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else None
+                for a, b in zip(w.first[:-1], w.first[1:])]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * BANDS)).astype(np.int32)), pa.array(hashed.ravel().view(np.int64)))
+        own = [_pack(df[a:b]) if b > a else None for a, b in zip(s.first[:-1], s.first[1:])]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node, pa.int64()),
+                                          pa.array(total[s.first[1:]] - total[s.first[:-1]]), lists, pa.array(own, pa.binary())],
+                                         names=["doc_id", "text_hash", "node", "weight", "bands", "df"])
+
+    rows = blocks.select("block", "texts").groupBy("block").cogroup(document_counts(blocks, shards).groupBy("block")).applyInArrow(
+        sketch, "doc_id long, text_hash long, node long, weight double, bands array<long>, df binary")
+    return rows, n
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -155,7 +218,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum()) + float(b[1].sum()) - both)
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+def similarities(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """a, b, sim of the pairs (a, b).
 
     Pairs of one ``a`` are dealt out in groups of about 64, each with one copy
@@ -163,16 +226,16 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 64).alias("groups"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("g"))
-    members = dealt.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "g", "b", "text")
-    leaders = dealt.select("a", "g").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a").select(
-        "a", "g", F.lit(None).cast("long").alias("b"), "text")
+    members = dealt.join(texts.select(F.col("node").alias("b"), "text", "df"), "b").select("a", "g", "b", "text", "df")
+    leaders = dealt.select("a", "g").distinct().join(texts.select(F.col("node").alias("a"), "text", "df"), "a").select(
+        "a", "g", F.lit(None).cast("long").alias("b"), "text", "df")
 
     def run(batches):
         own, features = None, None
         for batch in batches:
             for part in chunks(batch):
                 s = shingles(words(part.column("text")))
-                w = weigh(s, idf.value).astype(np.float64)
+                w = weigh_by(s, part.column("df"), n).astype(np.float64)
                 out = []
                 for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
                     x = slice(s.first[i], s.first[i + 1])
@@ -224,7 +287,7 @@ def _compare(rows: pa.Table, s: Shingles, w: np.ndarray, threshold: float) -> li
     return out
 
 
-def block_links(blocks: DataFrame, idf, threshold: float) -> DataFrame:
+def block_links(blocks: DataFrame, n: int, threshold: float) -> DataFrame:
     """a, b, sim: links between the components of each block (bucket, i, j)."""
     key = ["bucket", "i", "j"]
 
@@ -232,7 +295,7 @@ def block_links(blocks: DataFrame, idf, threshold: float) -> DataFrame:
         def links(tab):
             for chunk in chunks(tab.combine_chunks().to_batches()[0], size=1 << 60):
                 s = shingles(words(chunk.column("text")))
-                yield from _compare(pa.Table.from_batches([chunk]), s, weigh(s, idf.value).astype(np.float64), threshold)
+                yield from _compare(pa.Table.from_batches([chunk]), s, weigh_by(s, chunk.column("df"), n).astype(np.float64), threshold)
 
         def done(tab, last):
             k = [tab.column(c).to_numpy() for c in key]
@@ -274,25 +337,23 @@ def classes(documents: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     as many, so a group of any size spreads over many tasks and no pair but a
     link becomes a row.  No link that could join two classes is lost.
     """
-    sc = documents.sparkSession.sparkContext
-    df, n = document_frequencies(documents)
-    idf = sc.broadcast(idf_table(df, n))
-    rows = written(sketches(documents, idf))
+    rows, n = sketches(documents)
+    rows = written(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")
     nodes = written(rows.where("node is not null").groupBy("node").agg(
-        first, F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
+        first, F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("df").alias("df")))
     banded = nodes.select("node", "weight", "copies", F.explode("bands").alias("bucket"))
     lead = F.min_by(F.struct("node", "weight"), F.struct(-F.col("copies"), F.col("node"))).alias("lead")
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), lead).where("m > 1")
     members = written(banded.drop("copies").join(sizes.select("bucket", "m", F.col("lead.node").alias("lead"), F.col("lead.weight").alias("lead_weight")), "bucket"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
-        "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"))
+        "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"), "df")
     of_rep = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash"))
-    texts = written(_keyed(documents).join(wanted, of_rep).select("node", "text").dropDuplicates(["node"]))
+    texts = written(_keyed(documents).join(wanted, of_rep).select("node", "text", "df").dropDuplicates(["node"]))
 
     near = F.least("weight", "lead_weight") >= F.greatest("weight", "lead_weight") * (threshold - 1e-6)
     stars = written(similarities(members.where(F.col("node") != F.col("lead")).where(near).select(
-        F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, idf))
+        F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, n))
     links = stars.where(F.col("sim") >= threshold)
     comp = written(components(links)).withColumnRenamed("node", "c_node")
     away = stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("sim")).alias("away"))
@@ -307,7 +368,7 @@ def classes(documents: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     blocks = now.join(largest, "bucket").withColumn("waits", F.col("comp") != F.col("top")).withColumn("part", F.pmod(F.xxhash64("node"), n_parts).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     blocks = blocks.drop("other", "top", "m").join(nodes.select("node", "bands"), "node").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int"))
-    links = links.unionByName(block_links(blocks.join(texts, "node"), idf, threshold))
+    links = links.unionByName(block_links(blocks.join(texts, "node"), n, threshold))
     comp = written(components(written(links)))
 
     comp = comp.withColumnRenamed("node", "c_node")

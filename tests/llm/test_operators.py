@@ -264,6 +264,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_document_frequencies_are_those_of_each_shingle(spark):
+    texts = [made(950 + i, 4000) for i in range(40)]  # so many shingles that some share the first 20 bits of their hash
+    texts = [f"{t} {texts[0][:3000]}" if i % 3 else t for i, t in enumerate(texts)] + ["one two three four five " * 50, None, ""]
+    d = documents(spark, texts).repartition(5)
+    s = shingles(words(pa.array(texts)))
+    want = collections.Counter(s.keys.tolist())
+    n = len(texts) - 2
+    weights = s.counts * (np.log((n + 1) / (np.array([want[k] for k in s.keys.tolist()]) + 1)) + 1)
+    df, many = minhash.document_frequencies(d)
+    assert many == n and max(want.values()) > 20 > 1 == min(want.values())
+    assert np.allclose(minhash.weigh(s, minhash.idf_table(df, many)), weights, rtol=1e-6)
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     a, b, c, d, e, f, g = (made(900 + i, 60) for i in range(7))
     # null ids: a copy of 1, a unique text, twice the same one; 7 has two texts, one of them a copy of 2; 8 twice the same row
