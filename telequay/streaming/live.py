@@ -7,6 +7,7 @@ later ticks see them (``foreachBatch`` over the table of readings).
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -83,11 +84,24 @@ def each_batch(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpo
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives for the input that is there now, as a table (tests and small tables: it is held in memory)."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream gives for the input that is there now, as a table: batches are written as Parquet in the shared folder.
+
+    In complete mode that is the last batch, otherwise all of them.  A batch run again replaces its own rows.
+    """
+    spark = stream.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    seen = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        seen[:] = [batch]
+        rows.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={batch}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch=*")
 
 
 def forecaster_hook(series: DataFrame, fn: Callable, horizon: int, quantiles: tuple[float, ...]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from telequay.operators import detect
@@ -71,3 +72,16 @@ def test_a_failed_forecast_is_stated(spark):
 
     got = {r.target: r for r in live.forecaster_hook(d, odd, 3, (0.5,)).collect()}
     assert got["b"].error == "no model" and got["a"].error and got["a"].value is None
+
+
+@pytest.mark.parametrize("mode", ["append", "update", "complete"])
+def test_drained_streams_lie_in_files(spark, tmp_path, mode):
+    for k in range(3):
+        spark.range(k * 4, k * 4 + 4).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = live.file_stream(spark, str(tmp_path / "in/*"), "*.parquet", "id long")
+    if mode != "append":
+        stream = stream.groupBy((F.col("id") % 2).alias("odd")).agg(F.count("*").alias("n"))
+    got = live.drained(stream, mode)
+    assert got.inputFiles() and got.columns == stream.columns
+    want = {"append": [(i,) for i in range(12)], "update": [(o, n) for o in (0, 1) for n in (2, 4, 6)], "complete": [(0, 6), (1, 6)]}
+    assert sorted(map(tuple, got.collect())) == want[mode]
