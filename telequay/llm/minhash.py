@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .quality import _counted, _distinct, _pack, _unpack
+from .packed import counted, distinct, pack, unpack
 from .shared import spread, written
 from .words import Shingles, chunks, mix64, random_table, shingles, words
 
@@ -77,20 +77,20 @@ def document_counts(blocks: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("texts")):
                 parts = [shingles(words(x.column("text"))).keys for b in _texts(raw.as_py()).to_batches() for x in chunks(b)]
-                keys, counts = _distinct(np.concatenate([np.empty(0, np.uint64), *parts]))
+                keys, counts = distinct(np.concatenate([np.empty(0, np.uint64), *parts]))
                 at = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
                 own = np.flatnonzero(np.diff(at))
-                cut = lambda x: pa.array([_pack(x[at[k]:at[k + 1]]) for k in own], pa.binary())  # noqa: B023, E731
+                cut = lambda x: pa.array([pack(x[at[k]:at[k + 1]]) for k in own], pa.binary())  # noqa: B023, E731
                 gaps = np.diff(keys, prepend=np.uint64(0))
                 gaps[at[own]] = keys[at[own]]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([block] * own.size, pa.string()), cut(gaps), cut(counts.astype(np.uint32))],
                                                  names=["shard", "block", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unpack(x)) for x in table.column("keys").to_pylist()]
-        counts = [_unpack(x) for x in table.column("counts").to_pylist()]
-        every, total = _counted([x for pair in zip(keys, counts) for x in pair])
-        df = [_pack(total[np.searchsorted(every, x)].astype(np.uint32)) for x in keys]
+        keys = [np.cumsum(unpack(x)) for x in table.column("keys").to_pylist()]
+        counts = [unpack(x) for x in table.column("counts").to_pylist()]
+        every, total = counted([x for pair in zip(keys, counts) for x in pair])
+        df = [pack(total[np.searchsorted(every, x)].astype(np.uint32)) for x in keys]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "df": pa.array(df, pa.binary())})
 
     return blocks.select("block", "texts").mapInArrow(ask, "shard long, block string, keys binary, counts binary").groupBy("shard").applyInArrow(
@@ -104,7 +104,7 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
 
 def weigh_by(s: Shingles, df: pa.Array, n: int) -> np.ndarray:
     """Weights of the shingles of a column of texts, from their packed document frequencies."""
-    return s.counts * idf_of(np.concatenate([np.empty(0, np.uint32), *map(_unpack, df.drop_null().to_pylist())]), n)
+    return s.counts * idf_of(np.concatenate([np.empty(0, np.uint32), *map(unpack, df.drop_null().to_pylist())]), n)
 
 
 class Frequencies(NamedTuple):
@@ -120,7 +120,7 @@ def document_frequencies(documents: DataFrame) -> tuple[Frequencies, int]:
     keys, df = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
     for batch in found.to_batches():
         keys.append(shingles(words(batch.column("text"))).keys)
-        df += map(_unpack, batch.column("df").to_pylist())
+        df += map(unpack, batch.column("df").to_pylist())
     every, at = np.unique(np.concatenate(keys), return_index=True)
     return Frequencies(every, np.concatenate(df)[at]), n
 
@@ -180,10 +180,10 @@ def sketches(documents: DataFrame) -> tuple[DataFrame, int]:
     def sketch(own: pa.Table, answers: pa.Table) -> pa.Table:
         texts = [x for b in _texts(own.column("texts")[0].as_py()).to_batches() for x in chunks(b)]
         each = [shingles(words(x.column("text"))) for x in texts]
-        keys, _ = _distinct(np.concatenate([np.empty(0, np.uint64), *(s.keys for s in each)]))
+        keys, _ = distinct(np.concatenate([np.empty(0, np.uint64), *(s.keys for s in each)]))
         order = np.argsort(answers.column("shard").to_numpy())
         packed = answers.column("df").to_pylist()
-        df = np.concatenate([np.empty(0, np.uint32), *(_unpack(packed[k]) for k in order)])
+        df = np.concatenate([np.empty(0, np.uint32), *(unpack(packed[k]) for k in order)])
         return pa.Table.from_batches([row for x, s in zip(texts, each) for row in sketched(x, s, df[np.searchsorted(keys, s.keys)])])
 
     def sketched(part, s, df):
@@ -197,7 +197,7 @@ def sketches(documents: DataFrame) -> tuple[DataFrame, int]:
         node = [int.from_bytes(hashlib.blake2b(w.hashes[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else None
                 for a, b in zip(w.first[:-1], w.first[1:])]
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * BANDS)).astype(np.int32)), pa.array(hashed.ravel().view(np.int64)))
-        own = [_pack(df[a:b]) if b > a else None for a, b in zip(s.first[:-1], s.first[1:])]
+        own = [pack(df[a:b]) if b > a else None for a, b in zip(s.first[:-1], s.first[1:])]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node, pa.int64()),
                                           pa.array(total[s.first[1:]] - total[s.first[:-1]]), lists, pa.array(own, pa.binary())],
                                          names=["doc_id", "text_hash", "node", "weight", "bands", "df"])

@@ -1,158 +1,174 @@
 """Operator 5: quality by perplexity under a model of trusted text.
 
-An interpolated, modified Kneser-Ney bigram model is counted on trusted
-documents.  Its table of bigrams is dealt out by hash into shards; the bigrams
-of all documents are dealt out the same way, joined with the counts shard by
-shard, and the log-probabilities are summed back per document.  A document is
-rejected when its perplexity exceeds a quantile of its language's trusted
-documents that the model has not seen.
+An interpolated, modified Kneser-Ney bigram model over all words of trusted
+documents; each text ends with an end mark.  In back-off form the log-probability
+of a text is a sum over its features: with B(u) the discounted mass of context u,
+
+    ln p(w | u) = ln back(u) + ln lower(w) + ln(1 + max(c(u, w) - D, 0) / (B(u) lower(w)))
+
+so a word has one value, ln back + ln lower, and a bigram seen in trusted text a
+correction.  The table of these values is dealt out by hash into shards that
+grow in number with the trusted text; the features of all documents are dealt
+out the same way, and the sums come back per document.  A document is rejected
+when its perplexity exceeds a quantile of its language's trusted documents that
+the model has not seen.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .language import _Index
-from .shared import written
-from .words import chunks, mix64, words
-
-#: Words the model knows by name: 1 MB of hashes and 1.5 MB of statistics on every executor.
-VOCABULARY = (1 << 16) - 2
-UNKNOWN, BEGIN = 0, 1
-_BITS = 20
-_ZSTD = "zstd"
+from .packed import Index, counted, distinct, pack, pack_sorted, starts, unpack, unpack_sorted
+from .shared import fresh, width, written
+from .words import Words, chunks, mix64, words
 
+#: Bytes of trusted text a shard of the model; a shard holds about as many bigrams as these have words.
+SHARD_BYTES = 8 << 20
+#: Bytes of text a block: its features are sent to the shards together.
+BLOCK_BYTES = 8 << 20
+#: Bits of a feature's key within its shard: of bigrams not in a shard of 2^21 features one in 2^15 is taken for one of them.
+KEY_BITS = 36
+#: Trusted ids up to this number (64 MB at most) are broadcast; more are joined by a shuffle, with the same result.
+BROADCAST_IDS = 1 << 21
+BEGIN, END = np.uint64(1), np.uint64(2)
+_WORD, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(64 - KEY_BITS)
 
-def _pack(a: np.ndarray) -> bytes:
-    """A numpy array of unsigned numbers as bytes: planes of bytes, compressed."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(a.size, a.itemsize).T)
-    return b"%c%d|" % (a.dtype.char.encode(), a.size) + pa.compress(planes.tobytes(), codec=_ZSTD, asbytes=True)
 
+class Deal(NamedTuple):
+    """Which shard a word and a bigram belong to.
 
-def _unpack(raw: bytes) -> np.ndarray:
-    head, body = raw.split(b"|", 1)
-    kind, n = np.dtype(chr(head[0])), int(head[1:])
-    if not n:
-        return np.empty(0, kind)
-    data = np.frombuffer(pa.decompress(body, n * kind.itemsize, codec=_ZSTD, asbytes=True), np.uint8)
-    return np.ascontiguousarray(data.reshape(kind.itemsize, n).T).view(kind).ravel()
+    A bigram goes with its context; those of a context with more than half a
+    shard's share of all words are spread over ``parts`` shards by their second word.
+    """
 
+    shards: int
+    hot: np.ndarray  # sorted hashes of such contexts
+    parts: np.ndarray
 
-def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and summed counts of alternating key and count arrays."""
-    keys, counts = np.concatenate(parts[0::2]), np.concatenate(parts[1::2])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.empty(0, np.int64)
-    return keys[at], (np.add.reduceat(counts, at) if at.size else counts)
+    def of_words(self, w: np.ndarray) -> np.ndarray:
+        return ((mix64(w) >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
 
+    def of_pairs(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        home = self.of_words(u)
+        if self.hot.size:
+            at = np.minimum(np.searchsorted(self.hot, u), self.hot.size - 1)
+            own = np.flatnonzero(self.hot[at] == u)
+            home[own] += ((mix64(w[own] ^ _PAIR) >> np.uint64(33)).astype(np.int64) % self.parts[at[own]])
+            home[own] %= self.shards
+        return home
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.empty(0, np.int64)
-    return keys[at], np.diff(np.append(at, keys.size)).astype(np.int64)
 
+def _bigrams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word before, word) of every word and end mark of the texts that have words."""
+    has = np.diff(w.first) > 0
+    before = np.insert(w.hashes, w.first[:-1][has], BEGIN)
+    word = np.insert(w.hashes, w.first[1:][has], END)
+    return np.repeat(np.flatnonzero(has), np.diff(w.first)[has] + 1), before, word
 
-class Vocabulary(NamedTuple):
-    hashes: np.ndarray  # sorted
-    ids: np.ndarray  # of each hash, from 2 on, the most frequent first (small numbers compress well)
-    folded: int  # distinct words that count as unknown
 
+def _pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(mix64(u) + w * _PAIR) >> _SHIFT
 
-def _ids(w, index: _Index, vocab: Vocabulary) -> np.ndarray:
-    at = index.find(w.hashes)
-    return np.where(at < 0, UNKNOWN, vocab.ids[at] if vocab.ids.size else UNKNOWN).astype(np.uint64)
 
+def _word_keys(w: np.ndarray) -> np.ndarray:
+    return mix64(w ^ _WORD) >> _SHIFT
 
-def _bigrams(w, ids: np.ndarray) -> np.ndarray:
-    """The key of each word and the one before it in its text."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[w.first[:-1][np.diff(w.first) > 0]] = BEGIN
-    return before << np.uint64(_BITS) | ids
 
+def frequent_words(trusted: DataFrame, shards: int) -> DataFrame:
+    """word (null: all), n: words with more than an eighth of a shard's share of the words of a task, and all words together.
 
-def vocabulary(documents: DataFrame, trusted, size: int) -> Vocabulary:
-    """The ``size`` most frequent words of trusted text that occur twice at least."""
+    A task leaves a word out of its rows only where it has too few to matter: what is lost of a word is at most an
+    eighth of a shard's share.
+    """
 
     def run(batches):
-        parts: list[np.ndarray] = []
+        parts, n = [np.empty(0, np.uint64), np.empty(0, np.int64)], 0
+
+        def out():
+            keys, counts = counted(parts)
+            own = counts > n / (8 * shards)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *keys[own].view(np.int64).tolist()], pa.int64()),
+                                              pa.array([n, *counts[own].tolist()], pa.int64())], names=["word", "n"])
+
         for batch in batches:
-            own = batch.filter(pa.array(trusted.value.holds(batch.column("doc_id"))))
-            for part in chunks(own) if own.num_rows else ():
-                parts += _distinct(words(part.column("text")).hashes)
+            for part in chunks(batch):
+                _, before, _ = _bigrams(words(part.column("text")))
+                parts += distinct(before)
+                n += before.size
                 if sum(p.size for p in parts[0::2]) > 4_000_000:
-                    parts = list(_counted(parts))
-        if parts:
-            keys, counts = _counted(parts)
-            for lo in range(0, keys.size, 200_000):
-                s = slice(lo, lo + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[s].view(np.int64)), pa.array(counts[s])], names=["word", "n"])
+                    parts = list(counted(parts))
+                    if parts[0].size > 2_000_000:
+                        yield from out()
+                        parts, n = [np.empty(0, np.uint64), np.empty(0, np.int64)], 0
+        if n:
+            yield from out()
+
+    return trusted.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+_PACKED = "shard int, u binary, runs binary, w binary, ranks binary, counts binary"
+
+
+def _pack_pairs(shard: int, u: np.ndarray, w: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row for bigrams in order of (u, w): each context once, each word as its rank among the row's words."""
+    at = starts(u)
+    known, ranks = np.unique(w, return_inverse=True)
+    row = [pack_sorted(u[at]), pack(np.diff(np.append(at, u.size)).astype(np.uint32)), pack_sorted(known), pack(ranks.astype(np.uint32)), pack(counts.astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in row]],
+                                      names=["shard", "u", "runs", "w", "ranks", "counts"])
+
 
-    counts = written(documents.select("doc_id", "text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = counts.where("n > 1").orderBy(F.col("n").desc(), "word").limit(size).select("word").toArrow()["word"].to_numpy()
-    order = np.argsort(top.view(np.uint64))
-    return Vocabulary(top.view(np.uint64)[order], order + 2, max(1, counts.count() - top.size))
+def _unpack_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.repeat(unpack_sorted(row["u"]), unpack(row["runs"])), unpack_sorted(row["w"])[unpack(row["ranks"])], unpack(row["counts"]).astype(np.int64)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((mix64(keys) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+def _merged(u: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams in order of (u, w), their counts summed."""
+    order = np.lexsort((w, u))
+    u, w, counts = u[order], w[order], counts[order]
+    at = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]))) if u.size else np.empty(0, np.int64)
+    return u[at], w[at], (np.add.reduceat(counts, at) if at.size else counts)
 
 
-def bigram_shards(documents: DataFrame, trusted, vocab, shards: int) -> DataFrame:
-    """shard, keys, counts (packed): the bigram counts of all trusted text, one row a shard."""
+def pair_counts(trusted: DataFrame, deal) -> DataFrame:
+    """The bigrams of all trusted text with their counts, one packed row a shard."""
 
     def count(batches):
-        index = _Index(vocab.value.hashes)
-        parts: list[np.ndarray] = []
+        held: list[tuple] = []
 
         def out():
-            keys, counts = _counted(parts)
-            shard = shard_of(keys, shards)
-            for s in np.unique(shard):
-                own = shard == s
-                gaps = np.diff(keys[own], prepend=np.uint64(0))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([int(s)]), "keys": pa.array([_pack(gaps)], pa.binary()),
-                                                  "counts": pa.array([_pack(counts[own].astype(np.uint32))], pa.binary())})
+            u, w, counts = _merged(*map(np.concatenate, zip(*held)))
+            shard = deal.value.of_pairs(u, w)
+            order = np.argsort(shard, kind="stable")
+            at = np.append(0, np.cumsum(np.bincount(shard, minlength=deal.value.shards)))
+            for s in np.flatnonzero(np.diff(at)):
+                own = order[at[s]:at[s + 1]]
+                yield _pack_pairs(int(s), u[own], w[own], counts[own])
 
         for batch in batches:
-            own = batch.filter(pa.array(trusted.value.holds(batch.column("doc_id"))))
-            for part in chunks(own) if own.num_rows else ():
-                w = words(part.column("text"))
-                parts += _distinct(_bigrams(w, _ids(w, index, vocab.value)))
-                if sum(p.size for p in parts[0::2]) > 6_000_000:
+            for part in chunks(batch):
+                _, u, w = _bigrams(words(part.column("text")))
+                held.append(_merged(u, w, np.ones(u.size, np.int64)))
+                if sum(x[0].size for x in held) > 3_000_000:
                     yield from out()
-                    parts.clear()
-        if parts:
+                    held.clear()
+        if held:
             yield from out()
 
     def merge(table: pa.Table) -> pa.Table:
-        parts: list[np.ndarray] = []
-        for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist()):
-            parts += [np.cumsum(_unpack(k)), _unpack(c).astype(np.int64)]
-        keys, counts = _counted(parts)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "keys": pa.array([_pack(np.diff(keys, prepend=np.uint64(0)))], pa.binary()),
-                         "counts": pa.array([_pack(counts.astype(np.uint32))], pa.binary())})
+        return pa.Table.from_batches([_pack_pairs(table.column("shard")[0].as_py(), *_merged(*map(np.concatenate, zip(*map(_unpack_pairs, table.to_pylist())))))])
 
-    kind = "shard long, keys binary, counts binary"
-    return written(documents.select("doc_id", "text").mapInArrow(count, kind).groupBy("shard").applyInArrow(merge, kind))
+    return written(trusted.select("text").mapInArrow(count, _PACKED).groupBy("shard").applyInArrow(merge, _PACKED))
 
 
-class Statistics(NamedTuple):
-    discounts: np.ndarray  # for counts of 0, 1, 2, 3 and more
-    total: np.ndarray  # count of each context
-    back: np.ndarray  # weight of the lower order in it
-    lower: np.ndarray  # lower-order probability of each word
-
-
-def modified_discounts(n: np.ndarray) -> np.ndarray:
+def modified_discounts(n) -> np.ndarray:
     """Discounts for counts 0, 1, 2, 3+ from the numbers of n-grams that occur 1, 2, 3, 4 times."""
     n1, n2, n3, n4 = (max(float(x), 1.0) for x in n)
     y = n1 / (n1 + 2 * n2)
@@ -160,156 +176,285 @@ def modified_discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 1, 2, 3])
 
 
-_SLICE = 1 << 14
+class Contexts(NamedTuple):
+    """Discounts of the bigrams, and total and discounted mass of the contexts that are spread over several shards."""
 
+    discounts: np.ndarray
+    hot: np.ndarray
+    total: np.ndarray
+    mass: np.ndarray
 
-def statistics(model: DataFrame, size: int, folded: int) -> Statistics:
-    """Sums over all shards: of contexts and of how many words stand before a word."""
-    n_words = size + 2
-    slices = -(-n_words // _SLICE)
+    def of(self, u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct contexts, total, mass) of a shard's bigrams; ``mass`` as in B(u)."""
+        at = starts(u)
+        u, total = u[at], np.add.reduceat(counts, at).astype(np.float64) if at.size else np.empty(0)
+        mass = np.add.reduceat(self.discounts[np.minimum(counts, 3)], at) if at.size else np.empty(0)
+        if self.hot.size and u.size:
+            k = np.minimum(np.searchsorted(self.hot, u), self.hot.size - 1)
+            own = self.hot[k] == u
+            total[own], mass[own] = self.total[k[own]], self.mass[k[own]]
+        return u, total, mass
 
-    def local(batches):
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                keys, counts = np.cumsum(_unpack(k)), _unpack(c).astype(np.int64)
-                left, right = (keys >> np.uint64(_BITS)).astype(np.int64), (keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)
-                bc = lambda x, w=None: np.bincount(x, w, slices * _SLICE).astype(np.int64)
-                rows = np.stack([bc(left, counts), bc(left[counts == 1]), bc(left[counts == 2]), bc(left[counts > 2]), bc(right)])
-                many = np.array([(counts == j).sum() for j in range(1, 5)])
-                yield pa.RecordBatch.from_pydict({
-                    "slice": pa.array(np.arange(slices)), "sums": pa.array([_pack(rows[:, i * _SLICE:(i + 1) * _SLICE].ravel()) for i in range(slices)], pa.binary()),
-                    "many": pa.array([_pack(many * (i == 0)) for i in range(slices)], pa.binary())})
 
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"slice": table.column("slice").slice(0, 1),
-                         "sums": pa.array([_pack(sum(map(_unpack, table.column("sums").to_pylist())))], pa.binary()),
-                         "many": pa.array([_pack(sum(map(_unpack, table.column("many").to_pylist())))], pa.binary())})
-
-    kind = "slice long, sums binary, many binary"
-    got = model.mapInArrow(local, kind).groupBy("slice").applyInArrow(add, kind).toArrow()
-    total, one, two, more, before = sums = np.zeros((5, slices * _SLICE), np.int64)
-    many = np.zeros(4, np.int64)
-    for i, s, m in zip(got["slice"].to_pylist(), got["sums"].to_pylist(), got["many"].to_pylist()):
-        sums[:, i * _SLICE:(i + 1) * _SLICE] = _unpack(s).reshape(5, _SLICE)
-        many += _unpack(m)
-    d = modified_discounts(many)
-    back = np.where(total > 0, (d[1] * one + d[2] * two + d[3] * more) / np.maximum(total, 1), 1.0)
-    b = modified_discounts(np.array([(before == j).sum() for j in range(1, 5)]))
-    all_before = max(1, before.sum())
-    left = (b[np.minimum(before, 3)] * (before > 0)).sum() / all_before if before.any() else 1.0
-    lower = np.maximum(before - b[np.minimum(before, 3)], 0) / all_before + left / n_words
-    lower[UNKNOWN] /= folded
-    return Statistics(d, total.astype(np.float64), back, lower)
-
-
-def requests(documents: DataFrame, vocab, shards: int, *, batch_bytes: int = 8 << 20) -> DataFrame:
-    """The distinct bigrams of each text by block of texts and shard, and a row for each block that says which texts it has."""
+def contexts(pairs: DataFrame, deal) -> Contexts:
+    """How many bigrams occur 1, 2, 3, 4 times, and the sums of the spread contexts: a few numbers a shard, added by Spark."""
+
+    def run(batches):
+        hot = deal.value.hot
+        for batch in batches:
+            for row in batch.to_pylist():
+                u, _, counts = _unpack_pairs(row)
+                many = [int((counts == j).sum()) for j in (1, 2, 3, 4)]
+                at = np.flatnonzero(np.isin(u, hot))
+                k = np.searchsorted(hot, u[at])
+                bc = lambda x: np.bincount(k, x, hot.size).astype(np.int64)  # noqa: B023, E731
+                c = counts[at]
+                sums = np.stack([bc(c), bc(c == 1), bc(c == 2), bc(c > 2)]) if at.size else np.zeros((4, hot.size), np.int64)
+                own = np.flatnonzero(sums[0])
+                yield pa.RecordBatch.from_arrays([pa.array([None, *hot[own].view(np.int64).tolist()], pa.int64()), *[
+                    pa.array([many[j], *sums[j][own].tolist()], pa.int64()) for j in range(4)]], names=["word", "a", "b", "c", "d"])
+
+    got = pairs.mapInArrow(run, "word long, a long, b long, c long, d long").groupBy("word").agg(*[F.sum(x).alias(x) for x in "abcd"]).toArrow()
+    rows = got.to_pylist()
+    discounts = modified_discounts(next(([r[x] for x in "abcd"] for r in rows if r["word"] is None), [0] * 4))
+    hot = np.array([r["word"] for r in rows if r["word"] is not None], np.int64).view(np.uint64)
+    sums = np.array([[r[x] for x in "abcd"] for r in rows if r["word"] is not None], np.float64).reshape(-1, 4)
+    order = np.argsort(hot)
+    return Contexts(discounts, hot[order], sums[order, 0], sums[order, 1:] @ discounts[1:])
+
+
+_ANSWERS = "kind int, shard int, other int, keys binary, numbers binary, backs binary, n1 long, n2 long, n3 long, n4 long, total long, types long"
+
+
+def word_rows(pairs: DataFrame, deal, ctx) -> DataFrame:
+    """What each shard of words knows: rows of kind 1, one a shard (its words, how many words stand before each, ln back),
+    and of kind 0, the answer to each shard of bigrams (``shard``) about the words it asked for (of shard ``other``)."""
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                u, _, counts = _unpack_pairs(row)
+                known, before = unpack_sorted(row["w"]), np.bincount(unpack(row["ranks"]))
+                own, total, mass = ctx.value.of(u, counts)
+                back = np.log(mass / total).astype(np.float32)
+                out = []
+                for kind, w, x in ((0, known, before.astype(np.uint32)), (1, own, back)):
+                    shard = deal.value.of_words(w)
+                    order = np.argsort(shard, kind="stable")
+                    at = np.append(0, np.cumsum(np.bincount(shard, minlength=deal.value.shards)))
+                    for s in np.flatnonzero(np.diff(at)):
+                        k = order[at[s]:at[s + 1]]
+                        out.append((int(s), kind, row["shard"], pack_sorted(w[k]), pack(x[k])))
+                for lo in range(0, len(out), 200):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo:lo + 200]), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                                                     names=["at", "kind", "shard", "keys", "numbers"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        asks = [(r["shard"], unpack_sorted(r["keys"]), unpack(r["numbers"])) for r in rows if r["kind"] == 0]
+        lists = [(unpack_sorted(r["keys"]), unpack(r["numbers"])) for r in rows if r["kind"] == 1]
+        parts = [np.empty(0, np.uint64), np.empty(0, np.int64)]
+        for _, k, x in asks:
+            parts += [k, x.astype(np.int64)]
+        for k, _ in lists:
+            parts += [k, np.zeros(k.size, np.int64)]
+        every, before = counted(parts)
+        back = np.zeros(every.size, np.float32)
+        for k, x in lists:
+            back[np.searchsorted(every, k)] = x
+        out = [(1, rows[0]["at"], None, pack_sorted(every), pack(before), pack(back), *[int((before == j).sum()) for j in (1, 2, 3, 4)],
+                int(before.sum()), int((before > 0).sum()))]
+        out += [(0, s, rows[0]["at"], None, pack(before[np.searchsorted(every, k)].astype(np.uint32)), None, *[None] * 6) for s, k, _ in asks]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 6]
+        return pa.table({name.split()[0]: pa.array(c, t) for name, c, t in zip(_ANSWERS.split(", "), zip(*out), kinds)})
+
+    asked = pairs.mapInArrow(ask, "at int, kind int, shard int, keys binary, numbers binary")
+    return written(asked.groupBy("at").applyInArrow(answer, _ANSWERS))
+
+
+class Lower(NamedTuple):
+    """The lower order: probabilities of words by how many different words stand before them."""
+
+    discounts: np.ndarray
+    total: float
+    rest: float  # share of a word never seen
+
+    def __call__(self, before: np.ndarray) -> np.ndarray:
+        return np.maximum(before - self.discounts[np.minimum(before, 3)], 0) / self.total + self.rest
+
+
+def lower_order(words_known: DataFrame) -> Lower:
+    n = words_known.where("kind = 1").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n1", "n2", "n3", "n4", "total", "types")]).first()
+    d = modified_discounts(n[:4])
+    left = (d[1] * n[0] + d[2] * n[1] + d[3] * (n[5] - n[0] - n[1])) / max(1, n[4]) if n[4] else 1.0
+    return Lower(d, float(max(1, n[4])), left / (n[5] + 1))
+
+
+_JOINED = "shard int, kind int, block string, a binary, b binary, c binary, d binary, e binary"
+
+
+def requests(documents: DataFrame, deal) -> DataFrame:
+    """The features of each block of texts by shard (kind 2), and a row for each block that says which texts it has (kind 3).
+
+    A feature is sent once a block: its key, the number of texts that have it, their numbers, and how often each has it.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
-        index = _Index(vocab.value.hashes)
-        number = 0
+        shards, number = deal.value.shards, 0
         for batch in batches:
-            for part in chunks(batch, size=batch_bytes):
+            for part in chunks(batch, size=BLOCK_BYTES):
                 block = f"{TaskContext.get().partitionId()}-{number}"
                 number += 1
-                n = part.num_rows
-                doc_parts, unknown = [], np.zeros(n, np.int64)
-                base, n_words = 0, np.zeros(n, np.int64)
+                n_words, base = np.zeros(part.num_rows, np.int64), 0
+                held: list[list[np.ndarray]] = [[], [], [], []]
                 for piece in chunks(part):
                     w = words(piece.column("text"))
-                    ids = _ids(w, index, vocab.value)
-                    many = np.diff(w.first)
-                    doc = np.repeat(np.arange(base, base + piece.num_rows, dtype=np.uint64), many)
-                    n_words[base:base + piece.num_rows] = many
-                    unknown += np.bincount(doc.astype(np.int64), ids == UNKNOWN, n).astype(np.int64)
-                    doc_parts += _distinct(doc << np.uint64(2 * _BITS) | _bigrams(w, ids))
+                    text, u, v = _bigrams(w)
+                    n_words[base:base + piece.num_rows] = np.diff(w.first)
+                    at = np.flatnonzero(u == BEGIN)
+                    every = np.concatenate([v, u[at]])  # every word, the end mark and the begin mark
+                    shard = np.concatenate([deal.value.of_pairs(u, v), deal.value.of_words(every)])
+                    key = np.concatenate([_pair_keys(u, v), _word_keys(every)])
+                    own = np.concatenate([text, text, text[at]]).astype(np.uint32) + np.uint32(base)
+                    order = np.lexsort((own, key, shard))
+                    shard, key, own = shard[order], key[order], own[order]
+                    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (shard[1:] != shard[:-1]))) if key.size else np.empty(0, np.int64)
+                    for h, x in zip(held, (shard[new], key[new], own[new], np.diff(np.append(new, key.size)).astype(np.uint32))):
+                        h.append(x)
                     base += piece.num_rows
-                keys, counts = np.concatenate(doc_parts[0::2]), np.concatenate(doc_parts[1::2])
-                shard = shard_of(keys & np.uint64((1 << 2 * _BITS) - 1), shards)
-                order = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")
+                shard, key, own, counts = map(np.concatenate, held)
+                order = np.lexsort((own, key, shard))
                 at = np.append(0, np.cumsum(np.bincount(shard, minlength=shards)))
-                out = {"block": [block], "shard": [zlib.crc32(block.encode()) % shards], "n": [n], "texts": [_pack(n_words.astype(np.uint32))], "left": [_pack(unknown.astype(np.uint32))],
-                       "right": [None], "counts": [None], "ids": [part.column("doc_id").to_pylist()], "hashes": [part.column("text_hash").to_pylist()]}
-                for s in range(shards):
-                    own = order[at[s]:at[s + 1]]
-                    if own.size:
-                        k = keys[own]
-                        out["block"].append(block)
-                        out["shard"].append(s)
-                        out["n"].append(n)
-                        out["texts"].append(_pack(np.bincount((k >> np.uint64(2 * _BITS)).astype(np.int64), minlength=n).astype(np.uint32)))
-                        out["left"].append(_pack((k >> np.uint64(_BITS) & np.uint64((1 << _BITS) - 1)).astype(np.uint32)))
-                        out["right"].append(_pack((k & np.uint64((1 << _BITS) - 1)).astype(np.uint32)))
-                        out["counts"].append(_pack(counts[own].astype(np.uint32)))
-                        out["ids"].append(None)
-                        out["hashes"].append(None)
-                kinds = {"block": pa.string(), "shard": pa.int64(), "n": pa.int64(), "texts": pa.binary(), "left": pa.binary(), "right": pa.binary(),
-                         "counts": pa.binary(),
-                         "ids": pa.list_(pa.int64()), "hashes": pa.list_(pa.int64())}
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in out.items()})
-
-    return documents.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_hash", "text").mapInArrow(
-        run, "block string, shard long, n long, texts binary, left binary, right binary, counts binary, ids array<long>, hashes array<long>")
-
-
-def log_probabilities(index: _Index, counts: np.ndarray, left: np.ndarray, right: np.ndarray, st: Statistics, folded: int) -> np.ndarray:
-    """Natural log-probability of each bigram (left, right), given the counts of one shard's keys."""
-    pair = left.astype(np.uint64) << np.uint64(_BITS) | right.astype(np.uint64)
-    at = index.find(pair)
-    c = np.where(at < 0, 0, counts[at] if counts.size else 0)
-    share = np.where(right == UNKNOWN, 1.0 / folded, 1.0)  # an unknown word is one of many
-    p = np.maximum(c - st.discounts[np.minimum(c, 3)], 0) / np.maximum(st.total[left], 1) * share + st.back[left] * st.lower[right]
-    return np.log(np.maximum(p, 1e-30))
-
-
-def perplexities(documents: DataFrame, model: DataFrame, vocab, st, shards: int) -> DataFrame:
-    """doc_id, text_hash, n_words, entropy (nats a word; null without words) of every row."""
-    asked = requests(documents, vocab, shards)
-
-    def join(model_rows: pa.Table, asked_rows: pa.Table) -> pa.Table:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        if model_rows.num_rows:
-            keys = np.cumsum(_unpack(model_rows.column("keys")[0].as_py()))
-            counts = _unpack(model_rows.column("counts")[0].as_py()).astype(np.int64)
-        index, out = _Index(keys), []
-        for row in range(asked_rows.num_rows):
-            x = {c: asked_rows.column(c)[row].as_py() for c in ("n", "texts", "left", "right", "counts")}
-            if x["right"] is None:  # says which texts a block has
-                out.append(x["texts"])
-                continue
-            logs = log_probabilities(index, counts, _unpack(x["left"]), _unpack(x["right"]), st.value, vocab.value.folded) * _unpack(x["counts"])
-            text = np.repeat(np.arange(x["n"]), _unpack(x["texts"]))
-            out.append(_pack(np.bincount(text, logs, x["n"]).astype(np.float32)))
-        return pa.table({"block": asked_rows.column("block"), "sums": pa.array(out, pa.binary()),
-                         "ids": asked_rows.column("ids"), "hashes": asked_rows.column("hashes")})
-
-    rows = model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(
-        join, "block string, sums binary, ids array<long>, hashes array<long>")
+                meta = pa.BufferOutputStream()
+                with pa.ipc.new_stream(meta, part.drop_columns(["text"]).schema) as out:
+                    out.write_batch(part.drop_columns(["text"]))
+                rows = [(zlib.crc32(block.encode()) % shards, 3, block, meta.getvalue().to_pybytes(), pack(n_words.astype(np.uint32)), None, None, None)]
+                for s in np.flatnonzero(np.diff(at)):
+                    o = order[at[s]:at[s + 1]]
+                    k = key[o]
+                    first = starts(k)
+                    rows.append((int(s), 2, block, pack_sorted(k[first]), pack(np.diff(np.append(first, k.size)).astype(np.uint32)), pack(own[o]), pack(counts[o]), None))
+                for lo in range(0, len(rows), 50):
+                    yield _joined(rows[lo:lo + 50])
+
+    return documents.mapInArrow(run, _JOINED)
+
+
+def _joined(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _JOINED.split(", ")])
+
+
+class Shard(NamedTuple):
+    """Sorted keys of a shard's features and their values."""
+
+    index: Index
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, pairs: dict | None, answers: dict[int, np.ndarray], known: dict | None, deal: Deal, ctx: Contexts, lower: Lower) -> Shard:
+        keys, values = [np.empty(0, np.uint64)], [np.empty(0, np.float32)]
+        if pairs is not None:
+            u, w, counts = _unpack_pairs(pairs)
+            mine = unpack_sorted(pairs["w"])
+            home, before = deal.of_words(mine), np.zeros(mine.size, np.int64)
+            for other, x in answers.items():
+                before[home == other] = x
+            context, _, mass = ctx.of(u, counts)
+            share = np.maximum(counts - ctx.discounts[np.minimum(counts, 3)], 0)
+            keys.append(_pair_keys(u, w))
+            values.append(np.log1p(share / (mass[np.searchsorted(context, u)] * lower(before)[np.searchsorted(mine, w)])).astype(np.float32))
+        if known is not None:
+            w, before, back = unpack_sorted(known["keys"]), unpack(known["numbers"]), unpack(known["backs"])
+            keys.append(_word_keys(w))
+            values.append(np.where(w == BEGIN, back, np.log(lower(before) / lower.rest) + back).astype(np.float32))
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(key, kind="stable")
+        key, value = key[order], value[order]
+        at = starts(key)
+        return cls(Index(key[at]), value[at])
+
+    def sums(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the texts of a request, sum of the values of each one's features)."""
+        at = self.index.find(unpack_sorted(row["a"]))
+        value = np.where(at < 0, np.float32(0), self.values[at] if self.values.size else np.float32(0))
+        text = unpack(row["c"])
+        total = np.bincount(text, np.repeat(value, unpack(row["b"])) * unpack(row["d"]))
+        own = np.flatnonzero(total)
+        return own.astype(np.uint32), total[own].astype(np.float32)
+
+
+def entropies(documents: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The columns of documents but the text, n_words, entropy (nats a word or end mark; null without words) of every row.
+
+    Each partition of the join holds one shard of the model at a time and streams the requests past it.
+    """
+    spark = documents.sparkSession
+    size = trusted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = width(spark)
+    shards = max(n, -(-size // SHARD_BYTES))
+    heavy = frequent_words(trusted, shards).toArrow().to_pylist()
+    every = next((r["n"] for r in heavy if r["word"] is None), 0)
+    heavy = [(r["word"] & (1 << 64) - 1, -(-2 * shards * r["n"] // every)) for r in heavy if r["word"] is not None and r["n"] * 2 * shards > every]
+    heavy.sort()
+    deal = spark.sparkContext.broadcast(Deal(shards, np.array([w for w, _ in heavy], np.uint64), np.array([min(k, shards) for _, k in heavy], np.int64)))
+    pairs = pair_counts(trusted, deal)
+    ctx = spark.sparkContext.broadcast(contexts(pairs, deal))
+    known = word_rows(pairs, deal, ctx)
+    lower = lower_order(known)
+
+    null = F.lit(None).cast("binary")
+    shard_of = F.col("shard")
+    rows = (pairs.select(shard_of, F.lit(1).alias("kind"), F.lit("pairs").alias("block"), F.col("u").alias("a"), F.col("runs").alias("b"), F.col("w").alias("c"), F.col("ranks").alias("d"), F.col("counts").alias("e"))
+            .union(known.select(shard_of, F.lit(0), F.coalesce(F.col("other").cast("string"), F.lit("words")), F.col("keys"), F.col("numbers"), F.col("backs"), null, null))
+            .union(requests(documents, deal)))
+
+    def join(batches):
+        at, pair_row, answers, word_row, shard = None, None, {}, None, None
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("shard", "kind", "block", "a", "b", "c", "d", "e")}
+                if row["shard"] != at:
+                    at, pair_row, answers, word_row, shard = row["shard"], None, {}, None, None
+                if row["kind"] == 0 and row["block"] == "words":
+                    word_row = {"keys": row["a"], "numbers": row["b"], "backs": row["c"]}
+                elif row["kind"] == 0:
+                    answers[int(row["block"])] = unpack(row["b"])
+                elif row["kind"] == 1:
+                    pair_row = {"u": row["a"], "runs": row["b"], "w": row["c"], "ranks": row["d"], "counts": row["e"]}
+                elif row["kind"] == 2:
+                    if shard is None:
+                        shard = Shard.of(pair_row, answers, word_row, deal.value, ctx.value, lower)
+                        pair_row, answers, word_row = None, {}, None
+                    text, sums = shard.sums(row)
+                    out.append((row["block"], pack(text), pack(sums), None))
+                else:
+                    out.append((row["block"], row["b"], None, row["a"]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary(), pa.binary()))],
+                                                 names=["block", "texts", "sums", "meta"])
+
+    dealt = rows.repartitionById(n, F.pmod(F.col("shard"), F.lit(n))).sortWithinPartitions("shard", "kind")
+    sums = dealt.mapInArrow(join, "block string, texts binary, sums binary, meta binary")
+    schema = documents.drop("text").schema
 
     def add(table: pa.Table) -> pa.Table:
-        head = next(i for i, x in enumerate(table.column("ids").to_pylist()) if x is not None)
-        n_words = _unpack(table.column("sums")[head].as_py()).astype(np.int64)
-        total = np.zeros(n_words.size)
-        for i, x in enumerate(table.column("sums").to_pylist()):
-            if i != head:
-                total += _unpack(x)
-        return pa.table({"doc_id": pa.array(table.column("ids")[head].as_py(), pa.int64()), "text_hash": pa.array(table.column("hashes")[head].as_py(), pa.int64()),
-                         "n_words": n_words, "entropy": pa.array(-total / np.maximum(n_words, 1), mask=n_words == 0)})
+        rows = table.to_pylist()
+        head = next(r for r in rows if r["meta"] is not None)
+        own = pa.ipc.open_stream(head["meta"]).read_all()
+        n_words = unpack(head["texts"]).astype(np.int64)
+        total = (n_words + 1) * np.log(lower.rest)
+        for r in rows:
+            if r["sums"] is not None:
+                total[unpack(r["texts"])] += unpack(r["sums"])
+        own = own.append_column("n_words", pa.array(n_words))
+        return own.append_column("entropy", pa.array(-total / (n_words + 1), mask=n_words == 0))
 
-    return rows.groupBy("block").applyInArrow(add, "doc_id long, text_hash long, n_words long, entropy double")
-
-
-class Trusted(NamedTuple):
-    ids: np.ndarray
-
-    def holds(self, column: pa.Array) -> np.ndarray:
-        """Which doc_ids are trusted ones to learn from."""
-        known = column.is_valid().to_numpy(zero_copy_only=False)
-        ids = column.fill_null(0).to_numpy()
-        at = np.minimum(np.searchsorted(self.ids, ids), max(0, self.ids.size - 1))
-        return known & (self.ids[at] == ids) if self.ids.size else np.zeros(len(ids), bool)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return sums.groupBy("block").applyInArrow(add, f"{kinds}, n_words long, entropy double")
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
@@ -319,36 +464,26 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
     return ok.where("q = 1 and t = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held_out"))
 
 
-def score(documents: DataFrame, labels: DataFrame, *, size: int = VOCABULARY, max_trusted: int = 1 << 21,
-          quantile: float = 0.99, margin: float = 0.05) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, *, quantile: float = 0.99, margin: float = 0.05) -> DataFrame:
     """doc_id, text_hash, n_words, entropy, perplexity, limit, kept for every row of documents.
 
-    The model is fitted on at most ``max_trusted`` trusted documents (labelled
-    good and not toxic; of more, those of smallest hash), all of their text;
-    every fifth trusted one is not learned from.  The limit of a language is
+    The model learns all words and bigrams of all trusted documents (labelled
+    good and not toxic) but every fifth of them, by hash.  The limit of a language is
     the ``quantile`` of the entropies of those, times 1 + ``margin``, plus room
     for short texts: the spread of their entropies divided by the square root
     of the number of words.  Languages (null is one) with fewer than 20 of them
     take the limit of all; without any trusted document nothing is rejected.
     Texts that are null or have no words have no perplexity and are rejected.
-    Repeated rows stay; an empty table gives an empty result.
+    Repeated rows stay, whatever ids they have; texts of any length are scored
+    whole; an empty table gives an empty result; other columns are dropped.
     """
-    spark = documents.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = written(trusted_labels(labels))
-    learn = chosen.where("not held_out").orderBy(F.xxhash64("doc_id")).limit(max_trusted).toArrow()["doc_id"].to_numpy()
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    trusted = spark.sparkContext.broadcast(Trusted(np.sort(learn)))
-    words_known = vocabulary(docs, trusted, size)
-    vocab = spark.sparkContext.broadcast(words_known)
-    model = bigram_shards(docs, trusted, vocab, shards)
-    st = spark.sparkContext.broadcast(statistics(model, words_known.hashes.size, words_known.folded))
-    scored = written(perplexities(docs, model, vocab, st, shards))
-    langs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang").distinct().withColumnsRenamed({"doc_id": "l_id", "text_hash": "l_hash"})
-    same = F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash"))
-    scored = scored.join(langs.groupBy("l_id", "l_hash").agg(F.min("lang").alias("lang")), same, "left")
-    scored = written(scored.join(chosen.withColumnRenamed("doc_id", "c_id"), F.col("doc_id") == F.col("c_id"), "left").select(
-        "doc_id", "text_hash", "n_words", "entropy", "lang", F.coalesce("held_out", F.lit(False)).alias("held_out")))
+    few = chosen.count() <= BROADCAST_IDS
+    by_id = chosen.withColumnRenamed("doc_id", "c_id")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(
+        F.broadcast(by_id) if few else by_id, F.col("doc_id") == F.col("c_id"), "left").select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), "lang", "held_out", "text")
+    scored = written(entropies(docs, docs.where("not held_out").select("text")))
     calm = scored.where("held_out and entropy is not null")
     figures = [F.percentile_approx(F.when(F.col("n_words") >= 50, F.col("entropy")), F.lit(quantile), F.lit(10_000)).alias("q"),
                F.percentile_approx("entropy", F.lit(0.5), F.lit(10_000)).alias("middle"), F.count(F.lit(1)).alias("n")]
@@ -362,8 +497,10 @@ def score(documents: DataFrame, labels: DataFrame, *, size: int = VOCABULARY, ma
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of documents that ``score`` keeps, all columns unchanged."""
-    bad = score(documents, labels, **options).where("not kept").select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash")).distinct()
-    keyed = documents.withColumn("_hash", F.xxhash64("text"))
-    gone = F.col("doc_id").cast("long").eqNullSafe(F.col("b_id")) & (F.col("_hash") == F.col("b_hash"))
-    return keyed.join(bad, gone, "left_anti").select(*documents.columns)
+    """The rows of documents that ``score`` keeps, all columns unchanged, whatever their names."""
+    bad = score(documents, labels, **options).where("not kept").select("doc_id", "text_hash").distinct()
+    own_id, own_hash, b_id, b_hash = fresh(documents, 4)
+    keyed = documents.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64("text")})
+    bad = bad.toDF(b_id, b_hash)
+    gone = F.col(own_id).eqNullSafe(F.col(b_id)) & (F.col(own_hash) == F.col(b_hash))
+    return keyed.join(bad, gone, "left_anti").drop(own_id, own_hash)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,14 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share.
 
-    It lies in ``spark.checkpoint.dir``.  Where that is unset (tests, local
-    mode) a temporary folder is made once for the session and used instead.
+    It lies in ``spark.checkpoint.dir``.  Where that is unset in local mode (tests)
+    a temporary folder is made once for the session and used instead; on a cluster
+    there is no such folder, so an unset one is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -49,7 +53,19 @@ def uniform(*cols) -> F.Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def width(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"tq_{i}" for i in range(len(taken) + n))
+    return [x for x in names if x not in taken][:n]
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Repartition by the columns, or round-robin without any, at the session's width."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = width(df.sparkSession)
     return df.repartition(n, *cols) if cols else df.repartition(n)

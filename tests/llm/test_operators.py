@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from telequay.llm import bpe, chat, language, media, minhash, mixing, quality, queries, records, substrings, vectors
 from telequay.llm.components import components
+from telequay.llm.packed import Index
 from telequay.llm.words import shingles, words
 
 TOKENIZERS = "/opt/tokenizers"
@@ -220,7 +221,7 @@ def test_language_models_sum_to_one():
     for ctx in (k[3] >> np.uint64(16), np.uint64(0x0071_0071_0071)):  # a seen and an unseen context
         p = np.exp(scorer.logs((ctx << np.uint64(16)) | chars).astype(float)).sum()
         assert 0.9 < p <= 1.0001
-    index = language._Index(k)
+    index = Index(k)
     assert (index.find(k) == np.arange(k.size)).all() and (index.find(k + np.uint64(1 << 60)) == -1).all()
 
 
@@ -359,31 +360,57 @@ def test_quality_model_equals_brute_force(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
     learned = {r.doc_id for r in quality.trusted_labels(labels).where("not held_out").collect()}
     got = {r.doc_id: r.entropy for r in quality.score(d, labels).collect()}
-    big, vocab = collections.Counter(), collections.Counter()
-    for i in learned:
-        vocab.update(texts[i].split())
-    known = {w for w, c in vocab.items() if c > 1}
-    name = lambda w: w if w in known else "?"
-    pairs = lambda t: list(zip(["^", *map(name, t.split())], map(name, t.split())))
+    big = collections.Counter()
+    pairs = lambda t: list(zip(["^", *t.split()], [*t.split(), "$"]))
     for i in learned:
         big.update(pairs(texts[i]))
-    disc = quality.modified_discounts(np.array([sum(c == k for c in big.values()) for k in (1, 2, 3, 4)]))
+    disc = quality.modified_discounts([sum(c == k for c in big.values()) for k in (1, 2, 3, 4)])
     before = collections.Counter(w for _, w in big)
-    b = quality.modified_discounts(np.array([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)]))
-    types, folded = len(known) + 2, max(1, len(vocab) - len(known))
+    b = quality.modified_discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
     left = sum(b[min(c, 3)] for c in before.values()) / sum(before.values())
 
     def p(u, w):
-        low = (max(before[w] - b[min(before[w], 3)], 0) / sum(before.values()) + left / types) / (folded if w == "?" else 1)
+        low = max(before[w] - b[min(before[w], 3)], 0) / sum(before.values()) + left / (len(before) + 1)
         total = sum(c for (x, _), c in big.items() if x == u)
         if not total:
             return low
         back = sum(disc[min(c, 3)] for (x, _), c in big.items() if x == u) / total
-        return max(big[u, w] - disc[min(big[u, w], 3)], 0) / total / (folded if w == "?" else 1) + back * low
+        return max(big[u, w] - disc[min(big[u, w], 3)], 0) / total + back * low
 
     for i, t in enumerate(texts):
         want = -np.mean([np.log(p(u, w)) for u, w in pairs(t)])
         assert got[i] == pytest.approx(want, rel=1e-4)
+    assert sum(p("a", w) for w in [*before, "never seen"]) == pytest.approx(1)
+
+
+def test_quality_deals_frequent_contexts_out(spark, monkeypatch):
+    """The same entropies whatever the number of shards, also where few contexts hold most words."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["the", "the", "the", "of", f"w{r.randint(0, 400)}"]) for _ in range(r.randint(1, 90))) for _ in range(120)] + ODD
+    d = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    one = {r.doc_id: r for r in quality.score(d, labels).collect()}
+    monkeypatch.setattr(quality, "SHARD_BYTES", 300)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    many = {r.doc_id: r for r in quality.score(d.repartition(7), labels).collect()}
+    assert one.keys() == many.keys() and all(one[i].entropy == pytest.approx(many[i].entropy, rel=1e-5) for i in one if one[i].entropy is not None)
+    assert all(one[i].kept == many[i].kept and one[i].limit == pytest.approx(many[i].limit) for i in one)
+
+
+def test_quality_limits_and_decisions(spark):
+    """``kept`` follows from entropy and the limit of the language, recomputed here from the rows."""
+    texts = [made(i, 60 + i % 9) if i % 2 else f"a common text of {i % 5} words in it " * 8 for i in range(150)]
+    langs = ["en" if i % 3 else None for i in range(150)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(140)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.score(documents(spark, texts, lang=langs), labels, quantile=0.5).collect()}
+    held = {r.doc_id for r in quality.trusted_labels(labels).where("held_out").collect()}
+    limits = {}
+    for lang in ("en", None, "all"):
+        e = sorted(got[i].entropy for i in held if lang == "all" or langs[i] == lang)
+        limits[lang] = e[max(0, -(-len(e) // 2) - 1)] if lang == "all" or len(e) >= 20 else None
+    for i, t in enumerate(texts):
+        limit = (limits[langs[i]] or limits["all"]) * 1.05 + 6 / len(t.split()) ** 0.5
+        assert got[i].limit == pytest.approx(limit, rel=1e-6) and got[i].kept == (got[i].entropy <= got[i].limit)
 
 
 def test_pipeline_stages(spark):
