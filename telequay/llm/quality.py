@@ -25,17 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import Index, counted, distinct, pack, pack_sorted, starts, unpack, unpack_sorted
-from .shared import fresh, width, written
+from .shared import discard, fresh, width, written
 from .words import Words, chunks, mix64, words
 
 #: Bytes of trusted text a shard of the model; a shard holds about as many bigrams as these have words.
 SHARD_BYTES = 8 << 20
 #: Bytes of text a block: its features are sent to the shards together.
 BLOCK_BYTES = 8 << 20
-#: Bits of a feature's key within its shard: of bigrams not in a shard of 2^21 features one in 2^15 is taken for one of them.
-KEY_BITS = 36
+#: Bits of a feature's key within its shard: of bigrams not in a shard of 2^20 features one in 2^12 is taken for one of them.
+KEY_BITS = 32
+#: Bits of the filter of words (8 MB) that every task has: words that are not in it are not in the model and are not asked for.
+#: With far more words than bits it lets all pass; results are the same.
+FILTER_BITS = 26
+#: Values of the model are stored in steps of 1 / 2048 nat.
+STEP = 2048
 #: Trusted ids up to this number (64 MB at most) are broadcast; more are joined by a shuffle, with the same result.
 BROADCAST_IDS = 1 << 21
+#: Words whose values every task has (1 MB), so that texts don't send them; the most frequent ones of each shard.
+COMMON = 1 << 16
 BEGIN, END = np.uint64(1), np.uint64(2)
 _WORD, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - KEY_BITS)
@@ -290,11 +297,58 @@ def lower_order(words_known: DataFrame) -> Lower:
     return Lower(d, float(max(1, n[4])), left / (n[5] + 1))
 
 
-_JOINED = "shard int, kind int, block string, a binary, b binary, c binary, d binary, e binary"
+class Common(NamedTuple):
+    """What every task knows: the values of frequent words, what they add to the log-probability of a text, and the filter of words."""
+
+    index: Index
+    values: np.ndarray
+    bits: np.ndarray
+
+    def may_know(self, w: np.ndarray) -> np.ndarray:
+        at = (mix64(w) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def common_words(words_known: DataFrame, lower: Lower, shards: int) -> Common:
+    """Of each shard of words those with most different words before them, ``COMMON`` in all, and the begin mark; and the filter of all.
+
+    A shard has a range of the words' hashes, so it fills a stretch of the filter.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for keys, numbers, backs in zip(*(batch.column(c).to_pylist() for c in ("keys", "numbers", "backs"))):
+                w, before, back = unpack_sorted(keys), unpack(numbers), unpack(backs)
+                own = np.argsort(-before, kind="stable")[:COMMON // shards]
+                own = np.union1d(own, np.flatnonzero(w == BEGIN))
+                at = (mix64(w) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                begin = int(at.min()) >> 3
+                bits = np.zeros((int(at.max()) >> 3) - begin + 1, np.uint8)
+                np.bitwise_or.at(bits, (at >> 3) - begin, np.uint8(1) << (at & 7).astype(np.uint8))
+                yield pa.RecordBatch.from_pydict({
+                    "words": pa.array([w[own].tobytes()], pa.binary()), "values": pa.array([_word_values(w, before, back, lower)[own].tobytes()], pa.binary()),
+                    "begin": pa.array([begin], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    got = words_known.where("kind = 1").select("keys", "numbers", "backs").mapInArrow(run, "words binary, values binary, begin long, bits binary").toArrow()
+    w = np.frombuffer(b"".join(got["words"].to_pylist()), np.uint64)
+    values = np.frombuffer(b"".join(got["values"].to_pylist()), np.float32)
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for begin, raw in zip(got["begin"].to_pylist(), got["bits"].to_pylist()):
+        bits[begin:begin + len(raw)] |= np.frombuffer(raw, np.uint8)
+    order = np.argsort(w)
+    return Common(Index(w[order]), values[order], bits)
+
+
+def _word_values(w: np.ndarray, before: np.ndarray, back: np.ndarray, lower: Lower) -> np.ndarray:
+    return np.where(w == BEGIN, back, np.log(lower(before) / lower.rest) + back).astype(np.float32)
+
+
+_JOINED = "shard int, kind int, block string, a binary, b binary, c binary, d binary"
 
 
-def requests(documents: DataFrame, deal) -> DataFrame:
-    """The features of each block of texts by shard (kind 2), and a row for each block that says which texts it has (kind 3).
+def requests(documents: DataFrame, deal, common) -> DataFrame:
+    """The features of each block of texts by shard (kind 2), and a row for each block that says which texts it has and
+    what their frequent words add up to (kind 3).
 
     A feature is sent once a block: its key, the number of texts that have it, their numbers, and how often each has it.
     """
@@ -307,35 +361,42 @@ def requests(documents: DataFrame, deal) -> DataFrame:
             for part in chunks(batch, size=BLOCK_BYTES):
                 block = f"{TaskContext.get().partitionId()}-{number}"
                 number += 1
-                n_words, base = np.zeros(part.num_rows, np.int64), 0
-                held: list[list[np.ndarray]] = [[], [], [], []]
+                n_words, base, own_sums = np.zeros(part.num_rows, np.int64), 0, np.zeros(part.num_rows)
+                held: list[list[np.ndarray]] = [[], [], []]
                 for piece in chunks(part):
                     w = words(piece.column("text"))
                     text, u, v = _bigrams(w)
                     n_words[base:base + piece.num_rows] = np.diff(w.first)
                     at = np.flatnonzero(u == BEGIN)
-                    every = np.concatenate([v, u[at]])  # every word, the end mark and the begin mark
-                    shard = np.concatenate([deal.value.of_pairs(u, v), deal.value.of_words(every)])
-                    key = np.concatenate([_pair_keys(u, v), _word_keys(every)])
-                    own = np.concatenate([text, text, text[at]]).astype(np.uint32) + np.uint32(base)
-                    order = np.lexsort((own, key, shard))
-                    shard, key, own = shard[order], key[order], own[order]
-                    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (shard[1:] != shard[:-1]))) if key.size else np.empty(0, np.int64)
-                    for h, x in zip(held, (shard[new], key[new], own[new], np.diff(np.append(new, key.size)).astype(np.uint32))):
+                    every, of = np.concatenate([v, u[at]]), np.concatenate([text, text[at]])  # words, end marks, begin marks
+                    known = common.value.index.find(every)
+                    often = np.flatnonzero(known >= 0)
+                    own_sums[base:base + piece.num_rows] = np.bincount(of[often], common.value.values[known[often]], piece.num_rows)
+                    rare = np.flatnonzero((known < 0) & common.value.may_know(every))
+                    pairs = np.flatnonzero(common.value.may_know(u) & common.value.may_know(v))
+                    u, v, every = u[pairs], v[pairs], every[rare]
+                    place = np.concatenate([deal.value.of_pairs(u, v), deal.value.of_words(every)]).astype(np.uint64) << np.uint64(KEY_BITS)
+                    place |= np.concatenate([_pair_keys(u, v), _word_keys(every)])
+                    own = np.concatenate([text[pairs], of[rare]]).astype(np.uint32) + np.uint32(base)
+                    order = np.lexsort((own, place))
+                    place, own = place[order], own[order]
+                    new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (own[1:] != own[:-1]))) if own.size else np.empty(0, np.int64)
+                    for h, x in zip(held, (place[new], own[new], np.diff(np.append(new, own.size)).astype(np.uint32))):
                         h.append(x)
                     base += piece.num_rows
-                shard, key, own, counts = map(np.concatenate, held)
-                order = np.lexsort((own, key, shard))
-                at = np.append(0, np.cumsum(np.bincount(shard, minlength=shards)))
+                place, own, counts = map(np.concatenate, held)
+                order = np.argsort(place, kind="stable")
+                place, own, counts = place[order], own[order], counts[order]
+                at = np.searchsorted(place, np.arange(shards + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
                 meta = pa.BufferOutputStream()
                 with pa.ipc.new_stream(meta, part.drop_columns(["text"]).schema) as out:
                     out.write_batch(part.drop_columns(["text"]))
-                rows = [(zlib.crc32(block.encode()) % shards, 3, block, meta.getvalue().to_pybytes(), pack(n_words.astype(np.uint32)), None, None, None)]
+                rows = [(zlib.crc32(block.encode()) % shards, 3, block, meta.getvalue().to_pybytes(), pack(n_words.astype(np.uint32)), pack(own_sums.astype(np.float32)), None)]
                 for s in np.flatnonzero(np.diff(at)):
-                    o = order[at[s]:at[s + 1]]
-                    k = key[o]
+                    o = slice(at[s], at[s + 1])
+                    k = place[o] & np.uint64((1 << KEY_BITS) - 1)
                     first = starts(k)
-                    rows.append((int(s), 2, block, pack_sorted(k[first]), pack(np.diff(np.append(first, k.size)).astype(np.uint32)), pack(own[o]), pack(counts[o]), None))
+                    rows.append((int(s), 2, block, pack_sorted(k[first]), pack(np.diff(np.append(first, k.size)).astype(np.uint32)), pack(own[o]), pack(counts[o])))
                 for lo in range(0, len(rows), 50):
                     yield _joined(rows[lo:lo + 50])
 
@@ -343,38 +404,51 @@ def requests(documents: DataFrame, deal) -> DataFrame:
 
 
 def _joined(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _JOINED.split(", ")])
 
 
-class Shard(NamedTuple):
-    """Sorted keys of a shard's features and their values."""
-
-    index: Index
-    values: np.ndarray
-
-    @classmethod
-    def of(cls, pairs: dict | None, answers: dict[int, np.ndarray], known: dict | None, deal: Deal, ctx: Contexts, lower: Lower) -> Shard:
-        keys, values = [np.empty(0, np.uint64)], [np.empty(0, np.float32)]
-        if pairs is not None:
-            u, w, counts = _unpack_pairs(pairs)
-            mine = unpack_sorted(pairs["w"])
-            home, before = deal.of_words(mine), np.zeros(mine.size, np.int64)
+def model_values(pairs: DataFrame, words_known: DataFrame, deal, ctx, lower: Lower) -> DataFrame:
+    """The model: shard, keys (sorted) and values of its features, in steps of 1 / ``STEP``; one packed row a shard."""
+
+    def run(pair_rows: pa.Table, word_rows: pa.Table) -> pa.Table:
+        keys, values, shard = [np.empty(0, np.uint64)], [np.empty(0, np.float32)], None
+        answers = {}
+        for row in word_rows.to_pylist():
+            shard = row["shard"]
+            if row["kind"] == 0:
+                answers[row["other"]] = unpack(row["numbers"])
+            else:
+                w = unpack_sorted(row["keys"])
+                keys.append(_word_keys(w))
+                values.append(_word_values(w, unpack(row["numbers"]), unpack(row["backs"]), lower))
+        for row in pair_rows.to_pylist():
+            shard = row["shard"]
+            u, w, counts = _unpack_pairs(row)
+            mine = unpack_sorted(row["w"])
+            home, before = deal.value.of_words(mine), np.zeros(mine.size, np.int64)
             for other, x in answers.items():
                 before[home == other] = x
-            context, _, mass = ctx.of(u, counts)
-            share = np.maximum(counts - ctx.discounts[np.minimum(counts, 3)], 0)
+            context, _, mass = ctx.value.of(u, counts)
+            share = np.maximum(counts - ctx.value.discounts[np.minimum(counts, 3)], 0)
             keys.append(_pair_keys(u, w))
             values.append(np.log1p(share / (mass[np.searchsorted(context, u)] * lower(before)[np.searchsorted(mine, w)])).astype(np.float32))
-        if known is not None:
-            w, before, back = unpack_sorted(known["keys"]), unpack(known["numbers"]), unpack(known["backs"])
-            keys.append(_word_keys(w))
-            values.append(np.where(w == BEGIN, back, np.log(lower(before) / lower.rest) + back).astype(np.float32))
         key, value = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(key, kind="stable")
         key, value = key[order], value[order]
         at = starts(key)
-        return cls(Index(key[at]), value[at])
+        steps = np.clip(np.rint(value[at] * STEP), -(1 << 15), (1 << 16) - 1).astype(np.int32)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "keys": pa.array([pack_sorted(key[at])], pa.binary()), "values": pa.array([pack(steps)], pa.binary())})
+
+    return written(pairs.groupBy("shard").cogroup(words_known.select("shard", "kind", "other", "keys", "numbers", "backs").groupBy("shard")).applyInArrow(
+        run, "shard int, keys binary, values binary"))
+
+
+class Shard(NamedTuple):
+    """Sorted keys of a shard's features and their values."""
+
+    index: Index
+    values: np.ndarray
 
     def sums(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the texts of a request, sum of the values of each one's features)."""
@@ -404,35 +478,30 @@ def entropies(documents: DataFrame, trusted: DataFrame) -> DataFrame:
     ctx = spark.sparkContext.broadcast(contexts(pairs, deal))
     known = word_rows(pairs, deal, ctx)
     lower = lower_order(known)
+    common = spark.sparkContext.broadcast(common_words(known, lower, shards))
+
+    model = model_values(pairs, known, deal, ctx, lower)
+    discard(pairs, known)
 
     null = F.lit(None).cast("binary")
-    shard_of = F.col("shard")
-    rows = (pairs.select(shard_of, F.lit(1).alias("kind"), F.lit("pairs").alias("block"), F.col("u").alias("a"), F.col("runs").alias("b"), F.col("w").alias("c"), F.col("ranks").alias("d"), F.col("counts").alias("e"))
-            .union(known.select(shard_of, F.lit(0), F.coalesce(F.col("other").cast("string"), F.lit("words")), F.col("keys"), F.col("numbers"), F.col("backs"), null, null))
-            .union(requests(documents, deal)))
+    rows = model.select("shard", F.lit(1).alias("kind"), F.lit("").alias("block"), F.col("keys").alias("a"), F.col("values").alias("b"), null.alias("c"), null.alias("d"))
+    rows = rows.union(requests(documents, deal, common))
 
     def join(batches):
-        at, pair_row, answers, word_row, shard = None, None, {}, None, None
+        at, shard = None, None
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("shard", "kind", "block", "a", "b", "c", "d", "e")}
+                row = {c: batch.column(c)[i].as_py() for c in ("shard", "kind", "block", "a", "b", "c", "d")}
                 if row["shard"] != at:
-                    at, pair_row, answers, word_row, shard = row["shard"], None, {}, None, None
-                if row["kind"] == 0 and row["block"] == "words":
-                    word_row = {"keys": row["a"], "numbers": row["b"], "backs": row["c"]}
-                elif row["kind"] == 0:
-                    answers[int(row["block"])] = unpack(row["b"])
-                elif row["kind"] == 1:
-                    pair_row = {"u": row["a"], "runs": row["b"], "w": row["c"], "ranks": row["d"], "counts": row["e"]}
+                    at, shard = row["shard"], Shard(Index(np.empty(0, np.uint64)), np.empty(0, np.float32))
+                if row["kind"] == 1:
+                    shard = Shard(Index(unpack_sorted(row["a"])), unpack(row["b"]).astype(np.float32) / np.float32(STEP))
                 elif row["kind"] == 2:
-                    if shard is None:
-                        shard = Shard.of(pair_row, answers, word_row, deal.value, ctx.value, lower)
-                        pair_row, answers, word_row = None, {}, None
                     text, sums = shard.sums(row)
                     out.append((row["block"], pack(text), pack(sums), None))
                 else:
-                    out.append((row["block"], row["b"], None, row["a"]))
+                    out.append((row["block"], row["b"], row["c"], row["a"]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary(), pa.binary()))],
                                                  names=["block", "texts", "sums", "meta"])
@@ -446,9 +515,9 @@ def entropies(documents: DataFrame, trusted: DataFrame) -> DataFrame:
         head = next(r for r in rows if r["meta"] is not None)
         own = pa.ipc.open_stream(head["meta"]).read_all()
         n_words = unpack(head["texts"]).astype(np.int64)
-        total = (n_words + 1) * np.log(lower.rest)
+        total = (n_words + 1) * np.log(lower.rest) + unpack(head["sums"])
         for r in rows:
-            if r["sums"] is not None:
+            if r["meta"] is None:
                 total[unpack(r["texts"])] += unpack(r["sums"])
         own = own.append_column("n_words", pa.array(n_words))
         return own.append_column("entropy", pa.array(-total / (n_words + 1), mask=n_words == 0))

@@ -30,11 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tq-{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
+
+    So its shuffle files are of no more use and go at once.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        fs, root = filesystem(path)
+        fs.delete_dir(root)
 
 
 def filesystem(uri: str):
