@@ -1,190 +1,165 @@
 """Operator 1: substring dedup by content-defined chunks.
 
-A gear hash of the last 16 bytes decides where a text may be cut; the cut goes
-to the next word.  So the same passage gives the same chunks wherever it
-stands, and an insertion only changes the chunks around it.  Chunks whose
-digest occurred before are repeats.  A run of repeats of more than
-``min_words`` words is removed; where only the chunks beside a run could make
-it that long, their words are compared with those beside the first occurrence.
+A gear hash rolls over the words of a text: h = (h << 16) + gear(word), so it
+depends on the last four words, whatever stands before them.  A cut comes where
+the hash is the least of ``window`` words in a row: the same passage is cut alike
+wherever it stands, an insertion only moves the cuts around it, and no stretch
+stays without a cut, not even one word repeated.  A chunk runs from each cut to the
+first cut at least ``least`` words on.
+
+Chunks are deduplicated by digest.  A chunk whose digest stood in an earlier text
+is aligned with its first occurrence there; runs of chunks with one alignment are
+extended on either side as far as the words agree, and removed when they come to
+more than ``min_words`` words.  Repeats within a text are found the same way, in
+the text itself.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .words import Words, chunks, mix64, random_table, words
+from .packed import starts
+from .shared import fresh, spread, written
+from .words import Words, chunks, mix64, words
 
-WINDOW = 16
-#: Cut where these bits of the hash are 0: on average every 32 bytes.
-MASK = np.uint32(0b11111 << 11)
-_GEAR = (random_table(256, 77) >> np.uint64(40)).astype(np.uint32)
+#: Words compared beyond either end of an aligned run.
+CONTEXT = 64
+#: Bits of the filter that says which texts are sources: 1 MB on every executor.  More sources than
+#: bits let more texts through to a join, which sorts them out.
+FILTER_BITS = 1 << 23
+#: Rows that ask for the words at one place of a source and go to one task together.
+SHARE = 4096
+_GEAR, _BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def gear_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """True after each byte where the gear hash asks for a cut.
+class Cutting(NamedTuple):
+    """A common passage of ``min_words`` + 1 words is cut alike from its fourth word and one window on, up to a window
+    before its end; that leaves 2 windows and ``least`` words, enough for the longest chunk that may begin at its first cut."""
 
-    h = 2 h + gear[byte]: bit k depends on the last k + 1 bytes, so with 16 bits
-    the hash is the sum of the last 16 bytes' gears, shifted; it is built by
-    doubling.  No cut comes before a text's 16th byte, so texts before it in the
-    column make no difference.
-    """
-    h = _GEAR[data]
-    step = 1
-    while step < WINDOW:
-        h[step:] = h[step:] + (h[:-step] << np.uint32(step))
-        step *= 2
-    cut = (h & MASK) == 0
-    begins = at[:-1][np.diff(at) > 0]
-    for k in range(WINDOW - 1):
-        early = begins + k
-        cut[early[early < cut.size]] = False
-    return cut
-
-
-def chunk_column(texts: pa.Array, max_words: int = 64) -> tuple[dict[str, np.ndarray], Words]:
-    """Chunks of a column: text (index), begin, end (bytes in the text), word (its first), n_words, digest; and the words.
-
-    A chunk is a run of whole words; its digest covers its words, not the white
-    space.  Where no cut comes for ``max_words`` words (long repetitions of one
-    pattern) a chunk ends there.
-    """
-    w = words(texts)
+    window: int
+    least: int
+
+    @classmethod
+    def of(cls, min_words: int) -> Cutting:
+        window = max(1, (min_words + 1) // 5)
+        return cls(window, max(1, min_words + 1 - 4 * window))
+
+
+def gear_cuts(w: Words, window: int) -> np.ndarray:
+    """The words (numbers in the column) at which a chunk may begin or end."""
     n = w.hashes.size
-    none = np.empty(0, np.int64)
     if not n:
-        return {"text": none, "begin": none, "end": none, "word": none, "n_words": none, "digest": np.empty(0, np.uint64)}, w
+        return np.empty(0, np.int64)
+    gear, one = mix64(w.hashes ^ _GEAR), np.uint64
+    h = gear.copy()
+    for k in (1, 2, 3):
+        h[k:] += gear[:-k] << one(16 * k)
+    many = np.diff(w.first)
+    before = np.arange(n) - np.repeat(w.first[:-1], many)
+    full = before >= 3
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)  # neighbours that are no less (left), greater (right)
+    room = np.repeat(w.first[1:], many) - np.arange(n) - 1
+    go_left, go_right = full.copy(), full.copy()
+    for k in range(1, window):
+        if k >= n:
+            break
+        go_left[:k] = False
+        go_left[k:] &= (h[:-k] >= h[k:]) & (before[k:] - k >= 3)
+        go_right[n - k:] = False
+        go_right[:n - k] &= (h[k:] > h[:-k]) & (room[:n - k] >= k)
+        left += go_left
+        right += go_right
+    return np.flatnonzero(full & (left + right + 1 >= window))
+
+
+def chunk_column(texts: pa.Array, cutting: Cutting) -> tuple[dict[str, np.ndarray], Words]:
+    """Chunks of a column: text (index), word (its first in the text), n_words, digest (of its words); and the words."""
+    w = words(texts)
+    cuts = gear_cuts(w, cutting.window)
     text = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    cuts = np.flatnonzero(gear_cuts(w.data, w.at))
-    begins = np.zeros(n, bool)
-    after = np.searchsorted(w.starts, cuts, "right")  # the first word that begins after the cut
-    begins[after[after < n]] = True
-    begins[w.first[:-1][np.diff(w.first) > 0]] = True
-    first = np.flatnonzero(begins)
-    size = np.diff(np.append(first, n))
-    if size.max() > max_words:
-        parts = -(-size // max_words)
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(first, parts) + k * max_words
-        size = np.diff(np.append(first, n))
-    within = np.arange(n) - np.repeat(first, size)
-    digest = mix64(np.add.reduceat(mix64(w.hashes + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) + size.astype(np.uint64))
-    own = text[first]
-    return {"text": own, "begin": w.starts[first] - w.at[own], "end": w.ends[first + size - 1] - w.at[own], "word": first, "n_words": size, "digest": digest}, w
-
-
-#: Chunks compared on either side of a run: cuts in a passage's first 16 bytes depend on what stands before it,
-#: and a short chunk at its ends may have stood elsewhere before.
-SIDE = 3
-#: Bits of the filter that says which chunks are asked for their words: 1 MB on every executor.
-FILTER_BITS = 1 << 23
-_SPOT = 40503
+    to = np.searchsorted(cuts, cuts + cutting.least)
+    ok = to < cuts.size
+    begin, end = cuts[ok], cuts[to[ok]]
+    same = text[begin] == text[end] if begin.size else np.empty(0, bool)
+    begin, end = begin[same], end[same]
+    n = w.hashes.size
+    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _BASE)))
+    inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _INVERSE)))
+    sums = np.append(np.uint64(0), np.cumsum(mix64(w.hashes + _BASE) * power[:n]))
+    size = end - begin
+    digest = mix64((sums[end] - sums[begin]) * inverse[begin] + size.astype(np.uint64))
+    own = text[begin] if begin.size else np.empty(0, np.int64)
+    return {"text": own, "word": begin - w.first[own], "n_words": size, "digest": digest}, w
 
 
 def _identified(documents: DataFrame) -> DataFrame:
-    """dk (key of doc_id and text), doc_id, text_hash, text: occurrences go by doc_id, then the hash of the text."""
-    return documents.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_hash", "text").select(
-        F.xxhash64("doc_id", "text_hash").alias("dk"), "doc_id", "text_hash", "text")
+    """dk (key of doc_id and text), doc_id, text: texts go by doc_id, then by dk."""
+    return documents.selectExpr("cast(doc_id as long) doc_id", "text").select(F.xxhash64("doc_id", F.xxhash64("text")).alias("dk"), "doc_id", "text")
 
 
-def chunk_rows(documents: DataFrame) -> DataFrame:
-    """digest, dk, doc_id, text_hash, pos, sizes (words of the chunk before, the chunk and the one after, 8 bits each)
-    and sides (16 bits of the word before the chunk and of the one after it)."""
+def chunk_rows(documents: DataFrame, cutting: Cutting) -> DataFrame:
+    """digest, dk, doc_id, word, n_words: the distinct chunks of each text, each at its first place there."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                c, w = chunk_column(part.column("text"))
-                text, size, word = c["text"], c["n_words"], c["word"]
-                pos = np.arange(text.size) - np.searchsorted(text, text)
-                same = text[1:] == text[:-1]
-                before, after = np.zeros_like(size), np.zeros_like(size)
-                before[1:], after[:-1] = np.where(same, size[:-1], 0), np.where(same, size[1:], 0)
-                short = (w.hashes & np.uint64(0xFFFF)).astype(np.int64)
-                sides = np.zeros_like(size)
-                sides[1:] |= np.where(same, short[word[1:] - 1], 0) << 16
-                sides[:-1] |= np.where(same, short[word[1:]], 0)
-                at = pa.array(text)
+                c, _ = chunk_column(part.column("text"), cutting)
+                order = np.lexsort((c["word"], c["digest"], c["text"]))
+                text, digest = c["text"][order], c["digest"][order]
+                own = order[np.append(True, (text[1:] != text[:-1]) | (digest[1:] != digest[:-1]))] if text.size else order
+                at = pa.array(c["text"][own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c["digest"].view(np.int64)), *[part.column(x).take(at) for x in ("dk", "doc_id", "text_hash")],
-                     pa.array(pos.astype(np.int32)), pa.array((before << 16 | size << 8 | after).astype(np.int32)), pa.array(sides.astype(np.uint32).view(np.int32))],
-                    names=["digest", "dk", "doc_id", "text_hash", "pos", "sizes", "sides"])
+                    [pa.array(c["digest"][own].view(np.int64)), part.column("dk").take(at), part.column("doc_id").take(at),
+                     pa.array(c["word"][own].astype(np.int32)), pa.array(c["n_words"][own].astype(np.int32))],
+                    names=["digest", "dk", "doc_id", "word", "n_words"])
 
-    return _identified(documents).mapInArrow(run, "digest long, dk long, doc_id long, text_hash long, pos int, sizes int, sides int")
+    return _identified(documents).mapInArrow(run, "digest long, dk long, doc_id long, word int, n_words int")
 
 
-def repeats(documents: DataFrame) -> DataFrame:
-    """dk, chunks (array of pos, sizes, sides, f_dk, f_pos, f_sides by pos) of texts with chunks that occurred before.
+def aligned(documents: DataFrame, cutting: Cutting) -> DataFrame:
+    """dk, a, b, f_dk, f_a: words a to b - 1 of a text stand in the earlier text f_dk from word f_a on.
 
-    The first occurrence of a digest by (doc_id, dk, pos) is no repeat.  Digests
-    are counted in each task before they are shuffled; only occurrences of those
-    that occur twice are kept, and the first is sought among them.
+    Digests are counted in each task before they are shuffled; only chunks whose
+    digest occurs in two texts are kept, and the first is sought among them.
+    Chunks that overlap and have one alignment make one run.
     """
-    rows = chunk_rows(documents).drop("text_hash")
+    rows = chunk_rows(documents, cutting)
     twice = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     found = written(rows.join(twice, "digest", "left_semi"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dk", "pos", "sides")).alias("first")
-    first = found.groupBy("digest").agg(first).select(
-        "digest", F.col("first.dk").alias("f_dk"), F.col("first.pos").alias("f_pos"), F.col("first.sides").alias("f_sides"))
-    later = found.join(first, "digest").where((F.col("dk") != F.col("f_dk")) | (F.col("pos") != F.col("f_pos")))
-    return later.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("pos", "sizes", "sides", "f_dk", "f_pos", "f_sides"))).alias("chunks"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dk", "word")).alias("first")
+    first = found.groupBy("digest").agg(first).select("digest", F.col("first.dk").alias("f_dk"), F.col("first.word").alias("f_word"))
+    later = found.join(first, "digest").where("dk <> f_dk").select("dk", "word", "n_words", "f_dk", (F.col("f_word") - F.col("word")).alias("shift"))
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                dk, f_dk, shift, a, n = (batch.column(c).to_numpy() for c in ("dk", "f_dk", "shift", "word", "n_words"))
+                b = a + n
+                new = np.append(True, (dk[1:] != dk[:-1]) | (f_dk[1:] != f_dk[:-1]) | (shift[1:] != shift[:-1]) | (a[1:] > b[:-1]))
+                at = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(dk[at]), pa.array(a[at]), pa.array(np.maximum.reduceat(b, at)), pa.array(f_dk[at]), pa.array(a[at] + shift[at])],
+                                                 names=["dk", "a", "b", "f_dk", "f_a"])
 
-_RUN = "struct<a:int,b:int,words:int,c:int,d:int,same:int,f_dk:long,f_c:int,f_d:int>"
+    # A run that two batches share is two runs; either is extended into the other.
+    rows = spread(later, "dk").dropDuplicates().sortWithinPartitions("dk", "f_dk", "shift", "word")
+    return rows.mapInArrow(run, "dk long, a int, b int, f_dk long, f_a int")
 
 
-def runs(repeated: DataFrame, min_words: int) -> DataFrame:
-    """dk, runs: the runs of consecutive repeats (chunks a to b - 1) that may hold more than ``min_words`` words.
+def words_at(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """f_dk, side, place, near: the words of f_dk before (side 0) or from (side 1) the place on, up to ``CONTEXT``, as 32-bit hashes.
 
-    ``words`` counts the run.  Chunks c to d - 1 of it, around its longest one,
-    repeat chunks f_c to f_d - 1 of the text f_dk; they have ``same`` words.  (A
-    short chunk among them may have stood elsewhere before, by chance.)
+    ``asked`` has f_dk and places (distinct structs of side and place, no more than two for each word of the text).
+    Texts that are no source are left out by a filter of fixed size before the join.
     """
-
-    def run(batches):
-        size = lambda c: c["sizes"] >> 8 & 255
-        for batch in batches:
-            out = []
-            for chunk_list in batch.column("chunks").to_pylist():
-                own, start = [], 0
-                for i in range(len(chunk_list)):
-                    if i + 1 < len(chunk_list) and chunk_list[i + 1]["pos"] == chunk_list[i]["pos"] + 1:
-                        continue
-                    part, start = chunk_list[start:i + 1], i + 1
-                    n = sum(map(size, part))
-                    k = max(range(len(part)), key=lambda x: size(part[x]))
-                    like = lambda x: (part[x]["f_dk"], part[x]["f_pos"] - part[x]["pos"]) == (part[k]["f_dk"], part[k]["f_pos"] - part[k]["pos"])  # noqa: B023, E731
-                    alike = [x for x in range(len(part)) if like(x)]
-                    lo, hi = alike[0], alike[-1] + 1
-                    # All whole chunks of a passage are repeats; its ends lie in the chunks beside them, or in chunks
-                    # cut off within its first WINDOW bytes, which hold at most half as many words.  It can only go
-                    # on where the next word is the one beside the first occurrence.
-                    left = sum(map(size, part[:lo])) + (part[0]["sizes"] >> 16) + WINDOW // 2
-                    right = sum(map(size, part[hi:])) + (part[-1]["sizes"] & 255)
-                    left *= part[lo]["sides"] >> 16 == part[lo]["f_sides"] >> 16
-                    right *= part[hi - 1]["sides"] & 65535 == part[hi - 1]["f_sides"] & 65535
-                    if n > min_words or sum(map(size, part[lo:hi])) + left + right > min_words:
-                        own.append({"a": part[0]["pos"], "b": part[-1]["pos"] + 1, "words": n, "c": part[lo]["pos"], "d": part[hi - 1]["pos"] + 1,
-                                    "same": sum(map(size, part[lo:hi])), "f_dk": part[lo]["f_dk"], "f_c": part[lo]["f_pos"], "f_d": part[hi - 1]["f_pos"] + 1})
-                out.append(own)
-            kind = pa.struct([(x, pa.int64() if x == "f_dk" else pa.int32()) for x in ("a", "b", "words", "c", "d", "same", "f_dk", "f_c", "f_d")])
-            yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(out, pa.list_(kind))], names=["dk", "runs"])
-
-    return repeated.mapInArrow(run, f"dk long, runs array<{_RUN}>").where("size(runs) > 0")
-
-
-def words_of(documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """dk, pos, hashes (of the chunk's words) for the chunks (dk, pos) asked for.
-
-    The texts are scanned, not shuffled: a filter of fixed size names the chunks
-    asked for, perhaps some more; those are sorted out by the join.
-    """
-    spot = F.col("dk").bitwiseXOR(F.col("pos").cast("long") * _SPOT)
-    bit = F.pmod(spot, F.lit(FILTER_BITS)) + 1  # buckets and their bits count from 1
-    bitmap = asked.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+    bit = F.pmod("f_dk", F.lit(FILTER_BITS)) + 1  # buckets and their bits count from 1
+    bitmap = asked.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS, bool)
     for bucket, raw in zip(bitmap["bucket"].to_pylist(), bitmap["bits"].to_pylist()):
@@ -192,95 +167,134 @@ def words_of(documents: DataFrame, asked: DataFrame) -> DataFrame:
         bits[(bucket - 1) * one.size:bucket * one.size] |= one
     packed = documents.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
+    def pick(batches):
+        own = np.unpackbits(packed.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(own[batch.column("dk").to_numpy() % FILTER_BITS]))
+
     def run(batches):
-        own_bits = np.unpackbits(packed.value).astype(bool)
         for batch in batches:
             for part in chunks(batch):
-                c, w = chunk_column(part.column("text"))
-                dk = part.column("dk").to_numpy()[c["text"]]
-                pos = np.arange(c["text"].size) - np.searchsorted(c["text"], c["text"])
-                at = np.flatnonzero(own_bits[(dk ^ pos * _SPOT) % FILTER_BITS])
-                if at.size:
-                    lists = [w.hashes[a:a + n].view(np.int64) for a, n in zip(c["word"][at], c["n_words"][at])]
-                    yield pa.RecordBatch.from_arrays([pa.array(dk[at]), pa.array(pos[at].astype(np.int32)), pa.array(lists, pa.list_(pa.int64()))], names=["dk", "pos", "hashes"])
-
-    found = _identified(documents).select("dk", "text").mapInArrow(run, "dk long, pos int, hashes array<long>")
-    return found.join(asked, ["dk", "pos"], "left_semi").dropDuplicates(["dk", "pos"])
-
-
-def removals(documents: DataFrame, min_words: int) -> DataFrame:
-    """dk, cuts (array of a, b, c, d, left, right): what to remove, chunks a to b - 1 and
-    what goes from ``left`` words before chunk c to ``right`` words after chunk d - 1."""
-    run = written(runs(repeats(documents), min_words)).select("dk", F.explode("runs").alias("run")).select("dk", "run.*")
-    bounds = ["a", "b", "c", "d"]
-    sure = run.where(F.col("words") > min_words).select("dk", *bounds, F.lit(0).alias("left"), F.lit(0).alias("right"))
-    open_ = run.where(F.col("words") <= min_words)
-    side = lambda name, dk, pos: F.struct(F.lit(name).alias("side"), F.col(dk).alias("q_dk"), pos.cast("int").alias("q_pos"))
-    steps = range(SIDE)
-    own_l, own_r, l, r = ([f"{x}{k}" for k in steps] for x in ("own_l", "own_r", "l", "r"))
-    q = open_.withColumn("q", F.explode(F.array(*[x for k in steps for x in (
-        side(own_l[k], "dk", F.col("c") - SIDE + k), side(own_r[k], "dk", F.col("d") + k),
-        side(l[k], "f_dk", F.col("f_c") - SIDE + k), side(r[k], "f_dk", F.col("f_d") + k))])))
-    q = written(q.select("dk", *bounds, "same", "q.*"))
-    got = words_of(documents, q.select(F.col("q_dk").alias("dk"), F.col("q_pos").alias("pos")).distinct())
-    d = q.join(got.select(F.col("dk").alias("q_dk"), F.col("pos").alias("q_pos"), "hashes"), ["q_dk", "q_pos"], "left")
-    pick = lambda name: F.coalesce(F.max(F.when(F.col("side") == name, F.col("hashes"))), F.array().cast("array<bigint>")).alias(name)
-    d = d.groupBy("dk", *bounds, "same").agg(*[pick(x) for x in (*own_l, *own_r, *l, *r)])
-    d = d.withColumns({"own_left": F.concat(*own_l), "own_right": F.concat(*own_r), "left": F.concat(*l), "right": F.concat(*r)})
-
-    def common(x, y):
-        first_other = F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), F.lit(False))
-        return F.when(first_other > 0, first_other - 1).otherwise(F.least(F.size(x), F.size(y))).cast("int")
-
-    d = d.select("dk", *bounds, "same", common(F.reverse("own_left"), F.reverse("left")).alias("left"), common(F.col("own_right"), F.col("right")).alias("right"))
-    long_enough = d.where(F.col("same") + F.col("left") + F.col("right") > min_words).drop("same")
-    return sure.unionByName(long_enough).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct(*bounds, "left", "right"))).alias("cuts"))
+                w = words(part.column("text"))
+                short = w.hashes.astype(np.uint32)
+                places = part.column("places")
+                flat, at = places.flatten(), np.append(0, np.cumsum(pc.list_value_length(places).to_numpy()))
+                text = np.repeat(np.arange(part.num_rows), np.diff(at))
+                side, place = flat.field("side").to_numpy(), flat.field("place").to_numpy().astype(np.int64) + w.first[text]
+                lo = np.where(side == 0, np.maximum(place - CONTEXT, w.first[text]), place)
+                hi = np.where(side == 0, place, np.minimum(place + CONTEXT, w.first[text + 1]))
+                for s in range(0, text.size, 5000):
+                    t = slice(s, s + 5000)
+                    near = [short[x:y].tobytes() for x, y in zip(lo[t], hi[t])]
+                    yield pa.RecordBatch.from_arrays([part.column("dk").take(pa.array(text[t])), pa.array(side[t]), flat.field("place").slice(s, 5000), pa.array(near, pa.binary())],
+                                                     names=["f_dk", "side", "place", "near"])
+
+    texts = _identified(documents).select("dk", "text").mapInArrow(pick, "dk long, text string").dropDuplicates(["dk"])
+    return texts.join(asked.withColumnRenamed("f_dk", "dk"), "dk").mapInArrow(run, "f_dk long, side int, place int, near binary")
+
+
+def candidates(documents: DataFrame, cutting: Cutting) -> DataFrame:
+    """dk, runs (array of a, b, f_dk, side, near): the aligned runs of each text with the words beside them in their sources."""
+    runs = written(aligned(documents, cutting))
+    side = lambda k, place: F.struct(F.lit(k).alias("side"), place.cast("int").alias("place"))
+    ends = runs.select("dk", "a", "b", "f_dk", F.explode(F.array(side(0, F.col("f_a")), side(1, F.col("f_a") + F.col("b") - F.col("a")))).alias("q")).select(
+        "dk", "a", "b", "f_dk", "q.*")
+    counts = written(ends.groupBy("f_dk", "side", "place").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
+    near = words_at(documents, counts.groupBy("f_dk").agg(F.collect_list(F.struct("side", "place")).alias("places")))
+    # A place that many runs ask for is dealt out, so its answer goes to several tasks.
+    dealt = ends.join(counts, ["f_dk", "side", "place"]).withColumn("share", F.pmod(F.xxhash64("dk", "a"), F.col("shares")).cast("int")).drop("shares")
+    near = near.join(counts, ["f_dk", "side", "place"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    got = dealt.join(near, ["f_dk", "side", "place", "share"])
+    return got.groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("a", "b", "f_dk", "side", "near"))).alias("runs"))
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements agree from the start on."""
+    n = min(x.size, y.size)
+    other = np.flatnonzero(x[:n] != y[:n])
+    return int(other[0]) if other.size else n
+
+
+def repeated_words(own: np.ndarray, runs: list[dict], word: np.ndarray, size: np.ndarray, digest: np.ndarray, min_words: int) -> np.ndarray:
+    """Which words of a text (32-bit hashes) stood before: in earlier texts by ``runs``, in the text itself by its chunks."""
+    gone = np.zeros(own.size, bool)
+    for left, right in zip(runs[0::2], runs[1::2]):  # of each run the side before it, then the one after it
+        a, b = left["a"], left["b"]
+        lo = _same(own[max(0, a - CONTEXT):a][::-1], np.frombuffer(left["near"], np.uint32)[::-1])
+        hi = _same(own[b:b + CONTEXT], np.frombuffer(right["near"], np.uint32))
+        if b - a + lo + hi > min_words:
+            gone[a - lo:b + hi] = True
+    order = np.lexsort((word, digest))
+    d, at = digest[order], word[order]
+    head = starts(d)
+    first = np.repeat(at[head], np.diff(np.append(head, d.size)))
+    later = np.flatnonzero(at > first)
+    if later.size:
+        again = order[later]
+        k = np.lexsort((word[again], first[later] - word[again]))
+        a, shift, b = word[again][k], (first[later] - word[again])[k], (word[again] + size[again])[k]
+        new = np.flatnonzero(np.append(True, (shift[1:] != shift[:-1]) | (a[1:] > b[:-1])))
+        ends = np.maximum.reduceat(b, new)
+        turn = np.argsort(a[new], kind="stable")
+        for x, y, s in zip(a[new][turn].tolist(), ends[turn].tolist(), shift[new][turn].tolist()):
+            if gone[x:y].all():
+                continue
+            lo = _same(own[:x][::-1], own[:x + s][::-1])
+            hi = _same(own[y:], own[y + s:])
+            if y - x + lo + hi > min_words:
+                gone[x - lo:y + hi] = True
+    return gone
 
 
 def deduplicate(documents: DataFrame, *, min_words: int = 50) -> DataFrame:
     """All columns of documents with the text cut, and removed_spans (bytes of the old text), removed_words.
 
-    A passage of more than ``min_words`` words that stood before, in a document
-    of smaller doc_id or earlier in the same one, is removed, up to a few words
-    at its ends; shorter repeats stay.  Exact copies of a long text lose all of
-    it: their text becomes empty.  Null texts stay null, texts without repeats
-    stay as they are, byte for byte.  A null doc_id comes last.  Rows repeated
-    with the same doc_id and text count as one occurrence.  An empty table
-    gives an empty result.  Columns named like the new ones are replaced.
+    A word goes when it lies in a run of more than ``min_words`` words that
+    stood before: in a text of smaller (doc_id, hash), or further to the front in
+    the same one (the two may overlap).  Words are compared without case and
+    white space.  Each chunk is compared with its first occurrence only, so a
+    run can stay of which every single chunk stood earlier, in other passages.
+    Shorter repeats stay.  Exact copies of a long text lose all of it: their
+    text becomes empty.  Null texts stay null; texts without repeats stay as
+    they are, byte for byte; texts of any length are treated whole.  A null
+    doc_id comes last.  Rows repeated with the same doc_id and text count as
+    one occurrence.  An empty table gives an empty result.  Other columns keep
+    names and values, but for columns named like the two new ones (in any
+    case), which are replaced.
     """
-    new = {"removed_spans", "removed_words"}
-    columns = [c for c in documents.columns if c not in new]
-    cuts = removals(documents, min_words).select(F.col("dk").alias("_c_dk"), F.col("cuts").alias("_cuts"))
-    keyed = documents.select(*columns, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_dk"))
-    joined = keyed.join(cuts, F.col("_dk") == F.col("_c_dk"), "left").select(*columns, "_cuts")
+    cutting = Cutting.of(min_words)
+    columns = [c for c in documents.columns if c.lower() not in ("removed_spans", "removed_words")]
+    runs = candidates(documents, cutting)
+    dk, r_dk, r_runs = fresh(documents, 3)
+    keyed = documents.select(*columns, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias(dk))
+    joined = keyed.join(runs.toDF(r_dk, r_runs), F.col(dk) == F.col(r_dk), "left").select(*columns, r_runs)
+    body = next(c for c in columns if c.lower() == "text")
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
-                texts = part.column("text").to_pylist()
-                marks = part.column("_cuts").to_pylist()
-                spans, counts = [[] for _ in texts], [0] * len(texts)
-                at = [i for i, m in enumerate(marks) if m]
-                if at:
-                    c, w = chunk_column(part.column("text").take(pa.array(at)))
-                    bounds = np.searchsorted(c["text"], np.arange(len(at) + 1))
-                    for k, i in enumerate(at):
-                        raw, end, out, done = texts[i].encode(), w.first[k + 1], [], 0
-                        word = np.append(c["word"][bounds[k]:bounds[k + 1]], end)  # the first word of each chunk
-                        for cut in marks[i]:
-                            lo = max(min(int(word[cut["a"]]), int(word[cut["c"]]) - cut["left"]), int(w.first[k]))
-                            hi = min(max(int(word[cut["b"]]), int(word[cut["d"]]) + cut["right"]), int(end))
-                            a = max(int(w.starts[lo] - w.at[k]), done)
-                            b = int(w.starts[hi] - w.at[k]) if hi < end else len(raw)
-                            if b > a:
-                                out.append(raw[done:a])
-                                spans[i].append({"start": a, "end": b})
-                                counts[i] += int(hi - lo)
-                                done = b
-                        texts[i] = b"".join([*out, raw[done:]]).decode()
-                arrays = [pa.array(texts, pa.string()) if f == "text" else part.column(f) for f in columns]
-                lists = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            for part in chunks(batch, body):
+                marks = part.column(r_runs).to_pylist()
+                c, w = chunk_column(part.column(body), cutting)
+                short = w.hashes.astype(np.uint32)
+                bounds = np.searchsorted(c["text"], np.arange(part.num_rows + 1))
+                texts, spans, counts = part.column(body).to_pylist(), [None] * part.num_rows, np.zeros(part.num_rows, np.int64)
+                for i, mark in enumerate(marks):
+                    s, lo, hi = slice(bounds[i], bounds[i + 1]), int(w.first[i]), int(w.first[i + 1])
+                    gone = repeated_words(short[lo:hi], mark or [], c["word"][s], c["n_words"][s], c["digest"][s], min_words)
+                    if not gone.any():
+                        continue
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                    raw, done, out, spans[i] = texts[i].encode(), 0, [], []
+                    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+                        begin = int(w.starts[lo + a] - w.at[i])
+                        end = int(w.starts[lo + b] - w.at[i]) if lo + b < hi else len(raw)
+                        out.append(raw[done:begin])
+                        spans[i].append({"start": begin, "end": end})
+                        done = end
+                    texts[i], counts[i] = b"".join([*out, raw[done:]]).decode(), gone.sum()
+                arrays = [pa.array(texts, pa.string()) if f == body else part.column(f) for f in columns]
+                lists = pa.array([x or [] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([*arrays, lists, pa.array(counts, pa.int64())], names=[*columns, "removed_spans", "removed_words"])
 
-    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in documents.schema if f.name not in new)
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == body else f.dataType.simpleString()}" for f in documents.schema if f.name in columns)
     return joined.mapInArrow(run, f"{kinds}, removed_spans array<struct<start:long,end:long>>, removed_words long")
