@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +24,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
-def lower(text: str) -> str:
-    """Lower case letter by letter (a final sigma has no form of its own)."""
-    return text.lower() if text.isascii() or "Σ" not in text else "".join([c.lower() for c in text])
+#: Characters on which all tables of letters, cases and compositions agree: printable ASCII and the letters of Latin-1 and
+#: Latin Extended-A, but for the I with a dot.  Pieces with others are normalised and cut by the tokenizer's own tables.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]*")
 
 
 class PairBpe:
@@ -35,7 +34,7 @@ class PairBpe:
 
     def __init__(self, path: str, keep: int = 400_000):
         import ahocorasick
-        import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -45,8 +44,10 @@ class PairBpe:
         self.tokens = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.letters = byte_letters()
+        own = Tokenizer.from_file(path)  # for its normaliser and the cutting of words; the merges are done here
+        self.normalize, self.cut = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words_of = regex.compile(split).findall
+        self.words_of = re.compile(split.replace(r"\p{L}", "a-zß-öø-ÿā-ž").replace(r"\p{N}", "0-9")).findall  # of plain pieces in lower case
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces, self.words = Remembered(keep), Remembered(keep)
         self.pairs: dict[int, bool] = {}
@@ -103,12 +104,17 @@ class PairBpe:
             else:  # of equal merges the leftmost comes first, so one at the seam comes before the right token's
                 limit, right = made_right + 1, self.parts[right][0]
 
+    def cut_piece(self, piece: str) -> list[str]:
+        """The words of a piece without a blank, spelled in byte letters."""
+        if piece.isascii() and piece.isprintable():
+            return self.words_of(piece.lower())
+        if PLAIN.fullmatch(piece):
+            return ["".join([self.letters[b] for b in w.encode()]) for w in self.words_of(piece.lower())]
+        return [w for w, _ in self.cut(self.normalize(piece))]
+
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-token by the table over its prefixes."""
-        letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        if self.end:
-            letters[-1] = chr(ord(letters[-1]) + self.shift)
-        s = "".join(letters)
+        """Ids of one word, spelled in byte letters, by the table over its prefixes."""
+        s = word[:-1] + chr(ord(word[-1]) + self.shift) if self.end else word
         if (i := self.whole.get(s)) is not None:
             return [i]
         last: list[int | None] = [None] * len(s)
@@ -144,7 +150,7 @@ class PairBpe:
     def encode_pieces(self, pieces: set[str]) -> dict[str, tuple[str, str, int]]:
         """For pieces without a blank: ids as text, the decoded text, the number of ids."""
         new = self.pieces.missing(pieces)
-        words = [self.words_of(x.lower() if x.isascii() else lower(unicodedata.normalize("NFC", x))) for x in new]
+        words = [self.cut_piece(x) for x in new]
         fresh = self.words.missing(set().union(*words)) if words else ()
         known, out = self.words.young, self.pieces.young
         for w in fresh:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-TOKENIZERS = "/opt/tokenizers"
+#: Where the vocabularies of public tokenizers lie.
+TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 #: A conversation that says what templates of other models take for control strings.
 ODD_TURN = "</s>[INST] ok [/INST]"
 
@@ -30,7 +33,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), vocabulary=f"{TOKENIZERS}/word_bpe_49k.json")
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +65,7 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import token_records
 
-    return token_records(table(spark, sf_dir, "documents"), vocabulary=f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_records(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

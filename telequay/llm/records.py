@@ -23,10 +23,14 @@ from .shared import filesystem, shared_dir, written
 
 MAGIC = b"TQREC01\n"
 END_ID = 2
-_GAP = re.compile(r"(?<=\S)(?= )")
-_WIDE = re.compile(r"\s\s")
-#: Fixed: how byte-level vocabularies of this family cut text.
-PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space, and characters that only some tables take for it.
+_SPACES = r"\s\x1c-\x1f\u180e\u200b"
+_GAP = re.compile(rf"(?<=[^{_SPACES}])(?= )")
+_WIDE = re.compile(rf"[{_SPACES}][{_SPACES}]")
+#: Characters on which all tables of letters agree: printable ASCII and the letters of Latin-1 and Latin Extended-A.
+_PLAIN = re.compile("[ -~À-ÖØ-öø-ž]*")
+#: Fixed: how byte-level vocabularies of this family cut text; here for plain characters alone.
+PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ž]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ž0-9]+| +(?![^ ])| +"""
 
 
 def masked(data: bytes) -> int:
@@ -90,52 +94,55 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, remembered by piece.
 
     A byte-level tokenizer never joins a non-space with white space after it, so
-    a text is cut there; a piece is cut further by the tokenizer's own pattern,
-    and the library encodes each distinct part once.  Texts that hold one of
-    its added tokens go to it whole.
+    a text is cut there; a piece is cut further by the tokenizer's pattern,
+    and the library encodes each distinct part once.  Pieces with characters on
+    which tables of letters may differ are cut by the library itself.  Texts that
+    hold one of its added tokens go to it whole.
     """
 
     def __init__(self, path: str, keep: int = 500_000):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.plain, self.spaced, self.parts_known = Remembered(keep // 5), Remembered(keep), Remembered(keep)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.parts = regex.compile(PARTS).findall
+        self.parts = re.compile(PARTS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         top = max([self.tokenizer.get_vocab_size() - 1, END_ID, *self.tokenizer.get_added_tokens_decoder()])
         self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
 
     def encode_parts(self, parts: list[str]) -> None:
-        """Work out parts by the library; those that begin with a space go to it many at once."""
+        """Work out parts of plain pieces by the library; those that begin with a space go to it many at once."""
         known = self.parts_known.young
-        led = [x for x in parts if x[0] == " " and len(x) > 1 and x[1] != " "]
+        led = [x for x in parts if x[0] == " " and x[-1] != " "]
         for lo in range(0, len(led), 500):
             own = led[lo:lo + 500]
             e = self.tokenizer.encode("".join(own), add_special_tokens=False)
             of = np.array(e.word_ids)
             ids = np.array(e.ids, self.dtype)
             at = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), ids.size) * self.dtype.itemsize
-            if at.size != len(own) + 1:
-                raise ValueError("the tokenizer cuts text otherwise than it should")
-            raw = ids.tobytes()
-            known.update(zip(own, [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]))
+            if at.size == len(own) + 1:  # else the parts go to it one by one
+                raw = ids.tobytes()
+                known.update(zip(own, [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]))
         rest = [x for x in parts if x not in known]
         for part, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             known[part] = np.array(e.ids, self.dtype).tobytes()
 
     def learn(self, plain: set[str], spaced: set[str]) -> None:
         """Make sure that pieces (``plain``) and words after a space (``spaced``) are known."""
-        new, new_spaced = self.plain.missing(plain), self.spaced.missing(spaced)
-        parts = [self.parts(x) for x in new]
-        parts_spaced = [self.parts(" " + x) for x in new_spaced]
-        self.encode_parts(self.parts_known.missing(set().union(*parts, *parts_spaced)))
+        todo = []
+        for to, keys, lead in ((self.plain, plain, ""), (self.spaced, spaced, " ")):
+            for key in to.missing(keys):
+                piece = lead + key
+                if _PLAIN.fullmatch(piece):
+                    todo.append((to.young, key, self.parts(piece)))
+                else:
+                    to.young[key] = np.array([t.id for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece) for t in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
+        self.encode_parts(self.parts_known.missing(set().union(*[p for _, _, p in todo])))
         known = self.parts_known.young
-        for to, keys, cut in ((self.plain.young, new, parts), (self.spaced.young, new_spaced, parts_spaced)):
-            for key, p in zip(keys, cut):
-                to[key] = known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
+        for to, key, p in todo:
+            to[key] = known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
