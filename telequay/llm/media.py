@@ -111,7 +111,7 @@ class _Range(InputPartition):
         self.path, self.size, self.lo, self.hi = path, size, lo, hi
 
 
-def read_member(f, info: zipfile.ZipInfo, chunk: bytes | None) -> bytes:
+def read_member(f, info: zipfile.ZipInfo, chunk: memoryview | None) -> bytes:
     """The bytes of a member from ``chunk``, or from the file at the member's offset; checks its CRC."""
     if chunk is None:
         f.seek(info.header_offset)
@@ -159,7 +159,7 @@ class _Reader(DataSourceReader):
                 while last + 1 < len(own) and ends[own[last + 1].header_offset] - lo <= self.batch:
                     last += 1
                 f.seek(lo)
-                chunk = f.read(ends[own[last].header_offset] - lo)
+                chunk = memoryview(f.read(ends[own[last].header_offset] - lo))  # members are views of it, not copies
                 for info in own[at:last + 1]:
                     data, error = None, None
                     for attempt in range(self.retries + 1):
@@ -214,7 +214,9 @@ def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
 def media_columns(media: DataFrame) -> DataFrame:
     """Features of (doc_id, media): one row each, with the sizes and digests read back.
 
-    A member that could not be read has nulls in all columns but doc_id.
+    A member that could not be read has nulls in all columns but doc_id; one that
+    is no image of a payload has media_bytes and media_sha256 besides.  Equal ids
+    and equal members stay rows of their own; an empty table gives an empty result.
     """
 
     def columns(batches):
@@ -224,7 +226,11 @@ def media_columns(media: DataFrame) -> DataFrame:
                 if data is None:
                     out.append((doc_id, *[None] * 7))
                     continue
-                n, payload = from_media(data)
+                try:
+                    n, payload = from_media(data)
+                except ValueError:  # readable, but no image of a payload
+                    out.append((doc_id, *[None] * 4, len(data), hashlib.sha256(data).hexdigest(), None))
+                    continue
                 out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]),
                             len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
             if out:
