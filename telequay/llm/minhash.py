@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packed import counted, distinct, pack, unpack
-from .shared import spread, written
+from .shared import fresh, spread, width, written
 from .words import Shingles, chunks, mix64, random_table, shingles, words
 
 #: Bytes of text in a block, and blocks a shard of shingles has to answer: a shard holds about as many shingles as these have words.
@@ -175,7 +175,7 @@ def sketches(documents: DataFrame) -> tuple[DataFrame, int]:
     frequencies of the text's shingles) of every row; and the number of documents with words."""
     blocks = written(text_blocks(documents))
     n, many = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    shards = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // BLOCKS_A_SHARD))
+    shards = max(width(documents.sparkSession), -(-many // BLOCKS_A_SHARD))
 
     def sketch(own: pa.Table, answers: pa.Table) -> pa.Table:
         texts = [x for b in _texts(own.column("texts")[0].as_py()).to_batches() for x in chunks(b)]
@@ -402,10 +402,10 @@ def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     Rows go by doc_id and text, so a text is never lost for another one under
     its doc_id; of rows that repeat both one stays.
     """
-    found = classes(documents, **options).where("not first or linked and n > 1").select(
-        F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash"), "first")
-    found = written(found)
-    keyed = documents.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d_id")) & (F.col("_hash") == F.col("d_hash"))
-    repeated = keyed.join(found.where("first"), same, "left_semi").withColumn("_id", F.col("doc_id").cast("long")).dropDuplicates(["_id", "_hash"])
-    return keyed.join(found, same, "left_anti").unionByName(repeated.drop("_id")).select(*documents.columns)
+    own_id, own_hash, d_id, d_hash, stays = fresh(documents, 5)
+    found = classes(documents, **options).where("not first or linked and n > 1").select("doc_id", "text_hash", "first")
+    found = written(found.toDF(d_id, d_hash, stays))
+    keyed = documents.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64("text")})
+    same = F.col(own_id).eqNullSafe(F.col(d_id)) & (F.col(own_hash) == F.col(d_hash))
+    repeated = keyed.join(found.where(F.col(stays)), same, "left_semi").dropDuplicates([own_id, own_hash])
+    return keyed.join(found, same, "left_anti").unionByName(repeated).drop(own_id, own_hash)

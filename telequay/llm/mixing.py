@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import uniform, written
+from .shared import fresh, uniform, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -115,10 +115,11 @@ def mixed_rows(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     Documents whose doc_id repeats take the copies of their own (doc_id, source, size).
     """
+    m_id, m_source, m_size, m_copies, own_size, copy = fresh(documents, 6)
     copies = (mix_documents(documents, labels, **options).where("copies > 0")
-              .groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"))
-              .agg(F.max("copies").alias("m_copies")))
-    sized = documents.withColumn("m_own", text_size(F.col("text")))
-    out = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source"))
-                     & (F.col("m_own") == F.col("m_size")))
-    return out.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies").cast("int")))).select(*documents.columns)
+              .groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))).toDF(m_id, m_source, m_size, m_copies)
+    sized = documents.withColumn(own_size, text_size(F.col("text")))
+    out = sized.join(copies, F.col("doc_id").eqNullSafe(F.col(m_id)) & F.col("source").eqNullSafe(F.col(m_source))
+                     & (F.col(own_size) == F.col(m_size)))
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(m_copies).cast("int"))))
+    return out.drop(m_id, m_source, m_size, m_copies, own_size, copy)
