@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,6 @@ from telequay.llm.components import components
 from telequay.llm.packed import Index
 from telequay.llm.words import shingles, words
 
-TOKENIZERS = "/opt/tokenizers"
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -119,7 +119,7 @@ def test_chat_round_trip(spark):
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     r = random.Random(3)
     texts = ODD + ["".join(r.choice("abcdehilnorstaaeeiio'.!?0123é ") for _ in range(r.randint(1, 60))) for _ in range(300)] + ["a" * n for n in range(1, 40)]
@@ -136,7 +136,7 @@ def test_bpe_equals_the_library(spark):
 def test_records_equal_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     texts = ODD + [" a", "a  b", "a \n b", "a\n\n b\t c", "  ", " \n", "　 x", "\x85 q"]
     got = records.token_records(documents(spark, texts), vocabulary=path, folder=f"file://{tmp_path}/r").orderBy("doc_id").collect()
@@ -157,6 +157,36 @@ def test_records_equal_the_library(spark, tmp_path):
     assert records.token_records(documents(spark, texts).limit(0), vocabulary=path).count() == 0
 
 
+ODD_LETTERS = ["\na'S \U00017a06\U000191b4\u1b60", "\u1e9e\U00011de0's\x85\x0b", "\U00018e22\u03a3\u03ff\ufffa\u05ef\u1e9e", "\u0130stanbul \u0391\u03a3 \u0149 \u017f \u00df"]
+
+
+def odd_text(r):
+    """Letters, marks, spaces and unassigned code points in any order."""
+    def one():
+        k = r.random()
+        if k < 0.5:
+            return r.choice(["a", "d", "'s", "'ll", "!", "0", "é", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\u3000", "ß", "É", "ž"])
+        return chr(r.choice([r.randint(0x300, 0x36F), r.randint(0x80, 0x2FFF), r.randint(0x3000, 0xD7FF), r.randint(0xE000, 0xFFFF), r.randint(0x10000, 0x1FFFF)]))
+    return "".join(one() for _ in range(r.randint(1, 14)))
+
+
+def test_encoders_equal_the_library_on_any_letters():
+    from tokenizers import Tokenizer
+
+    r = random.Random(17)
+    texts = ODD_LETTERS + [odd_text(r) for _ in range(12_000)]
+    for name, model in (("word_bpe_49k.json", bpe.PairBpe), ("byte_bpe_50k.json", records.Encoder)):
+        path = public_tokenizers.path(name)
+        library, own = Tokenizer.from_file(path), model(path)
+        for lo in range(0, len(texts), 300):
+            part = texts[lo:lo + 300]
+            for x, want, got in zip(part, library.encode_batch(part, add_special_tokens=False), own.encode(part)):
+                if isinstance(got, tuple):
+                    assert got == (" ".join(map(str, want.ids)), library.decode(want.ids, skip_special_tokens=False), len(want.ids)), ascii(x)
+                else:
+                    assert np.frombuffer(got, own.dtype).tolist() == want.ids, ascii(x)
+
+
 # 7
 
 def test_vectors_equal_brute_force(spark):
@@ -197,6 +227,20 @@ def test_large_buckets_are_dealt_out_in_blocks(spark, monkeypatch):
     assert all(r.n_links == 59 and r.component_id == 0 for r in got)
 
 
+def test_vectors_of_odd_rows(spark):
+    """Null ids, rows that repeat, equal vectors under several labels, lengths that differ, numbers that need 64 bits, no rows."""
+    v, w = [1.0, 2.0, 3.0, 0.1], [1.0, 2.0, 3.0, 0.2]
+    rows = [(None, v, 1), (None, w, 1), (7, v, 1), (7, v, 1), (3, w, 2), (3, v, 2), (None, [5.0, -1.0], 1), (None, None, 1), (9, [1e300, 2e300, 3e300, 1e299], 1), (4, [-x for x in v], 1), (5, [], 1)]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, rid string")
+    got = sorted(map(tuple, vectors.near_vectors(d).collect()), key=str)
+    want = [(None, 4, 7, False), (None, 4, 7, False), (7, 4, 7, True), (7, 4, 7, True), (9, 4, 7, False), (3, 1, 3, True), (3, 1, 3, True),
+            (None, 0, None, True), (None, 0, None, True), (4, 0, 4, True), (5, 0, 5, True)]
+    assert got == sorted(want, key=str)
+    assert vectors.near_vectors(d.limit(0)).count() == 0
+    alone = vectors.near_vectors(d.where("vec_id is null")).collect()
+    assert sorted((r.n_links, r.component_id, r.kept) for r in alone) == [(0, None, True)] * 2 + [(1, None, True)] * 2
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(r.randint(100, 200), r.randint(100, 200)) for _ in range(60)] + [(7, 7), (300, 300), (None, 1)]
@@ -212,17 +256,51 @@ def test_components(spark):
 
 # 9
 
-def test_language_models_sum_to_one():
+def test_language_models_sum_to_one(spark):
+    """With all n-grams and with rare ones left out, the characters after any context come to 1, one never seen among them."""
+    rows = spark.createDataFrame([("the cat sat on the mat", "en"), ("a dog and a cat", "en"), ("eine katze", "de"), ("zwei katzen", "de")], "text string, lang string")
     keys, _ = language.keys_of(["the cat sat on the mat", "a dog and a cat"])
-    k, n = np.unique(keys, return_counts=True)
-    m = language.build(np.array(["en"] * k.size), k, n)
-    scorer = language.Scorer(m)
-    chars = m.keys[0]
-    for ctx in (k[3] >> np.uint64(16), np.uint64(0x0071_0071_0071)):  # a seen and an unseen context
-        p = np.exp(scorer.logs((ctx << np.uint64(16)) | chars).astype(float)).sum()
-        assert 0.9 < p <= 1.0001
+    k = np.unique(keys)
+    for entries in (4_000_000, 40):
+        m = language.learn(rows, entries=entries)
+        scorer = language.Scorer(m)
+        assert m.languages == ["de", "en"] and (entries > 40 or max(map(len, m.keys)) <= 40)
+        own = np.unique(keys & np.uint64(0xFFFF))
+        for ctx in (*(k[:9] >> np.uint64(16)), np.uint64(0x0071_0071_0071)):  # seen and unseen contexts
+            p = np.exp(scorer.logs((ctx << np.uint64(16)) | np.append(own, np.uint64(0x7777)))[:, 1].astype(float)).sum()
+            assert p == pytest.approx(1, abs=1e-4)
+
+
+def test_language_probabilities_equal_brute_force(spark):
+    texts = ["abab ac", "abc \U00010400b", "b"]
+    m = language.learn(spark.createDataFrame([(t, "x") for t in texts], "text string, lang string"))
+    number = lambda c: 0xE000 + ord(c.lower()) % 6400 if ord(c) > 0xFFFF else ord(c)
+    grams = [collections.Counter() for _ in range(4)]
+    for t in texts:
+        row = [1, 1, 1, *map(number, t)]
+        grams[3].update(tuple(row[i:i + 4]) for i in range(len(t)))
+    for n in (2, 1, 0):
+        grams[n].update(g[1:] for g in grams[n + 1])
+
+    def p(g):
+        if not g:
+            return 1 / (len(grams[0]) + 1)
+        own = grams[len(g) - 1]
+        n1, n2 = (sum(c == k for c in own.values()) for k in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        ctx = {h: c for h, c in own.items() if h[:-1] == g[:-1]}
+        total = sum(ctx.values())
+        return max(own[g] - d, 0) / total + d * len(ctx) / total * p(g[1:]) if total else p(g[1:])
+
+    want = np.array([np.mean([-np.log(p(tuple([1, 1, 1, *map(number, t)][i:i + 4]))) for i in range(len(t))]) for t in texts])
+    got, n = language.Scorer(m).entropies(texts)
+    assert n.tolist() == [len(t) for t in texts] and np.allclose(got[:, 0], want, rtol=1e-5)
+
+
+def test_index_finds_keys():
+    k = np.unique(np.random.default_rng(0).integers(0, 1 << 62, 5000).astype(np.uint64))
     index = Index(k)
-    assert (index.find(k) == np.arange(k.size)).all() and (index.find(k + np.uint64(1 << 60)) == -1).all()
+    assert (index.find(k) == np.arange(k.size)).all() and (index.find(k + np.uint64(1 << 63)) == -1).all()
 
 
 def test_language_of_held_out_texts(spark):
