@@ -32,7 +32,7 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]*")
 class PairBpe:
     """A word-end BPE vocabulary with normalised, lower-case words (a tokenizers JSON file)."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 100_000):
         import ahocorasick
         from tokenizers import Tokenizer
 
@@ -119,7 +119,7 @@ class PairBpe:
             return [i]
         last: list[int | None] = [None] * len(s)
         pairs, length = self.pairs, self.length
-        if len(pairs) > 4_000_000:
+        if len(pairs) > 500_000:
             pairs.clear()
         for at, token in self.suffixes(s):
             if last[at] is not None:
