@@ -49,8 +49,8 @@ class PairBpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words_of = re.compile(split.replace(r"\p{L}", "a-zß-öø-ÿā-ž").replace(r"\p{N}", "0-9")).findall  # of plain pieces in lower case
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces, self.words = Remembered(keep), Remembered(keep)
-        self.pairs: dict[int, bool] = {}
+        self.keep = keep
+        self.forget()
 
         # Symbols: a byte letter, or one that ends a word (shifted beyond all letters).
         self.shift = 0x1000
@@ -71,6 +71,11 @@ class PairBpe:
         automaton.make_automaton()
         self.suffixes = automaton.iter
 
+    def forget(self) -> None:
+        """Drop what was remembered; workers outlive tasks and should not hold on to it."""
+        self.pieces, self.words = Remembered(self.keep), Remembered(self.keep)
+        self.pairs: dict[int, bool] = {}
+
     def symbols(self, token: str) -> str:
         """A token as one character for each symbol."""
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -213,6 +218,7 @@ def encode_documents(documents: DataFrame, *, vocabulary: str, texts_at_once: in
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([g[2] for g in got], pa.int64()), pa.array([sha(g[0]) for g in got]),
                      pa.array([sha(g[1]) for g in got])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -229,5 +235,6 @@ def encode_ids(documents: DataFrame, *, vocabulary: str, texts_at_once: int = 25
                 got = bpe.encode([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([list(map(int, g[0].split())) for g in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        bpe.forget()
 
     return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")

@@ -31,7 +31,7 @@ from .words import Words, chunks, mix64, words
 #: Bytes of trusted text a shard of the model; a shard holds about as many bigrams as these have words.
 SHARD_BYTES = 8 << 20
 #: Bytes of text a block: its features are sent to the shards together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bits of a feature's key within its shard: of bigrams not in a shard of 2^20 features one in 2^12 is taken for one of them.
 KEY_BITS = 32
 #: Bits of the filter of words (8 MB) that every task has: words that are not in it are not in the model and are not asked for.

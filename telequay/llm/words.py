@@ -46,7 +46,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``size`` bytes of text each (one text may be longer)."""
     _, at = text_bytes(batch.column(column))
     lo = 0
