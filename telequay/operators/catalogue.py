@@ -48,9 +48,14 @@ def signal_obtainability(signals: DataFrame, presence: DataFrame, capabilities:
 
 
 def phenomenon_observability(members: DataFrame, availability: DataFrame) -> DataFrame:
-    """full, partial or none for each phenomenon by its required members' signals."""
-    d = members.where("role = 'required'").join(availability, "signal", "left")
-    c = lambda s: F.count_if(F.coalesce("state", F.lit("ok")) == s)
+    """full, partial or none for each phenomenon and cluster by its required members' signals.
+
+    Every cluster is asked for every member; a signal it has no row for is out of scope there.
+    """
+    clusters = availability.select("cluster_id").distinct()
+    asked = members.where("role = 'required'").select("phenomenon", "signal").distinct().join(F.broadcast(clusters))  # a few clusters
+    d = asked.join(availability.select("cluster_id", "signal", "state"), ["cluster_id", "signal"], "left")
+    c = lambda s: F.count_if(F.coalesce("state", F.lit("out-of-scope")) == s)
     by = d.groupBy("cluster_id", "phenomenon").agg(c("ok").alias("obtainable"), c("indeterminate").alias("indeterminate"), c("out-of-scope").alias("out_of_scope"), F.count(F.lit(1)).alias("n"))
     return by.withColumn("state", F.when(F.col("out_of_scope") == F.col("n"), "none").when(F.col("obtainable") == F.col("n"), "full").otherwise("partial"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from telequay.operators.topology import pod_uid, pods_of, with_anchor
+
 AT = ["tick_seq", "uid"]
 
 
@@ -16,15 +18,23 @@ def _one(components: DataFrame) -> DataFrame:
 
 
 def evidence(components: DataFrame, members: DataFrame) -> DataFrame:
-    """Every member (phenomenon, signal, role, metric or null) on every entity with components: met and fresh or null.
+    """Members (phenomenon, signal, role, metric or null) of the phenomena that a met member points at: met and fresh or null.
 
-    A member is met when its metric's component is fresh and above its bar.
+    A member is met when its metric's component is fresh and above its bar.  A
+    phenomenon without a met member on an entity is no finding there, so only
+    those with one are looked at in full.
     """
-    entities = components.select(*AT).distinct()
     c = _one(components).select(*AT, "metric", F.col("state").isin("above", "well-above").alias("above"), "stale")
-    d = entities.crossJoin(F.broadcast(members)).join(c, [*AT, "metric"], "left")
+    met = c.where("above and not stale").join(members.select("metric", "phenomenon").distinct(), "metric").select(*AT, "phenomenon").distinct()
+    return _looked_at(met.join(members, "phenomenon"), c)
+
+
+def _looked_at(asked: DataFrame, c: DataFrame) -> DataFrame:
+    """Members asked for at (tick_seq, uid), with what the components there say."""
     fresh = F.coalesce(~F.col("stale"), F.lit(False))
-    return d.select(*AT, "phenomenon", "signal", "role", "metric", fresh.alias("fresh"), (fresh & F.coalesce("above", F.lit(False))).alias("met"))
+    more = [x for x in ("on_scope",) if x in asked.columns]
+    return asked.join(c, [*AT, "metric"], "left").select(
+        *AT, "phenomenon", "signal", "role", "metric", *more, fresh.alias("fresh"), (fresh & F.coalesce("above", F.lit(False))).alias("met"))
 
 
 def match_local(ev: DataFrame, floor: float = 0.0) -> DataFrame:
@@ -42,19 +52,28 @@ def match_local(ev: DataFrame, floor: float = 0.0) -> DataFrame:
     return d.where(F.col("full") | (F.col("completeness") >= floor)).select(*AT, "phenomenon", "completeness", "full", "supporting")
 
 
-def match_spanned(ev: DataFrame, reached: DataFrame, floor: float = 0.0) -> DataFrame:
-    """Findings whose members with on_scope ``neighbour`` may be met on any reached entity.
+def match_spanned(components: DataFrame, members: DataFrame, reached: DataFrame, floor: float = 0.0) -> DataFrame:
+    """Findings whose members may be met on entities that are reached over the topology.
 
-    ``ev`` has on_scope; ``reached`` is (tick_seq, uid, target, verdict).  At
-    least one required member must be met on the anchor; suspect is true when a
-    neighbour's evidence came over suspect hops only.
+    ``members`` has on_scope: ``anchor`` (the entity itself), ``neighbour`` (one hop)
+    or ``two-hop``; ``reached`` is (tick_seq, key, target, hop, verdict).  At least
+    one required member must be met on the anchor, so only such anchors are looked
+    at; suspect is true when evidence came over suspect hops only.  A member on a
+    neighbour is met where any reached entity meets it.
     """
-    near = reached.join(ev.where("on_scope = 'neighbour'").withColumnRenamed("uid", "target"), ["tick_seq", "target"])
-    near = near.groupBy(*AT, "phenomenon", "signal", "role").agg(
+    c = _one(components).select(*AT, "metric", F.col("state").isin("above", "well-above").alias("above"), "stale")
+    anchors = c.where("above and not stale").join(members.where("role = 'required' and on_scope = 'anchor'").select("metric", "phenomenon").distinct(), "metric").select(
+        *AT, "phenomenon").distinct()
+    asked = anchors.join(members, "phenomenon")
+    own = _looked_at(asked.where("on_scope = 'anchor'"), c).select(*AT, "phenomenon", "signal", "role", "met", "fresh", F.lit(2).alias("verdict"), F.lit(True).alias("anchor"))
+    away = asked.where("on_scope <> 'anchor'")
+    hops = F.when(F.col("on_scope") == "neighbour", 1).otherwise(2)
+    step = reached.select("tick_seq", F.col("key").alias("uid"), "target", "hop", "verdict")
+    near = away.withColumn("hop", hops).join(step, [*AT, "hop"]).withColumnRenamed("uid", "anchor_uid").withColumnRenamed("target", "uid")
+    near = near.join(c, [*AT, "metric"], "left").withColumn("fresh", F.coalesce(~F.col("stale"), F.lit(False))).withColumn("met", F.col("fresh") & F.coalesce("above", F.lit(False)))
+    near = near.groupBy("tick_seq", F.col("anchor_uid").alias("uid"), "phenomenon", "signal", "role").agg(
         F.bool_or("met").alias("met"), F.bool_or("fresh").alias("fresh"), F.max(F.when(F.col("met"), F.col("verdict"))).alias("verdict"))
-    own = ev.where("on_scope = 'anchor'").select(*AT, "phenomenon", "signal", "role", "met", "fresh", F.lit(2).alias("verdict"), F.lit(True).alias("anchor"))
-    asked = ev.where("on_scope = 'neighbour'").select(*AT, "phenomenon", "signal", "role")
-    near = asked.join(near, [*AT, "phenomenon", "signal", "role"], "left").select(
+    near = away.select(*AT, "phenomenon", "signal", "role").join(near, [*AT, "phenomenon", "signal", "role"], "left").select(
         *AT, "phenomenon", "signal", "role", F.coalesce("met", F.lit(False)).alias("met"), F.coalesce("fresh", F.lit(False)).alias("fresh"), "verdict", F.lit(False).alias("anchor"))
     need = F.col("role") == "required"
     d = own.unionByName(near).groupBy(*AT, "phenomenon").agg(
@@ -65,27 +84,58 @@ def match_spanned(ev: DataFrame, reached: DataFrame, floor: float = 0.0) -> Data
     return d.where(F.col("full") | (F.col("completeness") >= floor)).select(*AT, "phenomenon", "completeness", "full", (F.col("suspect") > 0).alias("suspect"))
 
 
-def cascade_pairs(findings: DataFrame, relations: DataFrame, window_us: int) -> DataFrame:
-    """Downstream findings with the trigger's latest occurrence on the same entity within the window before them.
+def related(pairs: DataFrame, traversed: DataFrame, types: tuple[str, ...] = ("runs-on", "mounts", "selects")) -> DataFrame:
+    """How two entities of (tick_seq, a, b) are related, if they are.
 
-    ``findings``: run_id, now_us, uid, phenomenon; never after, never itself.
+    same-entity for equal keys, containers of one pod, or equal anchors (a
+    container's anchor is its pod); else the first type with an edge between the
+    anchors either way, suspect where none of that type is valid.
     """
-    d = findings.select("run_id", "now_us", "uid", F.col("phenomenon").alias("downstream")).join(relations.select("trigger", "downstream"), "downstream")
-    t = findings.select("run_id", F.col("now_us").alias("t_us"), "uid", F.col("phenomenon").alias("trigger"))
-    pairs = d.join(t, ["run_id", "uid", "trigger"]).where((F.col("t_us") <= F.col("now_us")) & (F.col("t_us") >= F.col("now_us") - window_us) & (F.col("trigger") != F.col("downstream")))
-    return pairs.groupBy("run_id", "now_us", "uid", "trigger", "downstream").agg(F.max("t_us").alias("trigger_us"))
-
-
-def related(pairs: DataFrame, traversed: DataFrame, types: tuple[str, ...] = ("runs-on", "mounts", "selects")) -> DataFrame:
-    """How two entities of (tick_seq, a, b) are related: same-entity, or the first type with an edge either way, suspect if so."""
+    pods = pods_of(traversed)
+    d = with_anchor(with_anchor(pairs, "a", pods), "b", pods)
     e = traversed.where(F.col("type").isin(*types)).select("tick_seq", F.least("from_key", "to_key").alias("lo"), F.greatest("from_key", "to_key").alias("hi"), "type", "verdict")
     prio = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("type"))
     e = e.groupBy("tick_seq", "lo", "hi").agg(F.min(F.struct(prio.alias("p"), (-F.col("verdict")).alias("worse"), "type")).alias("r"))
-    d = pairs.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(e, ["tick_seq", "lo", "hi"], "left")
-    how = (F.when(F.col("a") == F.col("b"), "same-entity").when(F.col("r.worse") == -1, F.concat("r.type", F.lit(" (suspect)"))).otherwise(F.col("r.type")))
+    d = d.withColumn("lo", F.least("a_anchor", "b_anchor")).withColumn("hi", F.greatest("a_anchor", "b_anchor")).join(e, ["tick_seq", "lo", "hi"], "left")
+    one_pod = F.coalesce(pod_uid(F.col("a")) == pod_uid(F.col("b")), F.lit(False))
+    same = (F.col("a") == F.col("b")) | one_pod | (F.col("a_anchor") == F.col("b_anchor"))
+    how = (F.when(same, "same-entity").when(F.col("r.worse") == -1, F.concat("r.type", F.lit(" (suspect)"))).otherwise(F.col("r.type")))
     return d.select("tick_seq", "a", "b", how.alias("relation")).where("relation is not null")
 
 
+def cascade_pairs(findings: DataFrame, relations: DataFrame, traversed: DataFrame, window_us: int) -> DataFrame:
+    """Downstream findings with their triggers on related entities.
+
+    ``findings``: run_id, tick_seq, now_us, uid, phenomenon.  Of each (trigger
+    phenomenon, entity) the latest occurrence counts that is no later than the
+    downstream finding and at most ``window_us`` before it, in the same run; a
+    finding is never its own trigger.  run_id, tick_seq, now_us, uid, downstream,
+    trigger, trigger_uid, trigger_us, relation.
+
+    Candidates come over the edges of the downstream's anchor at its tick, so
+    findings meet only those of their neighbours; times are joined by slots as
+    wide as the window.
+    """
+    pods = pods_of(traversed)
+    placed = with_anchor(findings.withColumn("place", F.coalesce(pod_uid(F.col("uid")), "uid")), "uid", pods)
+    d = placed.withColumnRenamed("phenomenon", "downstream").join(relations.select("trigger", "downstream"), "downstream")
+    edges = traversed.select("tick_seq", F.col("from_key").alias("uid_anchor"), F.col("to_key").alias("other")).union(
+        traversed.select("tick_seq", "to_key", "from_key")).distinct()
+    near = d.join(edges, ["tick_seq", "uid_anchor"]).withColumn("by", F.lit("anchor")).unionByName(
+        d.withColumn("other", F.col("uid_anchor")).withColumn("by", F.lit("anchor"))).unionByName(d.withColumn("other", F.col("place")).withColumn("by", F.lit("pod")))
+    slot = lambda t: F.floor(t / F.lit(window_us))
+    t = placed.select("run_id", F.col("now_us").alias("t_us"), F.col("uid").alias("trigger_uid"), F.col("phenomenon").alias("trigger"), "uid_anchor", "place", slot(F.col("now_us")).alias("slot"))
+    t = t.select("run_id", "t_us", "trigger_uid", "trigger", F.col("uid_anchor").alias("other"), "slot", F.lit("anchor").alias("by")).union(
+        t.select("run_id", "t_us", "trigger_uid", "trigger", "place", "slot", F.lit("pod")))
+    near = near.withColumn("slot", F.explode(F.array(slot(F.col("now_us")), slot(F.col("now_us")) - 1)))
+    key = ["run_id", "tick_seq", "now_us", "uid", "downstream", "trigger", "trigger_uid"]
+    found = near.join(t, ["run_id", "trigger", "other", "by", "slot"]).where(
+        F.col("t_us").between(F.col("now_us") - window_us, F.col("now_us")) & ((F.col("trigger") != F.col("downstream")) | (F.col("trigger_uid") != F.col("uid"))))
+    found = found.groupBy(*key).agg(F.max("t_us").alias("trigger_us"))
+    how = related(found.select("tick_seq", F.col("trigger_uid").alias("a"), F.col("uid").alias("b")).distinct(), traversed)
+    return found.join(how.withColumnsRenamed({"a": "trigger_uid", "b": "uid"}), ["tick_seq", "trigger_uid", "uid"]).select(*key, "trigger_us", "relation")
+
+
 def blast_radius(findings: DataFrame, relations: DataFrame, tier_a: DataFrame, near: DataFrame) -> DataFrame:
     """Entities that take part in a downstream phenomenon and are related to the finding's entity now."""
     d = findings.select("tick_seq", F.col("uid").alias("a"), F.col("phenomenon").alias("trigger")).join(relations.select("trigger", "downstream"), "trigger")
@@ -93,6 +143,12 @@ def blast_radius(findings: DataFrame, relations: DataFrame, tier_a: DataFrame, n
     return d.select("tick_seq", F.col("a").alias("uid"), "trigger", "downstream", F.col("b").alias("at_risk"), "relation").distinct()
 
 
+def latest_triggers(findings: DataFrame, window_us: int) -> DataFrame:
+    """What a cascade tracker holds after the newest finding of each run: the latest of each (phenomenon, entity) within the window."""
+    d = findings.groupBy("run_id", "phenomenon", "uid").agg(F.max("now_us").alias("now_us"))
+    return d.withColumn("end", F.max("now_us").over(W.partitionBy("run_id"))).where(F.col("now_us") >= F.col("end") - window_us).drop("end")
+
+
 def uncovered_loud(loud: DataFrame, ev: DataFrame, findings: DataFrame) -> DataFrame:
     """Loud (tick_seq, uid, metric) that no finding on the entity used as met evidence."""
     used = ev.where("met").join(findings.select(*AT, "phenomenon"), [*AT, "phenomenon"], "left_semi").select(*AT, "metric").distinct()
@@ -156,11 +212,15 @@ def selection_records(entities: DataFrame, tier: DataFrame, bound: DataFrame, st
 def budget_top_k(targets: DataFrame, ceiling: int) -> DataFrame:
     """Targets (uid, metric, precursor) ranked, precursors first; the first ``ceiling`` are budgeted (0 or less: all).
 
-    Targets are what a forecaster may be asked for, far fewer than entities; one task ranks them.
+    Only the budgeted are ranked: a top-k that every task cuts to ``ceiling`` rows first.  The others have no rank.
     """
-    rank = F.row_number().over(W.orderBy(F.col("precursor").desc(), "uid", "metric"))
-    d = targets.withColumn("rank", rank)
-    return d.withColumn("budgeted", (F.col("rank") <= ceiling) if ceiling > 0 else F.lit(True))
+    order = [F.col("precursor").desc(), F.col("uid"), F.col("metric")]
+    if ceiling <= 0:
+        return targets.withColumn("rank", F.lit(None).cast("int")).withColumn("budgeted", F.lit(True))
+    key = ["uid", "metric", "precursor"]
+    top = targets.select(*key).distinct().orderBy(*order).limit(ceiling)
+    top = top.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # at most ``ceiling`` rows
+    return targets.join(F.broadcast(top), key, "left").withColumn("budgeted", F.col("rank").isNotNull())
 
 
 def closure(tier: DataFrame, reached: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,14 @@
 """Streams of samples at many instants: latest values, rates, slopes, components, fingerprints.
 
 ``ticks`` (tick_seq, now_us) drives everything: one instant or a whole backtest
-is the same job.  It is a small table and is broadcast behind Spark's own size
-check; samples keep their partitioning by stream throughout.
+is the same job.  Times are joined by equality of a time slot, so a sample only
+meets the ticks near it; what holds at later ticks is carried on from the tick
+at which it was first seen.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,24 +18,61 @@ from telequay.params import SECOND, Params
 KEY = ["tick_seq", "stream_id"]
 
 
+def in_windows(rows: DataFrame, windows: DataFrame, width_us, at: str = "at_us") -> DataFrame:
+    """Rows with each window (start_us, end_us, ...) that holds their time, both ends included.
+
+    ``width_us`` (a number, or a column without names) is the width of the slots that
+    are joined; windows about as wide have two of them.
+    """
+    width = width_us if isinstance(width_us, Column) else F.lit(width_us)
+    slot = lambda t: F.floor(t / width)
+    w = windows.withColumn("slot", F.explode(F.sequence(slot(F.col("start_us")), slot(F.col("end_us")))))
+    d = rows.withColumn("slot", slot(F.col(at))).join(w, "slot")
+    return d.where(F.col(at).between(F.col("start_us"), F.col("end_us"))).drop("slot", "start_us", "end_us")
+
+
+def first_seen(readings: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Readings with the number (idx) of the first tick at or after their time; none for those after the last tick."""
+    numbered = number_ticks(ticks)
+    first, last = numbered.agg(F.min("now_us")).scalar(), numbered.agg(F.max("now_us")).scalar()
+    width = F.greatest(F.lit(1), F.floor((last - first) / numbered.agg(F.count(F.lit(1))).scalar()))
+    start = F.coalesce(F.lag("now_us").over(W.orderBy("idx")) + 1, F.col("now_us"))  # what is older than the first tick counts as of its time
+    windows = numbered.select("idx", start.alias("start_us"), F.col("now_us").alias("end_us"))
+    own = readings.withColumn("seen_us", F.greatest("at_us", first))
+    return in_windows(own, windows, width, "seen_us").drop("seen_us")
+
+
+def number_ticks(ticks: DataFrame) -> DataFrame:
+    """tick_seq, now_us, idx: 1, 2, ... in order of time.  Ticks are a small authored table."""
+    return ticks.select("tick_seq", "now_us", F.row_number().over(W.orderBy("now_us", "tick_seq")).alias("idx"))
+
+
 def latest_by_event_time(readings: DataFrame, ticks: DataFrame) -> DataFrame:
     """The sample with the newest own time up to each tick; of equal times the first to arrive."""
-    seen = readings.join(ticks, F.col("at_us") <= F.col("now_us"))
     best = F.max_by(F.struct("value", "at_us", "arrival"), F.struct(F.col("at_us"), -F.col("arrival")))
-    return seen.groupBy(*KEY, "now_us").agg(best.alias("s")).select(
-        *KEY, "now_us", F.col("s.value").alias("value"), F.col("s.at_us").alias("at_us"), F.col("s.arrival").alias("arrival"))
+    d = first_seen(readings, ticks).groupBy("stream_id", "idx").agg(best.alias("s"))
+    until = F.coalesce(F.lead("idx").over(W.partitionBy("stream_id").orderBy("idx")) - 1, ticks.agg(F.count(F.lit(1))).scalar())
+    d = d.withColumn("until", until.cast("int")).withColumn("idx", F.explode(F.sequence("idx", "until"))).join(number_ticks(ticks), "idx")
+    return d.select(*KEY, "now_us", F.col("s.value").alias("value"), F.col("s.at_us").alias("at_us"), F.col("s.arrival").alias("arrival"))
 
 
 def last_n_arrivals(readings: DataFrame, ticks: DataFrame, n: int) -> DataFrame:
-    """The last n samples of each stream in order of arrival, up to each tick."""
-    seen = readings.join(ticks, F.col("at_us") <= F.col("now_us"))
+    """The last n samples of each stream in order of arrival, up to each tick.
+
+    Of the samples first seen at a tick no more than n can be among the last n, so only those are carried on.
+    """
+    d = first_seen(readings, ticks)
+    own = F.row_number().over(W.partitionBy("stream_id", "idx").orderBy(F.col("arrival").desc()))
+    d = d.withColumn("own", own).where(F.col("own") <= n).drop("own")
+    d = d.withColumn("idx", F.explode(F.sequence("idx", ticks.agg(F.count(F.lit(1))).scalar().cast("int")))).join(number_ticks(ticks), "idx").drop("idx")
     back = F.row_number().over(W.partitionBy(*KEY).orderBy(F.col("arrival").desc()))
-    return seen.withColumn("back", back).where(F.col("back") <= n)
+    return d.withColumn("back", back).where(F.col("back") <= n)
 
 
 def _runs(readings: DataFrame, ticks: DataFrame, p: Params) -> DataFrame:
     """Samples of the window before each tick, with what stands before each and whether it is in the last unbroken run."""
-    inside = readings.join(ticks, F.col("at_us").between(F.col("now_us") - p.rate_window_us, F.col("now_us")))
+    windows = ticks.select("tick_seq", "now_us", (F.col("now_us") - p.rate_window_us).alias("start_us"), F.col("now_us").alias("end_us"))
+    inside = in_windows(readings, windows, p.rate_window_us)
     order = W.partitionBy(*KEY).orderBy("at_us", "arrival")
     whole = W.partitionBy(*KEY)
     gap = F.col("at_us") - F.lag("at_us").over(order) > 2 * p.interval_us

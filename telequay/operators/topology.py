@@ -64,12 +64,46 @@ def neighbours(traversed: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def reach(traversed: DataFrame, origins: DataFrame, depth: int = 2) -> DataFrame:
+def pod_uid(key) -> F.Column:
+    """The pod's uid in a container's key, whose last part is ``<pod uid>/<container>``; null for other keys."""
+    last = F.element_at(F.split(key, r"\|"), -1)
+    return F.when(F.locate("/", last) > 1, F.substring_index(last, "/", 1))
+
+
+def pods_of(traversed: DataFrame) -> DataFrame:
+    """tick_seq, pod_uid, pod_key of the sources of runs-on edges; of several keys with one uid the smallest."""
+    last = F.element_at(F.split("from_key", r"\|"), -1)
+    return traversed.where("type = 'runs-on'").groupBy("tick_seq", last.alias("pod_uid")).agg(F.min("from_key").alias("pod_key"))
+
+
+def with_anchor(rows: DataFrame, column: str, pods: DataFrame) -> DataFrame:
+    """Adds <column>_anchor: the pod of a container that the topology knows, else the entity itself."""
+    p = pods.select("tick_seq", F.col("pod_uid").alias(f"{column}_pod"), F.col("pod_key").alias(f"{column}_key"))
+    d = rows.withColumn(f"{column}_pod", pod_uid(F.col(column))).join(p, ["tick_seq", f"{column}_pod"], "left")
+    return d.withColumn(f"{column}_anchor", F.coalesce(f"{column}_key", column)).drop(f"{column}_pod", f"{column}_key")
+
+
+def containment(entities: DataFrame, traversed: DataFrame) -> DataFrame:
+    """Where walks from an entity (tick_seq, key) start: tick_seq, key, anchor, note.
+
+    A container starts at its pod; one whose pod is no source of a runs-on edge
+    reaches no neighbour, and the note says so.
+    """
+    d = entities.withColumn("pod_uid", pod_uid(F.col("key"))).join(pods_of(traversed), ["tick_seq", "pod_uid"], "left")
+    lost = F.col("pod_uid").isNotNull() & F.col("pod_key").isNull()
+    anchor = F.when(F.col("pod_uid").isNull(), F.col("key")).otherwise(F.col("pod_key"))
+    return d.select("tick_seq", "key", anchor.alias("anchor"), F.when(lost, "containing pod absent from topology").alias("note"))
+
+
+def reach(traversed: DataFrame, origins: DataFrame, depth: int = 2, types: tuple[str, ...] | None = None) -> DataFrame:
     """Entities within ``depth`` (1 or 2) hops of (tick_seq, key): tick_seq, key, target, hop, verdict, path.
 
     Of several paths the one with the better worst hop wins, then the smaller
     path text.  The origin and what the first hop reaches are not reached again.
+    With ``types`` only edges of these types count.
     """
+    if types is not None:
+        traversed = traversed.where(F.col("type").isin(*types))
     n = neighbours(traversed).select("tick_seq", "key", "neighbour", "type", "verdict")
     step = n.select("tick_seq", F.col("key").alias("via"), F.col("neighbour").alias("target"), F.col("type").alias("type2"), F.col("verdict").alias("verdict2"))
     best = W.partitionBy("tick_seq", "key", "target").orderBy(F.col("verdict").desc(), "path")

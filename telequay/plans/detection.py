@@ -10,11 +10,12 @@ from telequay.operators import catalogue as C
 from telequay.operators import detect as D
 from telequay.operators import signals as S
 from telequay.operators import topology as G
+from telequay.operators.lineage import cut
 from telequay.params import SLOW
 
 from .identity import _NEIGHBOURS, _TRAVERSED, _WINDOWS, BUDGET, windows
 from .registry import query
-from .views import with_views
+from .views import LINK_BUDGET, with_views
 
 RULES = [("r-mem", "s-mem", "mem", "Customer", "config-relative", "limits.memory", None, 0.9, None, "above"),
          ("r-cpu", "s-cpu", "cpu", "Customer", "config-relative", "limits.cpu", "limits.cpu", 0.5, None, "above"),
@@ -119,35 +120,65 @@ def match_local(v):
     return findings(v).withColumn("completeness", F.round("completeness", 6))
 
 
-@query(with_views("""SELECT tick_seq, uid, phenomenon, round(met / n::DOUBLE, 6) AS completeness, unseen = 0 AS "full", suspect > 0 AS suspect FROM (
+SCOPES = {"s-error": "neighbour", "s-signup": "two-hop"}
+_SCOPE = "CASE signal WHEN 's-error' THEN 'neighbour' WHEN 's-signup' THEN 'two-hop' ELSE 'anchor' END"
+
+
+def linked(v):
+    return G.edge_traverse(v.links(), v.tick_windows(), LINK_BUDGET)
+
+
+@query(with_views(f"""SELECT tick_seq, uid, phenomenon, round(met / n::DOUBLE, 6) AS completeness, unseen = 0 AS "full", suspect > 0 AS suspect FROM (
     SELECT tick_seq, uid, phenomenon, count(*) FILTER (role = 'required') AS n, count(*) FILTER (role = 'required' AND met) AS met,
     count(*) FILTER (role = 'required' AND fresh AND NOT met) AS refuted, count(*) FILTER (role = 'required' AND NOT fresh) AS unseen,
     count(*) FILTER (role = 'required' AND met AND anchor) AS on_anchor, count(*) FILTER (met AND verdict = 1) AS suspect FROM (
     SELECT tick_seq, uid, phenomenon, signal, role, met, fresh, 2 AS verdict, true AS anchor FROM scoped WHERE on_scope = 'anchor'
     UNION ALL SELECT s.tick_seq, s.uid, s.phenomenon, s.signal, s.role, coalesce(bool_or(x.met), false), coalesce(bool_or(x.fresh), false), max(r.verdict) FILTER (x.met), false
-    FROM scoped s LEFT JOIN reached r ON r.tick_seq = s.tick_seq AND r.uid = s.uid
+    FROM scoped s LEFT JOIN reached r ON r.tick_seq = s.tick_seq AND r.uid = s.uid AND r.hop = CASE s.on_scope WHEN 'neighbour' THEN 1 ELSE 2 END
     LEFT JOIN scoped x ON x.tick_seq = s.tick_seq AND x.uid = r.target AND x.phenomenon = s.phenomenon AND x.signal = s.signal AND x.role = s.role
-    WHERE s.on_scope = 'neighbour' GROUP BY ALL) GROUP BY ALL) WHERE refuted = 0 AND on_anchor > 0""", "components", **_EV,
-    scoped="SELECT *, CASE WHEN signal = 's-error' THEN 'neighbour' ELSE 'anchor' END AS on_scope FROM ev",
-    reached="""SELECT a.tick_seq, a.uid, b.uid AS target, CASE WHEN a.uid::INT % 3 = 0 THEN 1 ELSE 2 END AS verdict FROM (SELECT DISTINCT tick_seq, uid FROM ev) a
-    JOIN (SELECT DISTINCT tick_seq, uid FROM ev) b ON a.tick_seq = b.tick_seq AND b.uid::INT IN (a.uid::INT + 1, a.uid::INT + 2)"""))
+    WHERE s.on_scope <> 'anchor' GROUP BY ALL) GROUP BY ALL) WHERE refuted = 0 AND on_anchor > 0""", "components", "linked", **_EV,
+    scoped=f"SELECT *, {_SCOPE} AS on_scope FROM ev",
+    step="SELECT tick_seq, from_key AS uid, to_key AS target, verdict FROM linked WHERE type = 'runs-on' UNION SELECT tick_seq, to_key, from_key, verdict FROM linked WHERE type = 'runs-on'",
+    one="SELECT tick_seq, uid, target, max(verdict) AS verdict FROM step WHERE uid IN (SELECT uid FROM components) GROUP BY ALL",
+    reached="""SELECT tick_seq, uid, target, verdict, 1 AS hop FROM one UNION ALL SELECT o.tick_seq, o.uid, s.target, max(least(o.verdict, s.verdict)), 2 FROM one o JOIN step s ON s.tick_seq = o.tick_seq AND s.uid = o.target
+    WHERE s.target <> o.uid AND NOT EXISTS (SELECT 1 FROM one x WHERE x.tick_seq = o.tick_seq AND x.uid = o.uid AND x.target = s.target) GROUP BY ALL"""))
 def match_spanned(v):
-    ev = D.evidence(components(v), members(v)).withColumn("on_scope", F.when(F.col("signal") == "s-error", "neighbour").otherwise("anchor"))
-    a = ev.select("tick_seq", "uid").distinct()
-    near = a.withColumn("target", F.explode(F.array((F.col("uid").cast("int") + 1).cast("string"), (F.col("uid").cast("int") + 2).cast("string"))))
-    near = near.join(a.select("tick_seq", F.col("uid").alias("target")), ["tick_seq", "target"]).withColumn("verdict", F.when(F.col("uid").cast("int") % 3 == 0, 1).otherwise(2))
-    return D.match_spanned(ev, near).withColumn("completeness", F.round("completeness", 6))
+    c = components(v)
+    scope = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SCOPES.items() for x in kv]), F.col("signal")), F.lit("anchor"))
+    origins = c.where("state in ('above', 'well-above') and not stale").select("tick_seq", F.col("uid").alias("key")).distinct()
+    near = G.reach(linked(v), origins, 2, ("runs-on",))
+    return D.match_spanned(c, members(v).withColumn("on_scope", scope), near).withColumn("completeness", F.round("completeness", 6))
 
 
 _REL = _values(RELATIONS, '"trigger", downstream')
 
 
-@query(with_views(f"""SELECT 0 AS run_id, d.now_us, d.uid, r."trigger", r.downstream, max(t.now_us) AS trigger_us FROM timed d JOIN rel r ON r.downstream = d.phenomenon
-    JOIN timed t ON t.uid = d.uid AND t.phenomenon = r."trigger" AND t.now_us <= d.now_us AND t.now_us >= d.now_us - {SLOW.cascade_us} GROUP BY ALL""", "components", **_EV, rel=_REL,
-    timed="SELECT f.*, now_us FROM found f JOIN ticks USING (tick_seq)"))
+@query(with_views(f"""SELECT 0 AS run_id, p.tick_seq, p.now_us, p.uid, p.downstream, p."trigger", p.trigger_uid, p.trigger_us, CASE WHEN p.uid = p.trigger_uid THEN 'same-entity' ELSE e.how END AS relation FROM (
+    SELECT d.tick_seq, d.now_us, d.uid, r.downstream, r."trigger", t.uid AS trigger_uid, max(t.now_us) AS trigger_us FROM timed d JOIN rel r ON r.downstream = d.phenomenon
+    JOIN timed t ON t.phenomenon = r."trigger" AND t.now_us <= d.now_us AND t.now_us >= d.now_us - {SLOW.cascade_us} GROUP BY ALL) p
+    LEFT JOIN (SELECT tick_seq, lo, hi, arg_min(CASE WHEN verdict = 1 THEN concat(type, ' (suspect)') ELSE type END, p * 10 - verdict) AS how FROM (
+    SELECT tick_seq, least(from_key, to_key) AS lo, greatest(from_key, to_key) AS hi, type, verdict, list_position(['runs-on', 'mounts', 'selects'], type) AS p FROM linked) GROUP BY ALL) e
+    ON e.tick_seq = p.tick_seq AND e.lo = least(p.uid, p.trigger_uid) AND e.hi = greatest(p.uid, p.trigger_uid) WHERE p.uid = p.trigger_uid OR e.how IS NOT NULL""",
+    "components", "linked", **_EV, rel=_REL, timed="SELECT f.*, now_us FROM found f JOIN ticks USING (tick_seq)"))
 def cascade_pairs(v):
     f = findings(v).join(v.ticks(), "tick_seq").withColumn("run_id", F.lit(0))
-    return D.cascade_pairs(f, v.spark.createDataFrame(RELATIONS, "trigger string, downstream string"), SLOW.cascade_us)
+    return D.cascade_pairs(f, v.spark.createDataFrame(RELATIONS, "trigger string, downstream string"), linked(v), SLOW.cascade_us)
+
+
+_CONTAINERS = "SELECT DISTINCT t.tick_seq, CASE l_linenumber WHEN 1 THEN o_custkey::VARCHAR ELSE concat('i|k|ns|Container|c|', o_custkey, '/', l_linenumber) END AS key FROM orders JOIN lineitem ON o_orderkey = l_orderkey, ticks t"
+
+
+def containers(v):
+    li = v.table("orders").join(v.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    key = F.when(F.col("l_linenumber") == 1, F.col("o_custkey").cast("string")).otherwise(F.concat(F.lit("i|k|ns|Container|c|"), "o_custkey", F.lit("/"), "l_linenumber"))
+    return li.select(key.alias("key")).distinct().join(F.broadcast(v.ticks().select("tick_seq")))  # a few ticks
+
+
+@query(with_views("""SELECT tick_seq, key, CASE WHEN pod IS NULL THEN key WHEN known THEN pod END AS anchor, CASE WHEN pod IS NOT NULL AND NOT known THEN 'containing pod absent from topology' END AS note FROM (
+    SELECT c.*, CASE WHEN contains(key, '/') THEN split_part(split_part(key, '|', 6), '/', 1) END AS pod, p.from_key IS NOT NULL AS known FROM containers c LEFT JOIN
+    (SELECT DISTINCT tick_seq, from_key FROM linked WHERE type = 'runs-on') p ON p.tick_seq = c.tick_seq AND p.from_key = split_part(split_part(key, '|', 6), '/', 1))""", "linked", containers=_CONTAINERS))
+def containment(v):
+    return G.containment(containers(v), linked(v))
 
 
 _PAIRS = "SELECT tick_seq, key AS a, CASE WHEN key LIKE '%1' THEN key WHEN key LIKE '%2' THEN 'x' ELSE neighbour END AS b FROM neighbours"
@@ -189,8 +220,9 @@ _UNC = """SELECT DISTINCT l.tick_seq, l.uid, l.metric FROM loud l WHERE NOT EXIS
 
 
 def uncovered(v):
-    ev = D.evidence(components(v), members(v))
-    return D.uncovered_loud(loud(v), ev, D.match_local(ev))
+    c = cut(components(v))  # the evidence and the loud states share one pass over the readings
+    ev = D.evidence(c, members(v))
+    return D.uncovered_loud(S.loud_states(c, S.rate_guards(v.readings(), v.ticks(), v.bindings(), SLOW)), ev, D.match_local(ev))
 
 
 @query(with_views("SELECT * FROM unc", "loud", **_EV, unc=_UNC))
@@ -235,7 +267,7 @@ def selection_records(v):
     return D.selection_records(c, tiers(v).where(F.col("uid").cast("int") % 5 > 0), v.bindings(), c.where(F.col("uid").cast("int") % 17 == 0))
 
 
-@query(with_views("""SELECT uid, metric, precursor, rank, rank <= 50 AS budgeted FROM (SELECT *, row_number() OVER (ORDER BY precursor DESC, uid, metric) AS rank FROM
+@query(with_views("""SELECT uid, metric, precursor, CASE WHEN rank <= 50 THEN rank END AS rank, rank <= 50 AS budgeted FROM (SELECT *, row_number() OVER (ORDER BY precursor DESC, uid, metric) AS rank FROM
     (SELECT uid, metric, uid::INT % 9 = 0 AND metric = 'error' AS precursor FROM bindings))""", "bindings"))
 def budget_top_k(v):
     t = v.bindings().select("uid", "metric", ((F.col("uid").cast("int") % 9 == 0) & (F.col("metric") == "error")).alias("precursor"))
@@ -288,7 +320,8 @@ def signal_obtainability(v):
 
 @query(with_views("""SELECT cluster_id, concat('p', regexp_extract(signal, '\\d+')::INT % 40) AS phenomenon, count(*) FILTER (state = 'ok') AS obtainable, count(*) FILTER (state = 'indeterminate') AS indeterminate,
     count(*) FILTER (state = 'out-of-scope') AS out_of_scope, count(*) AS n, CASE WHEN count(*) FILTER (state = 'out-of-scope') = count(*) THEN 'none' WHEN count(*) FILTER (state = 'ok') = count(*) THEN 'full'
-    ELSE 'partial' END AS state FROM obtain GROUP BY ALL""", signals=_SIGNALS, caps=_values(_CAPS, "capability, state"), obtain=_OBTAIN))
+    ELSE 'partial' END AS state FROM (SELECT c.cluster_id, m.signal, coalesce(o.state, 'out-of-scope') AS state FROM (SELECT DISTINCT cluster_id FROM obtain) c CROSS JOIN (SELECT DISTINCT signal FROM obtain) m
+    LEFT JOIN obtain o ON o.cluster_id = c.cluster_id AND o.signal = m.signal) GROUP BY ALL""", signals=_SIGNALS, caps=_values(_CAPS, "capability, state"), obtain=_OBTAIN))
 def phenomenon_observability(v):
     s = obtainable(v)
     m = s.select("signal", F.concat(F.lit("p"), (F.regexp_extract("signal", r"\d+", 0).cast("int") % 40).cast("string")).alias("phenomenon"), F.lit("required").alias("role"))

@@ -94,15 +94,15 @@ def project(v):
     return P.project(forecast(v), bars(v), HORIZON, 60, 0.5)
 
 
-_F2 = """SELECT concat(target, '@', basis_us) AS f_id, target, basis_us, h, last - 3 * (h + 1) AS lo, last + 4 * (h + 1) AS hi FROM (
-    SELECT target, at_us AS basis_us, value AS last FROM series WHERE idx IN (0, 2)), (SELECT unnest(range(9)) AS h)"""
+_F2 = """SELECT concat(target, '@', arrival) AS f_id, target, basis_us, h, last - 3 * (h + 1) AS lo, last + 4 * (h + 1) AS hi FROM (
+    SELECT target, at_us AS basis_us, arrival, value AS last FROM series), (SELECT unnest(range(9)) AS h)"""
 _ALIGNED = """SELECT f.*, r.value AS realized FROM f2 f JOIN (SELECT *, count(*) OVER (PARTITION BY f_id) AS points FROM (SELECT b.f_id, s.value, row_number() OVER (PARTITION BY b.f_id ORDER BY s.at_us, s.arrival) - 1 AS h
     FROM (SELECT DISTINCT f_id, target, basis_us FROM f2) b JOIN series s ON s.target = b.target AND s.at_us > b.basis_us) WHERE h <= 8) r ON r.f_id = f.f_id AND r.h = f.h WHERE r.points >= 8"""
 
 
 def aligned(v):
     s = series(v)
-    f = s.where("idx in (0, 2)").select(F.concat("target", F.lit("@"), "at_us").alias("f_id"), "target", F.col("at_us").alias("basis_us"), F.col("value").alias("last"))
+    f = s.select(F.concat("target", F.lit("@"), "arrival").alias("f_id"), "target", F.col("at_us").alias("basis_us"), F.col("value").alias("last"))
     f = f.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("lo", F.col("last") - 3 * (F.col("h") + 1)).withColumn("hi", F.col("last") + 4 * (F.col("h") + 1))
     return P.forecast_alignment(f.drop("last"), s)
 
@@ -142,7 +142,7 @@ def gate_verdict(v):
 
 _FINDINGS = "SELECT arrival AS f_id, metric AS phenomenon, uid AS entity, at_us FROM readings WHERE value > 60"
 _LABELS = """SELECT o_orderkey AS l_id, (['click', 'view', 'error'])[(o_orderkey % 3 + 1)::INT] AS phenomenon, (o_custkey % 150)::VARCHAR AS entity_contains,
-    1704067200000000 + o_orderkey % 20 * 86400000000 AS from_us, 1704067200000000 + (o_orderkey % 20 + 4) * 86400000000 AS to_us FROM orders WHERE o_orderkey % 50 = 0"""
+    1704067200000000 + o_orderkey % 20 * 86400000000 AS from_us, 1704067200000000 + (o_orderkey % 20 + 4) * 86400000000 AS to_us FROM orders"""
 _MATCH = "SELECT f_id, l_id, f.phenomenon FROM fnd f JOIN lab l ON f.phenomenon = l.phenomenon AND at_us BETWEEN from_us AND to_us AND contains(entity, entity_contains)"
 
 
@@ -154,7 +154,7 @@ def labels(v):
     k = F.col("o_orderkey")
     day = lambda n: F.lit(1_704_067_200_000_000) + n * F.lit(DAY)
     p = F.element_at(F.array(F.lit("click"), F.lit("view"), F.lit("error")), (k % 3 + 1).cast("int"))
-    return v.table("orders").where("o_orderkey % 50 = 0").select(k.alias("l_id"), p.alias("phenomenon"), (F.col("o_custkey") % 150).cast("string").alias("entity_contains"),
+    return v.table("orders").select(k.alias("l_id"), p.alias("phenomenon"), (F.col("o_custkey") % 150).cast("string").alias("entity_contains"),
                                                                  day(k % 20).alias("from_us"), day(k % 20 + 4).alias("to_us"))
 
 

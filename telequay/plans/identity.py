@@ -149,10 +149,11 @@ def neighbours(v):
     "edges", windows=_WINDOWS, traversed=_TRAVERSED, neighbours=_NEIGHBOURS,
     one="""SELECT * FROM (SELECT tick_seq, key, neighbour AS target, verdict, concat(key, '>', type, '>', neighbour) AS path,
     row_number() OVER (PARTITION BY tick_seq, key, neighbour ORDER BY verdict DESC, concat(key, '>', type, '>', neighbour)) AS k
-    FROM neighbours WHERE key LIKE 'c%7') WHERE k = 1"""))
+    FROM neighbours WHERE key IN (SELECT concat('c', user_id) FROM events)) WHERE k = 1"""))
 def reach_two_hop(v):
     t = G.edge_traverse(v.edges(), windows(v), BUDGET)
-    origins = G.neighbours(t).where("key like 'c%7'").select("tick_seq", "key").distinct()
+    seen = v.table("events").select(F.concat(F.lit("c"), "user_id").alias("key")).distinct()  # walks start from entities that have samples
+    origins = seen.join(windows(v).select("tick_seq"))
     return G.reach(t, origins)
 
 

@@ -40,20 +40,20 @@ def distro_gates(v):
     return v.table("orders").select("o_orderkey", gate.alias("gate"), B.gate_active(gate, version, F.when(k % 3 == 0, "docker://1").otherwise("containerd://1")).alias("active"))
 
 
-_ONE = """SELECT DISTINCT tick_seq, key, neighbour AS target FROM neighbours WHERE key LIKE 'c%7' OR key LIKE 'c%3'"""
+_ONE = """SELECT DISTINCT tick_seq, key, neighbour AS target FROM neighbours"""
 
 
 def reached(v):
     t = G.edge_traverse(v.edges(), windows(v), BUDGET)
-    n = G.neighbours(t).where("key like 'c%7' or key like 'c%3'").select("tick_seq", "key").distinct()
+    n = G.neighbours(t).select("tick_seq", "key").distinct()
     return G.reach(t, n, 1)
 
 
-_SELECTED = "SELECT concat('c', c_custkey) AS uid FROM customer WHERE c_custkey % 10 IN (7, 8)"
+_SELECTED = "SELECT concat('c', c_custkey) AS uid FROM customer WHERE c_acctbal > 0"
 
 
 def selected(v):
-    return v.table("customer").where("c_custkey % 10 in (7, 8)").select(F.concat(F.lit("c"), "c_custkey").alias("uid"))
+    return v.table("customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("uid"))
 
 
 @query(with_views("SELECT o.tick_seq, o.key AS uid, target, 1 AS hop FROM one o JOIN sel ON uid = key", "edges", windows=_WINDOWS, traversed=_TRAVERSED, neighbours=_NEIGHBOURS, one=_ONE, sel=_SELECTED))
@@ -90,7 +90,8 @@ def stream_audit(v):
     (SELECT count(*) FILTER (kind = 'config-relative' AND state = 'bound') AS config_bound, count(*) FILTER (kind = 'config-relative' AND state = 'unresolved') AS unbounded,
      count(*) FILTER (flagged AND value IS NOT NULL) AS default_bars FROM b) x,
     (SELECT count(*) FILTER (s = 'full') AS phenomena_full, count(*) FILTER (s = 'partial') AS phenomena_partial, count(*) FILTER (s = 'none') AS phenomena_none FROM (
-     SELECT CASE WHEN count(*) FILTER (state = 'out-of-scope') = count(*) THEN 'none' WHEN count(*) FILTER (state = 'ok') = count(*) THEN 'full' ELSE 'partial' END AS s FROM obtain
+     SELECT CASE WHEN count(*) FILTER (state = 'out-of-scope') = count(*) THEN 'none' WHEN count(*) FILTER (state = 'ok') = count(*) THEN 'full' ELSE 'partial' END AS s FROM (SELECT c.cluster_id, m.signal, coalesce(o.state, 'out-of-scope') AS state
+     FROM (SELECT DISTINCT cluster_id FROM obtain) c CROSS JOIN (SELECT DISTINCT signal FROM obtain) m LEFT JOIN obtain o ON o.cluster_id = c.cluster_id AND o.signal = m.signal)
      GROUP BY cluster_id, regexp_extract(signal, '\\d+')::INT % 400)) p""", **_CTE, signals=_SIGNALS, caps=_values(_CAPS, "capability, state"), obtain=_OBTAIN))
 def coverage_view(v):
     b = bindings(v)

@@ -155,14 +155,20 @@ def insight_rollup(v):
     return U.insight_rollup(findings(v))
 
 
-@query()
+def _hash(*cols):
+    row = "concat_ws(chr(1), " + ", ".join(f"coalesce({c}::VARCHAR, chr(2))" for c in cols) + ")"
+    return f"sum(('0x' || substr(md5({row}), 1, 15))::BIGINT)::VARCHAR"
+
+
+@query(with_views(f"SELECT tick_seq, {_hash('rule_id', 'stale', 'state', 'uid')} AS digest, count(*) AS n FROM components GROUP BY 1", "components"))
 def tick_digest(v):
     return U.tick_digest(components(v).select("tick_seq", "uid", "rule_id", "state", "stale"), "tick_seq")
 
 
-@query()
+@query(f"SELECT c_mktsegment, {_hash('c_name')} AS fingerprint FROM (SELECT DISTINCT c_mktsegment, c_name FROM customer) GROUP BY 1")
 def set_fingerprint(v):
-    return v.table("customer").groupBy("c_mktsegment").agg(F.sha2(F.concat_ws("\0", F.array_sort(F.collect_set(F.col("c_name")))), 256).alias("fingerprint"))
+    d = v.table("customer").select("c_mktsegment", "c_name").distinct()
+    return d.groupBy("c_mktsegment").agg(U.combined_hash("c_name").alias("fingerprint"))
 
 
 _GRID = [("pinned", 0.05, 1.1), ("wide", 0.1, 1.1), ("deep", 0.05, 1.5), ("wider", 0.5, 1.1)]

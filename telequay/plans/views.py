@@ -46,6 +46,20 @@ class Views:
             F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("to_key"), "asserted_us", "confirmed_us",
             F.when(F.col("c_custkey") % 7 == 0, F.col("confirmed_us") + DAY).alias("retracted_us"))
 
+    def links(self) -> DataFrame:
+        """Edges of three types between customers' ids and suppliers' ids of their orders, days around the ticks."""
+        li = self.table("orders").join(self.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_custkey <> l_suppkey")
+        day = lambda n: F.lit(FIRST_TICK) + n * F.lit(DAY)
+        d = li.groupBy("o_custkey", "l_suppkey").agg(day(F.min("o_orderkey") % 20 - 10).alias("asserted_us"), day(F.max("o_orderkey") % 40 - 10).alias("late_us"))
+        both = F.col("o_custkey") + F.col("l_suppkey")
+        kind = F.element_at(F.array(*map(F.lit, LINKS)), (both % 3 + 1).cast("int"))
+        d = d.withColumn("confirmed_us", F.greatest("asserted_us", "late_us"))
+        return d.select(kind.alias("type"), F.col("o_custkey").cast("string").alias("from_key"), F.col("l_suppkey").cast("string").alias("to_key"),
+                        "asserted_us", "confirmed_us", F.when(both % 7 == 0, F.col("confirmed_us") + DAY).alias("retracted_us"))
+
+    def tick_windows(self) -> DataFrame:
+        return self.ticks().select("tick_seq", (F.col("now_us") - SLOW.cooccurrence_us).alias("start_us"), F.col("now_us").alias("end_us"))
+
     def lifecycle(self) -> DataFrame:
         """Orders as successive instances of a customer's name; status F has a deletion 40 days after birth."""
         o = self.table("orders")
@@ -54,6 +68,9 @@ class Views:
                         born.alias("born_us"), F.when(F.col("o_orderstatus") == "F", born + 40 * DAY).alias("deleted_us"))
 
 
+LINKS = ("runs-on", "mounts", "selects")
+#: An edge that nothing has confirmed for longer than this is suspect.
+LINK_BUDGET = 5 * DAY
 #: Rules of the test: metric, factor of the limit, unit and direction.
 RULES = [("r-click", "click", 0.5, "native", "above"), ("r-error", "error", 0.0, "native", "below"),
          ("r-purchase", "purchase", 0.9, "millicores", "above"), ("r-signup", "signup", 0.0, "native", "above")]
@@ -68,6 +85,11 @@ VIEWS = {
     "edges": f"""SELECT 'runs-on' AS type, concat('c', c_custkey) AS from_key, concat('n', c_nationkey) AS to_key, a AS asserted_us, b AS confirmed_us,
         CASE WHEN c_custkey % 7 = 0 THEN b + {DAY} END AS retracted_us FROM customer JOIN
         (SELECT o_custkey, epoch_us(min(o_orderdate)) AS a, epoch_us(max(o_orderdate)) AS b FROM orders GROUP BY 1) o ON c_custkey = o_custkey""",
+    "links": f"""SELECT (['runs-on', 'mounts', 'selects'])[((c + s) % 3 + 1)::INT] AS type, c::VARCHAR AS from_key, s::VARCHAR AS to_key, a AS asserted_us, greatest(a, b) AS confirmed_us,
+        CASE WHEN (c + s) % 7 = 0 THEN greatest(a, b) + {DAY} END AS retracted_us FROM (SELECT o_custkey AS c, l_suppkey AS s, {FIRST_TICK} + (min(o_orderkey) % 20 - 10) * {DAY} AS a,
+        {FIRST_TICK} + (max(o_orderkey) % 40 - 10) * {DAY} AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey GROUP BY ALL)""",
+    "linked": f"""SELECT tick_seq, type, from_key, to_key, CASE WHEN retracted_us IS NULL AND now_us - confirmed_us > {LINK_BUDGET} THEN 1 ELSE 2 END AS verdict
+        FROM links JOIN ticks ON asserted_us <= now_us AND (retracted_us IS NULL OR retracted_us > now_us - {SLOW.cooccurrence_us})""",
     "lifecycle": f"""SELECT o_custkey::VARCHAR AS name, o_orderkey::VARCHAR AS uid, o_orderkey AS seq, epoch_us(o_orderdate) AS born_us,
         CASE WHEN o_orderstatus = 'F' THEN epoch_us(o_orderdate) + {40 * DAY} END AS deleted_us FROM orders""",
     "latest": """SELECT * FROM (SELECT tick_seq, now_us, stream_id, uid, metric, type, value, at_us, arrival,
@@ -106,7 +128,7 @@ VIEWS = {
     "loud": """SELECT DISTINCT tick_seq, uid, metric, state AS how FROM components WHERE state IN ('above', 'well-above') AND NOT stale
         UNION SELECT tick_seq, uid, metric, 'breached' FROM guards WHERE breached AND NOT stale AND NOT inconclusive""",
 }
-_NEEDS = {"latest": ["readings", "ticks"], "steps": ["readings", "ticks"], "rates": ["steps"], "slopes": ["steps"],
+_NEEDS = {"linked": ["links", "ticks"], "latest": ["readings", "ticks"], "steps": ["readings", "ticks"], "rates": ["steps"], "slopes": ["steps"],
           "components": ["latest", "bindings", "rates", "slopes"], "guards": ["latest", "bindings", "rates"], "loud": ["components", "guards"]}
 
 
