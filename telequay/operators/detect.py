@@ -103,9 +103,11 @@ def related(pairs: DataFrame, traversed: DataFrame, types: tuple[str, ...] = ("r
     return d.select("tick_seq", "a", "b", how.alias("relation")).where("relation is not null")
 
 
-def cascade_pairs(findings: DataFrame, relations: DataFrame, traversed: DataFrame, window_us: int) -> DataFrame:
+def cascade_pairs(findings: DataFrame, relations: DataFrame, traversed: DataFrame, window_us: int, triggers: DataFrame | None = None) -> DataFrame:
     """Downstream findings with their triggers on related entities.
 
+    ``triggers`` (default: the findings themselves) are looked for instead, as on a stream.
+
     ``findings``: run_id, tick_seq, now_us, uid, phenomenon.  Of each (trigger
     phenomenon, entity) the latest occurrence counts that is no later than the
     downstream finding and at most ``window_us`` before it, in the same run; a
@@ -124,7 +126,8 @@ def cascade_pairs(findings: DataFrame, relations: DataFrame, traversed: DataFram
     near = d.join(edges, ["tick_seq", "uid_anchor"]).withColumn("by", F.lit("anchor")).unionByName(
         d.withColumn("other", F.col("uid_anchor")).withColumn("by", F.lit("anchor"))).unionByName(d.withColumn("other", F.col("place")).withColumn("by", F.lit("pod")))
     slot = lambda t: F.floor(t / F.lit(window_us))
-    t = placed.select("run_id", F.col("now_us").alias("t_us"), F.col("uid").alias("trigger_uid"), F.col("phenomenon").alias("trigger"), "uid_anchor", "place", slot(F.col("now_us")).alias("slot"))
+    of = placed if triggers is None else with_anchor(triggers.withColumn("place", F.coalesce(pod_uid(F.col("uid")), "uid")), "uid", pods)
+    t = of.select("run_id", F.col("now_us").alias("t_us"), F.col("uid").alias("trigger_uid"), F.col("phenomenon").alias("trigger"), "uid_anchor", "place", slot(F.col("now_us")).alias("slot"))
     t = t.select("run_id", "t_us", "trigger_uid", "trigger", F.col("uid_anchor").alias("other"), "slot", F.lit("anchor").alias("by")).union(
         t.select("run_id", "t_us", "trigger_uid", "trigger", "place", "slot", F.lit("pod")))
     near = near.withColumn("slot", F.explode(F.array(slot(F.col("now_us")), slot(F.col("now_us")) - 1)))
@@ -145,8 +148,10 @@ def blast_radius(findings: DataFrame, relations: DataFrame, tier_a: DataFrame, n
 
 def latest_triggers(findings: DataFrame, window_us: int) -> DataFrame:
     """What a cascade tracker holds after the newest finding of each run: the latest of each (phenomenon, entity) within the window."""
-    d = findings.groupBy("run_id", "phenomenon", "uid").agg(F.max("now_us").alias("now_us"))
-    return d.withColumn("end", F.max("now_us").over(W.partitionBy("run_id"))).where(F.col("now_us") >= F.col("end") - window_us).drop("end")
+    rest = [c for c in findings.columns if c not in ("run_id", "phenomenon", "uid")]
+    d = findings.groupBy("run_id", "phenomenon", "uid").agg(F.max_by(F.struct(*rest), "now_us").alias("s")).select("run_id", "phenomenon", "uid", "s.*")
+    end = findings.groupBy("run_id").agg(F.max("now_us").alias("end"))
+    return d.join(end, "run_id").where(F.col("now_us") >= F.col("end") - window_us).select(*findings.columns)
 
 
 def uncovered_loud(loud: DataFrame, ev: DataFrame, findings: DataFrame) -> DataFrame:

@@ -44,10 +44,12 @@ def gauge_reset(v):
     return resets(v)
 
 
-@query(with_views("""SELECT target, CASE WHEN why IN ('reset', 'operator') THEN at END AS splice_idx, why AS source, CASE WHEN why IN ('reset', 'operator') THEN n - at ELSE n END AS remainder FROM (
-    SELECT *, CASE WHEN at IS NULL THEN 'none' WHEN at / n::DOUBLE > 0.9::DOUBLE THEN 'too-much-cut' WHEN n - at < 4 THEN 'too-short' WHEN at = reset_idx THEN 'reset' ELSE 'operator' END AS why FROM (
-    SELECT r.*, greatest(coalesce(reset_idx, p), coalesce(p, reset_idx)) AS at FROM (SELECT r.*, CASE WHEN p0 > 0 AND p0 < n THEN p0 END AS p FROM resets r LEFT JOIN points USING (target)) r))""".replace(" at ", " cut_at ").replace("THEN at ", "THEN cut_at ").replace("n - at ", "n - cut_at "),
-    "readings", series=_SERIES, resets=_RESETS, points=_POINTS))
+_SPLICE = """SELECT target, CASE WHEN why IN ('reset', 'operator') THEN cut_at END AS splice_idx, why AS source, CASE WHEN why IN ('reset', 'operator') THEN n - cut_at ELSE n END AS remainder FROM (
+    SELECT *, CASE WHEN cut_at IS NULL THEN 'none' WHEN cut_at / n::DOUBLE > 0.9::DOUBLE THEN 'too-much-cut' WHEN n - cut_at < 4 THEN 'too-short' WHEN cut_at = reset_idx THEN 'reset' ELSE 'operator' END AS why FROM (
+    SELECT r.*, greatest(coalesce(reset_idx, p), coalesce(p, reset_idx)) AS cut_at FROM (SELECT r.*, CASE WHEN p0 > 0 AND p0 < n THEN p0 END AS p FROM resets r LEFT JOIN points USING (target)) r))"""
+
+
+@query(with_views("SELECT * FROM splice", "readings", series=_SERIES, resets=_RESETS, points=_POINTS, splice=_SPLICE))
 def splice_context(v):
     return P.splice_context(resets(v), resets(v), points(v), 4, 0.9)
 
@@ -94,6 +96,26 @@ def project(v):
     return P.project(forecast(v), bars(v), HORIZON, 60, 0.5)
 
 
+_OWN = "SELECT s.target, s.idx - coalesce(splice_idx, 0) AS idx, value FROM series s JOIN splice p ON p.target = s.target WHERE s.idx >= coalesce(splice_idx, 0)"
+_WHY = f"""SELECT t.target, t.bar, n.basis_us, source, splice_idx, CASE WHEN t.target LIKE '%view' OR t.target LIKE '%purchase' THEN 'counter-stream' WHEN n < 4 THEN 'short-context'
+    WHEN source IN ('too-much-cut', 'too-short') THEN 'decompose-abort' WHEN last >= t.bar THEN 'already-crossed' WHEN spread / CASE WHEN abs(last) > 0 THEN abs(last) ELSE 1 END < 0.005::DOUBLE THEN 'flat' END AS why
+    FROM bars t JOIN (SELECT target, count(*) AS n, max(at_us) AS basis_us FROM series GROUP BY 1) n ON n.target = t.target JOIN splice p ON p.target = t.target
+    JOIN (SELECT target, stddev_pop(value) AS spread, max(value) FILTER (back = 1) AS last FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY idx DESC) AS back FROM own) WHERE back <= 64 GROUP BY 1) m ON m.target = t.target"""
+
+
+@query(with_views(f"""SELECT w.target, coalesce(why, s, 'crossing') AS outcome, source, splice_idx, point_h, earliest_h, latest_h, CASE WHEN why IS NULL AND s IS NULL THEN basis_us + (point_h + 1) * 60 END AS crosses_us FROM why w LEFT JOIN (
+    SELECT target, p AS point_h, least(coalesce(e, p), coalesce(p, e)) AS earliest_h, l AS latest_h, CASE WHEN p IS NULL THEN 'no-crossing'
+    WHEN (coalesce(l, {HORIZON}) - least(coalesce(e, p), coalesce(p, e))) / {HORIZON}::DOUBLE > 0.5::DOUBLE THEN 'band-too-wide' END AS s FROM (
+    SELECT f.target, min(h) FILTER (value >= bar AND q = 0.5) AS p, min(h) FILTER (value >= bar AND q > 0.5) AS e, min(h) FILTER (value >= bar AND q < 0.5) AS l
+    FROM fc2 f JOIN why x ON x.target = f.target AND x.why IS NULL GROUP BY 1)) p ON p.target = w.target""", "readings", series=_SERIES, resets=_RESETS, points=_POINTS, splice=_SPLICE, own=_OWN,
+    sigma=_SIGMA, bars=_BARS.replace("1.0001", "1.01"), sigma2=_SIGMA.replace("FROM series", "FROM own"), fc2=_FC.replace("FROM sigma,", "FROM sigma2,"), why=_WHY))
+def forecast_cycle(v):
+    kind = F.when(F.col("target").endswith("view") | F.col("target").endswith("purchase"), "counter").otherwise("gauge")
+    factor = F.when(F.ascii(F.right("target", F.lit(1))) % 2 == 0, 1.5).otherwise(1.01)
+    targets = sigmas(v).select("target", (F.col("last") * factor).alias("bar"), F.lit("above").alias("direction"), kind.alias("type"), F.lit(1).alias("streams"))
+    return P.forecast_cycle(targets, series(v), points(v), horizon=HORIZON, quantiles=tuple(_Z), cadence_us=60, min_context=4, max_explained=0.9, flat_epsilon=0.005, max_band_ratio=0.5, drop=0.4)
+
+
 _F2 = """SELECT concat(target, '@', arrival) AS f_id, target, basis_us, h, last - 3 * (h + 1) AS lo, last + 4 * (h + 1) AS hi FROM (
     SELECT target, at_us AS basis_us, arrival, value AS last FROM series), (SELECT unnest(range(9)) AS h)"""
 _ALIGNED = """SELECT f.*, r.value AS realized FROM f2 f JOIN (SELECT *, count(*) OVER (PARTITION BY f_id) AS points FROM (SELECT b.f_id, s.value, row_number() OVER (PARTITION BY b.f_id ORDER BY s.at_us, s.arrival) - 1 AS h

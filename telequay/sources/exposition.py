@@ -42,11 +42,19 @@ def exposition_rows(payloads: DataFrame) -> DataFrame:
     d = d.join(of_family.dropDuplicates([*key, "b_name"]).withColumnRenamed("b_name", "base"), [*key, "base"], "left")
     names, values = F.expr(f"regexp_extract_all(raw, r'{_LABEL}', 1)"), F.expr(f"regexp_extract_all(raw, r'{_LABEL}', 2)")
     number = F.when(F.col("text").isin("NaN", "+Inf", "-Inf", "Inf"), F.lit(float("nan"))).otherwise(F.expr("try_cast(text as double)"))
+    at = F.when(F.col("ms") != "", F.try_multiply(F.expr("try_cast(ms as bigint)"), F.lit(1000))).otherwise(F.col("received_us"))
     outcome = (F.when(F.col("metric") == "", "malformed").when(F.col("b_type").isNotNull() & F.col("t_type").isNull(), "skipped-family")
-               .when(F.col("value").isNull(), "malformed").when(F.isnan("value"), "non-finite").otherwise("sample"))
-    return d.withColumn("value", number).withColumn("labels", F.map_from_arrays(names, values)).select(
-        "family", "node", "metric", F.coalesce("t_type", "b_type", F.lit("untyped")).alias("type"), "labels", "value",
-        F.when(F.col("ms") != "", F.col("ms").cast("long") * 1000).otherwise(F.col("received_us")).alias("at_us"), outcome.alias("outcome"))
+               .when(F.col("value").isNull() | F.col("at_us").isNull(), "malformed").when(F.isnan("value") | (F.abs("value") == float("inf")), "non-finite").otherwise("sample"))
+    return d.withColumn("value", number).withColumn("at_us", at).withColumn("labels", _labels(names, values)).select(
+        "family", "node", "metric", F.coalesce("t_type", "b_type", F.lit("untyped")).alias("type"), "labels", "value", "at_us", outcome.alias("outcome"))
+
+
+def _labels(names, values) -> F.Column:
+    """A map of label names and values; of a name given twice the last value, as a series has one; escapes undone."""
+    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
+    last = lambda e, i: F.size(names) - F.array_position(F.reverse(names), e["k"]) == i
+    plain = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\x01"), F.lit("\\"))
+    return F.map_from_entries(F.transform(F.filter(pairs, last), lambda e: F.struct(e["k"], plain(e["v"]))))
 
 
 def render(readings: DataFrame, node: str = "n0") -> DataFrame:

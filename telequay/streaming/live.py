@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from telequay.operators.detect import cascade_pairs, latest_triggers
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1) -> DataFrame:
     """A table's files as a stream."""
@@ -78,6 +80,72 @@ def lifecycle_state(events: DataFrame) -> DataFrame:
     return events.groupBy("name").applyInPandasWithState(step, out, "uid string, born_us long, deleted_us long", "append", GroupStateTimeout.NoTimeout)
 
 
+def edge_state(events: DataFrame, horizon_us: int) -> DataFrame:
+    """Intervals of edges held in state by (type, from_key, to_key): type, from_key, to_key, asserted_us, confirmed_us, retracted_us, seen_us.
+
+    ``events`` has ``at`` (a timestamp with a watermark) beside event_us and seq.  A row for every micro-batch that
+    touches an edge; the one with the largest seen_us is the edge's newest interval.  The state of a retracted edge goes
+    once the watermark is ``horizon_us`` past its retraction; a later assertion begins anew.
+    """
+    out = "type string, from_key string, to_key string, asserted_us long, confirmed_us long, retracted_us long, seen_us long"
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        asserted, confirmed, retracted = state.get if state.exists else (-1, -1, -1)
+        rows = pd.concat(list(frames)).sort_values(["event_us", "seq"])
+        for op, at in zip(rows["op"].tolist(), rows["event_us"].tolist()):
+            if op == "assert":
+                if asserted < 0 or retracted >= 0:  # none open: a new interval
+                    asserted, retracted = at, -1
+                confirmed = at
+            elif asserted >= 0 and retracted < 0:
+                retracted = max(at, asserted)
+        if asserted < 0:
+            return
+        state.update((asserted, confirmed, retracted))
+        if retracted >= 0:
+            ends = (retracted + horizon_us) // 1000
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, asserted, confirmed, retracted if retracted >= 0 else None, int(rows["event_us"].max()))],
+                           columns=["type", "from_key", "to_key", "asserted_us", "confirmed_us", "retracted_us", "seen_us"]).astype({"retracted_us": "Int64"})
+
+    return events.groupBy("type", "from_key", "to_key").applyInPandasWithState(step, out, "asserted_us long, confirmed_us long, retracted_us long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def cascades_by_batch(findings: DataFrame, relations: DataFrame, traversed: DataFrame, window_us: int, folder: str):
+    """Run ``cascade_pairs`` for every micro-batch of findings; pairs go to ``folder``/pairs.
+
+    The tracker (the latest finding of each phenomenon and entity within the window) is a table of its own
+    for each batch, so a batch that runs again starts from the same one; no history is read.
+    """
+
+    def job(rows: DataFrame, batch: int) -> None:
+        tracker = f"{folder}/tracker/batch={batch - 1}"
+        held = rows.sparkSession.read.schema(rows.schema).parquet(tracker) if batch else rows.limit(0)
+        triggers = rows.unionByName(held)
+        cascade_pairs(rows, relations, traversed, window_us, triggers).write.mode("overwrite").parquet(f"{folder}/pairs/batch={batch}")
+        latest_triggers(triggers, window_us).write.mode("overwrite").parquet(f"{folder}/tracker/batch={batch}")
+
+    each_batch(findings, job, f"{folder}/checkpoint").awaitTermination()
+
+
+def backlog(rows: DataFrame, by: str, batches: int) -> str:
+    """Write ``rows`` as files by ranges of ``by``, oldest first, for a stream that takes one file at a time; returns the folder.
+
+    File names sort by range and their times of change follow, so micro-batches come in order.
+    """
+    base = (rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    folder = f"{base}/backlog-{uuid.uuid4().hex}"
+    bounds = rows.stat.approxQuantile(by, [k / batches for k in range(1, batches)], 0.01)
+    edges = [None, *bounds, None]
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):  # a few files, each written by Spark
+        part = rows.where((F.lit(True) if lo is None else F.col(by) > lo) & (F.lit(True) if hi is None else F.col(by) <= hi))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def each_batch(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str):
     """Run a batch job for every micro-batch, all input that is there, then stop."""
     return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 """File scans, sinks and streams on small files."""
 
+import collections
 import json
 
 import pytest
@@ -85,3 +86,19 @@ def test_drained_streams_lie_in_files(spark, tmp_path, mode):
     assert got.inputFiles() and got.columns == stream.columns
     want = {"append": [(i,) for i in range(12)], "update": [(o, n) for o in (0, 1) for n in (2, 4, 6)], "complete": [(0, 6), (1, 6)]}
     assert sorted(map(tuple, got.collect())) == want[mode]
+
+
+def test_exposition_traps(spark):
+    """Numbers that are not finite, times that are no numbers, labels given twice, escapes: no line stops the job."""
+    from telequay.sources.exposition import exposition_rows
+
+    lines = ["up 1", "up inf", "up Infinity", "up -INF", "up 1e999", "up nan", "up 1 12345678901234567890", "up 1 9223372036854775807", "up 1 1700000000000",
+             'x{a="1",b="2",a="3"} 4', r'y{p="C:\\n\"q\"\n"} 5', "z{} 6", "{bad} 1", "up", "up one"]
+    d = spark.createDataFrame([("f", "n", 7, "\n".join(lines), None)], "family string, node string, received_us long, body string, err string")
+    got = exposition_rows(d).collect()
+    out = collections.Counter((r.outcome, r.at_us) for r in got if r.metric == "up")
+    assert out == {("sample", 7): 1, ("sample", 1_700_000_000_000_000): 1, ("non-finite", 7): 5, ("malformed", None): 2, ("malformed", 7): 1}
+    labels = {r.metric: r.labels for r in got}
+    assert labels["x"] == {"a": "3", "b": "2"} and labels["y"] == {"p": 'C:\\n"q"\n'} and labels["z"] == {}
+    assert sum(r.outcome == "non-finite" for r in got) == 5 and sum(r.outcome == "malformed" for r in got) == 5
+    assert all(abs(r.value) < float("inf") for r in got if r.outcome == "sample")
