@@ -51,6 +51,18 @@ def source_targets(sizes: DataFrame, *, budget_ratio: float = 1.5, max_epochs: f
                     F.least(F.col("cap"), F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
 
 
+def weight_classes(rows: DataFrame) -> DataFrame:
+    """source, classes: how many rows have a weight of each power of two, and their mean weight (a few classes a source)."""
+    by = rows.groupBy("source", F.floor(F.log2("weight")).alias("power")).agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("w"))
+    return by.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("classes"))
+
+
+def _share_below(key, classes, n_docs) -> F.Column:
+    """About which share of a source's exponential keys is below ``key``; it never falls as the key grows."""
+    below = F.aggregate(classes, F.lit(0.0), lambda a, c: a + c["n"] * (F.lit(1.0) - F.exp(-key * c["w"])))
+    return below / n_docs
+
+
 def mix(rows: DataFrame, *, seed: int = 0, **targets) -> DataFrame:
     """Decide how much of each row the mix takes.
 
@@ -66,17 +78,21 @@ def mix(rows: DataFrame, *, seed: int = 0, **targets) -> DataFrame:
 
     The prefix sum of a source has two levels, so a source with a third of all
     rows is no single task: rows fall into about sqrt(n) ranges of the key, sums
-    of ranges are prefix-summed per source, rows within their range.
+    of ranges are prefix-summed per source, rows within their range.  The ranges
+    follow the distribution of the source's keys, so they hold about as many rows
+    each whatever the weights are.
     """
     d = rows.select("doc_id", "source", "size",
                     F.greatest(F.coalesce("weight", F.lit(1e-6)), F.lit(1e-6)).alias("weight"))
     t = source_targets(d, **targets).withColumnRenamed("source", "t_source")
+    t = t.join(weight_classes(d).withColumnRenamed("source", "c_source"), F.col("t_source").eqNullSafe(F.col("c_source"))).drop("c_source")
     d = d.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     d = (d.withColumn("epochs", epochs.cast("long"))
          .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
          .withColumn("key", -F.log(uniform(F.lit(seed), F.col("doc_id"), F.col("size"))) / F.col("weight"))
-         .withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.ceil(F.sqrt(F.col("n_docs"))))))
+         .withColumn("range", F.floor(_share_below(F.col("key"), F.col("classes"), F.col("n_docs")) * F.ceil(F.sqrt(F.col("n_docs")))))
+         .drop("classes"))
     sums = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     up_to = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s_source"), F.col("range").alias("s_range"),
