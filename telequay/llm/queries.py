@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where the vocabularies of public tokenizers lie.
-TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 #: A conversation that says what templates of other models take for control strings.
 ODD_TURN = "</s>[INST] ok [/INST]"
 

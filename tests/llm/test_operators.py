@@ -554,6 +554,30 @@ def test_quality_limits_and_decisions(spark):
         assert got[i].limit == pytest.approx(limit, rel=1e-6) and got[i].kept == (got[i].entropy <= got[i].limit)
 
 
+CLASH = ["_hash", "_dk", "_cuts", "_id", "d_id", "b_id", "c_id", "m_id", "m_own", "m_copy", "m_copies", "tq_0", "TQ_1", "tq_2", "tq_5", "first", "runs", "row", "words", "removed", "entropy", "kept", "class_id"]
+
+
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark):
+    """Every stage of the pipeline on odd rows with columns named like inner ones: values unchanged, clean rows there."""
+    import corpus_pipeline as c
+
+    texts = [*ODD, *[made(500 + i, 80) for i in range(12)], made(500, 80)]
+    rows = [(None if i in (4, 15) else i % 20, t, ["en", None][i % 5 == 0], ["a", "b", None][i % 3], 1, *[f"{n}-{i}" for n in CLASH]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in CLASH))
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        for r in got:
+            i = int(r["_hash"].split("-")[1])
+            assert [r[n] for n in CLASH] == [f"{n}-{i}" for n in CLASH] and (r.doc_id, r.lang, r.source) == (rows[i][0], rows[i][2], rows[i][3]), name
+            assert name == "substring dedup" or r.text == texts[i]
+        seen = {int(r["_hash"].split("-")[1]) for r in got}
+        assert {*texts[12:24]} <= {texts[i] for i in seen} or name == "quality classifier" or name == "source mixing", name
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    assert c.STAGES[-1][1](spark, docs, SMALL).count() == len(rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
