@@ -365,8 +365,11 @@ def classes(documents: DataFrame, *, threshold: float = 0.8) -> DataFrame:
         # two nodes in two components were compared as a star
         "comps > 1 and not (comps = 2 and top.size = 1)").select("bucket", F.col("top.comp").alias("top"))
     n_parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    blocks = now.join(largest, "bucket").withColumn("waits", F.col("comp") != F.col("top")).withColumn("part", F.pmod(F.xxhash64("node"), n_parts).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    tagged = now.join(largest, "bucket").withColumn("waits", F.col("comp") != F.col("top")).withColumn("part", F.pmod(F.xxhash64("node"), n_parts).cast("int"))
+    # Only pairs of parts of which one has a node that waits are compared, so a lone one costs a copy of its bucket and no more.
+    waiting = tagged.where("waits").groupBy("bucket").agg(F.collect_set("part").alias("waiting"))
+    others = F.when(F.array_contains("waiting", F.col("part")), F.sequence(F.lit(0), n_parts - 1)).otherwise(F.col("waiting"))
+    blocks = tagged.join(waiting, "bucket").withColumn("other", F.explode(others)).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("waiting")
     blocks = blocks.drop("other", "top", "m").join(nodes.select("node", "bands"), "node").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int"))
     links = links.unionByName(block_links(blocks.join(texts, "node"), n, threshold))
     comp = written(components(written(links)))

@@ -314,7 +314,9 @@ def test_language_of_held_out_texts(spark):
 
 # 4
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [512, 2])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     texts = [made(i, 120) for i in range(25)]
     for i in range(25):
         for k in range(1 + i % 4):
