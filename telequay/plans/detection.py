@@ -108,7 +108,7 @@ def members(v):
 
 
 def findings(v):
-    return D.match_local(D.evidence(components(v), members(v)))
+    return D.match_local(D.evidence(cut(components(v)), members(v)))  # evidence reads components twice
 
 
 def loud(v):
@@ -143,10 +143,10 @@ def linked(v):
     reached="""SELECT tick_seq, uid, target, verdict, 1 AS hop FROM one UNION ALL SELECT o.tick_seq, o.uid, s.target, max(least(o.verdict, s.verdict)), 2 FROM one o JOIN step s ON s.tick_seq = o.tick_seq AND s.uid = o.target
     WHERE s.target <> o.uid AND NOT EXISTS (SELECT 1 FROM one x WHERE x.tick_seq = o.tick_seq AND x.uid = o.uid AND x.target = s.target) GROUP BY ALL"""))
 def match_spanned(v):
-    c = components(v)
+    c, links = cut(components(v)), cut(linked(v))
     scope = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SCOPES.items() for x in kv]), F.col("signal")), F.lit("anchor"))
     origins = c.where("state in ('above', 'well-above') and not stale").select("tick_seq", F.col("uid").alias("key")).distinct()
-    near = G.reach(linked(v), origins, 2, ("runs-on",))
+    near = G.reach(links, origins, 2, ("runs-on",))
     return D.match_spanned(c, members(v).withColumn("on_scope", scope), near).withColumn("completeness", F.round("completeness", 6))
 
 
@@ -161,8 +161,8 @@ _REL = _values(RELATIONS, '"trigger", downstream')
     ON e.tick_seq = p.tick_seq AND e.lo = least(p.uid, p.trigger_uid) AND e.hi = greatest(p.uid, p.trigger_uid) WHERE p.uid = p.trigger_uid OR e.how IS NOT NULL""",
     "components", "linked", **_EV, rel=_REL, timed="SELECT f.*, now_us FROM found f JOIN ticks USING (tick_seq)"))
 def cascade_pairs(v):
-    f = findings(v).join(v.ticks(), "tick_seq").withColumn("run_id", F.lit(0))
-    return D.cascade_pairs(f, v.spark.createDataFrame(RELATIONS, "trigger string, downstream string"), linked(v), SLOW.cascade_us)
+    f = cut(findings(v).join(v.ticks(), "tick_seq").withColumn("run_id", F.lit(0)))
+    return D.cascade_pairs(f, v.spark.createDataFrame(RELATIONS, "trigger string, downstream string"), cut(linked(v)), SLOW.cascade_us)
 
 
 _CONTAINERS = "SELECT DISTINCT t.tick_seq, CASE l_linenumber WHEN 1 THEN o_custkey::VARCHAR ELSE concat('i|k|ns|Container|c|', o_custkey, '/', l_linenumber) END AS key FROM orders JOIN lineitem ON o_orderkey = l_orderkey, ticks t"
