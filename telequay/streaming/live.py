@@ -7,7 +7,6 @@ later ticks see them (``foreachBatch`` over the table of readings).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from telequay.operators.detect import cascade_pairs, latest_triggers
+from telequay.operators.lineage import shared_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -136,8 +136,7 @@ def backlog(rows: DataFrame, by: str, batches: int) -> str:
 
     File names sort by range and their times of change follow, so micro-batches come in order.
     """
-    base = (rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-    folder = f"{base}/backlog-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(rows.sparkSession)}/backlog-{uuid.uuid4().hex}"
     bounds = rows.stat.approxQuantile(by, [k / batches for k in range(1, batches)], 0.01)
     edges = [None, *bounds, None]
     for k, (lo, hi) in enumerate(zip(edges, edges[1:])):  # a few files, each written by Spark
@@ -157,7 +156,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     In complete mode that is the last batch, otherwise all of them.  A batch run again replaces its own rows.
     """
     spark = stream.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     seen = []
 
