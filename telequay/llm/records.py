@@ -27,10 +27,10 @@ END_ID = 2
 _SPACES = r"\s\x1c-\x1f\u180e\u200b"
 _GAP = re.compile(rf"(?<=[^{_SPACES}])(?= )")
 _WIDE = re.compile(rf"[{_SPACES}][{_SPACES}]")
-#: Characters on which all tables of letters agree: printable ASCII and the letters of Latin-1 and Latin Extended-A.
-_PLAIN = re.compile("[ -~À-ÖØ-öø-ž]*")
+#: Characters on which all tables of letters agree: printable ASCII, line ends and the letters of Latin-1 and Latin Extended-A.
+_PLAIN = re.compile("[\n -~À-ÖØ-öø-ž]*")
 #: Fixed: how byte-level vocabularies of this family cut text; here for plain characters alone.
-PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ž]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ž0-9]+| +(?![^ ])| +"""
+PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ž]+| ?[0-9]+| ?[^ \nA-Za-zÀ-ÖØ-öø-ž0-9]+|[ \n]+(?![^ \n])|[ \n]+"""
 
 
 def masked(data: bytes) -> int:
@@ -115,7 +115,7 @@ class Encoder:
     def encode_parts(self, parts: list[str]) -> None:
         """Work out parts of plain pieces by the library; those that begin with a space go to it many at once."""
         known = self.parts_known.young
-        led = [x for x in parts if x[0] == " " and x[-1] != " "]
+        led = [x for x in parts if x[0] == " " and x[-1] not in " \n"]
         for lo in range(0, len(led), 500):
             own = led[lo:lo + 500]
             e = self.tokenizer.encode("".join(own), add_special_tokens=False)
