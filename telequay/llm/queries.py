@@ -1,4 +1,4 @@
-"""The ten queries opN_<name>, the pipeline and their oracle SQL."""
+"""The queries opN_<name>, the pipeline and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -78,6 +78,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
 
