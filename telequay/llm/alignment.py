@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .packed import distinct, pack, pack_sorted, starts, unpack, unpack_sorted
-from .records import _SPACES, Remembered
+from .records import _SPACES, _WIDE, Remembered
 from .shared import written
 from .tiers import threshold
 
@@ -43,6 +42,12 @@ LISTED = 1 << 16
 _CUT = re.compile(rf"(?<=[^{_SPACES}])(?=[ \n])")
 
 
+#: Without two of them side by side, that is before each of them.
+_NARROW = re.compile("[ \n][^ \n]*").findall
+#: Chunks that end in white space may be cut otherwise beside another.
+_BLANKS = set(filter(re.compile(f"[{_SPACES}]").match, map(chr, range(0x3100))))
+
+
 class Sides:
     """Ids of both tokenizers for chunks of a text that begin with a blank or line end."""
 
@@ -68,38 +73,60 @@ class Sides:
             raise ValueError("vocabularies of more than 65,536 ids")
         #: Decimal ids with what may follow them: of A , and |, of B , and ;
         self.said = np.array([f"{i}{x}" for i in range(n_a) for x in ",|"] + [f"{i}{x}" for i in range(len(self.bytes_b)) for x in ",;"], object)
-        self.known = Remembered(keep)
+        self.known_a, self.known_b, self.odd = Remembered(keep), {}, set()
+
+    def forget(self) -> None:
+        """Workers outlive tasks and should not hold on to what one of them met."""
+        self.known_a, self.known_b, self.odd = Remembered(self.known_a.keep), {}, set()
 
     def learn(self, chunks: set[str]) -> None:
-        new = self.known.missing(chunks)
-        if not new:
-            return
-        known = self.known.young
-        by_a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        # B puts a blank in front of what it gets: that of the chunk, or a token of its own before a line end
-        by_b = self.b.encode([c[1:] if c[0] == " " else c for c in new], num_threads=1)
-        for c, e, b in zip(new, by_a, by_b):
-            a = e.ids
-            b = b if c[0] == " " else b[1:]
-            raw = c.encode()
-            if b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b]):
-                known[c] = struct.pack(f"<{len(a)}H", *a), struct.pack(f"<{len(b)}H", *b)
-            else:
-                known[c] = None
+        """Ids of chunks not met yet, of many in one call: as no token spans two, they are cut by their lengths."""
+        before = self.known_a.old
+        new = self.known_a.missing(chunks)
+        if self.known_a.old is not before:  # the older half went
+            self.known_b = {c: self.known_b[c] for c in self.known_a.old if c in self.known_b}
+        closed = [c for c in new if c[-1] not in _BLANKS]
+        for lo in range(0, len(closed), 500):
+            self.put(closed[lo:lo + 500])
+        for c in new:
+            if c not in self.known_a.young:
+                self.put([c])
+
+    def put(self, own: list[str]) -> None:
+        text = "".join(own)
+        raw = text.encode()
+        a = self.a.encode(text, add_special_tokens=False).ids
+        # B puts a blank in front of what it gets: that of the first chunk, or a token of its own before a line end
+        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        ends = np.cumsum([len(c.encode()) for c in own])
+        cut = []
+        for ids, of, length in ((a, self.bytes_a, self.length_a), (b, self.bytes_b, self.length_b)):
+            ids = np.array(ids, "<u2")
+            at = np.cumsum(length[ids])
+            k = np.searchsorted(at, ends)
+            if b"".join(map(of.__getitem__, ids.tolist())) != raw or not (at[k] == ends).all():
+                if len(own) == 1:
+                    self.odd.add(own[0])
+                    self.known_a.young[own[0]] = self.known_b[own[0]] = b""
+                return  # else they come one by one
+            k, data = [0, *(2 * (k + 1)).tolist()], ids.tobytes()
+            cut.append([data[i:j] for i, j in zip(k, k[1:])])
+        self.known_a.young.update(zip(own, cut[0]))
+        self.known_b.update(zip(own, cut[1]))
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Ids of each text by A and B as 16-bit numbers; none where a side's bytes are not those of a blank and the text."""
-        cut = [_CUT.split(" " + t) if t and MARK not in t else () for t in texts]
+        cut = [chunks(" " + t) if t and MARK not in t else [] for t in texts]
         self.learn(set().union(*cut))
-        get, out_a, out_b = self.known.young.__getitem__, [], []
-        for chunks in cut:
-            found = list(map(get, chunks))
-            if None in found:
-                found = ()
-            a, b = zip(*found) if found else ((), ())
-            out_a.append(b"".join(a))
-            out_b.append(b"".join(b))
-        return out_a, out_b
+        if self.odd:
+            cut = [c if self.odd.isdisjoint(c) else [] for c in cut]
+        of_a, of_b = self.known_a.young.__getitem__, self.known_b.__getitem__
+        return [b"".join(map(of_a, c)) for c in cut], [b"".join(map(of_b, c)) for c in cut]
+
+
+def chunks(text: str) -> list[str]:
+    """A text that begins with a blank, cut where no token of either side spans the place."""
+    return _CUT.split(text) if _WIDE.search(text) else _NARROW(text)
 
 
 _SIDES: dict[tuple[str, str], Sides] = {}
@@ -254,6 +281,7 @@ def aligned(documents: DataFrame, *, vocabulary_a: str, vocabulary_b: str, chars
                     ids, texts, size = [], [], 0
             if ids:
                 yield table(ids, texts)
+        s.forget()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, KIND)
 
