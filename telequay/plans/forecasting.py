@@ -139,29 +139,6 @@ def band_coverage(v):
     return P.band_coverage(aligned(v), "h").select(F.col("h").cast("long").alias("h"), F.round("coverage", 6).alias("coverage"), "n")
 
 
-@query(with_views("""SELECT count(*) AS n, median(p - r) AS median_error, round(median((p - r) / greatest(r, 1)::DOUBLE), 6) AS median_relative FROM (SELECT arrival % 37 AS p, arrival % 23 AS r FROM readings)""", "readings"))
-def ttc_error(v):
-    d = v.readings().select((F.col("arrival") % 37).alias("predicted_h"), (F.col("arrival") % 23).alias("real_h"))
-    return P.ttc_error(d).withColumn("median_relative", F.round("median_relative", 6))
-
-
-@query(with_views("""SELECT stream_id AS stream, arrival // 500 AS event, bool_or(value < 5) AS hover, max(arrival % 40) FILTER (NOT value < 5) AS lead FROM readings GROUP BY ALL""", "readings"))
-def event_ledger(v):
-    d = v.readings().select(F.col("stream_id").alias("stream"), F.floor(F.col("arrival") / 500).alias("event"), (F.col("value") < 5).alias("hover"), (F.col("arrival") % 40).alias("lead"))
-    return P.event_ledger(d)
-
-
-@query(with_views("""SELECT metric, points, events, forecasts, coverage, recall, false_rate, CASE WHEN points < 500 OR events < 3 OR forecasts < 10 THEN 'insufficient' WHEN c OR r OR f THEN 'failed' ELSE 'passed' END AS verdict,
-    CASE WHEN points < 500 OR events < 3 OR forecasts < 10 THEN '' ELSE concat_ws(',', CASE WHEN c THEN 'coverage' END, CASE WHEN r THEN 'recall' END, CASE WHEN f THEN 'false-warnings' END) END AS reasons FROM (
-    SELECT *, coverage < 0.7 OR coverage > 0.97 AS c, recall < 0.5 AS r, false_rate > 0.2 AS f FROM (SELECT metric, count(*) AS points, count(DISTINCT uid) AS events, count(DISTINCT uid) AS forecasts,
-    round(avg((value < 80)::INT), 6) AS coverage, round(avg((value > 30)::INT), 6) AS recall, round(avg((value < 10)::INT), 6) AS false_rate FROM readings GROUP BY 1))""", "readings"))
-def gate_verdict(v):
-    share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    d = v.readings().groupBy("metric").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("uid").alias("events"), F.count_distinct("uid").alias("forecasts"),
-                                           share(F.col("value") < 80).alias("coverage"), share(F.col("value") > 30).alias("recall"), share(F.col("value") < 10).alias("false_rate"))
-    return P.gate_verdict(d, min_points=500, min_events=3, min_forecasts=10, coverage=(0.7, 0.97), recall=0.5, false_rate=0.2)
-
-
 _FINDINGS = "SELECT arrival AS f_id, metric AS phenomenon, uid AS entity, at_us FROM readings WHERE value > 60"
 _LABELS = """SELECT o_orderkey AS l_id, (['click', 'view', 'error'])[(o_orderkey % 3 + 1)::INT] AS phenomenon, (o_custkey % 150)::VARCHAR AS entity_contains,
     1704067200000000 + o_orderkey % 20 * 86400000000 AS from_us, 1704067200000000 + (o_orderkey % 20 + 4) * 86400000000 AS to_us FROM orders"""
