@@ -154,10 +154,24 @@ def latest_triggers(findings: DataFrame, window_us: int) -> DataFrame:
     return d.join(end, "run_id").where(F.col("now_us") >= F.col("end") - window_us).select(*findings.columns)
 
 
-def uncovered_loud(loud: DataFrame, ev: DataFrame, findings: DataFrame) -> DataFrame:
-    """Loud (tick_seq, uid, metric) that no finding on the entity used as met evidence."""
-    used = ev.where("met").join(findings.select(*AT, "phenomenon"), [*AT, "phenomenon"], "left_semi").select(*AT, "metric").distinct()
-    return loud.select(*AT, "metric").distinct().join(used, [*AT, "metric"], "left_anti")
+def coverage(ev: DataFrame, findings: DataFrame) -> DataFrame:
+    """tick_seq, uid, metric, phenomenon: the met evidence of findings on the entity itself."""
+    return ev.where("met").join(findings.select(*AT, "phenomenon"), [*AT, "phenomenon"], "left_semi").select(*AT, "metric", "phenomenon").distinct()
+
+
+def spanned_coverage(components: DataFrame, members: DataFrame, reached: DataFrame, findings: DataFrame) -> DataFrame:
+    """As ``coverage`` for findings of ``match_spanned``: what met a member on the anchor, and on every reached entity that met one."""
+    met = _one(components).where("state in ('above', 'well-above') and not stale").select(*AT, "metric")
+    asked = findings.select(*AT, "phenomenon").join(members.where("metric is not null").select("phenomenon", "metric", "on_scope").distinct(), "phenomenon")
+    own = asked.where("on_scope = 'anchor'").select(*AT, "metric", "phenomenon")
+    step = reached.select("tick_seq", F.col("key").alias("uid"), "target", "hop")
+    near = asked.where("on_scope <> 'anchor'").withColumn("hop", F.when(F.col("on_scope") == "neighbour", 1).otherwise(2)).join(step, [*AT, "hop"])
+    return own.unionByName(near.select("tick_seq", F.col("target").alias("uid"), "metric", "phenomenon")).distinct().join(met, [*AT, "metric"], "left_semi").select(*AT, "metric", "phenomenon")
+
+
+def uncovered_loud(loud: DataFrame, covered: DataFrame) -> DataFrame:
+    """Loud (tick_seq, uid, metric) that no finding used as met evidence, be it of the entity or of one it was reached from."""
+    return loud.select(*AT, "metric").distinct().join(covered.select(*AT, "metric").distinct(), [*AT, "metric"], "left_anti")
 
 
 def covering_phenomena(cards: DataFrame, members: DataFrame) -> DataFrame:
@@ -169,30 +183,56 @@ def covering_phenomena(cards: DataFrame, members: DataFrame) -> DataFrame:
     return d.select("card_id", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.coalesce("parts", F.array().cast("array<string>"))).alias("phenomena"))
 
 
-def card_aging(uncovered: DataFrame, ticks: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
-    """Cards of unexplained crossings: tick_seq, uid, signature, status, first_seen, occurrences.
+def card_aging(uncovered: DataFrame, ticks: DataFrame, loud: DataFrame | None = None, covered: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Cards of unexplained crossings: tick_seq, uid, signature, status, first_seen, occurrences, superseded_by.
 
     While an entity's sets at consecutive ticks share a metric it is one card:
     new, then aging.  When the next tick's set shares none (or is empty) the
-    card is closed at that tick, as resolved.
+    card is closed at that tick: superseded where all its metrics are still in
+    the entity's whole loud set (``loud``), so that findings cover them now,
+    else resolved.  ``superseded_by`` names the smallest phenomenon that covers
+    them all (``covered``: tick_seq, uid, metric, phenomenon), else all that
+    contribute.  ``runs`` (tick_seq, run_id): a restart forgets open cards.
     """
-    sets = uncovered.groupBy(*AT).agg(F.array_sort(F.collect_set("metric")).alias("metrics"))
-    order = W.partitionBy("uid").orderBy("tick_seq")
-    follows = (F.lag("tick_seq").over(order) == F.col("tick_seq") - 1) & F.arrays_overlap("metrics", F.lag("metrics").over(order))
+    numbered = ticks.select("tick_seq", F.row_number().over(W.orderBy("now_us", "tick_seq")).alias("idx"))  # a small authored table
+    numbered = numbered.join(runs, "tick_seq", "left").na.fill(0, ["run_id"]) if runs is not None else numbered.withColumn("run_id", F.lit(0))
+    sets = uncovered.groupBy(*AT).agg(F.array_sort(F.collect_set("metric")).alias("metrics")).join(F.broadcast(numbered), "tick_seq")
+    order = W.partitionBy("uid", "run_id").orderBy("idx")
+    follows = (F.lag("idx").over(order) == F.col("idx") - 1) & F.arrays_overlap("metrics", F.lag("metrics").over(order))
     d = sets.withColumn("starts", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("island", F.sum("starts").over(order))
-    own = W.partitionBy("uid", "island").orderBy("tick_seq")
-    d = d.withColumn("first_seen", F.first("tick_seq").over(own)).withColumn("occurrences", F.row_number().over(own))
+    own = W.partitionBy("uid", "run_id", "island").orderBy("idx")
+    d = d.withColumns({"first_seen": F.first("tick_seq").over(own), "occurrences": F.row_number().over(own), "later": F.lead("idx").over(own)})
     signature = F.concat_ws(",", "metrics")
-    live = d.select(*AT, signature.alias("signature"), F.when(F.col("occurrences") == 1, "new").otherwise("aging").alias("status"), "first_seen", "occurrences")
-    last = d.withColumn("end", F.row_number().over(W.partitionBy("uid", "island").orderBy(F.col("tick_seq").desc()))).where("end = 1")
-    closed = last.join(ticks.select((F.col("tick_seq") - 1).alias("prev"), F.col("tick_seq").alias("close_tick")), F.col("tick_seq") == F.col("prev")).select(
-        F.col("close_tick").alias("tick_seq"), "uid", signature.alias("signature"), F.lit("resolved").alias("status"), "first_seen", "occurrences")
+    live = d.select(*AT, signature.alias("signature"), F.when(F.col("occurrences") == 1, "new").otherwise("aging").alias("status"), "first_seen", "occurrences", F.lit("").alias("superseded_by"))
+    closing = numbered.select((F.col("idx") - 1).alias("idx"), "run_id", F.col("tick_seq").alias("close_tick"))
+    last = d.where("later is null").drop("tick_seq", "later").join(F.broadcast(closing), ["idx", "run_id"]).withColumnRenamed("close_tick", "tick_seq")
+    last = last.select(*AT, "metrics", signature.alias("signature"), "first_seen", "occurrences")
+    if loud is None:
+        return live.unionByName(last.select(*AT, "signature", F.lit("resolved").alias("status"), "first_seen", "occurrences", F.lit("").alias("superseded_by")))
+    each = last.select(*AT, "signature", F.size("metrics").alias("size"), F.explode("metrics").alias("metric"))  # one card closes at most per entity and tick
+    held = each.join(loud.select(*AT, "metric").distinct(), [*AT, "metric"], "left_semi").groupBy(*AT).agg(F.count(F.lit(1)).alias("held"))
+    by = each.join(covered, [*AT, "metric"]).groupBy(*AT, "size", "phenomenon").agg(F.count(F.lit(1)).alias("n"))
+    by = by.groupBy(*AT).agg(F.min(F.when(F.col("n") == F.col("size"), F.col("phenomenon"))).alias("whole"), F.concat_ws(", ", F.array_sort(F.collect_set("phenomenon"))).alias("parts"))
+    still = F.coalesce(F.col("held") == F.size("metrics"), F.lit(False))
+    closed = last.join(held, AT, "left").join(by, AT, "left").select(
+        *AT, "signature", F.when(still, "superseded").otherwise("resolved").alias("status"), "first_seen", "occurrences", F.when(still, F.coalesce("whole", "parts", F.lit(""))).otherwise("").alias("superseded_by"))
     return live.unionByName(closed)
 
 
+def entity_ticks(loud: DataFrame, uncovered: DataFrame, covered: DataFrame, ticks: DataFrame) -> DataFrame:
+    """What a stream of cards reads: idx, tick_seq, now_us, uid, and arrays of loud and uncovered metrics and of covers (metric and phenomenon, as text)."""
+    numbered = ticks.select("tick_seq", "now_us", F.row_number().over(W.orderBy("now_us", "tick_seq")).cast("long").alias("idx"))
+    a = loud.groupBy(*AT).agg(F.array_sort(F.collect_set("metric")).alias("loud"))
+    b = uncovered.groupBy(*AT).agg(F.array_sort(F.collect_set("metric")).alias("uncovered"))
+    c = covered.groupBy(*AT).agg(F.array_sort(F.collect_set(F.concat_ws("\u0001", "metric", "phenomenon"))).alias("covers"))
+    none = F.array().cast("array<string>")
+    return a.join(b, AT, "left").join(c, AT, "left").join(F.broadcast(numbered), "tick_seq").select(
+        "idx", "tick_seq", "now_us", "uid", "loud", F.coalesce("uncovered", none).alias("uncovered"), F.coalesce("covers", none).alias("covers"))
+
+
 def candidates(cards: DataFrame, min_windows: int, min_entities: int) -> DataFrame:
     """Signatures worth a pattern: seen in so many windows, or on so many entities."""
-    d = cards.where("status <> 'resolved'").groupBy("signature").agg(
+    d = cards.where("status in ('new', 'aging')").groupBy("signature").agg(
         F.count(F.lit(1)).alias("windows"), F.count_distinct("uid").alias("entities"), F.min("tick_seq").alias("first_seen"), F.max("tick_seq").alias("last_seen"))
     return d.where((F.col("windows") >= min_windows) | (F.col("entities") >= min_entities))
 

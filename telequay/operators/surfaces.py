@@ -84,7 +84,7 @@ def combined_hash(*cols: str) -> F.Column:
 def sensitivity_sweep(components: DataFrame, grid: DataFrame, truth: DataFrame) -> DataFrame:
     """Precision and recall of crossed rungs against a truth, for every setting of (point_id, band, well_above), in one job.
 
-    The grid is a handful of settings, broadcast behind Spark's size check.
+    The grid is a handful of authored settings, so it is broadcast.
     """
     d = components.crossJoin(F.broadcast(grid))
     line = F.when(F.col("direction") == "below", F.col("bar") / F.col("well_above")).otherwise(F.col("bar") * F.col("well_above"))
@@ -95,20 +95,49 @@ def sensitivity_sweep(components: DataFrame, grid: DataFrame, truth: DataFrame)
     return by.withColumn("precision", F.coalesce(F.try_divide("hits", "said"), F.lit(1.0))).withColumn("recall", F.coalesce(F.try_divide("hits", "true"), F.lit(1.0)))
 
 
-def binding_qa(features: DataFrame) -> DataFrame:
-    """verified, suspect or failed for each bound pair; the first failing test wins.
+def stream_evidence(samples: DataFrame, last_n: int = 8) -> DataFrame:
+    """What each stream's last samples by arrival show: stream_id, uid, metric, kind, type, n, decreases, lowest, highest, first, last, first_us, last_us."""
+    order = W.partitionBy("stream_id").orderBy("arrival")
+    back = F.row_number().over(W.partitionBy("stream_id").orderBy(F.col("arrival").desc()))
+    d = samples.withColumns({"back": back, "fell": F.col("value") < F.lag("value").over(order)}).where(F.col("back") <= last_n)
+    own = lambda c, f: f(c, "arrival")
+    oldest = F.col("back") == F.max("back").over(W.partitionBy("stream_id"))
+    d = d.withColumn("fell", F.col("fell") & ~oldest)  # what stands before the window is not consulted
+    return d.groupBy("stream_id").agg(
+        *[F.max(c).alias(c) for c in ("uid", "metric", "kind", "type")], F.count(F.lit(1)).alias("n"), F.count_if("fell").alias("decreases"), F.min("value").alias("lowest"), F.max("value").alias("highest"),
+        own("value", F.min_by).alias("first"), own("value", F.max_by).alias("last"), own("at_us", F.min_by).alias("first_us"), own("at_us", F.max_by).alias("last_us"))
 
-    ``features``: pair, streams, scope_ok, suffix_type, type, decreases (in the
-    last 8 samples), lo, hi (bounds of the quantity), value, samples.
+
+def binding_qa(bindings: DataFrame, samples: DataFrame, max_bytes: float = float(1 << 40), max_ratio: float = 1.5) -> DataFrame:
+    """pair, verdict (verified, suspect or failed) and the first test that said so, from what the streams themselves show.
+
+    ``bindings``: pair, uid, metric, entity (scope of the rule), unit of the bar, divisor (metric, or null) and gates
+    (active platform gates, or null); ``samples``: stream_id, uid, metric, kind, type, arrival, at_us, value.  What is
+    range-checked is the evaluated quantity: a counter under a ratio by its rate, a rule with a divisor by the ratio of
+    both streams' latest values.
     """
-    test = (F.when(F.col("streams") != 1, F.struct(F.lit("failed").alias("verdict"), F.lit("ambiguous").alias("test")))
-            .when(~F.col("scope_ok"), F.struct(F.lit("failed").alias("verdict"), F.lit("scope").alias("test")))
-            .when(F.col("suffix_type") != F.col("type"), F.struct(F.lit("failed").alias("verdict"), F.lit("character").alias("test")))
-            .when((F.col("type") == "counter") & (F.col("decreases") > 1), F.struct(F.lit("suspect").alias("verdict"), F.lit("decreases").alias("test")))
-            .when(~F.col("value").between(F.col("lo"), F.col("hi")), F.struct(F.lit("suspect").alias("verdict"), F.lit("range").alias("test")))
-            .when(F.col("samples") < 3, F.struct(F.lit("suspect").alias("verdict"), F.lit("thin-evidence").alias("test")))
-            .otherwise(F.struct(F.lit("verified").alias("verdict"), F.lit(None).cast("string").alias("test"))))
-    return features.select("pair", test.alias("t")).select("pair", "t.*")
+    per = ["uid", "metric"]
+    e = stream_evidence(samples)
+    e = e.groupBy(*per).agg(F.count(F.lit(1)).alias("streams"), F.first(F.struct("kind", "type", "n", "decreases", "lowest", "highest", "first", "last", "first_us", "last_us")).alias("s"))
+    over = e.select("uid", F.col("metric").alias("divisor"), F.col("streams").alias("d_streams"), F.col("s.last").alias("d_last"))
+    d = bindings.join(e, per, "left").join(over, ["uid", "divisor"], "left").withColumn("streams", F.coalesce("streams", F.lit(0)))
+    total, counter = F.endswith("metric", F.lit("_total")), F.col("s.type") == "counter"
+    derived = F.col("divisor").isNotNull()
+    by_rate = ~derived & counter
+    seconds = (F.col("s.last_us") - F.col("s.first_us")) / 1e6
+    rate = F.when((seconds > 0) & (F.col("s.last") >= F.col("s.first")), (F.col("s.last") - F.col("s.first")) / seconds)
+    said = lambda verdict, test: F.struct(F.lit(verdict).alias("verdict"), F.lit(test).cast("string").alias("test"))
+    t = (F.when(F.col("uid").isNull(), said("suspect", "no-channel")).when(F.col("streams") == 0, said("suspect", "no-stream")).when(F.col("streams") > 1, said("failed", "ambiguous"))
+         .when(F.col("s.kind").isNull(), said("suspect", "no-meta"))
+         .when(F.col("entity").isin("Container", "Pod", "Node") & (F.col("s.kind") != F.col("entity")), said("failed", "scope"))
+         .when((total & (F.col("s.type") == "gauge")) | (~total & counter), said("failed", "character"))
+         .when((counter | total) & (F.col("s.decreases") > 1), said("failed", "decreases"))
+         .when((F.col("s.lowest") < 0) | (~derived & (((F.col("unit") == "bytes") & (F.col("s.highest") > max_bytes)) | ((F.col("unit") == "ratio") & ~by_rate & (F.col("s.highest") > max_ratio)))), said("failed", "range"))
+         .when(by_rate & (F.col("unit") == "ratio") & (F.col("s.n") >= 2) & (rate > max_ratio), said("failed", "rate-range"))
+         .when(derived & (F.coalesce("d_streams", F.lit(0)) != 1), said("suspect", "divisor"))
+         .when(derived & ((F.col("d_last") < 0) | ((F.col("d_last") > 0) & (F.col("s.last") / F.nullif(F.col("d_last"), F.lit(0.0)) > max_ratio))), said("failed", "derived-range"))
+         .when(F.col("s.n") < 2, said("suspect", "thin-evidence")).when(F.coalesce(F.size("gates"), F.lit(0)) > 0, said("suspect", "gate")).otherwise(said("verified", None)))
+    return d.select("pair", t.alias("t")).select("pair", "t.*")
 
 
 def stream_audit(outcomes: DataFrame, verified: DataFrame) -> DataFrame:

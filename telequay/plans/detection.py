@@ -128,7 +128,7 @@ def linked(v):
     return G.edge_traverse(v.links(), v.tick_windows(), LINK_BUDGET)
 
 
-@query(with_views(f"""SELECT tick_seq, uid, phenomenon, round(met / n::DOUBLE, 6) AS completeness, unseen = 0 AS "full", suspect > 0 AS suspect FROM (
+_SPANNED = """SELECT tick_seq, uid, phenomenon, met / n::DOUBLE AS completeness, unseen = 0 AS "full", suspect > 0 AS suspect FROM (
     SELECT tick_seq, uid, phenomenon, count(*) FILTER (role = 'required') AS n, count(*) FILTER (role = 'required' AND met) AS met,
     count(*) FILTER (role = 'required' AND fresh AND NOT met) AS refuted, count(*) FILTER (role = 'required' AND NOT fresh) AS unseen,
     count(*) FILTER (role = 'required' AND met AND anchor) AS on_anchor, count(*) FILTER (met AND verdict = 1) AS suspect FROM (
@@ -136,18 +136,29 @@ def linked(v):
     UNION ALL SELECT s.tick_seq, s.uid, s.phenomenon, s.signal, s.role, coalesce(bool_or(x.met), false), coalesce(bool_or(x.fresh), false), max(r.verdict) FILTER (x.met), false
     FROM scoped s LEFT JOIN reached r ON r.tick_seq = s.tick_seq AND r.uid = s.uid AND r.hop = CASE s.on_scope WHEN 'neighbour' THEN 1 ELSE 2 END
     LEFT JOIN scoped x ON x.tick_seq = s.tick_seq AND x.uid = r.target AND x.phenomenon = s.phenomenon AND x.signal = s.signal AND x.role = s.role
-    WHERE s.on_scope <> 'anchor' GROUP BY ALL) GROUP BY ALL) WHERE refuted = 0 AND on_anchor > 0""", "components", "linked", **_EV,
-    scoped=f"SELECT *, {_SCOPE} AS on_scope FROM ev",
-    step="SELECT tick_seq, from_key AS uid, to_key AS target, verdict FROM linked WHERE type = 'runs-on' UNION SELECT tick_seq, to_key, from_key, verdict FROM linked WHERE type = 'runs-on'",
-    one="SELECT tick_seq, uid, target, max(verdict) AS verdict FROM step WHERE uid IN (SELECT uid FROM components) GROUP BY ALL",
-    reached="""SELECT tick_seq, uid, target, verdict, 1 AS hop FROM one UNION ALL SELECT o.tick_seq, o.uid, s.target, max(least(o.verdict, s.verdict)), 2 FROM one o JOIN step s ON s.tick_seq = o.tick_seq AND s.uid = o.target
-    WHERE s.target <> o.uid AND NOT EXISTS (SELECT 1 FROM one x WHERE x.tick_seq = o.tick_seq AND x.uid = o.uid AND x.target = s.target) GROUP BY ALL"""))
+    WHERE s.on_scope <> 'anchor' GROUP BY ALL) GROUP BY ALL) WHERE refuted = 0 AND on_anchor > 0"""
+_SPAN = {
+    "scoped": f"SELECT *, {_SCOPE} AS on_scope FROM ev",
+    "step": "SELECT tick_seq, from_key AS uid, to_key AS target, verdict FROM linked WHERE type = 'runs-on' UNION SELECT tick_seq, to_key, from_key, verdict FROM linked WHERE type = 'runs-on'",
+    "one": "SELECT tick_seq, uid, target, max(verdict) AS verdict FROM step WHERE uid IN (SELECT uid FROM components) GROUP BY ALL",
+    "reached": """SELECT tick_seq, uid, target, verdict, 1 AS hop FROM one UNION ALL SELECT o.tick_seq, o.uid, s.target, max(least(o.verdict, s.verdict)), 2 FROM one o JOIN step s ON s.tick_seq = o.tick_seq AND s.uid = o.target
+    WHERE s.target <> o.uid AND NOT EXISTS (SELECT 1 FROM one x WHERE x.tick_seq = o.tick_seq AND x.uid = o.uid AND x.target = s.target) GROUP BY ALL"""}
+
+
+def scoped_members(v):
+    scope = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SCOPES.items() for x in kv]), F.col("signal")), F.lit("anchor"))
+    return members(v).withColumn("on_scope", scope)
+
+
+def near_met(c, links):
+    """What entities with a met component reach."""
+    return G.reach(links, c.where("state in ('above', 'well-above') and not stale").select("tick_seq", F.col("uid").alias("key")).distinct(), 2, ("runs-on",))
+
+
+@query(with_views('SELECT tick_seq, uid, phenomenon, round(completeness, 6) AS completeness, "full", suspect FROM sfound', "components", "linked", **_EV, **_SPAN, sfound=_SPANNED))
 def match_spanned(v):
     c, links = cut(components(v)), cut(linked(v))
-    scope = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SCOPES.items() for x in kv]), F.col("signal")), F.lit("anchor"))
-    origins = c.where("state in ('above', 'well-above') and not stale").select("tick_seq", F.col("uid").alias("key")).distinct()
-    near = G.reach(links, origins, 2, ("runs-on",))
-    return D.match_spanned(c, members(v).withColumn("on_scope", scope), near).withColumn("completeness", F.round("completeness", 6))
+    return D.match_spanned(c, scoped_members(v), near_met(c, links)).withColumn("completeness", F.round("completeness", 6))
 
 
 _REL = _values(RELATIONS, '"trigger", downstream')
@@ -215,47 +226,68 @@ def blast_radius(v):
     return D.blast_radius(f, v.spark.createDataFrame(RELATIONS, "trigger string, downstream string"), tiers(v), near)
 
 
-_UNC = """SELECT DISTINCT l.tick_seq, l.uid, l.metric FROM loud l WHERE NOT EXISTS (SELECT 1 FROM ev e JOIN found f ON f.tick_seq = e.tick_seq AND f.uid = e.uid AND f.phenomenon = e.phenomenon
-    WHERE e.met AND e.tick_seq = l.tick_seq AND e.uid = l.uid AND e.metric = l.metric)"""
+_CARD_CTE = _EV | _SPAN | {
+    "sfound": _SPANNED,
+    # what findings consumed: on the anchor, and on every reached entity that met the member
+    "covered": """SELECT DISTINCT s.tick_seq, s.uid, s.metric, s.phenomenon FROM scoped s JOIN sfound f ON f.tick_seq = s.tick_seq AND f.uid = s.uid AND f.phenomenon = s.phenomenon WHERE s.met AND on_scope = 'anchor'
+        UNION SELECT x.tick_seq, x.uid, x.metric, x.phenomenon FROM scoped s JOIN sfound f ON f.tick_seq = s.tick_seq AND f.uid = s.uid AND f.phenomenon = s.phenomenon
+        JOIN reached r ON r.tick_seq = s.tick_seq AND r.uid = s.uid AND r.hop = CASE s.on_scope WHEN 'neighbour' THEN 1 ELSE 2 END
+        JOIN scoped x ON x.tick_seq = s.tick_seq AND x.uid = r.target AND x.phenomenon = s.phenomenon AND x.signal = s.signal AND x.role = s.role WHERE s.on_scope <> 'anchor' AND x.met""",
+    "unc": "SELECT DISTINCT l.tick_seq, l.uid, l.metric FROM loud l ANTI JOIN covered c ON c.tick_seq = l.tick_seq AND c.uid = l.uid AND c.metric = l.metric"}
+
 
+def loud_and_covered(v):
+    """(loud, covered, uncovered): loud states, the metrics that findings around them consumed, and the rest."""
+    c, links = cut(components(v)), cut(linked(v))  # the evidence and the loud states share one pass over the readings
+    m, near = scoped_members(v), near_met(c, links)
+    covered = cut(D.spanned_coverage(c, m, near, D.match_spanned(c, m, near)))
+    loud = cut(S.loud_states(c, S.rate_guards(v.readings(), v.ticks(), v.bindings(), SLOW)))
+    return loud, covered, D.uncovered_loud(loud, covered)
 
-def uncovered(v):
-    c = cut(components(v))  # the evidence and the loud states share one pass over the readings
-    ev = D.evidence(c, members(v))
-    return D.uncovered_loud(S.loud_states(c, S.rate_guards(v.readings(), v.ticks(), v.bindings(), SLOW)), ev, D.match_local(ev))
 
+def cards(v):
+    loud, covered, left = loud_and_covered(v)
+    return D.card_aging(left, v.ticks(), loud, covered)
 
-@query(with_views("SELECT * FROM unc", "loud", **_EV, unc=_UNC))
+
+@query(with_views("SELECT * FROM unc", "loud", "linked", **_CARD_CTE))
 def uncovered_loud(v):
-    return uncovered(v)
+    return loud_and_covered(v)[2]
 
 
-_CARDS = """SELECT tick_seq, uid, sig AS signature, CASE WHEN occ = 1 THEN 'new' ELSE 'aging' END AS status, fs AS first_seen, occ AS occurrences FROM isl
-    UNION ALL SELECT tick_seq + 1, uid, sig, 'resolved', fs, occ FROM isl WHERE last AND tick_seq + 1 IN (SELECT tick_seq FROM ticks)"""
+_SETS = "SELECT tick_seq, uid, list_sort(list(DISTINCT metric)) AS ms FROM unc GROUP BY ALL"
 _ISL = """SELECT *, min(tick_seq) OVER (PARTITION BY uid, island) AS fs, row_number() OVER (PARTITION BY uid, island ORDER BY tick_seq) AS occ,
     row_number() OVER (PARTITION BY uid, island ORDER BY tick_seq DESC) = 1 AS last FROM (SELECT *, sum(starts) OVER (PARTITION BY uid ORDER BY tick_seq) AS island FROM (
-    SELECT tick_seq, uid, array_to_string(ms, ',') AS sig, CASE WHEN lag(tick_seq) OVER w = tick_seq - 1 AND list_has_any(ms, lag(ms) OVER w) THEN 0 ELSE 1 END AS starts
-    FROM (SELECT tick_seq, uid, list_sort(list(DISTINCT metric)) AS ms FROM unc GROUP BY ALL) WINDOW w AS (PARTITION BY uid ORDER BY tick_seq)))"""
-
-
-@query(with_views("SELECT * FROM cards", "loud", **_EV, unc=_UNC, isl=_ISL, cards=_CARDS))
+    SELECT tick_seq, uid, ms, array_to_string(ms, ',') AS sig, CASE WHEN lag(tick_seq) OVER w = tick_seq - 1 AND list_has_any(ms, lag(ms) OVER w) THEN 0 ELSE 1 END AS starts
+    FROM sets WINDOW w AS (PARTITION BY uid ORDER BY tick_seq)))"""
+# a closed card is superseded when the entity is still loud on all its metrics, by the one phenomenon that has them all or by those that have some
+_CLOSED = """SELECT i.tick_seq + 1 AS tick_seq, i.uid, sig, fs, occ, list_has_all(coalesce(l.ms, []), i.ms) AS still,
+    (SELECT min(phenomenon) FROM (SELECT phenomenon FROM covered c WHERE c.tick_seq = i.tick_seq + 1 AND c.uid = i.uid AND list_contains(i.ms, c.metric) GROUP BY phenomenon HAVING count(DISTINCT metric) = len(i.ms))) AS whole,
+    (SELECT string_agg(DISTINCT phenomenon, ', ' ORDER BY phenomenon) FROM covered c WHERE c.tick_seq = i.tick_seq + 1 AND c.uid = i.uid AND list_contains(i.ms, c.metric)) AS parts
+    FROM isl i LEFT JOIN (SELECT tick_seq, uid, list(DISTINCT metric) AS ms FROM loud GROUP BY ALL) l ON l.tick_seq = i.tick_seq + 1 AND l.uid = i.uid WHERE i.last AND i.tick_seq + 1 IN (SELECT tick_seq FROM ticks)"""
+_CARDS = """SELECT tick_seq, uid, sig AS signature, CASE WHEN occ = 1 THEN 'new' ELSE 'aging' END AS status, fs AS first_seen, occ AS occurrences, '' AS superseded_by FROM isl
+    UNION ALL SELECT tick_seq, uid, sig, CASE WHEN still THEN 'superseded' ELSE 'resolved' END, fs, occ, CASE WHEN still THEN coalesce(whole, parts, '') ELSE '' END FROM closed"""
+_CARD_CTE = _CARD_CTE | {"sets": _SETS, "isl": _ISL, "closed": _CLOSED, "cards": _CARDS}
+
+
+@query(with_views("SELECT * FROM cards", "loud", "linked", **_CARD_CTE))
 def card_aging(v):
-    return D.card_aging(uncovered(v), v.ticks())
+    return cards(v)
 
 
-@query(with_views("""SELECT signature, count(*) AS windows, count(DISTINCT uid) AS entities, min(tick_seq) AS first_seen, max(tick_seq) AS last_seen FROM cards WHERE status <> 'resolved'
-    GROUP BY 1 HAVING count(*) >= 20 OR count(DISTINCT uid) >= 30""", "loud", **_EV, unc=_UNC, isl=_ISL, cards=_CARDS))
+@query(with_views("""SELECT signature, count(*) AS windows, count(DISTINCT uid) AS entities, min(tick_seq) AS first_seen, max(tick_seq) AS last_seen FROM cards WHERE status IN ('new', 'aging')
+    GROUP BY 1 HAVING count(*) >= 20 OR count(DISTINCT uid) >= 30""", "loud", "linked", **_CARD_CTE))
 def candidates(v):
-    return D.candidates(D.card_aging(uncovered(v), v.ticks()), 20, 30)
+    return D.candidates(cards(v), 20, 30)
 
 
 @query(with_views("""SELECT card_id, coalesce(array_to_string(CASE WHEN w IS NOT NULL THEN [w] ELSE ps END, ','), '') AS phenomena FROM (SELECT c.card_id, h.w, h.ps FROM (SELECT concat(tick_seq, '-', uid) AS card_id FROM unc GROUP BY ALL) c
     LEFT JOIN (SELECT card_id, min(phenomenon) FILTER (n = size) AS w, list_sort(list(DISTINCT phenomenon)) AS ps FROM (
     SELECT concat(u.tick_seq, '-', u.uid) AS card_id, phenomenon, count(DISTINCT u.metric) AS n, any_value(size) AS size FROM unc u JOIN (SELECT DISTINCT phenomenon, metric FROM members WHERE metric IS NOT NULL) m
     ON m.metric = u.metric JOIN (SELECT tick_seq, uid, count(DISTINCT metric) AS size FROM unc GROUP BY ALL) s ON s.tick_seq = u.tick_seq AND s.uid = u.uid GROUP BY 1, 2) GROUP BY 1) h ON h.card_id = c.card_id)""",
-    "loud", **_EV, unc=_UNC))
+    "loud", "linked", **_CARD_CTE))
 def covering_phenomena(v):
-    cards = uncovered(v).groupBy(F.concat_ws("-", F.col("tick_seq").cast("string"), "uid").alias("card_id")).agg(F.array_sort(F.collect_set("metric")).alias("metrics"))
+    cards = loud_and_covered(v)[2].groupBy(F.concat_ws("-", F.col("tick_seq").cast("string"), "uid").alias("card_id")).agg(F.array_sort(F.collect_set("metric")).alias("metrics"))
     return D.covering_phenomena(cards, members(v)).withColumn("phenomena", F.concat_ws(",", "phenomena"))
 
 

@@ -13,11 +13,11 @@ from telequay.operators import surfaces as U
 from telequay.operators import topology as G
 from telequay.sources import tables as T
 
-from .detection import _CTE, _EV, _ISL, _CARDS, _UNC, bindings, obtainable, uncovered, _OBTAIN, _SIGNALS, _CAPS, _values
+from .detection import _CARD_CTE, _CTE, bindings, cards, obtainable, _OBTAIN, _SIGNALS, _CAPS, _values
 from .forecasting import _POINTS, _RESETS, _SERIES, points, resets, series
 from .identity import _NEIGHBOURS, _TRAVERSED, _WINDOWS, BUDGET, windows
 from .registry import query
-from .surfaces import binding_qa, normalize_cadvisor
+from .surfaces import _QA, binding_qa, normalize_cadvisor
 from .views import with_views
 
 
@@ -100,12 +100,11 @@ def coverage_view(v):
     return U.coverage_view(OB.rule_coverage(b), OB.resolvability(b).drop("resolvability"), C.phenomenon_observability(m, s))
 
 
-@query(with_views("""SELECT 0 AS priority, 'unexplained:' || signature AS signature, count(*) AS recurrence FROM cards WHERE status <> 'resolved' GROUP BY signature HAVING count(*) >= 5 OR count(DISTINCT uid) >= 5
+@query(with_views("""SELECT 0 AS priority, 'unexplained:' || signature AS signature, count(*) AS recurrence FROM cards WHERE status IN ('new', 'aging') GROUP BY signature HAVING count(*) >= 5 OR count(DISTINCT uid) >= 5
     UNION ALL SELECT 1, 'unbounded:' || metric, count(*) FROM b WHERE reason = 'unbounded' GROUP BY metric
-    UNION ALL SELECT 2, concat_ws(':', 'failed', stream_id, 'character'), 1 FROM (SELECT DISTINCT stream_id FROM readings WHERE metric = 'view')""", "loud", **_EV, unc=_UNC, isl=_ISL, cards=_CARDS, **_CTE))
+    UNION ALL SELECT 2, concat_ws(':', 'failed', pair, test), 1 FROM qa WHERE verdict = 'failed'""", "loud", "linked", **_CARD_CTE, **_QA, **_CTE))
 def intake_feeds(v):
-    cards = D.candidates(D.card_aging(uncovered(v), v.ticks()), 5, 5)
-    return U.intake_feeds(cards, bindings(v).where("reason = 'unbounded'"), binding_qa(v).where("verdict = 'failed'"))
+    return U.intake_feeds(D.candidates(cards(v), 5, 5), bindings(v).where("reason = 'unbounded'"), binding_qa(v).where("verdict = 'failed'"))
 
 
 @query("""SELECT 'n' || c_nationkey AS ns, c_name AS pod, container, mem_limit_bytes, cpu_limit_milli FROM (SELECT *, 'a' AS container, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 * 100 END AS mem_limit_bytes, CASE WHEN c_custkey % 2 > 0 THEN 1 END AS cpu_limit_milli FROM customer

@@ -182,17 +182,40 @@ def sensitivity_sweep(v):
     return U.sensitivity_sweep(c, v.spark.createDataFrame(_GRID, "point_id string, band double, well_above double"), truth).withColumns({x: F.round(x, 6) for x in ("precision", "recall")})
 
 
-@query(with_views("""SELECT pair, CASE WHEN suffix <> type THEN 'failed' WHEN type = 'counter' AND decreases > 1 THEN 'suspect' WHEN NOT value BETWEEN 0 AND 150 THEN 'suspect' WHEN samples < 3 THEN 'suspect' ELSE 'verified' END AS verdict,
-    CASE WHEN suffix <> type THEN 'character' WHEN type = 'counter' AND decreases > 1 THEN 'decreases' WHEN NOT value BETWEEN 0 AND 150 THEN 'range' WHEN samples < 3 THEN 'thin-evidence' END AS test FROM (
-    SELECT stream_id AS pair, any_value(type) AS type, CASE WHEN any_value(metric) = 'view' THEN 'gauge' ELSE any_value(type) END AS suffix, count(*) FILTER (back <= 8 AND d < 0) AS decreases, max(value) FILTER (back = 1) AS value, count(*) AS samples FROM (
-    SELECT *, value - lag(value) OVER (PARTITION BY stream_id ORDER BY arrival) AS d, row_number() OVER (PARTITION BY stream_id ORDER BY arrival DESC) AS back FROM readings) GROUP BY 1)""", "readings"))
+_CHECKED = [("click", "bytes", None, "Container"), ("view", "native", None, "Container"), ("purchase_total", "ratio", None, "Container"), ("signup", "ratio", None, "Container"), ("error", "ratio", "click", "Deployment")]
+_QA = {
+    "checked": _values(_CHECKED, "metric, unit, divisor, entity"),
+    "evidence": """SELECT uid, CASE metric WHEN 'purchase' THEN 'purchase_total' ELSE metric END AS metric, concat(stream_id, CASE WHEN metric = 'click' AND uid::INT % 7 = 0 THEN concat('#', arrival % 2) ELSE '' END) AS stream_id,
+        CASE WHEN uid::INT % 11 = 0 THEN 'Pod' ELSE 'Container' END AS kind, type, arrival, at_us, CASE WHEN metric = 'purchase' AND uid::INT % 2 = 0 THEN arrival * CASE WHEN uid::INT % 3 = 0 THEN 1000000.0::DOUBLE ELSE 1.0::DOUBLE END
+        WHEN metric = 'signup' THEN value / 200.0::DOUBLE WHEN metric = 'click' THEN value - 0.5::DOUBLE ELSE value END AS value FROM readings""",
+    "recent": """SELECT *, value < lag(value) OVER (PARTITION BY stream_id ORDER BY arrival) AS fell FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY arrival DESC) AS back FROM evidence) WHERE back <= 8""",
+    "streams": """SELECT stream_id, any_value(uid) AS uid, any_value(metric) AS metric, any_value(kind) AS kind, any_value(type) AS type, count(*) AS n, count(*) FILTER (fell) AS decreases, min(value) AS lowest, max(value) AS highest,
+        arg_min(value, arrival) AS first, arg_max(value, arrival) AS last, (arg_max(at_us, arrival) - arg_min(at_us, arrival)) / 1e6::DOUBLE AS seconds FROM recent GROUP BY 1""",
+    "paired": """SELECT concat(c.uid, '|', k.metric) AS pair, k.*, c.uid::INT % 5 = 0 AS gated, (SELECT count(*) FROM streams s WHERE s.uid = c.uid AND s.metric = k.metric) AS streams, s.kind, s.type, n, decreases, lowest, highest, first, last, seconds,
+        (SELECT count(*) FROM streams s WHERE s.uid = c.uid AND s.metric = k.divisor) AS d_streams, (SELECT max(last) FROM streams s WHERE s.uid = c.uid AND s.metric = k.divisor) AS d_last
+        FROM (SELECT c_custkey::VARCHAR AS uid FROM customer) c CROSS JOIN checked k LEFT JOIN streams s ON s.uid = c.uid AND s.metric = k.metric""",
+    # every test in the order in which the checks are made; the first that speaks counts
+    "qa": """SELECT DISTINCT pair, CASE WHEN test IS NULL THEN 'verified' WHEN test IN ('no-stream', 'divisor', 'thin-evidence', 'gate') THEN 'suspect' ELSE 'failed' END AS verdict, test FROM (SELECT pair, CASE
+        WHEN streams = 0 THEN 'no-stream' WHEN streams > 1 THEN 'ambiguous' WHEN entity IN ('Container', 'Pod', 'Node') AND kind <> entity THEN 'scope'
+        WHEN (ends_with(metric, '_total') AND type = 'gauge') OR (NOT ends_with(metric, '_total') AND type = 'counter') THEN 'character' WHEN (type = 'counter' OR ends_with(metric, '_total')) AND decreases > 1 THEN 'decreases'
+        WHEN lowest < 0 THEN 'range' WHEN divisor IS NULL AND unit = 'bytes' AND highest > 1099511627776 THEN 'range' WHEN divisor IS NULL AND unit = 'ratio' AND type <> 'counter' AND highest > 1.5 THEN 'range'
+        WHEN divisor IS NULL AND type = 'counter' AND unit = 'ratio' AND n >= 2 AND seconds > 0 AND last >= first AND (last - first) / seconds > 1.5 THEN 'rate-range'
+        WHEN divisor IS NOT NULL AND d_streams <> 1 THEN 'divisor' WHEN divisor IS NOT NULL AND (d_last < 0 OR (d_last > 0 AND last / d_last > 1.5)) THEN 'derived-range'
+        WHEN n < 2 THEN 'thin-evidence' WHEN gated THEN 'gate' END AS test FROM paired)""",
+}
+
+
+@query(with_views("SELECT * FROM qa", "readings", **_QA))
 def binding_qa(v):
-    o = W.partitionBy("stream_id").orderBy("arrival")
-    d = v.readings().withColumn("d", F.col("value") - F.lag("value").over(o)).withColumn("back", F.row_number().over(W.partitionBy("stream_id").orderBy(F.col("arrival").desc())))
-    f = d.groupBy(F.col("stream_id").alias("pair")).agg(F.max("type").alias("type"), F.max("metric").alias("metric"), F.count_if((F.col("back") <= 8) & (F.col("d") < 0)).alias("decreases"),
-                                                        F.max(F.when(F.col("back") == 1, F.col("value"))).alias("value"), F.count(F.lit(1)).alias("samples"))
-    f = f.withColumns({"streams": F.lit(1), "scope_ok": F.lit(True), "suffix_type": F.when(F.col("metric") == "view", "gauge").otherwise(F.col("type")), "lo": F.lit(0.0), "hi": F.lit(150.0)})
-    return U.binding_qa(f)
+    r, uid = v.readings(), F.col("uid").cast("int")
+    stream = F.concat("stream_id", F.when((F.col("metric") == "click") & (uid % 7 == 0), F.concat(F.lit("#"), F.col("arrival") % 2)).otherwise(""))
+    value = (F.when((F.col("metric") == "purchase") & (uid % 2 == 0), F.col("arrival") * F.when(uid % 3 == 0, 1e6).otherwise(1.0)).when(F.col("metric") == "signup", F.col("value") / 200.0)
+             .when(F.col("metric") == "click", F.col("value") - 0.5).otherwise(F.col("value")))
+    e = r.select(stream.alias("stream_id"), "uid", F.when(F.col("metric") == "purchase", "purchase_total").otherwise(F.col("metric")).alias("metric"), F.when(uid % 11 == 0, "Pod").otherwise("Container").alias("kind"),
+                 "type", "arrival", "at_us", value.alias("value"))
+    rules = v.spark.createDataFrame(_CHECKED, "metric string, unit string, divisor string, entity string")
+    b = v.table("customer").select(F.col("c_custkey").cast("string").alias("uid")).crossJoin(F.broadcast(rules))  # a few authored rules
+    return U.binding_qa(b.withColumns({"pair": F.concat_ws("|", "uid", "metric"), "gates": F.when(uid % 5 == 0, F.array(F.lit("g1")))}), e)
 
 
 @query(with_views(f"""SELECT f.tick_seq, f.uid, phenomenon, round(completeness, 6) AS completeness, "full" FROM found f WHERE "full" ORDER BY completeness DESC, uid, phenomenon, tick_seq LIMIT 20""", "components", **_EV))

@@ -14,14 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from telequay.operators.detect import cascade_pairs, latest_triggers
 from telequay.operators.lineage import shared_folder
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A table's files as a stream."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A table's files as a stream, by default as many at a time as ``backlog`` writes for a range."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch or width(spark)).parquet(folder)
 
 
 def windowed(readings: DataFrame, width: str, slide: str, late: str) -> DataFrame:
@@ -114,6 +118,84 @@ def edge_state(events: DataFrame, horizon_us: int) -> DataFrame:
     return events.groupBy("type", "from_key", "to_key").applyInPandasWithState(step, out, "asserted_us long, confirmed_us long, retracted_us long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+class Cards(StatefulProcessor):
+    """An entity's open card (its metrics, first tick, occurrences, last tick): rows of ``detect.entity_ticks``, with run_id, become cards.
+
+    An entity that is not loud at the next tick has no row there; a timer just after its last tick's time fires once
+    the watermark has passed it, and closes the card at the tick that follows.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.card = handle.getValueState("card", "metrics string, first_seen long, occurrences long, idx long, run_id long")
+
+    def close(self) -> None:
+        pass
+
+    def _out(self, rows) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=["uid", "run_id", "idx", "signature", "status", "first_seen", "occurrences", "superseded_by"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        card = self.card.get() if self.card.exists() else None
+        d, out = pd.concat(list(rows)).sort_values("idx"), []
+        for r in d.itertuples(index=False):
+            loud, uncovered = set(r.loud), sorted(r.uncovered)
+            if card is not None and card[4] != r.run_id:
+                card = None  # a restart forgets it
+            if card is not None and r.idx > card[3] + 1:
+                out.append((key[0], card[4], card[3] + 1, card[0], "resolved", card[1], card[2], ""))
+                card = None
+            if card is not None:
+                metrics = card[0].split(",")
+                if set(metrics) & set(uncovered):
+                    card = (",".join(uncovered), card[1], card[2] + 1, r.idx, r.run_id)
+                    out.append((key[0], r.run_id, r.idx, card[0], "aging", card[1], card[2], ""))
+                    continue
+                still = set(metrics) <= loud
+                out.append((key[0], r.run_id, r.idx, card[0], "superseded" if still else "resolved", card[1], card[2], covering(metrics, r.covers) if still else ""))
+                card = None
+            if uncovered:
+                card = (",".join(uncovered), r.tick_seq, 1, r.idx, r.run_id)
+                out.append((key[0], r.run_id, r.idx, card[0], "new", card[1], 1, ""))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if card is None:
+            self.card.clear()
+        else:
+            self.card.update(card)
+            self.handle.registerTimer(int(d["now_us"].max()) // 1000 + 1)
+        yield from self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.card.exists():
+            metrics, first_seen, occurrences, idx, run = self.card.get()
+            self.card.clear()
+            yield from self._out([(key[0], run, idx + 1, metrics, "resolved", first_seen, occurrences, "")])
+
+
+def covering(metrics: list[str], covers) -> str:
+    """The smallest phenomenon that covers all metrics, else all that contribute."""
+    by: dict[str, set[str]] = {}
+    for x in covers:
+        metric, phenomenon = x.split("\u0001")
+        if metric in metrics:
+            by.setdefault(phenomenon, set()).add(metric)
+    whole = [p for p, m in by.items() if len(m) == len(set(metrics))]
+    return min(whole) if whole else ", ".join(sorted(by))
+
+
+def card_state(rows: DataFrame, ticks: DataFrame) -> DataFrame:
+    """The cards of ``detect.card_aging`` on a stream of ``detect.entity_ticks`` rows (with run_id), one open card an entity as state.
+
+    ``ticks``: idx, tick_seq, run_id; a card whose run ended is not closed there, as that tick is none of its run.
+    """
+    out = "uid string, run_id long, idx long, signature string, status string, first_seen long, occurrences long, superseded_by string"
+    d = rows.withColumn("at", F.timestamp_micros("now_us")).withWatermark("at", "0 seconds").groupBy("uid").transformWithStateInPandas(
+        statefulProcessor=Cards(), outputStructType=out, outputMode="append", timeMode="eventTime")
+    return d.join(F.broadcast(ticks), ["idx", "run_id"]).select("tick_seq", "uid", "signature", "status", "first_seen", "occurrences", "superseded_by")
+
+
 def cascades_by_batch(findings: DataFrame, relations: DataFrame, traversed: DataFrame, window_us: int, folder: str):
     """Run ``cascade_pairs`` for every micro-batch of findings; pairs go to ``folder``/pairs.
 
@@ -131,46 +213,67 @@ def cascades_by_batch(findings: DataFrame, relations: DataFrame, traversed: Data
     each_batch(findings, job, f"{folder}/checkpoint").awaitTermination()
 
 
-def backlog(rows: DataFrame, by: str, batches: int) -> str:
-    """Write ``rows`` as files by ranges of ``by``, oldest first, for a stream that takes one file at a time; returns the folder.
+def backlog(rows: DataFrame, by: str, batches: int, *keys: str) -> str:
+    """Write ``rows`` by ranges of ``by``, oldest first, for a stream that takes ``width`` files at a time; returns the folder.
 
-    File names sort by range and their times of change follow, so micro-batches come in order.
+    A range is written by as many tasks as the session has shuffle partitions, each key by one of them, so a key's
+    rows come in order of range whatever the batches.  The files' times of change follow the ranges.
     """
     folder = f"{shared_folder(rows.sparkSession)}/backlog-{uuid.uuid4().hex}"
     bounds = rows.stat.approxQuantile(by, [k / batches for k in range(1, batches)], 0.01)
     edges = [None, *bounds, None]
-    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):  # a few files, each written by Spark
+    for lo, hi in zip(edges, edges[1:]):
         part = rows.where((F.lit(True) if lo is None else F.col(by) > lo) & (F.lit(True) if hi is None else F.col(by) <= hi))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.repartition(width(rows.sparkSession), *keys).write.mode("append").parquet(folder)
     return folder
 
 
+def width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def each_batch(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str):
     """Run a batch job for every micro-batch, all input that is there, then stop."""
     return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
+def drained(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
     """All that a stream gives for the input that is there now, as a table: batches are written as Parquet in the shared folder.
 
-    In complete mode that is the last batch, otherwise all of them.  A batch run again replaces its own rows.
+    In complete mode that is the last batch, otherwise all of them.  A batch run again replaces its own rows.  With the
+    ``path`` of an earlier call its checkpoint is taken up, as after a restart.
     """
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-
+    path = path or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     seen = []
 
     def write(rows: DataFrame, batch: int) -> None:
         seen[:] = [batch]
         rows.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={batch}")
 
-    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state with timers needs it, and none has to fit in memory
+    try:
+        q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_STORE, before)
     q.awaitTermination()
     if not seen:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch=*")
 
 
+def in_steps(rows: DataFrame, by: str, steps: list, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a stream gives that gets the rows of one step after the other, and is stopped and taken up again between them."""
+    spark = rows.sparkSession
+    folder, path = (f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("steps", "stream"))
+    out = None
+    for step in steps:
+        rows.where(F.col(by) == step).write.mode("append").parquet(folder)
+        out = drained(build(file_stream(spark, folder, "*.parquet", rows.schema, 1 << 30)), mode, path)
+    return out
+
+
 def forecaster_hook(series: DataFrame, fn: Callable, horizon: int, quantiles: tuple[float, ...]) -> DataFrame:
     """Any forecaster on series (target, idx, value): target, h, q, value and error.
 
