@@ -146,6 +146,19 @@ def blast_radius(findings: DataFrame, relations: DataFrame, tier_a: DataFrame, n
     return d.select("tick_seq", F.col("a").alias("uid"), "trigger", "downstream", F.col("b").alias("at_risk"), "relation").distinct()
 
 
+def around(findings: DataFrame, traversed: DataFrame) -> DataFrame:
+    """tick_seq, a, b, relation: entities of findings with themselves and all that an edge relates them to at the tick."""
+    a = findings.select("tick_seq", F.col("uid").alias("a")).distinct()
+    e = traversed.select("tick_seq", F.col("from_key").alias("a"), F.col("to_key").alias("b")).union(traversed.select("tick_seq", "to_key", "from_key")).distinct()
+    return related(a.withColumn("b", F.col("a")).unionByName(a.join(e, ["tick_seq", "a"])).distinct(), traversed)
+
+
+def with_at_risk(findings: DataFrame, radius: DataFrame) -> DataFrame:
+    """Findings with at_risk: how many entities their blast radius holds."""
+    n = radius.groupBy("tick_seq", "uid", F.col("trigger").alias("phenomenon")).agg(F.count_distinct("at_risk").alias("at_risk"))
+    return findings.join(n, ["tick_seq", "uid", "phenomenon"], "left").na.fill(0, ["at_risk"])
+
+
 def latest_triggers(findings: DataFrame, window_us: int) -> DataFrame:
     """What a cascade tracker holds after the newest finding of each run: the latest of each (phenomenon, entity) within the window."""
     rest = [c for c in findings.columns if c not in ("run_id", "phenomenon", "uid")]

@@ -122,7 +122,7 @@ def gauge_slope(readings: DataFrame, ticks: DataFrame, p: Params) -> DataFrame:
 def usable_bindings(bindings: DataFrame, streams: DataFrame) -> DataFrame:
     """Bindings (uid, metric, ...) with their stream, where exactly one stream fits."""
     found = bindings.join(streams.select("uid", "metric", "stream_id", "type"), ["uid", "metric"])
-    alone = F.count(F.lit(1)).over(W.partitionBy("uid", "metric", "rule_id"))
+    alone = F.count(F.lit(1)).over(W.partitionBy("uid", "metric", "rule_id", *[c for c in ("epoch",) if c in bindings.columns]))
     return found.withColumn("n", alone).where("n = 1").drop("n")
 
 
@@ -148,19 +148,27 @@ def ratio_pair(readings: DataFrame, ticks: DataFrame, numerator: str, divisor: s
                     stale(F.least("at_us", "den_at"), F.col("now_us"), p.watermark_us).alias("stale"))
 
 
-def threshold_components(readings: DataFrame, ticks: DataFrame, bindings: DataFrame, p: Params) -> DataFrame:
+def as_bound(last: DataFrame, bound: DataFrame, epochs: DataFrame | None) -> DataFrame:
+    """Latest samples with their bars: those of the epoch of the tick (``epochs``: tick_seq, epoch), where bars have epochs."""
+    if epochs is None:
+        return last.join(bound, "stream_id")
+    return last.join(F.broadcast(epochs), "tick_seq").join(bound, ["stream_id", "epoch"]).drop("epoch")  # a row a tick
+
+
+def threshold_components(readings: DataFrame, ticks: DataFrame, bindings: DataFrame, p: Params, epochs: DataFrame | None = None) -> DataFrame:
     """Each bound stream at each tick on the ladder of its bar.
 
     ``bindings``: uid, metric, rule_id, bar, factor, unit, direction.  A counter
     is taken as a rate (times 1000 for millicores), a gauge by its latest value
-    with its slope.  Components that aren't finite are left out.
+    with its slope.  Components that aren't finite are left out.  With ``epochs``
+    (tick_seq, epoch) bindings have an epoch, and a tick sees those of its own.
     """
     bound = usable_bindings(bindings, readings.select("uid", "metric", "stream_id", "type").distinct())
     last = latest_by_event_time(readings, ticks)
     r = rate(readings.where("type = 'counter'"), ticks, p).select(*KEY, F.col("per_second").alias("rate"), F.col("elapsed_us").alias("rate_elapsed"))
     s = gauge_slope(readings.where("type <> 'counter'"), ticks, p).select(
         *KEY, F.col("per_second").alias("slope"), F.col("samples").alias("slope_samples"), F.col("inconclusive").alias("slope_inconclusive"))
-    d = last.join(bound, "stream_id").join(r, KEY, "left").join(s, KEY, "left")
+    d = as_bound(last, bound, epochs).join(r, KEY, "left").join(s, KEY, "left")
     counter = F.col("type") == "counter"
     d = d.withColumn("level", F.when(~counter, F.col("value")).when(F.col("rate_elapsed") > 0, F.col("rate") * F.when(F.col("unit") == "millicores", 1000.0).otherwise(1.0)))
     d = d.withColumn("line", well_above_line(F.col("bar"), F.col("factor"), F.lit(p.well_above), F.col("direction")))
@@ -172,12 +180,12 @@ def threshold_components(readings: DataFrame, ticks: DataFrame, bindings: DataFr
                     F.coalesce("slope_inconclusive", F.lit(False)).alias("slope_inconclusive"))
 
 
-def rate_guards(readings: DataFrame, ticks: DataFrame, bindings: DataFrame, p: Params) -> DataFrame:
+def rate_guards(readings: DataFrame, ticks: DataFrame, bindings: DataFrame, p: Params, epochs: DataFrame | None = None) -> DataFrame:
     """Increase over the window against a guard: breached unless a gap left nothing to measure."""
     bound = usable_bindings(bindings, readings.select("uid", "metric", "stream_id", "type").distinct())
     last = latest_by_event_time(readings, ticks).select(*KEY, "now_us", "at_us")
     r = rate(readings, ticks, p)
-    d = last.join(bound, "stream_id").join(r, KEY, "left").na.fill({"delta": 0.0, "per_second": 0.0, "resets": 0, "elapsed_us": 0}).withColumn(
+    d = as_bound(last, bound, epochs).join(r, KEY, "left").na.fill({"delta": 0.0, "per_second": 0.0, "resets": 0, "elapsed_us": 0}).withColumn(
         "gap_broken", F.coalesce("gap_broken", F.lit(False)))
     inconclusive = F.col("gap_broken") & (F.col("elapsed_us") <= 0)
     return d.where(finite(F.col("delta")) & finite(F.col("per_second"))).select(

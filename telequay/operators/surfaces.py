@@ -61,9 +61,27 @@ def timeline(lanes: DataFrame, horizon_us: int) -> DataFrame:
     return lanes.select("lane", "id", "start_us", F.coalesce("end_us", F.col("start_us") + horizon_us).alias("end_us")).orderBy("start_us", "lane", "id")
 
 
+def context_list(entries: DataFrame) -> DataFrame:
+    """What an operator noted on an entity (entity, id, start_us): newest start first, then by id; rank says the place."""
+    return entries.withColumn("rank", F.row_number().over(W.partitionBy("entity").orderBy(F.col("start_us").desc(), "id")))
+
+
 def insight_rollup(findings: DataFrame) -> DataFrame:
-    """Totals by tick: all, full, degraded, with something at risk."""
-    return findings.groupBy("tick_seq").agg(F.count(F.lit(1)).alias("total"), F.count_if("full").alias("full"), F.count_if(~F.col("full")).alias("degraded"), F.count_if(F.col("supporting") > 0).alias("supported"))
+    """Totals by tick: all, full, degraded, with supporting members met, over more than the entity (``spanned``), with something at risk."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    return findings.groupBy("tick_seq").agg(F.count(F.lit(1)).alias("total"), n("full", "full"), n(~F.col("full"), "degraded"), n(F.col("supporting") > 0, "supported"), n("spanned", "spanned"), n(F.col("at_risk") > 0, "at_risk"))
+
+
+def on_call_top(findings: DataFrame, k: int) -> DataFrame:
+    """The k findings to look at first: those with something at risk, then full ones, then by key.  Every task keeps k rows of its own."""
+    return findings.orderBy((F.col("at_risk") > 0).desc(), F.col("full").desc(), "uid", "phenomenon", "tick_seq").limit(k)
+
+
+def compare_digests(recorded: DataFrame, replayed: DataFrame, key: str = "tick_seq") -> DataFrame:
+    """key, state: equal, differs, missing (recorded only) or unrecorded, of digests (key, digest)."""
+    d = recorded.select(key, F.col("digest").alias("was")).join(replayed.select(key, F.col("digest").alias("now")), key, "full_outer")
+    state = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "unrecorded").when(F.col("was") == F.col("now"), "equal").otherwise("differs")
+    return d.select(key, state.alias("state"))
 
 
 def tick_digest(rows: DataFrame, key: str) -> DataFrame:

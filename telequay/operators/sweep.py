@@ -16,20 +16,24 @@ from telequay.params import Params
 SEEN = ("state", "stale", "slope", "slope_samples", "slope_inconclusive", "breached", "inconclusive")
 
 
-def observations(readings: DataFrame, ticks: DataFrame, levels: DataFrame, ratios: DataFrame, guards: DataFrame, p: Params) -> DataFrame:
+def observations(readings: DataFrame, ticks: DataFrame, levels: DataFrame, ratios: DataFrame, guards: DataFrame, p: Params, epochs: DataFrame | None = None) -> DataFrame:
     """Everything that checks look at, by tick, entity and metric: value, bar, factor, direction and staleness of levels and
     ratios, slopes of gauges, breaches of guards.
 
     ``levels``: uid, metric, rule_id, bar, factor, unit, direction; ``guards``: uid, metric, rule_id, bar;
-    ``ratios``: numerator, divisor, metric, bar, factor, direction.
+    ``ratios``: numerator, divisor, metric, bar, factor, direction.  With ``epochs`` (tick_seq, epoch) levels and guards
+    have an epoch, and every tick sees those of its own.
     """
     numbers = ["bar", "factor", "direction"]
-    level = S.threshold_components(readings, ticks, levels, p).join(levels.select("uid", "metric", "rule_id", "factor", "direction"), ["uid", "metric", "rule_id"])
+    level, key = S.threshold_components(readings, ticks, levels, p, epochs), ["uid", "metric", "rule_id"]
+    if epochs is not None:
+        level, key = level.join(F.broadcast(epochs), "tick_seq"), [*key, "epoch"]  # a row a tick
+    level = level.join(levels.select(*key, "factor", "direction"), key)
     level = level.select("tick_seq", "uid", "metric", "value", *numbers, "stale", "slope", "slope_samples", "slope_inconclusive")
     of = [S.ratio_pair(readings, ticks, r.numerator, r.divisor, p).select("tick_seq", "uid", F.lit(r.metric).alias("metric"), F.col("ratio").alias("value"), F.lit(r.bar).alias("bar"),
                                                                         F.lit(r.factor).cast("double").alias("factor"), F.lit(r.direction).alias("direction"), "stale")
           for r in ratios.collect()]  # a few authored rules
-    guard = S.rate_guards(readings, ticks, guards, p).select("tick_seq", "uid", "metric", "stale", "breached", "inconclusive")
+    guard = S.rate_guards(readings, ticks, guards, p, epochs).select("tick_seq", "uid", "metric", "stale", "breached", "inconclusive")
     out = level
     for d in (*of, guard):
         out = out.unionByName(d, allowMissingColumns=True)

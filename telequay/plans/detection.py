@@ -217,13 +217,26 @@ def tier_a(v):
     return tiers(v)
 
 
-@query(with_views("""SELECT DISTINCT f.tick_seq, f.uid, r."trigger", r.downstream, n.b AS at_risk, 'runs-on' AS relation FROM found f JOIN rel r ON r."trigger" = f.phenomenon
-    JOIN (SELECT f.tick_seq, f.uid AS a, (f.uid::INT + 1)::VARCHAR AS b FROM found f) n ON n.tick_seq = f.tick_seq AND n.a = f.uid JOIN tier t ON t.uid = n.b AND t.phenomenon = r.downstream""",
-    "components", **_EV, rel=_REL, tier=_TIER))
+_RADIUS = {
+    "rel": _REL, "tier": _TIER,
+    # the entity itself, and what one edge of a known type relates it to, by the first type
+    "near": """SELECT tick_seq, uid AS a, uid AS b, 'same-entity' AS relation FROM (SELECT DISTINCT tick_seq, uid FROM found) UNION ALL SELECT tick_seq, a, b, arg_min(CASE WHEN verdict = 1 THEN concat(type, ' (suspect)') ELSE type END, p * 10 - verdict) FROM (
+        SELECT f.tick_seq, f.uid AS a, CASE WHEN from_key = f.uid THEN to_key ELSE from_key END AS b, type, verdict, list_position(['runs-on', 'mounts', 'selects'], type) AS p
+        FROM (SELECT DISTINCT tick_seq, uid FROM found) f JOIN linked l ON l.tick_seq = f.tick_seq AND (l.from_key = f.uid OR l.to_key = f.uid)) WHERE a <> b GROUP BY ALL""",
+    "radius": """SELECT DISTINCT f.tick_seq, f.uid, r."trigger", r.downstream, n.b AS at_risk, n.relation FROM found f JOIN rel r ON r."trigger" = f.phenomenon JOIN near n ON n.tick_seq = f.tick_seq AND n.a = f.uid
+        JOIN tier t ON t.uid = n.b AND t.phenomenon = r.downstream""",
+    "risky": """SELECT f.*, (SELECT count(DISTINCT at_risk) FROM radius r WHERE r.tick_seq = f.tick_seq AND r.uid = f.uid AND r."trigger" = f.phenomenon) AS at_risk FROM found f"""}
+
+
+def radius(v):
+    """(findings, blast radius)."""
+    f = cut(findings(v))
+    return f, D.blast_radius(f, v.spark.createDataFrame(RELATIONS, "trigger string, downstream string"), tiers(v), D.around(f, cut(linked(v))))
+
+
+@query(with_views("SELECT * FROM radius", "components", "bindings", "linked", **_EV, **_RADIUS))
 def blast_radius(v):
-    f = findings(v)
-    near = f.select("tick_seq", F.col("uid").alias("a"), (F.col("uid").cast("int") + 1).cast("string").alias("b"), F.lit("runs-on").alias("relation")).distinct()
-    return D.blast_radius(f, v.spark.createDataFrame(RELATIONS, "trigger string, downstream string"), tiers(v), near)
+    return radius(v)[1]
 
 
 _CARD_CTE = _EV | _SPAN | {

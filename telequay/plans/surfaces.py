@@ -6,12 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telequay.functions import identity as I
+from telequay.operators import detect as D
 from telequay.operators import surfaces as U
 from telequay.params import DAY
 from telequay.sources import exposition as E
 from telequay.sources import tables as T
 
-from .detection import _EV, _values, components, findings, loud, tiers, _TIER
+from .detection import _EV, _RADIUS, _TIER, _values, components, findings, loud, radius, scoped_members, tiers
 from .registry import query
 from .views import with_views
 
@@ -150,9 +151,20 @@ def timeline(v):
     return U.timeline(v.table("orders").select(F.col("o_orderstatus").alias("lane"), F.col("o_orderkey").alias("id"), s.alias("start_us"), F.when(F.col("o_custkey") % 3 > 0, s + F.col("o_custkey")).alias("end_us")), 1000)
 
 
-@query(with_views('SELECT tick_seq, count(*) AS total, count(*) FILTER ("full") AS "full", count(*) FILTER (NOT "full") AS degraded, count(*) FILTER (supporting > 0) AS supported FROM found GROUP BY 1', "components", **_EV))
+_WIDE = "phenomenon IN (SELECT phenomenon FROM members WHERE signal IN ('s-error', 's-signup'))"
+
+
+def risky(v):
+    """Findings with what is at risk around them, and whether their phenomenon looks beyond the entity."""
+    f, near = radius(v)
+    wide = scoped_members(v).where("on_scope <> 'anchor'").select("phenomenon", F.lit(True).alias("spanned")).distinct()
+    return D.with_at_risk(f, near).join(F.broadcast(wide), "phenomenon", "left").na.fill(False, ["spanned"])  # a few authored phenomena
+
+
+@query(with_views(f"""SELECT tick_seq, count(*) AS total, count(*) FILTER ("full") AS "full", count(*) FILTER (NOT "full") AS degraded, count(*) FILTER (supporting > 0) AS supported, count(*) FILTER ({_WIDE}) AS spanned,
+    count(*) FILTER (at_risk > 0) AS at_risk FROM risky GROUP BY 1""", "components", "bindings", "linked", **_EV, **_RADIUS))
 def insight_rollup(v):
-    return U.insight_rollup(findings(v))
+    return U.insight_rollup(risky(v))
 
 
 def _hash(*cols):
@@ -218,9 +230,12 @@ def binding_qa(v):
     return U.binding_qa(b.withColumns({"pair": F.concat_ws("|", "uid", "metric"), "gates": F.when(uid % 5 == 0, F.array(F.lit("g1")))}), e)
 
 
-@query(with_views(f"""SELECT f.tick_seq, f.uid, phenomenon, round(completeness, 6) AS completeness, "full" FROM found f WHERE "full" ORDER BY completeness DESC, uid, phenomenon, tick_seq LIMIT 20""", "components", **_EV))
+@query(with_views("""SELECT tick_seq, uid, phenomenon, round(completeness, 6) AS completeness, "full", at_risk FROM risky ORDER BY at_risk > 0 DESC, "full" DESC, uid, phenomenon, tick_seq LIMIT 20""", "components", "bindings", "linked", **_EV, **_RADIUS))
 def on_call_top(v):
-    return findings(v).where("full").select("tick_seq", "uid", "phenomenon", F.round("completeness", 6).alias("completeness"), "full").orderBy(
-        F.col("completeness").desc(), "uid", "phenomenon", "tick_seq").limit(20)
+    return U.on_call_top(risky(v), 20).select("tick_seq", "uid", "phenomenon", F.round("completeness", 6).alias("completeness"), "full", "at_risk")
 
 
+@query("""SELECT o_custkey AS entity, rank, o_orderkey AS id, epoch_us(o_orderdate) AS start_us FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders)""")
+def context_list(v):
+    o = v.table("orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("start_us"))
+    return U.context_list(o)

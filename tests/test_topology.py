@@ -47,7 +47,7 @@ def test_cascades_over_the_topology(spark):
 def test_cascades_by_micro_batch(spark, tmp_path):
     rel = spark.createDataFrame([("pressure", "slow")], "trigger string, downstream string")
     table = found(spark)
-    stream = live.file_stream(spark, live.backlog(table, "now_us", 4), "*.parquet", table.schema)
+    stream = live.file_stream(spark, live.backlog(table, "now_us", 4, "run_id"), "*.parquet", table.schema)
     folder = f"file://{tmp_path}/cascades"
     live.cascades_by_batch(stream, rel, edges(spark), 10 * MINUTE, folder)
     got = spark.read.parquet(f"{folder}/pairs/batch=*").collect()
