@@ -16,7 +16,6 @@ number of them, go to every task, and the others are joined by a shuffle.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .packed import distinct, pack, pack_sorted, starts, unpack, unpack_sorted
-from .records import _SPACES, _WIDE, Remembered
+from .records import _BLANKS, Remembered, chunks
 from .shared import written
 from .tiers import threshold
 
@@ -38,16 +37,6 @@ FREQUENT = 1 << 20
 HELD = 1 << 21
 #: Links of a group that are listed one by one; larger groups are counted by distinct ids.
 LISTED = 1 << 16
-#: Neither side joins what stands on both sides of such a place: a blank or line end after a character that no table takes for white space.
-_CUT = re.compile(rf"(?<=[^{_SPACES}])(?=[ \n])")
-
-
-#: Without two of them side by side, that is before each of them.
-_NARROW = re.compile("[ \n][^ \n]*").findall
-#: Chunks that end in white space may be cut otherwise beside another.
-_BLANKS = set(filter(re.compile(f"[{_SPACES}]").match, map(chr, range(0x3100))))
-
-
 class Sides:
     """Ids of both tokenizers for chunks of a text that begin with a blank or line end."""
 
@@ -79,10 +68,10 @@ class Sides:
         """Workers outlive tasks and should not hold on to what one of them met."""
         self.known_a, self.known_b, self.odd = Remembered(self.known_a.keep), {}, set()
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, all_: set[str]) -> None:
         """Ids of chunks not met yet, of many in one call: as no token spans two, they are cut by their lengths."""
         before = self.known_a.old
-        new = self.known_a.missing(chunks)
+        new = self.known_a.missing(all_)
         if self.known_a.old is not before:  # the older half went
             self.known_b = {c: self.known_b[c] for c in self.known_a.old if c in self.known_b}
         closed = [c for c in new if c[-1] not in _BLANKS]
@@ -124,11 +113,6 @@ class Sides:
         return [b"".join(map(of_a, c)) for c in cut], [b"".join(map(of_b, c)) for c in cut]
 
 
-def chunks(text: str) -> list[str]:
-    """A text that begins with a blank, cut where no token of either side spans the place."""
-    return _CUT.split(text) if _WIDE.search(text) else _NARROW(text)
-
-
 _SIDES: dict[tuple[str, str], Sides] = {}
 
 

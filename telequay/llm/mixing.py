@@ -129,13 +129,17 @@ def mix_documents(documents: DataFrame, labels: DataFrame, *, unlabelled: float
 def mixed_rows(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's row as many times as it was taken, columns unchanged.
 
-    Documents whose doc_id repeats take the copies of their own (doc_id, source, size).
+    Rows with equal doc_id, source and size (as null ids) stand side by side in the mix, so its end falls within one
+    such group of a source at most.  All rows of a group come as often as each is taken at least; of the groups in
+    which some are taken once more, one a source, that many rows, by their texts' hashes, come once more.
     """
-    m_id, m_source, m_size, m_copies, own_size, copy = fresh(documents, 6)
-    copies = (mix_documents(documents, labels, **options).where("copies > 0")
-              .groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))).toDF(m_id, m_source, m_size, m_copies)
+    m_id, m_source, m_size, low, more, own_size, copy, number = fresh(documents, 8)
+    groups = mix_documents(documents, labels, **options).groupBy("doc_id", "source", "size").agg(
+        F.min("copies").alias("low"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("more")).toDF(m_id, m_source, m_size, low, more)
+    groups = written(groups)
     sized = documents.withColumn(own_size, text_size(F.col("text")))
-    out = sized.join(copies, F.col("doc_id").eqNullSafe(F.col(m_id)) & F.col("source").eqNullSafe(F.col(m_source))
-                     & (F.col(own_size) == F.col(m_size)))
-    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(m_copies).cast("int"))))
-    return out.drop(m_id, m_source, m_size, m_copies, own_size, copy)
+    own = F.col("doc_id").eqNullSafe(F.col(m_id)) & F.col("source").eqNullSafe(F.col(m_source)) & (F.col(own_size) == F.col(m_size))
+    out = sized.join(groups.where(F.col(low) > 0), own).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(low).cast("int"))))
+    last = sized.join(F.broadcast(groups.where(F.col(more) > 0)), own)  # a group a source
+    last = last.withColumn(number, F.row_number().over(W.partitionBy(m_id, m_source, m_size).orderBy(F.xxhash64("text"), "text"))).where(F.col(number) <= F.col(more))
+    return out.select(*documents.columns).unionByName(last.select(*documents.columns))

@@ -25,12 +25,24 @@ MAGIC = b"TQREC01\n"
 END_ID = 2
 #: White space, and characters that only some tables take for it.
 _SPACES = r"\s\x1c-\x1f\u180e\u200b"
-_GAP = re.compile(rf"(?<=[^{_SPACES}])(?= )")
+#: No token spans such a place: a blank or line end after a character that no table takes for white space.
+_CUT = re.compile(rf"(?<=[^{_SPACES}])(?=[ \n])")
 _WIDE = re.compile(rf"[{_SPACES}][{_SPACES}]")
-#: Characters on which all tables of letters agree: printable ASCII, line ends and the letters of Latin-1 and Latin Extended-A.
-_PLAIN = re.compile("[\n -~À-ÖØ-öø-ž]*")
-#: Fixed: how byte-level vocabularies of this family cut text; here for plain characters alone.
-PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ž]+| ?[0-9]+| ?[^ \nA-Za-zÀ-ÖØ-öø-ž0-9]+|[ \n]+(?![^ \n])|[ \n]+"""
+#: Without white space side by side these are all blanks and line ends.
+_NARROW = re.compile("[ \n][^ \n]*").findall
+#: Chunks that end in white space may be cut otherwise beside another.
+_BLANKS = set(filter(re.compile(f"[{_SPACES}]").match, map(chr, range(0x3100))))
+
+
+def chunks(text: str) -> list[str]:
+    """A text cut where no token of a byte-level or marked-word vocabulary spans the place; all but the first begin with a blank or line end."""
+    if _WIDE.search(text):
+        return _CUT.split(text)
+    if text[0] in " \n":
+        return _NARROW(text)
+    out = _NARROW(" " + text)
+    out[0] = out[0][1:]
+    return out
 
 
 def masked(data: bytes) -> int:
@@ -91,85 +103,49 @@ class Remembered:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembered by piece.
+    """Ids of whole texts by the tokenizers library, remembered by chunk.
 
-    A byte-level tokenizer never joins a non-space with white space after it, so
-    a text is cut there; a piece is cut further by the tokenizer's pattern,
-    and the library encodes each distinct part once.  Pieces with characters on
-    which tables of letters may differ are cut by the library itself.  Texts that
-    hold one of its added tokens go to it whole.
+    New chunks go to the library many at once, side by side: as no token spans
+    two of them, their ids are told apart by the tokens' lengths in bytes.
+    Texts that hold one of its added tokens go to it whole.
     """
 
     def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain, self.spaced, self.parts_known = Remembered(keep // 5), Remembered(keep), Remembered(keep)
+        self.known = Remembered(keep)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.parts = re.compile(PARTS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         top = max([self.tokenizer.get_vocab_size() - 1, END_ID, *self.tokenizer.get_added_tokens_decoder()])
+        self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(top + 1)], np.int64)  # a letter for each byte
         self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
 
-    def encode_parts(self, parts: list[str]) -> None:
-        """Work out parts of plain pieces by the library; those that begin with a space go to it many at once."""
-        known = self.parts_known.young
-        led = [x for x in parts if x[0] == " " and x[-1] not in " \n"]
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        known = self.known.young
+        led = [c for c in new if c and c[0] in " \n" and c[-1] not in _BLANKS]
         for lo in range(0, len(led), 500):
             own = led[lo:lo + 500]
-            e = self.tokenizer.encode("".join(own), add_special_tokens=False)
-            of = np.array(e.word_ids)
-            ids = np.array(e.ids, self.dtype)
-            at = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), ids.size) * self.dtype.itemsize
-            if at.size == len(own) + 1:  # else the parts go to it one by one
-                raw = ids.tobytes()
-                known.update(zip(own, [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]))
-        rest = [x for x in parts if x not in known]
-        for part, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[part] = np.array(e.ids, self.dtype).tobytes()
-
-    def learn(self, plain: set[str], spaced: set[str]) -> None:
-        """Make sure that pieces (``plain``) and words after a space (``spaced``) are known."""
-        todo = []
-        for to, keys, lead in ((self.plain, plain, ""), (self.spaced, spaced, " ")):
-            for key in to.missing(keys):
-                piece = lead + key
-                if _PLAIN.fullmatch(piece):
-                    todo.append((to.young, key, self.parts(piece)))
-                else:
-                    to.young[key] = np.array([t.id for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece) for t in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
-        self.encode_parts(self.parts_known.missing(set().union(*[p for _, _, p in todo])))
-        known = self.parts_known.young
-        for to, key, p in todo:
-            to[key] = known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
+            ids = np.array(self.tokenizer.encode("".join(own), add_special_tokens=False).ids, self.dtype)
+            at, ends = np.cumsum(self.length[ids]), np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in own])
+            k = np.searchsorted(at, ends)
+            if k[-1] < at.size and (at[k] == ends).all():  # else one by one
+                cut, data = [0, *(self.dtype.itemsize * (k + 1)).tolist()], ids.tobytes()
+                known.update(zip(own, [data[i:j] for i, j in zip(cut, cut[1:])]))
+        for c in new:
+            if c not in known:
+                known[c] = self.one(c) if c else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
-        cut, plain, spaced = [], {"\n"}, set()
-        for text in texts:
-            if any(s in text for s in self.special):
-                cut.append(None)
-            elif _WIDE.search(text):
-                cut.append((_GAP.split(text),))
-                plain.update(cut[-1][0])
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                cut.append(lines)
-                for line in lines:
-                    plain.add(line[0])
-                    spaced.update(line[1:])
-        self.learn(plain, spaced)
-        of, after = self.plain.young, self.spaced.young.__getitem__
-        newline, out = of["\n"], []
-        for text, lines in zip(texts, cut):
-            if lines is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
-            elif isinstance(lines, tuple):
-                out.append(b"".join([of[x] for x in lines[0]]))
-            else:
-                out.append(newline.join([of[line[0]] + b"".join(map(after, line[1:])) for line in lines]))
-        return out
+        cut = [None if any(s in t for s in self.special) else chunks(t) if t else [] for t in texts]
+        self.learn(self.known.missing(set().union(*[c for c in cut if c])))
+        of = self.known.young.__getitem__
+        return [self.one(t) if c is None else b"".join(map(of, c)) for t, c in zip(texts, cut)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -67,6 +67,16 @@ def test_mixing_odd_rows(spark):
     assert out.columns == d.columns and out.count() >= 5
 
 
+def test_mixed_rows_of_null_ids_keep_the_target(spark):
+    d = spark.createDataFrame([(None, f"{i} b c d e", "s") for i in range(100)] + [(1, "x y z u v w", "t")] * 7, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    taken = {r.source: r.n for r in mixing.mix_documents(d, labels).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    got = {r.source: r["count"] for r in mixing.mixed_rows(d, labels).groupBy("source").count().collect()}
+    assert got == {k: v for k, v in taken.items() if v} and got["s"] < 200
+    most = mixing.mixed_rows(d, labels).where("source = 's'").groupBy("text").count().agg(F.max("count"), F.min("count")).first()
+    assert most[0] <= 2 and most[1] >= 1
+
+
 # 2
 
 def test_media_round_trip(spark, tmp_path):
