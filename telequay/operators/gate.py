@@ -36,14 +36,23 @@ def rolling_origins(series: DataFrame, last_n: int = 64, min_context: int = 2) -
     """Every basis of each series (target, idx, at_us, value) as an origin, from one pass over it.
 
     target, idx, basis_us, last, sigma and drift of the ``last_n`` first differences up to there (population spread, at least 1e-9; mean).
+    With a column ``segment`` nothing before an origin's own segment counts, as after a splice.
     """
-    order = W.partitionBy("target").orderBy("idx")
+    order = W.partitionBy("target", *[c for c in ("segment",) if c in series.columns]).orderBy("idx")
     near = order.rowsBetween(1 - last_n, 0)
-    d = series.select("target", "idx", "at_us", "value", (F.col("value") - F.lag("value").over(order)).alias("diff"))
+    d = series.withColumn("diff", F.col("value") - F.lag("value").over(order))
     return d.select("target", "idx", F.col("at_us").alias("basis_us"), F.col("value").alias("last"), F.greatest(F.coalesce(F.stddev_pop("diff").over(near), F.lit(0.0)), F.lit(1e-9)).alias("sigma"),
                     F.coalesce(F.avg("diff").over(near), F.lit(0.0)).alias("drift")).where(F.col("idx") + 1 >= min_context)
 
 
+def segments(series: DataFrame, drop: float) -> DataFrame:
+    """Series with ``segment``: how many falls by more than ``drop`` of the value before stand up to each sample."""
+    order = W.partitionBy("target").orderBy("idx")
+    prev = F.lag("value").over(order)
+    d = series.withColumn("fell", F.coalesce((prev > 0) & (prev - F.col("value") > drop * prev), F.lit(False)).cast("int"))
+    return d.withColumn("segment", F.sum("fell").over(order)).drop("fell")
+
+
 def past(value: Column, bar: Column, direction: Column) -> Column:
     return F.when(direction == "below", value <= bar).otherwise(value >= bar)
 

@@ -168,6 +168,11 @@ def stream_audit(outcomes: DataFrame, verified: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(b))  # one row each
 
 
+def outcomes_by_reason(outcomes: DataFrame) -> DataFrame:
+    """How many streams were resolved, dropped or quarantined, by reason."""
+    return outcomes.groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def coverage_view(coverage: DataFrame, resolved: DataFrame, observability: DataFrame) -> DataFrame:
     """One row of headline figures over rules, resolvability and phenomena."""
     a = coverage.agg(F.count(F.lit(1)).alias("rules"), F.sum("pairs").alias("pairs"), F.count_if(F.col("config_bound") + F.col("default_bound") > 0).alias("rules_bound"))

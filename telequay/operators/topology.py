@@ -57,6 +57,13 @@ def edge_traverse(edges: DataFrame, windows: DataFrame, budget_us: int) -> DataF
     return edges.join(windows, overlaps).select("tick_seq", "type", "from_key", "to_key", F.when(late, SUSPECT).otherwise(VALID).alias("verdict"))
 
 
+def edge_health(edges: DataFrame, now_us: int, budget_us: int) -> DataFrame:
+    """How many edges of each type are valid, suspect (not confirmed within the budget) or retracted at a time; later ones don't count yet."""
+    gone = F.coalesce(F.col("retracted_us") <= now_us, F.lit(False))
+    status = F.when(gone, "retracted").when(now_us - F.col("confirmed_us") > budget_us, "suspect").otherwise("valid")
+    return edges.where(F.col("asserted_us") <= now_us).groupBy("type", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def neighbours(traversed: DataFrame) -> DataFrame:
     """Both directions: tick_seq, key, neighbour, type, out, verdict."""
     a = traversed.select("tick_seq", F.col("from_key").alias("key"), F.col("to_key").alias("neighbour"), "type", F.lit(True).alias("out"), "verdict")

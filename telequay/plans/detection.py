@@ -15,7 +15,7 @@ from telequay.params import SLOW
 
 from .identity import _NEIGHBOURS, _TRAVERSED, _WINDOWS, BUDGET, windows
 from .registry import query
-from .views import LINK_BUDGET, with_views
+from .views import FIRST_TICK, LINK_BUDGET, with_views
 
 RULES = [("r-mem", "s-mem", "mem", "Customer", "config-relative", "limits.memory", None, 0.9, None, "above"),
          ("r-cpu", "s-cpu", "cpu", "Customer", "config-relative", "limits.cpu", "limits.cpu", 0.5, None, "above"),
@@ -124,6 +124,12 @@ SCOPES = {"s-error": "neighbour", "s-signup": "two-hop"}
 _SCOPE = "CASE signal WHEN 's-error' THEN 'neighbour' WHEN 's-signup' THEN 'two-hop' ELSE 'anchor' END"
 
 
+@query(with_views(f"""SELECT type, CASE WHEN retracted_us <= {FIRST_TICK} THEN 'retracted' WHEN {FIRST_TICK} - confirmed_us > {LINK_BUDGET} THEN 'suspect' ELSE 'valid' END AS status, count(*) AS n FROM links
+    WHERE asserted_us <= {FIRST_TICK} GROUP BY ALL""", "links"))
+def edge_health(v):
+    return G.edge_health(v.links(), FIRST_TICK, LINK_BUDGET)
+
+
 def linked(v):
     return G.edge_traverse(v.links(), v.tick_windows(), LINK_BUDGET)
 

@@ -108,3 +108,29 @@ _SHOWN = ("forecasts", "skipped", "crossings", "warned", "missed", "observed", "
     CASE WHEN false_rate > {GATE.false_rate} THEN 'false-warnings' END, CASE WHEN in_band_rate < {GATE.in_band} THEN 'in-band' END) AS failed FROM fig)""", "readings", **_CTE))
 def gate_verdict(v):
     return T.forecast_gate(traces(v), levels(v), GATE, CADENCE).select("class", *_SHOWN, "verdict", "reasons")
+
+
+DROP = 0.15
+_AB = _CTE | {
+    "levels0": _LEVELS, "levels": "SELECT concat(arm, '|', class) AS class, concat(arm, '|', stream) AS stream, at_us, value FROM levels0, (VALUES ('with'), ('without')) t(arm)",
+    "cut": f"""SELECT *, CASE WHEN class LIKE 'without|%' THEN 0 ELSE sum(fell) OVER (PARTITION BY stream ORDER BY pos) END AS seg FROM (
+        SELECT *, coalesce(((lag(value) OVER w) > 0 AND (lag(value) OVER w) - value > {DROP}::DOUBLE * (lag(value) OVER w))::INT, 0) AS fell FROM s WINDOW w AS (PARTITION BY stream ORDER BY pos))""",
+    "o": f"""SELECT *, CASE WHEN class LIKE '%|error' THEN 30.0::DOUBLE ELSE 42.0::DOUBLE END AS bar, CASE WHEN class LIKE '%|error' THEN 'below' ELSE 'above' END AS direction FROM (
+        SELECT class, stream, at_us AS basis_us, value AS last, pos, greatest(coalesce(stddev_pop(d) OVER w, 0), 1e-9) AS sigma, coalesce(avg(d) OVER w, 0) AS drift
+        FROM (SELECT *, value - lag(value) OVER (PARTITION BY stream, seg ORDER BY pos) AS d FROM cut) WINDOW w AS (PARTITION BY stream, seg ORDER BY pos ROWS BETWEEN {LAST_N - 1} PRECEDING AND CURRENT ROW)) WHERE pos >= 4"""}
+_ORDER = ["levels0", "levels", "s", "cut", *[k for k in _CTE if k not in ("levels", "s")]]
+
+
+@query(with_views("""SELECT split_part(class, '|', 1) AS arm, split_part(class, '|', 2) AS class, forecasts, crossings, missed AS hidden, points, inside, events, events_warned, false_warnings FROM fig""", "readings", **{k: _AB[k] for k in _ORDER}))
+def ab_compare(v):
+    """Every origin of every stream forecast twice, with what stood before its last fall and without: crossings that stayed hidden, and coverage."""
+    arms = v.spark.createDataFrame([("with",), ("without",)], "arm string")
+    s = levels(v).join(F.broadcast(arms)).select(F.concat_ws("|", "arm", "class").alias("class"), F.concat_ws("|", "arm", "stream").alias("stream"), "at_us", "value")
+    idx = F.row_number().over(W.partitionBy("stream").orderBy("at_us", "value")) - 1
+    numbered = s.select(F.col("stream").alias("target"), idx.alias("idx"), "at_us", "value")
+    spliced = F.when(F.col("target").startswith("with|"), F.col("segment")).otherwise(F.lit(0))
+    origins = T.rolling_origins(T.segments(numbered, DROP).withColumn("segment", spliced), LAST_N, 4)
+    metric = F.element_at(F.split("target", r"\|"), 2)
+    origins = origins.withColumns({"class": F.substring_index("target", "|", 2), "bar": F.when(metric == "error", 30.0).otherwise(42.0), "direction": F.when(metric == "error", "below").otherwise("above")})
+    f = T.figures(T.scored(T.forecast_traces(origins, HORIZON, Z, CADENCE, RATIO), s, GATE, CADENCE), s, GATE)
+    return f.select(F.substring_index("class", "|", 1).alias("arm"), F.substring_index("class", "|", -1).alias("class"), "forecasts", "crossings", F.col("missed").alias("hidden"), "points", "inside", "events", "events_warned", "false_warnings")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from telequay.functions import binding as B
 from telequay.operators import detect as D
-from telequay.operators import forecast as P
 from telequay.operators import binding as OB
 from telequay.operators import catalogue as C
 from telequay.operators import surfaces as U
@@ -14,7 +13,6 @@ from telequay.operators import topology as G
 from telequay.sources import tables as T
 
 from .detection import _CARD_CTE, _CTE, bindings, cards, obtainable, _OBTAIN, _SIGNALS, _CAPS, _values
-from .forecasting import _POINTS, _RESETS, _SERIES, points, resets, series
 from .identity import _NEIGHBOURS, _TRAVERSED, _WINDOWS, BUDGET, windows
 from .registry import query
 from .surfaces import _QA, binding_qa, normalize_cadvisor
@@ -114,18 +112,3 @@ def declared_config_tables(v):
     c = lambda name, m, cpu: F.struct(F.lit(name).alias("name"), m.cast("long").alias("memory"), cpu.cast("long").alias("cpu"))
     return T.declared_containers(v.table("customer").select(F.concat(F.lit("n"), "c_nationkey").alias("ns"), F.col("c_name").alias("pod"),
                                                             F.array(c("a", k % 3 * 100, k % 2), c("b", F.lit(7), F.lit(0))).alias("containers")))
-
-
-_SPLICE = """SELECT target, n, CASE WHEN at0 IS NOT NULL AND at0 / n::DOUBLE <= 0.9::DOUBLE AND n - at0 >= 4 THEN at0 END AS s FROM (SELECT r.target, n, greatest(coalesce(reset_idx, p), coalesce(p, reset_idx)) AS at0 FROM (
-    SELECT r.*, CASE WHEN p0 > 0 AND p0 < n THEN p0 END AS p FROM resets r LEFT JOIN points USING (target)) r)"""
-
-
-@query(with_views("""SELECT arm, count(*) AS targets, sum(n) AS points, round(avg(sd), 6) AS mean_spread FROM (SELECT 'with' AS arm, x.target, count(*) AS n, stddev_pop(value) AS sd FROM series x JOIN sp ON sp.target = x.target WHERE idx >= coalesce(s, 0) GROUP BY x.target
-    UNION ALL SELECT 'without', target, count(*), stddev_pop(value) FROM series GROUP BY target) GROUP BY arm""", "readings", series=_SERIES, resets=_RESETS, points=_POINTS, sp=_SPLICE))
-def ab_compare(v):
-    s = series(v)
-    cut = P.splice_context(resets(v), resets(v), points(v), 4, 0.9).select("target", F.coalesce("splice_idx", F.lit(0)).alias("splice_idx"))
-    arms = v.spark.createDataFrame([("with",), ("without",)], "arm string")
-    d = s.join(cut, "target").crossJoin(F.broadcast(arms)).where("arm = 'without' or idx >= splice_idx")
-    d = d.groupBy("arm", "target").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("sd"))
-    return d.groupBy("arm").agg(F.count(F.lit(1)).alias("targets"), F.sum("n").alias("points"), F.round(F.avg("sd"), 6).alias("mean_spread"))

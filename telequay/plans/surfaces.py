@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telequay.functions import identity as I
@@ -23,15 +22,17 @@ def exposition_to_samples(v):
     return rows.select("metric", "type", F.element_at("labels", "uid").alias("uid"), "at_us", "value", "outcome")
 
 
-@query(with_views("SELECT 'sample' AS outcome, count(*) AS n FROM readings WHERE arrival % 5 > 2 UNION ALL SELECT 'non-finite', count(*) FROM readings WHERE arrival % 5 = 0 "
-                  "UNION ALL SELECT 'malformed', count(*) FROM readings WHERE arrival % 5 = 1 UNION ALL SELECT 'skipped-family', count(*) FROM readings WHERE arrival % 5 = 2", "readings"))
+@query(with_views("SELECT 'sample' AS outcome, NULL AS reason, count(*) AS n FROM readings WHERE arrival % 5 > 2 UNION ALL SELECT 'non-finite', NULL, count(*) FROM readings WHERE arrival % 5 = 0 "
+                  "UNION ALL SELECT 'malformed', 'line', count(*) FROM readings WHERE arrival % 5 = 1 UNION ALL SELECT 'skipped-family', 'histogram', count(*) FROM readings WHERE arrival % 5 = 2 "
+                  "UNION ALL SELECT 'fetch-failed', CASE metric WHEN 'view' THEN 'refused' ELSE 'timeout' END, count(DISTINCT stream_id) FROM readings GROUP BY 2", "readings"))
 def ingest_summary(v):
     k = F.col("arrival") % 5
     line = (F.when(k == 0, "up NaN").when(k == 1, "!! what").when(k == 2, 'lat_bucket{le="1"} 4').otherwise(F.concat(F.lit("up "), F.col("value").cast("string"))))
     body = v.readings().groupBy("stream_id").agg(F.concat_ws("\n", F.lit("# TYPE up gauge"), F.lit("# TYPE lat histogram"), F.collect_list(line)).alias("body"))
     p = body.select(F.lit("node-exporter").alias("family"), F.col("stream_id").alias("node"), F.lit(7).cast("long").alias("received_us"), "body", F.lit(None).cast("string").alias("err"))
-    failed = p.select("family", F.concat(F.lit("x"), "node").alias("node"), "received_us", F.lit(None).cast("string").alias("body"), F.lit("timeout").alias("err"))
-    return E.ingest_summary(E.exposition_rows(E.payload_union(p, failed)))
+    failed = p.select("family", F.concat(F.lit("x"), "node").alias("node"), "received_us", F.lit(None).cast("string").alias("body"), F.when(F.col("node").endswith("|view"), "refused").otherwise("timeout").alias("err"))
+    both = E.payload_union(p, failed)
+    return E.ingest_summary(E.exposition_rows(both), both)
 
 
 @query(with_views("SELECT uid, metric, at_us, value FROM readings WHERE (at_us // 7200000000 + 1) * 7200000000 > 1706000000000000 - 864000000000", "readings"))
@@ -86,6 +87,12 @@ def normalize_ksm(v):
     return v.table("orders").select("o_orderkey", I.normalize_state_metrics(metric, labels).alias("r")).select("o_orderkey", "r.*")
 
 
+@query(with_views("""SELECT outcome, reason, count(*) AS n FROM (SELECT CASE WHEN m THEN 'resolve' WHEN ns = '' AND pod = '' THEN 'drop' WHEN ns = '' OR pod = '' THEN 'quarantine' WHEN c = 'POD' OR (c = '' AND img <> '') THEN 'drop' ELSE 'resolve' END AS outcome,
+    CASE WHEN m THEN NULL WHEN ns = '' AND pod = '' THEN 'non-pod-cgroup' WHEN ns = '' OR pod = '' THEN 'missing-identity-labels' WHEN c = 'POD' OR (c = '' AND img <> '') THEN 'pause-sandbox-row' END AS reason FROM s) GROUP BY ALL""", s=_SERIES))
+def stream_outcomes(v):
+    return U.outcomes_by_reason(normalize_cadvisor(v))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'quarantine' ELSE 'resolve' END AS outcome, CASE WHEN o_custkey % 2 = 0 THEN 'missing-scrape-source' END AS reason, CASE WHEN o_custkey % 2 = 1 THEN 'node' END AS scope FROM orders")
 def normalize_node_exporter(v):
     return v.table("orders").select("o_orderkey", I.normalize_node_metrics(F.when(F.col("o_custkey") % 2 == 1, "n")).alias("r")).select("o_orderkey", "r.*")

@@ -65,6 +65,12 @@ def render(readings: DataFrame, node: str = "n0") -> DataFrame:
     return body.select(F.lit("node-exporter").alias("family"), F.concat(F.lit(node), "uid").alias("node"), F.lit(0).cast("long").alias("received_us"), "body", F.lit(None).cast("string").alias("err"))
 
 
-def ingest_summary(rows: DataFrame) -> DataFrame:
-    """Counts by outcome."""
-    return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+def ingest_summary(rows: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
+    """Counts by outcome and reason: which part of a line was malformed, which kind of family was skipped; with ``payloads``
+    also the fetches that failed (fetch-failed), by their error."""
+    bad = F.col("outcome") == "malformed"
+    reason = (F.when(bad & (F.col("metric") == ""), "line").when(bad & F.col("value").isNull(), "value").when(bad, "time").when(F.col("outcome") == "skipped-family", F.col("type")))
+    d = rows.select("outcome", reason.alias("reason"))
+    if payloads is not None:
+        d = d.unionByName(payloads.where("err is not null").select(F.lit("fetch-failed").alias("outcome"), F.col("err").alias("reason")))
+    return d.groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
