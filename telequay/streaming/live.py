@@ -23,9 +23,9 @@ from telequay.operators.lineage import shared_folder
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """A table's files as a stream, by default as many at a time as ``backlog`` writes for a range."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch or width(spark)).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """A table's files as a stream; ``backlog`` writes ``width`` files for a range."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def windowed(readings: DataFrame, width: str, slide: str, late: str) -> DataFrame:
