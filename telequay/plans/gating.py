@@ -70,12 +70,13 @@ def outcomes(v):
     return T.scored(traces(v), levels(v), GATE, CADENCE)
 
 
-@query(with_views("SELECT stream, pos - 1 AS seq, basis_us, round(last, 6) AS last, round(sigma, 6) AS sigma, round(drift, 6) AS drift FROM o", "readings", **{k: _CTE[k] for k in ("levels", "s", "o")}))
+@query(with_views("SELECT stream, pos - 1 AS seq, basis_us, round(last, 6) AS last, round(sigma, 6) AS sigma, floor(drift * 1000 + 0.31::DOUBLE)::BIGINT AS drift_milli FROM o", "readings", **{k: _CTE[k] for k in ("levels", "s", "o")}))
 def rolling_origins(v):
     s = levels(v)
     idx = F.row_number().over(W.partitionBy("stream").orderBy("at_us", "value")) - 1
     o = T.rolling_origins(s.select(F.col("stream").alias("target"), idx.alias("idx"), "at_us", "value"), LAST_N, 4)
-    return o.select(F.col("target").alias("stream"), F.col("idx").cast("long").alias("seq"), "basis_us", *[F.round(c, 6).alias(c) for c in ("last", "sigma", "drift")])
+    return o.select(F.col("target").alias("stream"), F.col("idx").cast("long").alias("seq"), "basis_us", *[F.round(c, 6).alias(c) for c in ("last", "sigma")],
+                    F.floor(F.col("drift") * 1000 + 0.31).cast("long").alias("drift_milli"))  # drifts are often exact ties of a rounding to places
 
 
 @query(with_views("SELECT stream, pos - 1 AS seq, steps, skipped, full_obs, actual_h, crossing_us, hover, silence, err, CASE WHEN err IS NOT NULL THEN within_band END AS in_band FROM r", "readings", **_CTE))
