@@ -10,8 +10,11 @@ first cut at least ``least`` words on.
 Chunks are deduplicated by digest.  A chunk whose digest stood in an earlier text
 is aligned with its first occurrence there; runs of chunks with one alignment are
 extended on either side as far as the words agree, and removed when they come to
-more than ``min_words`` words.  Repeats within a text are found the same way, in
-the text itself.
+more than ``min_words`` words.  Where chunks of one passage stood earlier in several
+texts, the first of them need not be the one that has the whole passage, so
+chains are sought as well: chunks that follow each other, up to more than half
+of ``min_words`` words and to more than ``min_words``.  Repeats within a text are
+found the same way, in the text itself.
 """
 
 from __future__ import annotations
@@ -45,11 +48,12 @@ class Cutting(NamedTuple):
 
     window: int
     least: int
+    chains: tuple[int, int]  # words that the chains of chunks exceed
 
     @classmethod
     def of(cls, min_words: int) -> Cutting:
         window = max(1, (min_words + 1) // 5)
-        return cls(window, max(1, min_words + 1 - 4 * window))
+        return cls(window, max(1, min_words + 1 - 4 * window), (min_words // 2, min_words))
 
 
 def gear_cuts(w: Words, window: int) -> np.ndarray:
@@ -79,8 +83,29 @@ def gear_cuts(w: Words, window: int) -> np.ndarray:
     return np.flatnonzero(full & (left + right + 1 >= window))
 
 
+def chains(begin: np.ndarray, end: np.ndarray, more: int) -> np.ndarray:
+    """Where the chain of chunks from each chunk on ends, the first to exceed ``more`` words; its own begin where the chunks run out before."""
+    to, follows = end.copy(), np.searchsorted(begin, end)
+    short = np.flatnonzero(to - begin <= more)
+    at = short
+    while short.size:
+        at = follows[at]
+        on = at < begin.size
+        on[on] = begin[at[on]] == to[short[on]]
+        to[short[~on]] = begin[short[~on]]
+        short, at = short[on], at[on]
+        to[short] = end[at]
+        left = to[short] - begin[short] <= more
+        short, at = short[left], at[left]
+    return to
+
+
 def chunk_column(texts: pa.Array, cutting: Cutting) -> tuple[dict[str, np.ndarray], Words]:
-    """Chunks of a column: text (index), word (its first in the text), n_words, digest (of its words); and the words."""
+    """Chunks of a column: text (index), word (its first in the text), n_words, digest (of its words); and the words.
+
+    half, half_words and whole, whole_words are the digests and sizes of the two chains from each chunk on; size 0
+    where there is none, or where it is the shorter one (or the chunk) again.
+    """
     w = words(texts)
     cuts = gear_cuts(w, cutting.window)
     text = np.repeat(np.arange(len(texts)), np.diff(w.first))
@@ -93,10 +118,12 @@ def chunk_column(texts: pa.Array, cutting: Cutting) -> tuple[dict[str, np.ndarra
     power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _BASE)))
     inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _INVERSE)))
     sums = np.append(np.uint64(0), np.cumsum(mix64(w.hashes + _BASE) * power[:n]))
-    size = end - begin
-    digest = mix64((sums[end] - sums[begin]) * inverse[begin] + size.astype(np.uint64))
+    digests = lambda to: mix64((sums[to] - sums[begin]) * inverse[begin] + (to - begin).astype(np.uint64))
     own = text[begin] if begin.size else np.empty(0, np.int64)
-    return {"text": own, "word": begin - w.first[own], "n_words": size, "digest": digest}, w
+    half, whole = (chains(begin, end, more) for more in cutting.chains)
+    whole, half = np.where(whole == half, begin, whole), np.where(half == end, begin, half)
+    return {"text": own, "word": begin - w.first[own], "n_words": end - begin, "digest": digests(end), "half_words": half - begin, "half": digests(half),
+            "whole_words": whole - begin, "whole": digests(whole)}, w
 
 
 def _identified(documents: DataFrame) -> DataFrame:
@@ -105,35 +132,48 @@ def _identified(documents: DataFrame) -> DataFrame:
 
 
 def chunk_rows(documents: DataFrame, cutting: Cutting) -> DataFrame:
-    """digest, dk, doc_id, word, n_words: the distinct chunks of each text, each at its first place there."""
+    """digest, dk, doc_id, word, n_words, half, half_words, whole, whole_words: the distinct chunks (with their chains) of each text, each at its first place there."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
                 c, _ = chunk_column(part.column("text"), cutting)
-                order = np.lexsort((c["word"], c["digest"], c["text"]))
-                text, digest = c["text"][order], c["digest"][order]
-                own = order[np.append(True, (text[1:] != text[:-1]) | (digest[1:] != digest[:-1]))] if text.size else order
+                own = np.lexsort((c["word"], c["whole"], c["half"], c["digest"], c["text"]))
+                if own.size:
+                    same = [c[k][own][1:] == c[k][own][:-1] for k in ("text", "digest", "half", "whole")]
+                    own = own[np.append(True, ~np.logical_and.reduce(same))]
                 at = pa.array(c["text"][own])
+                long, short = (lambda k: pa.array(c[k][own].view(np.int64))), (lambda k: pa.array(c[k][own].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c["digest"][own].view(np.int64)), part.column("dk").take(at), part.column("doc_id").take(at),
-                     pa.array(c["word"][own].astype(np.int32)), pa.array(c["n_words"][own].astype(np.int32))],
-                    names=["digest", "dk", "doc_id", "word", "n_words"])
+                    [long("digest"), part.column("dk").take(at), part.column("doc_id").take(at), short("word"), short("n_words"), long("half"), short("half_words"),
+                     long("whole"), short("whole_words")], names=["digest", "dk", "doc_id", "word", "n_words", "half", "half_words", "whole", "whole_words"])
+
+    return _identified(documents).mapInArrow(run, "digest long, dk long, doc_id long, word int, n_words int, half long, half_words int, whole long, whole_words int")
+
 
-    return _identified(documents).mapInArrow(run, "digest long, dk long, doc_id long, word int, n_words int")
+def runs_of(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs begin (indices) and end (words): stretches a to b - 1, sorted by group (not negative) and a, that overlap or touch within a group."""
+    if not a.size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    furthest = np.maximum.accumulate((group.astype(np.int64) << 32) + b)
+    at = np.flatnonzero(np.append(True, (group.astype(np.int64)[1:] << 32) + a[1:] > furthest[:-1]))
+    return at, np.maximum.reduceat(b, at)
 
 
 def aligned(documents: DataFrame, cutting: Cutting) -> DataFrame:
     """dk, a, b, f_dk, f_a: words a to b - 1 of a text stand in the earlier text f_dk from word f_a on.
 
     Digests are counted in each task before they are shuffled; only chunks whose
-    digest occurs in two texts are kept, and the first is sought among them.
-    Chunks that overlap and have one alignment make one run.
+    digest occurs twice are kept, and the first is sought among them and the
+    chains that begin with them.  Chunks and chains that overlap and have one
+    alignment make one run.
     """
     rows = chunk_rows(documents, cutting)
     twice = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     found = written(rows.join(twice, "digest", "left_semi"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dk", "word")).alias("first")
+    each = [F.struct(F.col(d).alias("digest"), F.col(n).alias("n_words")) for d, n in (("digest", "n_words"), ("half", "half_words"), ("whole", "whole_words"))]
+    found = found.select("dk", "doc_id", "word", F.inline(F.filter(F.array(*each), lambda x: x["n_words"] > 0)))
     first = found.groupBy("digest").agg(first).select("digest", F.col("first.dk").alias("f_dk"), F.col("first.word").alias("f_word"))
     later = found.join(first, "digest").where("dk <> f_dk").select("dk", "word", "n_words", "f_dk", (F.col("f_word") - F.col("word")).alias("shift"))
 
@@ -141,10 +181,9 @@ def aligned(documents: DataFrame, cutting: Cutting) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 dk, f_dk, shift, a, n = (batch.column(c).to_numpy() for c in ("dk", "f_dk", "shift", "word", "n_words"))
-                b = a + n
-                new = np.append(True, (dk[1:] != dk[:-1]) | (f_dk[1:] != f_dk[:-1]) | (shift[1:] != shift[:-1]) | (a[1:] > b[:-1]))
-                at = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([pa.array(dk[at]), pa.array(a[at]), pa.array(np.maximum.reduceat(b, at)), pa.array(f_dk[at]), pa.array(a[at] + shift[at])],
+                group = np.cumsum(np.append(False, (dk[1:] != dk[:-1]) | (f_dk[1:] != f_dk[:-1]) | (shift[1:] != shift[:-1])))
+                at, b = runs_of(group, a, a + n)
+                yield pa.RecordBatch.from_arrays([pa.array(dk[at]), pa.array(a[at]), pa.array(b), pa.array(f_dk[at]), pa.array(a[at] + shift[at])],
                                                  names=["dk", "a", "b", "f_dk", "f_a"])
 
     # A run that two batches share is two runs; either is extended into the other.
@@ -209,14 +248,19 @@ def candidates(documents: DataFrame, cutting: Cutting) -> DataFrame:
 
 
 def _same(x: np.ndarray, y: np.ndarray) -> int:
-    """How many elements agree from the start on."""
-    n = min(x.size, y.size)
-    other = np.flatnonzero(x[:n] != y[:n])
-    return int(other[0]) if other.size else n
+    """How many elements agree from the start on, in blocks that double: the work is that of what agrees."""
+    n, at, step = min(x.size, y.size), 0, CONTEXT
+    while at < n:
+        to = min(n, at + step)
+        other = np.flatnonzero(x[at:to] != y[at:to])
+        if other.size:
+            return at + int(other[0])
+        at, step = to, 2 * step
+    return n
 
 
 def repeated_words(own: np.ndarray, runs: list[dict], word: np.ndarray, size: np.ndarray, digest: np.ndarray, min_words: int) -> np.ndarray:
-    """Which words of a text (32-bit hashes) stood before: in earlier texts by ``runs``, in the text itself by its chunks."""
+    """Which words of a text (32-bit hashes) stood before: in earlier texts by ``runs``, in the text itself by its chunks and chains."""
     gone = np.zeros(own.size, bool)
     for left, right in zip(runs[0::2], runs[1::2]):  # of each run the side before it, then the one after it
         a, b = left["a"], left["b"]
@@ -233,8 +277,7 @@ def repeated_words(own: np.ndarray, runs: list[dict], word: np.ndarray, size: np
         again = order[later]
         k = np.lexsort((word[again], first[later] - word[again]))
         a, shift, b = word[again][k], (first[later] - word[again])[k], (word[again] + size[again])[k]
-        new = np.flatnonzero(np.append(True, (shift[1:] != shift[:-1]) | (a[1:] > b[:-1])))
-        ends = np.maximum.reduceat(b, new)
+        new, ends = runs_of(np.cumsum(np.append(False, shift[1:] != shift[:-1])), a, b)
         turn = np.argsort(a[new], kind="stable")
         for x, y, s in zip(a[new][turn].tolist(), ends[turn].tolist(), shift[new][turn].tolist()):
             if gone[x:y].all():
@@ -252,8 +295,11 @@ def deduplicate(documents: DataFrame, *, min_words: int = 50) -> DataFrame:
     A word goes when it lies in a run of more than ``min_words`` words that
     stood before: in a text of smaller (doc_id, hash), or further to the front in
     the same one (the two may overlap).  Words are compared without case and
-    white space.  Each chunk is compared with its first occurrence only, so a
-    run can stay of which every single chunk stood earlier, in other passages.
+    white space.  Chunks and chains of them are compared with their first
+    occurrence, chains of more than ``min_words`` words among them: a run of that
+    length and a chunk and a window more has one and goes, but for the few words
+    before its first and after its last chunk that only a later source shares.
+    A shorter one can stay if all its chunks and chains stood earlier in other passages.
     Shorter repeats stay.  Exact copies of a long text lose all of it: their
     text becomes empty.  Null texts stay null; texts without repeats stay as
     they are, byte for byte; texts of any length are treated whole.  A null
@@ -280,7 +326,10 @@ def deduplicate(documents: DataFrame, *, min_words: int = 50) -> DataFrame:
                 texts, spans, counts = part.column(body).to_pylist(), [None] * part.num_rows, np.zeros(part.num_rows, np.int64)
                 for i, mark in enumerate(marks):
                     s, lo, hi = slice(bounds[i], bounds[i + 1]), int(w.first[i]), int(w.first[i + 1])
-                    gone = repeated_words(short[lo:hi], mark or [], c["word"][s], c["n_words"][s], c["digest"][s], min_words)
+                    size = np.concatenate([c[k][s] for k in ("n_words", "half_words", "whole_words")])
+                    some = size > 0
+                    digest = np.concatenate([c[k][s] for k in ("digest", "half", "whole")])[some]
+                    gone = repeated_words(short[lo:hi], mark or [], np.tile(c["word"][s], 3)[some], size[some], digest, min_words)
                     if not gone.any():
                         continue
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -482,6 +483,31 @@ def test_substrings_of_a_frequent_passage_are_dealt_out(spark, monkeypatch):
     check_substrings(spark, [f"{made(810 + i, 12)} {shared} {made(910 + i, 9)}" for i in range(60)], exact=False)
 
 
+def test_a_passage_whose_chunks_stood_in_other_texts_goes_whole(spark):
+    """Every chunk of it has its first occurrence in a window of 45 words, which stays; a later text has it all."""
+    passage = made(820, 200).split()
+    texts = [f"{made(830 + i, 15)} {' '.join(passage[20 * i:20 * i + 45])} {made(850 + i, 15)}" for i in range(9)]
+    texts += [f"{made(870 + i, 30)} {' '.join(passage)} {made(880 + i, 30)}" for i in range(2)]
+    twice = f"{' '.join(passage[:45])} {made(890, 20)} {' '.join(passage[30:75])} {made(891, 20)} {' '.join(passage[60:105])}"
+    own = [w.replace("a", "z") for w in f"{twice} {made(892, 9)} {' '.join(passage[:105])} {made(893, 9)} {' '.join(passage[:105])}".split()]
+    got = check_substrings(spark, [*texts, " ".join(own)], exact=False)
+    by = {r.doc_id: r.removed_words for r in got}
+    assert by == {**{i: 0 for i in range(10)}, 10: 200, 11: by[11]} and by[11] >= 105
+
+
+def test_a_text_of_repeats_takes_linear_time():
+    """Passages of 60 words, each three times, at places without order; and one passage repeated."""
+    r, cutting = random.Random(4), substrings.Cutting.of(50)
+    for text in ([w for p in r.sample(3 * [[f"w{r.randrange(10 ** 9)}" for _ in range(60)] for _ in range(5000)], 15000) for w in p], "a b c d e f g".split() * 100_000):
+        c, w = substrings.chunk_column(pa.array([" ".join(text)]), cutting)
+        size = np.concatenate([c[k] for k in ("n_words", "half_words", "whole_words")])
+        some = size > 0
+        digest = np.concatenate([c[k] for k in ("digest", "half", "whole")])[some]
+        begin = time.process_time()
+        gone = substrings.repeated_words(w.hashes.astype(np.uint32), [], np.tile(c["word"], 3)[some], size[some], digest, 50)
+        assert time.process_time() - begin < 10 and gone.sum() >= 0.66 * len(text)
+
+
 def test_chunks_resist_shifts():
     cutting = substrings.Cutting.of(50)
     for seed in range(30):
