@@ -56,16 +56,23 @@ def latest_by_event_time(readings: DataFrame, ticks: DataFrame) -> DataFrame:
     return d.select(*KEY, "now_us", F.col("s.value").alias("value"), F.col("s.at_us").alias("at_us"), F.col("s.arrival").alias("arrival"))
 
 
+#: Samples a stream keeps at most, as a live store does.
+RING = 240
+
+
 def last_n_arrivals(readings: DataFrame, ticks: DataFrame, n: int) -> DataFrame:
-    """The last n samples of each stream in order of arrival, up to each tick.
+    """The last n samples (at most ``RING``) of each stream in order of arrival, up to each tick.
 
-    Of the samples first seen at a tick no more than n can be among the last n, so only those are carried on.
+    A sample is among them from the tick that sees it first until n later arrivals
+    have been seen, so it is carried on over these ticks only: n rows a tick where
+    arrivals and times agree, whatever the number of ticks.
     """
-    d = first_seen(readings, ticks)
-    own = F.row_number().over(W.partitionBy("stream_id", "idx").orderBy(F.col("arrival").desc()))
-    d = d.withColumn("own", own).where(F.col("own") <= n).drop("own")
-    d = d.withColumn("idx", F.explode(F.sequence("idx", ticks.agg(F.count(F.lit(1))).scalar().cast("int")))).join(number_ticks(ticks), "idx").drop("idx")
-    back = F.row_number().over(W.partitionBy(*KEY).orderBy(F.col("arrival").desc()))
+    n = min(n, RING)
+    next_n = W.partitionBy("stream_id").orderBy("arrival").rowsBetween(1, n)
+    over = F.when(F.count(F.lit(1)).over(next_n) == n, F.max("idx").over(next_n) - 1)  # at the tick after it n later arrivals have been seen
+    d = first_seen(readings, ticks).withColumn("until", F.coalesce(over, ticks.agg(F.count(F.lit(1))).scalar()).cast("int"))
+    d = d.where(F.col("until") >= F.col("idx")).withColumn("idx", F.explode(F.sequence("idx", "until"))).drop("until").join(number_ticks(ticks), "idx").drop("idx")
+    back = F.row_number().over(W.partitionBy(*KEY).orderBy(F.col("arrival").desc()))  # late samples may be seen after their next ones
     return d.withColumn("back", back).where(F.col("back") <= n)
 
 

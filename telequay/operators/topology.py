@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .signals import first_seen
+
 #: Verdicts by worth; the worst hop decides a path.
 SUSPECT, VALID = 1, 2
 
@@ -50,11 +52,19 @@ def edge_traverse(edges: DataFrame, windows: DataFrame, budget_us: int) -> DataF
     """Edges that overlap each window (tick_seq, start_us, end_us), suspect where not confirmed within the budget.
 
     Asserted at the window's end overlaps, retracted at its start does not; a
-    retracted edge that overlapped is valid.
+    retracted edge that overlapped is valid.  Slots of time say at which window's
+    end an edge is first and last seen; it meets the windows in between only.
     """
-    overlaps = (F.col("asserted_us") <= F.col("end_us")) & (F.col("retracted_us").isNull() | (F.col("retracted_us") > F.col("start_us")))
+    w = windows.withColumn("idx", F.dense_rank().over(W.orderBy("end_us")))  # a small authored table
+    ends = w.select(F.col("idx").alias("tick_seq"), F.col("end_us").alias("now_us")).distinct()
+    last, width = windows.agg(F.max("end_us")).scalar(), windows.agg(F.max(F.col("end_us") - F.col("start_us"))).scalar()
+    d = edges.select("type", "from_key", "to_key", "asserted_us", "retracted_us", "confirmed_us")
+    d = first_seen(d.withColumn("at_us", F.col("asserted_us")), ends).withColumnRenamed("idx", "since")
+    d = first_seen(d.withColumn("at_us", F.greatest(F.col("asserted_us"), F.least(F.col("retracted_us") + width, last))), ends)
+    d = d.withColumn("idx", F.explode(F.sequence("since", "idx"))).join(F.broadcast(w), "idx")
     late = F.col("retracted_us").isNull() & (F.col("end_us") - F.col("confirmed_us") > budget_us)
-    return edges.join(windows, overlaps).select("tick_seq", "type", "from_key", "to_key", F.when(late, SUSPECT).otherwise(VALID).alias("verdict"))
+    return d.where(F.col("retracted_us").isNull() | (F.col("retracted_us") > F.col("start_us"))).select(
+        "tick_seq", "type", "from_key", "to_key", F.when(late, SUSPECT).otherwise(VALID).alias("verdict"))
 
 
 def edge_health(edges: DataFrame, now_us: int, budget_us: int) -> DataFrame:
