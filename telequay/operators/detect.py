@@ -258,12 +258,20 @@ def tier_a(bindings: DataFrame, members: DataFrame) -> DataFrame:
     return by_signal.unionByName(by_metric).distinct()
 
 
-def selection_records(entities: DataFrame, tier: DataFrame, bound: DataFrame, stale: DataFrame) -> DataFrame:
-    """One record per entity: selected, or the first reason why not (stale, no-binding, no-phenomenon)."""
-    n = tier.groupBy(F.col("uid").alias("t_uid")).agg(F.count_distinct("phenomenon").alias("phenomena"))
-    d = (entities.join(n, F.col("uid") == F.col("t_uid"), "left").join(bound.select(F.col("uid").alias("b_uid")).distinct(), F.col("uid") == F.col("b_uid"), "left")
-         .join(stale.select(F.col("uid").alias("s_uid")).distinct(), F.col("uid") == F.col("s_uid"), "left"))
-    reason = (F.when(F.col("s_uid").isNotNull(), "stale").when(F.col("b_uid").isNull(), "no-binding").when(F.col("phenomena").isNull(), "no-phenomenon").otherwise("selected"))
+def selection_records(entities: DataFrame, tier: DataFrame, bindings: DataFrame, stale: DataFrame) -> DataFrame:
+    """One record per entity (uid): selected with its number of phenomena, or the first reason why not.
+
+    ``bindings``: uid, usable (bound to a bar, validation not failed).  An entity
+    in no phenomenon is no-phenomenon with a usable binding and
+    no-evaluable-variable with others only.  One without any is stale where
+    bindings are older than the inventory (``stale``: uid), as nothing can be
+    said of its kind then, else structural-entity.
+    """
+    n = tier.groupBy("uid").agg(F.count_distinct("phenomenon").alias("phenomena"))
+    b = bindings.groupBy("uid").agg(F.bool_or("usable").alias("usable"))
+    d = entities.join(n, "uid", "left").join(b, "uid", "left").join(stale.select("uid", F.lit(True).alias("late")).distinct(), "uid", "left")
+    reason = (F.when(F.col("phenomena").isNotNull(), "selected").when(F.col("usable"), "no-phenomenon").when(F.col("usable").isNotNull(), "no-evaluable-variable")
+              .when(F.col("late"), "stale").otherwise("structural-entity"))
     return d.select("uid", reason.alias("reason"), F.coalesce("phenomena", F.lit(0)).alias("phenomena"))
 
 
@@ -281,12 +289,40 @@ def budget_top_k(targets: DataFrame, ceiling: int) -> DataFrame:
     return targets.join(F.broadcast(top), key, "left").withColumn("budgeted", F.col("rank").isNotNull())
 
 
-def closure(tier: DataFrame, reached: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(neighbours, gaps) of selected entities: (tick_seq, uid, target, hop), and (tick_seq, uid) where nothing can be reached."""
-    own = reached.select("tick_seq", F.col("key").alias("uid"), "target", "hop").join(tier.select("uid").distinct(), "uid", "left_semi")
-    ticks = reached.select("tick_seq").distinct()
-    gaps = tier.select("uid").distinct().crossJoin(F.broadcast(ticks)).join(own.select("tick_seq", "uid").distinct(), ["tick_seq", "uid"], "left_anti")
-    return own.select("tick_seq", "uid", "target", "hop"), gaps.select("tick_seq", "uid")
+def closure(tier: DataFrame, spans: DataFrame, traversed: DataFrame, origins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What lies around selected entities along their phenomena's own edges, and where nothing does.
+
+    ``tier``: uid, phenomenon; ``spans`` (a small authored table): phenomenon,
+    depth (0: the entity only, 1 or 2), types (array of edge types, in order);
+    ``origins``: tick_seq, key, anchor and note, as ``containment`` gives them.
+
+    Neighbours: tick_seq, uid, target, via (type of the last edge), hop, verdict
+    (of that edge), path and phenomena (those that lead there so, in order; path
+    and verdict are the first one's).  A phenomenon visits an entity once: at the
+    smaller hop, then by the order of types, of the first hop's keys, of types again.
+    Gaps: tick_seq, uid, phenomenon, reason, one for each phenomenon that no edge
+    at the origin serves.
+    """
+    spans = F.broadcast(spans.where("depth > 0"))
+    at = ["tick_seq", "uid", "phenomenon"]
+    start = tier.join(spans, "phenomenon").join(origins.withColumnRenamed("key", "uid"), "uid").select(*at, "depth", "types", "anchor", "note")
+    ends = [traversed.select("tick_seq", F.col(a).alias("here"), F.col(b).alias("target"), "type", "verdict") for a, b in (("from_key", "to_key"), ("to_key", "from_key"))]
+    near = ends[0].unionByName(ends[1]).groupBy("tick_seq", "here", "target", "type").agg(F.max("verdict").alias("verdict"))
+    turn = F.array_position("types", F.col("type"))
+    met = start.withColumn("here", F.col("anchor")).join(near, ["tick_seq", "here"]).withColumn("turn", turn).where("turn > 0")
+    visited = (F.col("target") != F.col("anchor")) & (F.col("target") != F.col("uid"))
+    path = F.concat_ws(">", "path", "type", "target")
+    first = lambda *order: F.min_by(F.struct(F.col("type").alias("via"), "verdict", "turn", path.alias("path")), F.struct(*order)).alias("s")
+    one = met.where(visited).withColumn("path", F.col("here")).groupBy(*at, "anchor", "target").agg(first("turn")).select(*at, "anchor", "target", "s.*")
+    far = one.withColumnsRenamed({"target": "here", "turn": "turn_1"}).drop("via", "verdict").join(spans.where("depth > 1"), "phenomenon").join(near, ["tick_seq", "here"])
+    far = far.withColumn("turn", turn).where((F.col("turn") > 0) & visited).join(one.select(*at, "target"), [*at, "target"], "left_anti")
+    two = far.groupBy(*at, "target").agg(first("turn_1", "here", "turn")).select(*at, "target", "s.*")
+    both = one.drop("anchor").withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
+    own = F.min_by(F.struct("verdict", "path"), "phenomenon").alias("s")
+    neighbours = both.groupBy("tick_seq", "uid", "target", "via", "hop").agg(own, F.concat_ws(",", F.array_sort(F.collect_set("phenomenon"))).alias("phenomena"))  # the entity's own few phenomena
+    gaps = start.join(met.select(*at).distinct(), at, "left_anti")
+    reason = F.coalesce("note", F.concat(F.lit("no traversable neighbour along "), F.concat_ws("|", "types"), F.lit(" in window")))
+    return neighbours.select("tick_seq", "uid", "target", "via", "hop", "s.*", "phenomena"), gaps.select(*at, reason.alias("reason"))
 
 
 def warning_cards(projected: DataFrame, names: DataFrame, at_risk: DataFrame) -> DataFrame:

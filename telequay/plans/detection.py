@@ -310,12 +310,30 @@ def covering_phenomena(v):
     return D.covering_phenomena(cards, members(v)).withColumn("phenomena", F.concat_ws(",", "phenomena"))
 
 
-@query(with_views("""SELECT c.uid, CASE WHEN c.uid::INT % 17 = 0 THEN 'stale' WHEN b.uid IS NULL THEN 'no-binding' WHEN t.n IS NULL THEN 'no-phenomenon' ELSE 'selected' END AS reason, coalesce(t.n, 0) AS phenomena
-    FROM (SELECT c_custkey::VARCHAR AS uid FROM customer) c LEFT JOIN (SELECT DISTINCT uid FROM bindings) b ON b.uid = c.uid
-    LEFT JOIN (SELECT uid, count(DISTINCT phenomenon) AS n FROM tier WHERE uid::INT % 5 > 0 GROUP BY 1) t ON t.uid = c.uid""", "bindings", members=_EV["members"], tier=_TIER))
+#: Phenomena of the selection: name, metric of a member, depth and edge types of the span.
+SPANS = [("p-mem", "mem", 1, "runs-on"), ("p-cpu", "cpu", 2, "selects,runs-on"), ("p-claims", "mem", 1, "mounts"), ("p-local", "mem", 0, "")]
+_SPANS = {"spans": f"SELECT * REPLACE (string_split(types, ',') AS types) FROM ({_values(SPANS, 'phenomenon, metric, depth, types')})",
+          "participates": "SELECT DISTINCT entity AS uid, phenomenon FROM b JOIN spans s ON s.metric = b.metric WHERE b.state = 'bound'"}
+
+
+def spans(v):
+    return v.spark.createDataFrame(SPANS, "phenomenon string, metric string, depth int, types string").withColumn("types", F.split("types", ","))
+
+
+def participants(v):
+    """(bindings, which phenomena entities take part in)."""
+    b = bindings(v).select(F.col("entity").alias("uid"), "metric", F.concat(F.lit("s-"), "metric").alias("signal"), (F.col("state") == "bound").alias("usable"))
+    return b, D.tier_a(b.where("usable"), spans(v).select("phenomenon", "metric", F.lit("none").alias("signal")))
+
+
+@query(with_views("""SELECT e.uid, CASE WHEN n IS NOT NULL THEN 'selected' WHEN bound > 0 THEN 'no-phenomenon' WHEN bound = 0 THEN 'no-evaluable-variable' WHEN late THEN 'stale' ELSE 'structural-entity' END AS reason, coalesce(n, 0) AS phenomena
+    FROM (SELECT entity AS uid, false AS late FROM entities UNION ALL SELECT concat('n', n_nationkey), n_regionkey % 2 = 0 FROM nation) e
+    LEFT JOIN (SELECT entity, count(*) FILTER (state = 'bound') AS bound FROM b GROUP BY 1) x ON x.entity = e.uid LEFT JOIN (SELECT uid, count(*) AS n FROM participates GROUP BY 1) t ON t.uid = e.uid""", **_CTE, **_SPANS))
 def selection_records(v):
-    c = v.table("customer").select(F.col("c_custkey").cast("string").alias("uid"))
-    return D.selection_records(c, tiers(v).where(F.col("uid").cast("int") % 5 > 0), v.bindings(), c.where(F.col("uid").cast("int") % 17 == 0))
+    n = v.table("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("uid"), "n_regionkey")
+    e = v.table("customer").select(F.concat(F.lit("c"), "c_custkey").alias("uid")).unionByName(v.table("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("uid")))
+    b, tier = participants(v)
+    return D.selection_records(e.unionByName(n.select("uid")), tier, b, n.where("n_regionkey % 2 = 0"))
 
 
 @query(with_views("""SELECT uid, metric, precursor, CASE WHEN rank <= 50 THEN rank END AS rank, rank <= 50 AS budgeted FROM (SELECT *, row_number() OVER (ORDER BY precursor DESC, uid, metric) AS rank FROM

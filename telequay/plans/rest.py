@@ -10,9 +10,10 @@ from telequay.operators import binding as OB
 from telequay.operators import catalogue as C
 from telequay.operators import surfaces as U
 from telequay.operators import topology as G
+from telequay.operators.lineage import cut
 from telequay.sources import tables as T
 
-from .detection import _CARD_CTE, _CTE, bindings, cards, obtainable, _OBTAIN, _SIGNALS, _CAPS, _values
+from .detection import _CARD_CTE, _CTE, _SPANS, bindings, cards, obtainable, participants, spans, _OBTAIN, _SIGNALS, _CAPS, _values
 from .identity import _NEIGHBOURS, _TRAVERSED, _WINDOWS, BUDGET, windows
 from .registry import query
 from .surfaces import _QA, binding_qa, normalize_cadvisor
@@ -38,31 +39,39 @@ def distro_gates(v):
     return v.table("orders").select("o_orderkey", gate.alias("gate"), B.gate_active(gate, version, F.when(k % 3 == 0, "docker://1").otherwise("containerd://1")).alias("active"))
 
 
-_ONE = """SELECT DISTINCT tick_seq, key, neighbour AS target FROM neighbours"""
+_AROUND = _CTE | _SPANS | {
+    "all_edges": "SELECT * FROM edges UNION ALL SELECT 'selects', concat('g', from_key[2:]::INT % 60), from_key, asserted_us, confirmed_us, retracted_us FROM edges WHERE from_key[2:]::INT % 2 = 0",
+    "windows": _WINDOWS, "traversed": _TRAVERSED.replace("FROM edges", "FROM all_edges"), "neighbours": _NEIGHBOURS,
+    "nb": "SELECT tick_seq, key, neighbour, type, max(verdict) AS verdict FROM neighbours GROUP BY ALL",
+    "begin": "SELECT tick_seq, uid, phenomenon, depth, types FROM participates JOIN spans USING (phenomenon), windows WHERE depth > 0",
+    "h1": """SELECT b.*, neighbour AS target, type AS via, verdict, list_position(types, type) AS turn, concat_ws('>', uid, type, neighbour) AS path FROM begin b JOIN nb ON nb.tick_seq = b.tick_seq AND key = uid
+        AND list_contains(types, type) WHERE neighbour <> uid QUALIFY row_number() OVER (PARTITION BY b.tick_seq, uid, phenomenon, neighbour ORDER BY list_position(types, type)) = 1""",
+    "h2": """SELECT h.tick_seq, uid, phenomenon, neighbour AS target, type AS via, nb.verdict, concat_ws('>', path, type, neighbour) AS path FROM h1 h JOIN nb ON nb.tick_seq = h.tick_seq AND key = target AND list_contains(types, type)
+        WHERE depth = 2 AND neighbour <> uid AND NOT EXISTS (SELECT 1 FROM h1 o WHERE o.tick_seq = h.tick_seq AND o.uid = h.uid AND o.phenomenon = h.phenomenon AND o.target = neighbour)
+        QUALIFY row_number() OVER (PARTITION BY h.tick_seq, uid, phenomenon, neighbour ORDER BY turn, target, list_position(types, type)) = 1"""}
 
 
-def reached(v):
-    t = G.edge_traverse(v.edges(), windows(v), BUDGET)
-    n = G.neighbours(t).select("tick_seq", "key").distinct()
-    return G.reach(t, n, 1)
+def around_selected(v):
+    """(neighbours, gaps) along customers' edges to nations and, of every second one, from groups that select them."""
+    e = v.edges()
+    k = F.substring("from_key", 2, 20).cast("int")
+    picks = e.where(k % 2 == 0).select(F.lit("selects").alias("type"), F.concat(F.lit("g"), k % 60).alias("from_key"), F.col("from_key").alias("to_key"), "asserted_us", "confirmed_us", "retracted_us")
+    t = cut(G.edge_traverse(e.unionByName(picks), windows(v), BUDGET))
+    tier = cut(participants(v)[1])
+    keys = tier.select(F.col("uid").alias("key")).distinct().join(F.broadcast(windows(v).select("tick_seq")))  # a few windows
+    return D.closure(tier, spans(v).drop("metric"), t, G.containment(keys, t))
 
 
-_SELECTED = "SELECT concat('c', c_custkey) AS uid FROM customer WHERE c_acctbal > 0"
-
-
-def selected(v):
-    return v.table("customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("uid"))
-
-
-@query(with_views("SELECT o.tick_seq, o.key AS uid, target, 1 AS hop FROM one o JOIN sel ON uid = key", "edges", windows=_WINDOWS, traversed=_TRAVERSED, neighbours=_NEIGHBOURS, one=_ONE, sel=_SELECTED))
+@query(with_views("""SELECT tick_seq, uid, target, via, hop, arg_min(verdict, phenomenon) AS verdict, arg_min(path, phenomenon) AS path, string_agg(phenomenon, ',' ORDER BY phenomenon) AS phenomena FROM (
+    SELECT tick_seq, uid, phenomenon, target, via, 1 AS hop, verdict, path FROM h1 UNION ALL SELECT tick_seq, uid, phenomenon, target, via, 2, verdict, path FROM h2) GROUP BY tick_seq, uid, target, via, hop""", "edges", **_AROUND))
 def closure(v):
-    return D.closure(selected(v), reached(v))[0]
+    return around_selected(v)[0]
 
 
-@query(with_views("SELECT t.tick_seq, uid FROM sel, (SELECT DISTINCT tick_seq FROM one) t WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.key = uid AND o.tick_seq = t.tick_seq)", "edges",
-                  windows=_WINDOWS, traversed=_TRAVERSED, neighbours=_NEIGHBOURS, one=_ONE, sel=_SELECTED))
+@query(with_views("""SELECT tick_seq, uid, phenomenon, concat('no traversable neighbour along ', array_to_string(types, '|'), ' in window') AS reason FROM begin b
+    WHERE NOT EXISTS (SELECT 1 FROM nb WHERE nb.tick_seq = b.tick_seq AND key = uid AND list_contains(types, type))""", "edges", **_AROUND))
 def closure_gaps(v):
-    return D.closure(selected(v), reached(v))[1]
+    return around_selected(v)[1]
 
 
 @query("""SELECT c.c_custkey::VARCHAR AS uid, o_orderstatus AS metric, CASE WHEN c.c_custkey % 4 > 0 THEN c_name END AS name, min(epoch_us(o_orderdate)) AS crosses_us, coalesce(any_value(n), 0) AS at_risk
