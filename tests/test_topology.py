@@ -1,5 +1,10 @@
 """Containment, relations and cascades over the topology, on streams too, by hand."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from telequay.operators import changes, signals
 from telequay.operators import detect as D
 from telequay.operators import topology as G
 from telequay.params import MINUTE, SECOND
@@ -53,3 +58,54 @@ def test_cascades_by_micro_batch(spark, tmp_path):
     got = spark.read.parquet(f"{folder}/pairs/batch=*").collect()
     assert {(r.now_us // SECOND, r.uid, r.trigger_uid, r.trigger_us // SECOND, r.relation) for r in got} == WANT
     assert len(list((tmp_path / "cascades/tracker").iterdir())) >= 3
+
+
+def test_closure_follows_each_phenomenons_own_edges(spark):
+    pod, box, lost = "i|k|ns|Pod|web|u1", "i|k|ns|Container|app|u1/app", "i|k|ns|Container|app|u9/app"
+    t = spark.createDataFrame([(1, "runs-on", pod, "node", 2), (1, "runs-on", "other", "node", 1), (1, "selects", "svc", pod, 2), (1, "selects", "svc", "other", 2),
+                               (1, "runs-on", pod, "svc", 1), (1, "renews", "node", "node", 2)], "tick_seq long, type string, from_key string, to_key string, verdict int")
+    tier = spark.createDataFrame([(box, "far"), (box, "near"), (box, "claims"), (box, "local"), (lost, "near"), ("node", "lease"), ("svc", "far")], "uid string, phenomenon string")
+    spans = spark.createDataFrame([("far", 2, ["selects", "runs-on"]), ("near", 1, ["runs-on"]), ("claims", 1, ["mounts"]), ("local", 0, []), ("lease", 1, ["renews"])], "phenomenon string, depth int, types array<string>")
+    keys = tier.select(F.lit(1).cast("long").alias("tick_seq"), F.col("uid").alias("key")).distinct()
+    near, gaps = D.closure(tier, spans, t, G.containment(keys, t))
+    got = {(r.uid, r.target, r.via, r.hop): (r.verdict, r.phenomena) for r in near.collect()}
+    assert got == {
+        (box, "node", "runs-on", 1): (2, "far,near"), (box, "svc", "selects", 1): (2, "far"), (box, "svc", "runs-on", 1): (1, "near"),
+        (box, "other", "selects", 2): (2, "far"),  # met from svc before node, as selects comes first
+        ("svc", pod, "selects", 1): (2, "far"), ("svc", "other", "selects", 1): (2, "far"), ("svc", "node", "runs-on", 2): (2, "far")}
+    assert {(r.uid, r.phenomenon): r.reason for r in gaps.collect()} == {
+        (box, "claims"): "no traversable neighbour along mounts in window", (lost, "near"): "containing pod absent from topology"}  # a self-edge is no gap
+
+
+def test_selection_has_one_reason_each(spark):
+    e = spark.createDataFrame([(x,) for x in "abcdef"], "uid string")
+    tier = spark.createDataFrame([("a", "p"), ("a", "q")], "uid string, phenomenon string")
+    b = spark.createDataFrame([("a", True), ("b", False), ("b", True), ("c", False)], "uid string, usable boolean")
+    stale = spark.createDataFrame([("c",), ("d",), ("d",)], "uid string")
+    got = {r.uid: (r.reason, r.phenomena) for r in D.selection_records(e, tier, b, stale).collect()}
+    assert got == {"a": ("selected", 2), "b": ("no-phenomenon", 0), "c": ("no-evaluable-variable", 0), "d": ("stale", 0), "e": ("structural-entity", 0), "f": ("structural-entity", 0)}
+
+
+def test_edges_meet_the_windows_they_overlap(spark):
+    r = random.Random(3)
+    edges = [("t", f"a{i}", "b", s := r.randrange(1000), r.choice([None, s + r.randrange(1, 300)]), s + r.randrange(50)) for i in range(200)]
+    windows = [(i, 90 * i + r.randrange(40), 90 * i + 50 + r.randrange(200)) for i in range(12)] + [(12, 10, 260), (13, 300, 260 + 90)]
+    want = {(w, e[1]) for e in edges for w, a, b in windows if e[3] <= b and (e[4] is None or e[4] > a)}
+    e = spark.createDataFrame(edges, "type string, from_key string, to_key string, asserted_us long, retracted_us long, confirmed_us long")
+    rows = G.edge_traverse(e, spark.createDataFrame(windows, "tick_seq long, start_us long, end_us long"), 20).collect()
+    assert {(x.tick_seq, x.from_key) for x in rows} == want and len(rows) == len(want)
+
+
+def test_the_last_n_arrivals_of_late_samples(spark):
+    r = random.Random(5)
+    rows = [(s, i, max(0, 10 * i - r.choice([0, 0, 0, 45, 170])), float(i)) for s in ("x", "y") for i in range(120)]
+    ticks = [(k, 37 * k) for k in range(1, 30)]
+    want = {(k, s, a, n) for k, now in ticks for s in ("x", "y") for n, a in enumerate(sorted((a for q, a, at, _ in rows if q == s and at <= now), reverse=True)[:7], 1)}
+    d = signals.last_n_arrivals(spark.createDataFrame(rows, "stream_id string, arrival long, at_us long, value double"), spark.createDataFrame(ticks, "tick_seq long, now_us long"), 7)
+    assert {(x.tick_seq, x.stream_id, x.arrival, x.back) for x in d.collect()} == want
+
+
+def test_ranks_over_ranges_are_those_of_the_order(spark):
+    d = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 40).alias("k")).repartition(7)
+    got = [(r["rank"], r.k, r.id) for r in changes.ranked(d, F.col("k").desc(), "id").collect()]
+    assert sorted(got) == [(i, k, x) for i, (k, x) in enumerate(sorted(((r.k, r.id) for r in d.collect()), key=lambda r: (-r[0], r[1])), 1)]
