@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .signals import first_seen
+from .signals import first_seen, number_ticks
 
 #: Verdicts by worth; the worst hop decides a path.
 SUSPECT, VALID = 1, 2
@@ -136,9 +136,38 @@ def reach(traversed: DataFrame, origins: DataFrame, depth: int = 2, types: tuple
     return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
 
 
-def derive_edges(pods: DataFrame, nodes: DataFrame) -> DataFrame:
-    """runs-on and mounts edges of pods (name, node, claims array); an unknown node gives none."""
-    run = pods.where("node is not null").join(nodes.select(F.col("name").alias("node")), "node").select(
-        F.lit("runs-on").alias("type"), F.col("name").alias("from_key"), F.col("node").alias("to_key"))
-    mount = pods.select(F.lit("mounts").alias("type"), F.col("name").alias("from_key"), F.explode("claims").alias("to_key"))
-    return run.unionByName(mount).dropDuplicates()
+def as_of(rows: DataFrame, key: list[str], snapshots: DataFrame) -> DataFrame:
+    """The newest row (by event_us, then by its values) of each key at each snapshot (snap_us): snap_us and the row's columns."""
+    rest = [c for c in rows.columns if c not in (*key, "event_us")]
+    ticks = snapshots.select(F.col("snap_us").alias("tick_seq"), F.col("snap_us").alias("now_us")).distinct()
+    d = first_seen(rows.withColumnRenamed("event_us", "at_us"), ticks).groupBy(*key, "idx").agg(F.max(F.struct("at_us", *rest)).alias("s"))
+    until = F.coalesce(F.lead("idx").over(W.partitionBy(*key).orderBy("idx")) - 1, ticks.agg(F.count(F.lit(1))).scalar().cast("int"))
+    d = d.withColumn("until", until).withColumn("idx", F.explode(F.sequence("idx", "until"))).join(F.broadcast(number_ticks(ticks)), "idx")  # a small authored table
+    return d.select(F.col("now_us").alias("snap_us"), *key, F.col("s.at_us").alias("event_us"), *[f"s.{c}" for c in rest])
+
+
+def derive_edges(pods: DataFrame, slices: DataFrame, leases: DataFrame, instances: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Edges at snapshots (type, from_key, to_key, event_us), full sets as ``reconcile_out`` reads them.
+
+    ``pods``: pod, event_us, node (name; null: not placed), claims (names);
+    ``slices``: service, slice, event_us, pods (names); both by update, the newest
+    up to a snapshot holds.  A service selects the union of its slices' pods, each
+    once.  ``leases``: node, renewed_us; a node's lease is an edge to itself at its
+    renewal.  ``instances``: kind (Pod, Node, Claim, Service), name, key, since_us.
+    An edge comes at the first snapshot at which both ends are known, and is
+    missing before.
+    """
+    ends = instances.select("kind", "name", "key", "since_us")
+
+    def known(d: DataFrame, kind: str, name: str, key: str, at: str) -> DataFrame:
+        e = ends.where(F.col("kind") == kind).select(F.col("name").alias(name), F.col("key").alias(key), "since_us")
+        return d.join(e, name).where(F.col("since_us") <= F.col(at)).drop("since_us")
+
+    p = known(as_of(pods, ["pod"], snapshots), "Pod", "pod", "from_key", "snap_us")
+    run = known(p, "Node", "node", "to_key", "snap_us")
+    mount = known(p.withColumn("claim", F.explode("claims")), "Claim", "claim", "to_key", "snap_us")
+    picked = as_of(slices, ["service", "slice"], snapshots).select("snap_us", "service", F.explode("pods").alias("pod")).distinct()
+    picked = known(known(picked, "Service", "service", "from_key", "snap_us"), "Pod", "pod", "to_key", "snap_us")
+    at = lambda d, name: d.select(F.lit(name).alias("type"), "from_key", "to_key", F.col("snap_us").alias("event_us"))
+    alive = known(leases, "Node", "node", "from_key", "renewed_us").select(F.lit("node-lease").alias("type"), "from_key", F.col("from_key").alias("to_key"), F.col("renewed_us").alias("event_us"))
+    return at(run, "runs-on").unionByName(at(mount, "mounts")).unionByName(at(picked, "selects")).unionByName(alive).distinct()

@@ -185,14 +185,41 @@ def reconcile_out(v):
     return G.reconcile_out(edge_events(v).select("type", "from_key", "to_key", "event_us").distinct())
 
 
-@query("""SELECT 'runs-on' AS type, c_name AS from_key, n_name AS to_key FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 9 > 0
-    UNION SELECT 'mounts', c_name, concat('order-', o_orderkey) FROM customer JOIN orders ON c_custkey = o_custkey""")
+SNAPSHOTS = [(NOW + i * 150 * DAY,) for i in range(-6, 3)]
+_DERIVE = {
+    "snaps": "SELECT * FROM (VALUES " + ", ".join(f"({s[0]})" for s in SNAPSHOTS) + ") t(snap_us)",
+    "o": "SELECT o_custkey AS c, epoch_us(o_orderdate) AS event_us, max(o_orderkey) AS k FROM orders GROUP BY ALL",
+    "instances": f"""SELECT 'Node' AS kind, concat('node', n_nationkey) AS name, concat('i|Node|', n_nationkey) AS key, (SELECT min(event_us) FROM o) + n_nationkey * {90 * DAY} AS since_us FROM nation
+        UNION ALL SELECT 'Claim', concat('claim', k % 40), concat('i|Claim|', k % 40), min(event_us) + k % 40 * {60 * DAY} FROM o GROUP BY k % 40
+        UNION ALL SELECT 'Service', o_orderpriority, concat('i|Service|', o_orderpriority), epoch_us(min(o_orderdate)) + {400 * DAY} FROM orders GROUP BY 2 UNION ALL SELECT 'Pod', c::VARCHAR, concat('i|Pod|', c), min(event_us) + {20 * DAY} FROM o GROUP BY c""",
+    "pods": "SELECT snap_us, c::VARCHAR AS pod, k FROM snaps JOIN o ON event_us <= snap_us QUALIFY row_number() OVER (PARTITION BY snap_us, c ORDER BY event_us DESC) = 1",
+    "slices": """SELECT snap_us, service, pods FROM snaps JOIN (SELECT o_orderpriority AS service, o_custkey % 20 AS slice, epoch_us(date_trunc('month', o_orderdate)) AS event_us, list(DISTINCT o_custkey::VARCHAR) AS pods FROM orders GROUP BY ALL)
+        ON event_us <= snap_us QUALIFY row_number() OVER (PARTITION BY snap_us, service, slice ORDER BY event_us DESC) = 1""",
+    "derived": """SELECT DISTINCT 'runs-on' AS type, a.key AS from_key, b.key AS to_key, snap_us AS event_us FROM pods p JOIN instances a ON a.kind = 'Pod' AND a.name = pod AND a.since_us <= snap_us
+            JOIN instances b ON b.kind = 'Node' AND b.name = concat('node', k % 25) AND b.since_us <= snap_us WHERE k % 9 > 0
+        UNION SELECT 'mounts', a.key, b.key, snap_us FROM (SELECT *, unnest([concat('claim', k % 40), concat('claim', k % 7)]) AS claim FROM pods) JOIN instances a ON a.kind = 'Pod' AND a.name = pod AND a.since_us <= snap_us
+            JOIN instances b ON b.kind = 'Claim' AND b.name = claim AND b.since_us <= snap_us
+        UNION SELECT 'selects', a.key, b.key, snap_us FROM (SELECT snap_us, service, unnest(pods) AS pod FROM slices) JOIN instances a ON a.kind = 'Service' AND a.name = service AND a.since_us <= snap_us
+            JOIN instances b ON b.kind = 'Pod' AND b.name = pod AND b.since_us <= snap_us
+        UNION SELECT 'node-lease', a.key, a.key, event_us FROM o JOIN instances a ON a.kind = 'Node' AND a.name = concat('node', k % 25) AND a.since_us <= event_us"""}
+
+
+@query(with_views("SELECT * FROM derived", **_DERIVE))
 def derive_edges(v):
-    c, n, o = v.table("customer"), v.table("nation"), v.table("orders")
-    claims = o.groupBy("o_custkey").agg(F.collect_set(F.concat(F.lit("order-"), F.col("o_orderkey"))).alias("claims"))
-    pods = c.join(n, c.c_nationkey == n.n_nationkey, "left").join(claims, c.c_custkey == claims.o_custkey, "left").select(
-        F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 9 > 0, F.col("n_name")).alias("node"), "claims")
-    return G.derive_edges(pods, n.select(F.col("n_name").alias("name")))
+    o, day = v.table("orders"), F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    k = o.groupBy(F.col("o_custkey").alias("c"), day.alias("event_us")).agg(F.max("o_orderkey").alias("k"))
+    name = lambda kind, number: F.concat(F.lit(kind), number.cast("string"))
+    pods = k.select(F.col("c").cast("string").alias("pod"), "event_us", F.when(F.col("k") % 9 > 0, name("node", F.col("k") % 25)).alias("node"), F.array(name("claim", F.col("k") % 40), name("claim", F.col("k") % 7)).alias("claims"))
+    month = F.unix_micros(F.date_trunc("month", "o_orderdate").cast("timestamp"))
+    slices = o.groupBy(F.col("o_orderpriority").alias("service"), (F.col("o_custkey") % 20).alias("slice"), month.alias("event_us")).agg(F.collect_set(F.col("o_custkey").cast("string")).alias("pods"))
+    leases = k.select(name("node", F.col("k") % 25).alias("node"), F.col("event_us").alias("renewed_us"))
+    own = lambda kind, d, n, since: d.select(F.lit(kind).alias("kind"), n.alias("name"), F.regexp_replace(n, "^(node|claim)", "").alias("key"), since.alias("since_us"))
+    first = F.min("event_us").alias("first")
+    known = own("Node", v.table("nation"), name("node", F.col("n_nationkey")), k.agg(first).scalar() + F.col("n_nationkey") * 90 * DAY)
+    known = known.unionByName(own("Claim", k.groupBy((F.col("k") % 40).alias("n")).agg(first), name("claim", F.col("n")), F.col("first") + F.col("n") * 60 * DAY))
+    known = known.unionByName(own("Service", o.groupBy("o_orderpriority").agg(F.min(day).alias("first")), F.col("o_orderpriority"), F.col("first") + 400 * DAY))
+    known = known.unionByName(own("Pod", k.groupBy("c").agg(first), F.col("c").cast("string"), F.col("first") + 20 * DAY))
+    return G.derive_edges(pods, slices, leases, known.withColumn("key", F.concat_ws("|", F.lit("i"), "kind", "key")), v.spark.createDataFrame(SNAPSHOTS, "snap_us long"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN bad THEN NULL ELSE concat_ws('|', 'i', 'cl', o_orderstatus, 'Pod', name, o_custkey) END AS key, CASE WHEN bad THEN 'malformed-coordinates' END AS error,

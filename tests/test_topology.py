@@ -109,3 +109,17 @@ def test_ranks_over_ranges_are_those_of_the_order(spark):
     d = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 40).alias("k")).repartition(7)
     got = [(r["rank"], r.k, r.id) for r in changes.ranked(d, F.col("k").desc(), "id").collect()]
     assert sorted(got) == [(i, k, x) for i, (k, x) in enumerate(sorted(((r.k, r.id) for r in d.collect()), key=lambda r: (-r[0], r[1])), 1)]
+
+
+def test_derived_edges_wait_for_their_ends(spark):
+    pods = spark.createDataFrame([("a", 5, "n", ["v"]), ("a", 25, "m", ["v", "v"]), ("b", 5, None, []), ("ghost", 5, "n", None)], "pod string, event_us long, node string, claims array<string>")
+    slices = spark.createDataFrame([("s", 1, 5, ["a", "b"]), ("s", 2, 5, ["b"]), ("s", 1, 15, []), ("s", 2, 25, ["a", "b", None])], "service string, slice int, event_us long, pods array<string>")
+    known = spark.createDataFrame([("Pod", "a", "A", 0), ("Pod", "b", "B", 0), ("Node", "n", "N", 0), ("Node", "m", "M", 0), ("Claim", "v", "V", 12), ("Service", "s", "S", 0)], "kind string, name string, key string, since_us long")
+    leases = spark.createDataFrame([("n", 7), ("n", 17), ("unknown", 8)], "node string, renewed_us long")
+    out = G.derive_edges(pods, slices, leases, known, spark.createDataFrame([(10,), (20,), (30,)], "snap_us long"))
+    assert sorted(map(tuple, out.collect())) == sorted([
+        ("runs-on", "A", "N", 10), ("runs-on", "A", "N", 20), ("runs-on", "A", "M", 30), ("mounts", "A", "V", 20), ("mounts", "A", "V", 30),  # the claim is known from 12 on
+        ("selects", "S", "A", 10), ("selects", "S", "B", 10), ("selects", "S", "B", 20), ("selects", "S", "A", 30), ("selects", "S", "B", 30),  # b moves from slice to slice
+        ("node-lease", "N", "N", 7), ("node-lease", "N", "N", 17)])
+    gone = {(r.type, r.to_key): r.event_us for r in G.reconcile_out(out).where("op = 'retract'").collect()}
+    assert gone == {("runs-on", "N"): 30, ("selects", "A"): 20}
