@@ -7,14 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def detect_tools(tools: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Whether each tool (tool, class, needle) is present: native yes, undetectable null, else any corpus entry holds its needle.
+def detect_tools(tools: DataFrame, corpus: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Whether each tool (tool, class, needle: a row for each of its needles) is present.
 
-    ``corpus`` is (entry), lower case; the catalogue's tools are few and broadcast behind Spark's size check.
+    native: yes; undetectable: null; runtime: the platform's runtime (``facts``, one row, or none) begins with the tool's
+    name; needle: any entry of the corpus (entry, lower case) holds one of its needles, or its name where none is given.
+    The tools are an authored table of a few rows, so every entry meets them and is read once.
     """
-    hits = corpus.join(tools.where("class = 'needle'"), F.expr("contains(entry, needle)")).select(F.col("tool").alias("h")).distinct()
-    d = tools.join(hits, F.col("tool") == F.col("h"), "left")
-    return d.select("tool", F.when(F.col("class") == "native", True).when(F.col("class") == "needle", F.col("h").isNotNull()).alias("present"))
+    sought = tools.where("class = 'needle'").select(F.col("tool").alias("h"), F.coalesce("needle", "tool").alias("n"))
+    hits = corpus.join(F.broadcast(sought), F.contains("entry", "n")).select("h").distinct()
+    runtime = facts.agg(F.lower(F.max("runtime")).alias("runtime")) if facts is not None else tools.limit(0).agg(F.max("tool").alias("runtime"))
+    d = tools.select("tool", "class").distinct().join(hits, F.col("tool") == F.col("h"), "left").join(F.broadcast(runtime))  # one row
+    begins = F.coalesce(F.startswith("runtime", F.lower("tool")), F.lit(False))
+    return d.select("tool", F.when(F.col("class") == "native", True).when(F.col("class") == "runtime", begins).when(F.col("class") == "needle", F.col("h").isNotNull()).alias("present"))
 
 
 def resolve_equivalents(names: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -68,14 +73,34 @@ def relation_normalize(relations: DataFrame) -> DataFrame:
     return a.unionByName(b).withColumn("k", first).where("k = 1").drop("k")
 
 
-def catalogue_lint(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (src, src_type, dst, dst_type, type) whose ends are missing or of another type: src, dst, end, problem."""
+#: Fixed value: edges of this type say who looks after what; broken ones are only warned of.
+ORGANISATIONAL = ("owned_by_agent",)
+
+
+def catalogue_lint(edges: DataFrame, nodes: DataFrame, organisational: tuple[str, ...] = ORGANISATIONAL) -> DataFrame:
+    """Edges (src, src_type, dst, dst_type, type) whose ends are missing or of another type than declared (null or empty: none declared).
+
+    src, dst, end, problem, level: error, or warn for edges of ``organisational`` types.
+    """
     n = nodes.select("id", F.col("type").alias("real"))
-    ends = edges.select("src", "dst", F.explode(F.array(
+    level = F.when(F.col("type").isin(*organisational), "warn").otherwise("error")
+    ends = edges.select("src", "dst", level.alias("level"), F.explode(F.array(
         F.struct(F.lit("src").alias("end"), F.col("src").alias("id"), F.col("src_type").alias("want")),
-        F.struct(F.lit("dst").alias("end"), F.col("dst").alias("id"), F.col("dst_type").alias("want")))).alias("e")).select("src", "dst", "e.*")
+        F.struct(F.lit("dst").alias("end"), F.col("dst").alias("id"), F.col("dst_type").alias("want")))).alias("e")).select("src", "dst", "level", "e.*")
     d = ends.join(n, "id", "left")
-    return d.withColumn("problem", F.when(F.col("real").isNull(), "missing").when(F.col("real") != F.col("want"), "wrong-type")).where("problem is not null").select("src", "dst", "end", "problem")
+    other = (F.coalesce("want", F.lit("")) != "") & (F.col("real") != F.col("want"))
+    return d.withColumn("problem", F.when(F.col("real").isNull(), "missing").when(other, "wrong-type")).where("problem is not null").select("src", "dst", "end", "problem", "level")
+
+
+def declared_totals(nodes: DataFrame, edges: DataFrame, declared: DataFrame) -> DataFrame:
+    """Totals (what, n) that a release declares and its content doesn't have: what, declared, parsed; a truncated release shows here.
+
+    nodes_total, edges_total and signals are checked where they are declared.
+    """
+    n = nodes.agg(F.count(F.lit(1)).alias("nodes_total"), F.count_if(F.col("type") == "Signal").alias("signals"))
+    both = n.join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges_total"))))  # one row each
+    parsed = both.unpivot([], ["nodes_total", "edges_total", "signals"], "what", "parsed")
+    return parsed.join(F.broadcast(declared.select("what", F.col("n").alias("declared"))), "what").where("declared <> parsed").select("what", "declared", "parsed")
 
 
 def register_scan(texts: DataFrame, phrases: DataFrame) -> DataFrame:

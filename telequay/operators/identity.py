@@ -74,6 +74,36 @@ def owner_chain(children: DataFrame, owners: DataFrame, depth: int = 6) -> DataF
     return d
 
 
+def pod_roles(pods: DataFrame, owners: DataFrame, depth: int = 6) -> DataFrame:
+    """The role of each pod (ns, name, node, mirror): ns, name, role_kind, role, bare.
+
+    The mirror of a static pod (marked as one, or controlled by a node) has the role StaticPod and its name without the
+    node's, so that its instances on all nodes are one role.  A pod without a controller is a role of its own, and bare.
+    Any other has its topmost controller: replica sets and jobs may have one above them, other kinds end the chain.
+
+    ``owners``: ns, child_kind, child_name, owner_kind, owner_name, controller; of several controllers the smallest counts.
+    Controllers climb among themselves, so pods are joined twice however long the chains are.
+    """
+    key = ["ns", "child_kind", "child_name"]
+    up = owners.where("controller").groupBy(*key).agg(F.min(F.struct("owner_kind", "owner_name")).alias("o")).select(*key, "o.*")
+    above = up.where(F.col("child_kind").isin("ReplicaSet", "Job"))
+    step = above.select(F.col("ns").alias("s_ns"), F.col("child_kind").alias("k"), F.col("child_name").alias("n"), F.col("owner_kind").alias("k2"), F.col("owner_name").alias("n2"))
+    top = above
+    for _ in range(depth - 1):
+        top = top.join(step, F.col("ns").eqNullSafe(F.col("s_ns")) & (F.col("owner_kind") == F.col("k")) & (F.col("owner_name") == F.col("n")), "left").select(
+            *key, F.coalesce("k2", "owner_kind").alias("owner_kind"), F.coalesce("n2", "owner_name").alias("owner_name"))
+    own = up.where("child_kind = 'Pod'").select(F.col("ns").alias("p_ns"), F.col("child_name").alias("p_name"), F.col("owner_kind").alias("k1"), F.col("owner_name").alias("n1"))
+    top = top.select(F.col("ns").alias("t_ns"), F.col("child_kind").alias("t_kind"), F.col("child_name").alias("t_name"), F.col("owner_kind").alias("k2"), F.col("owner_name").alias("n2"))
+    d = pods.join(own, F.col("ns").eqNullSafe(F.col("p_ns")) & (F.col("name") == F.col("p_name")), "left")
+    d = d.join(top, F.col("ns").eqNullSafe(F.col("t_ns")) & (F.col("k1") == F.col("t_kind")) & (F.col("n1") == F.col("t_name")), "left")
+    static = F.coalesce("mirror", F.lit(False)) | F.coalesce(F.col("k1") == "Node", F.lit(False))
+    tail = F.concat(F.lit("-"), "node")
+    component = F.when((F.col("node") != "") & F.endswith("name", tail), F.left("name", F.length("name") - F.length(tail))).otherwise(F.col("name"))
+    kind = F.when(static, "StaticPod").otherwise(F.coalesce("k2", "k1", F.lit("Pod")))
+    role = F.when(static, component).otherwise(F.coalesce("n2", "n1", "name"))
+    return d.select("ns", "name", kind.alias("role_kind"), F.concat_ws("/", kind, role).alias("role"), (~static & F.col("k1").isNull()).alias("bare"))
+
+
 def join_audit(truth: DataFrame, model: DataFrame) -> DataFrame:
     """Each entity (name, uid) of truth against the model's uid: correct, misjoin or missing."""
     d = truth.join(model.select("name", F.col("uid").alias("model_uid")), "name", "left")

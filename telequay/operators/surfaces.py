@@ -7,20 +7,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telequay.functions.ladder import ladder
+from telequay.functions.status import edge_status
 
 
-def forecast_eligibility(bindings: DataFrame, precursors: DataFrame) -> DataFrame:
-    """One verdict per (uid, metric): the first binding by (rule_id, uid, container) decides.
+def forecast_eligibility(bindings: DataFrame, rules: DataFrame, signals: DataFrame, channels: DataFrame, precursors: DataFrame) -> DataFrame:
+    """One verdict per (entity, metric): the first binding by (rule_id, entity, container) decides.
 
-    ``bindings``: uid, metric, rule_id, container, signal, state, kind, shape,
-    validation, streams (how many fit), history (samples).
+    ``bindings``: entity, metric, rule_id, container, state, bar (null: none), kind; ``rules``: rule_id, signal, divisor;
+    ``signals``: signal, shape; ``channels``: entity, stream_uid (what is scraped of it); ``precursors``: signal, phenomena.
+    What isn't a target says why, by the first reason that holds; a target has its stream and the phenomena it comes before.
     """
-    first = F.row_number().over(W.partitionBy("uid", "metric").orderBy("rule_id", "uid", F.col("container").asc_nulls_first()))
-    d = bindings.withColumn("k", first).where("k = 1").join(precursors.select("signal", F.lit(True).alias("precursor")).distinct(), "signal", "left")
-    reason = (F.when(F.col("state") != "bound", "not-bound").when(F.col("kind") == "rate-of-change", "rate-rule").when(F.col("shape") != "gauge", "not-a-gauge")
-              .when(F.col("validation") == "failed", "failed-validation").when(F.col("streams") == 0, "no-stream").when(F.col("streams") > 1, "ambiguous-stream")
-              .when(F.col("history") < 64, "thin-history").otherwise("target"))
-    return d.select("uid", "metric", "rule_id", reason.alias("verdict"), F.coalesce("precursor", F.lit(False)).alias("precursor"))
+    first = F.row_number().over(W.partitionBy("entity", "metric").orderBy("rule_id", F.col("container").asc_nulls_first()))
+    d = bindings.withColumn("k", first).where("k = 1").drop("k")
+    known = rules.select("rule_id", "signal", "divisor", F.lit(True).alias("known"))  # authored, as signals and precursors are
+    d = d.join(known, "rule_id", "left").join(signals.select("signal", "shape"), "signal", "left").join(channels.select("entity", "stream_uid"), "entity", "left")
+    d = d.join(precursors.select("signal", "phenomena"), "signal", "left")
+    shape = F.coalesce("shape", F.lit("unknown"))
+    reason = (F.when(F.col("state") != "bound", "not-bound").when(F.col("bar").isNull(), "unbounded").when(F.col("kind") == "rate-of-change", "rate-guard-bar")
+              .when(F.col("known").isNull(), "unknown-rule").when(F.col("divisor").isNotNull(), "derived-ratio-deferred")
+              .when(F.contains(shape, F.lit("gauge")), F.when(F.col("stream_uid").isNull(), "no-stream-key").otherwise("target"))
+              .when(F.contains(shape, F.lit("counter")), "counter-deferred").otherwise("non-series-signal"))
+    d = d.withColumn("verdict", reason)
+    own = lambda c: F.when(F.col("verdict") == "target", F.col(c)).alias(c)
+    return d.select("entity", "metric", "rule_id", "verdict", own("stream_uid"), own("phenomena"))
 
 
 def precursors(members: DataFrame) -> DataFrame:
@@ -45,17 +54,37 @@ def warning_debounce(outcomes: DataFrame, clear_us: int) -> DataFrame:
     return d.where(warned | held).select("uid", "metric", "now_us", (~warned).alias("aging"), F.col("last_warned").alias("projected_us"))
 
 
-def topology_view(entities: DataFrame, matched: DataFrame, loud: DataFrame, selected: DataFrame, cap: int) -> DataFrame:
-    """Entities with marks, matched first, then loud, selected and others, by key; at most ``cap`` (a view's size), with how many were cut."""
+def topology_view(entities: DataFrame, matched: DataFrame, loud: DataFrame, selected: DataFrame, cap: int, warned: DataFrame | None = None) -> DataFrame:
+    """Entities with marks, matched first, then loud, selected and others, by key; at most ``cap`` (a view's size), with how many were cut.
+
+    ``matched`` (uid, phenomenon, full): an entity with a finding that isn't full is degraded.
+    """
     mark = lambda d, name: d.select(F.col("uid"), F.lit(True).alias(name)).distinct()
-    d = entities.select("uid").distinct()
-    for x, name in ((matched, "matched"), (loud, "loud"), (selected, "selected")):
-        d = d.join(mark(x, name), "uid", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    found = matched.groupBy("uid").agg(F.lit(True).alias("matched"), F.bool_or(~F.col("full")).alias("degraded"), F.concat_ws(",", F.array_sort(F.collect_set("phenomenon"))).alias("phenomena"))
+    d = entities.select("uid").distinct().join(found, "uid", "left").join(mark(loud, "loud"), "uid", "left").join(mark(selected, "selected"), "uid", "left")
+    d = d.join(mark(warned, "warned"), "uid", "left") if warned is not None else d.withColumn("warned", F.lit(False))
+    d = d.na.fill(False, ["matched", "degraded", "loud", "selected", "warned"]).na.fill("", ["phenomena"])
     prio = F.when(F.col("matched"), 0).when(F.col("loud"), 1).when(F.col("selected"), 2).otherwise(3)
     total = d.agg(F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).alias("cut"))
     return d.withColumn("prio", prio).orderBy("prio", "uid").limit(cap).crossJoin(F.broadcast(total))
 
 
+def topology_edges(view: DataFrame, edges: DataFrame, now_us: int, budget_us: int) -> DataFrame:
+    """Edges between entities of a view (at most its cap, so they go to every task): type, from_key, to_key, status now."""
+    kept = F.broadcast(view.select("uid"))
+    d = edges.join(kept, F.col("from_key") == F.col("uid"), "left_semi").join(kept, F.col("to_key") == F.col("uid"), "left_semi")
+    status = edge_status(F.col("retracted_us"), F.col("confirmed_us"), F.lit(budget_us), F.lit(now_us), budget_us)
+    return d.select("type", "from_key", "to_key", status.alias("status"))
+
+
+def topology_summary(view: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes of a view by mark, its edges by status, and how many entities were cut."""
+    n = [F.count_if(c).alias(c) for c in ("matched", "degraded", "loud", "selected", "warned")]
+    a = view.agg(F.count(F.lit(1)).alias("nodes"), *n, F.coalesce(F.max("cut"), F.lit(0)).alias("cut"))
+    of = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_edges")
+    return a.crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges"), of("valid"), of("suspect"))))  # one row each
+
+
 def timeline(lanes: DataFrame, horizon_us: int) -> DataFrame:
     """Spans (lane, id, start_us, end_us) by start; an open one closes at its start plus the horizon."""
     return lanes.select("lane", "id", "start_us", F.coalesce("end_us", F.col("start_us") + horizon_us).alias("end_us")).orderBy("start_us", "lane", "id")

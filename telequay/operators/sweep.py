@@ -9,7 +9,7 @@ from telequay.functions.ladder import ladder, member_check, well_above_line
 from telequay.operators import detect as D
 from telequay.operators import signals as S
 from telequay.operators.lineage import cut
-from telequay.operators.topology import reach
+from telequay.operators.topology import reach_anchored
 from telequay.params import Params
 
 #: What a member's check consults: columns of ``observations``.
@@ -79,7 +79,7 @@ def replay(seen: DataFrame, ticks: DataFrame, members: DataFrame, relations: Dat
     components, own = checked(settings(seen, grid), members)
     components, edges = cut(components), cut(by_point(traversed, grid))  # several branches read them
     origins = components.select("tick_seq", F.col("uid").alias("key")).distinct()
-    found = D.match_spanned(components, own, reach(edges, origins))
+    found = D.match_spanned(components, own, reach_anchored(edges, origins))
     keys = by_point(ticks, grid).withColumn("point_id", F.substring_index("tick_seq", "|", 1)).join(F.broadcast(grid.select("point_id", "floor", "cascade_us")), "point_id")
     keys = keys.withColumn("tick", F.substring_index("tick_seq", "|", -1).cast("long"))
     if runs is not None:

@@ -136,6 +136,13 @@ def reach(traversed: DataFrame, origins: DataFrame, depth: int = 2, types: tuple
     return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
 
 
+def reach_anchored(traversed: DataFrame, origins: DataFrame, depth: int = 2, types: tuple[str, ...] | None = None) -> DataFrame:
+    """``reach`` for entities (tick_seq, key) that may be containers: those walk from their pod, and reach nothing where the topology doesn't know it."""
+    a = containment(origins.select("tick_seq", "key"), traversed).where("anchor is not null").select("tick_seq", "key", "anchor")
+    walked = reach(traversed, a.select("tick_seq", F.col("anchor").alias("key")).distinct(), depth, types).withColumnRenamed("key", "anchor")
+    return a.join(walked, ["tick_seq", "anchor"]).drop("anchor")
+
+
 def as_of(rows: DataFrame, key: list[str], snapshots: DataFrame) -> DataFrame:
     """The newest row (by event_us, then by its values) of each key at each snapshot (snap_us): snap_us and the row's columns."""
     rest = [c for c in rows.columns if c not in (*key, "event_us")]

@@ -1,6 +1,6 @@
 """Whole queries over the test tables, with oracle SQL."""
 
-from . import detection, forecasting, gating, identity, live, replaying, rest, signals, surfaces  # noqa: F401
+from . import detection, forecasting, gating, identity, live, platform, replaying, rest, signals, surfaces  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

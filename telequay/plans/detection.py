@@ -12,6 +12,7 @@ from telequay.operators import signals as S
 from telequay.operators import topology as G
 from telequay.operators.lineage import cut
 from telequay.params import SLOW
+from telequay.sources import tables as T
 
 from .identity import _NEIGHBOURS, _TRAVERSED, _WINDOWS, BUDGET, windows
 from .registry import query
@@ -158,7 +159,7 @@ def scoped_members(v):
 
 def near_met(c, links):
     """What entities with a met component reach."""
-    return G.reach(links, c.where("state in ('above', 'well-above') and not stale").select("tick_seq", F.col("uid").alias("key")).distinct(), 2, ("runs-on",))
+    return G.reach_anchored(links, c.where("state in ('above', 'well-above') and not stale").select("tick_seq", F.col("uid").alias("key")).distinct(), 2, ("runs-on",))
 
 
 @query(with_views('SELECT tick_seq, uid, phenomenon, round(completeness, 6) AS completeness, "full", suspect FROM sfound', "components", "linked", **_EV, **_SPAN, sfound=_SPANNED))
@@ -343,13 +344,18 @@ def budget_top_k(v):
     return D.budget_top_k(t, 50)
 
 
-TOOLS = [("eng", "needle", "small"), ("agent", "native", None), ("exporter", "undetectable", None), ("missing", "needle", "zzz"), ("ring", "needle", "ring")]
+TOOLS = [("eng", "needle", "small"), ("agent", "native", None), ("exporter", "undetectable", None), ("missing", "needle", "zzz"), ("ring", "needle", None), ("plated", "needle", "nowhere"), ("plated", "needle", "plated brass"),
+         ("Brand#1", "runtime", None), ("cri-o", "runtime", None)]
+_CORPUS = "SELECT lower(concat_ws(' ', p_name, p_type, p_brand)) AS entry FROM part"
 
 
-@query(with_views("""SELECT t.tool, CASE class WHEN 'native' THEN true WHEN 'needle' THEN EXISTS (SELECT 1 FROM part WHERE contains(lower(p_name), needle)) END AS present FROM tools t""",
-                  tools=_values(TOOLS, "tool, class, needle")))
+@query(with_views("""SELECT DISTINCT t.tool, CASE class WHEN 'native' THEN true WHEN 'runtime' THEN starts_with((SELECT lower(arg_min(p_brand, p_partkey)) FROM part), lower(tool))
+    WHEN 'needle' THEN EXISTS (SELECT 1 FROM corpus, tools o WHERE o.tool = t.tool AND contains(entry, coalesce(o.needle, o.tool))) END AS present FROM tools t""",
+                  tools=_values(TOOLS, "tool, class, needle"), corpus=_CORPUS))
 def detect_tools(v):
-    return C.detect_tools(v.spark.createDataFrame(TOOLS, "tool string, class string, needle string"), v.table("part").select(F.lower("p_name").alias("entry")))
+    p = v.table("part")
+    facts = T.platform_facts(p.select(F.col("p_partkey").alias("name"), F.col("p_type").alias("kernel"), F.col("p_brand").alias("runtime")))
+    return C.detect_tools(v.spark.createDataFrame(TOOLS, "tool string, class string, needle string"), T.workload_corpus(p.select(F.col("p_name").alias("name"), F.array("p_type", "p_brand").alias("images"))), facts)
 
 
 PATTERNS = [("g1", "economy-all", 0, "^ECONOMY"), ("g1", "promo", 1, "^PROMO"), ("g2", "any-o", 0, "MO$"), ("g3", "std", 0, "STANDARD"), ("g3", "std2", 1, "^STAND")]
@@ -406,13 +412,15 @@ def relation_normalize(v):
                                          F.when(F.col("o_orderkey") % 2 == 0, "downstream").otherwise("trigger").alias("role"), F.col("o_orderpriority").alias("why"), F.col("o_orderkey").alias("pos")))
 
 
-@query("""SELECT src, dst, 'src' AS "end", CASE WHEN c.c_custkey IS NULL THEN 'missing' ELSE 'wrong-type' END AS problem FROM (SELECT concat('n', o_custkey * 2) AS src, concat('n', o_custkey) AS dst, o_custkey FROM orders) o
-    LEFT JOIN customer c ON c.c_custkey = o.o_custkey * 2 WHERE c.c_custkey IS NULL OR c.c_custkey % 3 > 0
-    UNION ALL SELECT concat('n', o_custkey * 2), concat('n', o_custkey), 'dst', 'wrong-type' FROM orders WHERE o_custkey % 3 > 0""")
+@query("""SELECT src, dst, 'src' AS "end", CASE WHEN c.c_custkey IS NULL THEN 'missing' ELSE 'wrong-type' END AS problem, level FROM (SELECT concat('n', o_custkey * 2) AS src, concat('n', o_custkey) AS dst, o_custkey,
+    CASE WHEN o_orderkey % 4 = 0 THEN 'warn' ELSE 'error' END AS level, CASE WHEN o_orderkey % 6 > 0 THEN 'Signal' END AS src_type FROM orders) o
+    LEFT JOIN customer c ON c.c_custkey = o.o_custkey * 2 WHERE c.c_custkey IS NULL OR (c.c_custkey % 3 > 0 AND src_type IS NOT NULL)
+    UNION ALL SELECT concat('n', o_custkey * 2), concat('n', o_custkey), 'dst', 'wrong-type', CASE WHEN o_orderkey % 4 = 0 THEN 'warn' ELSE 'error' END FROM orders WHERE o_custkey % 3 > 0""")
 def catalogue_lint(v):
     c, o = v.table("customer"), v.table("orders")
     nodes = c.select(F.concat(F.lit("n"), "c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "Signal").otherwise("Tool").alias("type"))
-    e = o.select(F.concat(F.lit("n"), F.col("o_custkey") * 2).alias("src"), F.lit("Signal").alias("src_type"), F.concat(F.lit("n"), "o_custkey").alias("dst"), F.lit("Signal").alias("dst_type"), F.lit("x").alias("type"))
+    e = o.select(F.concat(F.lit("n"), F.col("o_custkey") * 2).alias("src"), F.when(F.col("o_orderkey") % 6 > 0, "Signal").alias("src_type"), F.concat(F.lit("n"), "o_custkey").alias("dst"), F.lit("Signal").alias("dst_type"),
+                 F.when(F.col("o_orderkey") % 4 == 0, C.ORGANISATIONAL[0]).otherwise("participates_in").alias("type"))
     return C.catalogue_lint(e, nodes)
 
 

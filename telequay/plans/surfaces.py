@@ -11,7 +11,7 @@ from telequay.params import DAY
 from telequay.sources import exposition as E
 from telequay.sources import tables as T
 
-from .detection import _EV, _RADIUS, _TIER, _values, components, findings, loud, radius, scoped_members, tiers
+from .detection import _CTE, _EV, _RADIUS, _TIER, _values, bindings, components, findings, loud, radius, scoped_members, tiers
 from .registry import query
 from .views import with_views
 
@@ -112,18 +112,29 @@ def lifecycle_event_fields(v):
                     I.death_time(F.when(F.col("o_custkey") % 2 == 0, F.lit(5)), F.lit(9)).alias("died_us"))
 
 
-_ELIG = """SELECT b.uid, b.metric, b.rule_id, 's-' || b.metric AS signal, count(r.arrival) AS history, count(DISTINCT r.stream_id) AS streams, any_value(r.type) AS type FROM bindings b LEFT JOIN readings r ON r.uid = b.uid AND r.metric = b.metric GROUP BY ALL"""
+#: What the catalogue says of the rules' signals; one rule is in no release.
+_ASKED = [("r-mem", "s-mem", None), ("r-cpu", "s-cpu", "quota"), ("r-abs", "s-abs", None), ("r-cnt", "s-cnt", None), ("r-log", "s-log", None), ("r-rate", "s-mem", None)]
+_SHAPES = [("s-mem", "gauge"), ("s-cpu", "gauge"), ("s-abs", "gauge+counter"), ("s-cnt", "counter"), ("s-log", "non-series")]
+_BEFORE = [("s-mem", "drain,storm")]
+_EXTRA = [("r-cnt", "cnt", "absolute"), ("r-log", "log", "absolute"), ("r-rate", "rate", "rate-of-change"), ("r-lost", "lost", "absolute"), ("r-zmem", "mem", "absolute")]
 
 
-@query(with_views("""SELECT uid, metric, rule_id, CASE WHEN rule_id = 'r-error' THEN 'rate-rule' WHEN coalesce(type, 'gauge') <> 'gauge' THEN 'not-a-gauge' WHEN streams = 0 THEN 'no-stream' WHEN history < 64 THEN 'thin-history' ELSE 'target' END AS verdict,
-    signal = 's-click' AS precursor FROM e""", "bindings", "readings", e=_ELIG))
+@query(with_views("""SELECT entity, metric, rule_id, verdict, CASE WHEN verdict = 'target' THEN concat(entity, '/s') END AS stream_uid, CASE WHEN verdict = 'target' THEN phenomena END AS phenomena FROM (SELECT e.*, w.phenomena, CASE WHEN state <> 'bound' THEN 'not-bound' WHEN value IS NULL THEN 'unbounded'
+    WHEN kind = 'rate-of-change' THEN 'rate-guard-bar' WHEN r.rule_id IS NULL THEN 'unknown-rule' WHEN r.divisor IS NOT NULL THEN 'derived-ratio-deferred' WHEN contains(shape, 'gauge') THEN
+    CASE WHEN entity[2:]::INT % 4 = 0 THEN 'no-stream-key' ELSE 'target' END WHEN contains(shape, 'counter') THEN 'counter-deferred' ELSE 'non-series-signal' END AS verdict FROM (
+    SELECT * FROM (SELECT entity, container, rule_id, metric, kind, state, CASE WHEN entity[2:]::INT % 13 > 0 THEN value END AS value FROM b UNION ALL
+    SELECT concat('c', c_custkey), 'k0', x.rule_id, x.metric, x.kind, 'bound', 1.0 FROM customer, extra x)
+    QUALIFY row_number() OVER (PARTITION BY entity, metric ORDER BY rule_id, container NULLS FIRST) = 1) e
+    LEFT JOIN asked r ON r.rule_id = e.rule_id LEFT JOIN shapes s ON s.signal = r.signal LEFT JOIN before w ON w.signal = r.signal)""",
+    **_CTE, asked=_values(_ASKED, "rule_id, signal, divisor"), shapes=_values(_SHAPES, "signal, shape"), extra=_values(_EXTRA, "rule_id, metric, kind"), before=_values(_BEFORE, "signal, phenomena")))
 def forecast_eligibility(v):
-    r = v.readings()
-    d = v.bindings().join(r.select("uid", "metric", "arrival", "stream_id", "type"), ["uid", "metric"], "left").groupBy("uid", "metric", "rule_id").agg(
-        F.count("arrival").alias("history"), F.count_distinct("stream_id").alias("streams"), F.first("type", True).alias("type"))
-    d = d.select("uid", "metric", "rule_id", F.lit(None).cast("string").alias("container"), F.concat(F.lit("s-"), "metric").alias("signal"), F.lit("bound").alias("state"),
-                 F.when(F.col("rule_id") == "r-error", "rate-of-change").otherwise("config-relative").alias("kind"), F.coalesce("type", F.lit("gauge")).alias("shape"), F.lit("verified").alias("validation"), "streams", "history")
-    return U.forecast_eligibility(d, v.spark.createDataFrame([("s-click",)], "signal string"))
+    b = bindings(v).select("entity", "container", "rule_id", "metric", "kind", "state", F.when(F.substring("entity", 2, 20).cast("int") % 13 > 0, F.col("bar.value")).alias("bar"))
+    extra = v.spark.createDataFrame(_EXTRA, "rule_id string, metric string, kind string")
+    c = v.table("customer").select(F.concat(F.lit("c"), "c_custkey").alias("entity"))
+    more = c.crossJoin(F.broadcast(extra)).select("entity", F.lit("k0").alias("container"), "rule_id", "metric", "kind", F.lit("bound").alias("state"), F.lit(1.0).alias("bar"))  # a few authored rules
+    scraped = b.select("entity").distinct().where(F.substring("entity", 2, 20).cast("int") % 4 > 0).select("entity", F.concat("entity", F.lit("/s")).alias("stream_uid"))
+    t = lambda rows, schema: v.spark.createDataFrame(rows, schema)
+    return U.forecast_eligibility(b.unionByName(more), t(_ASKED, "rule_id string, signal string, divisor string"), t(_SHAPES, "signal string, shape string"), scraped, t(_BEFORE, "signal string, phenomena string"))
 
 
 @query("SELECT p_type AS signal, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS phenomena FROM part WHERE p_size % 4 < 2 GROUP BY 1")
@@ -149,7 +160,7 @@ def warning_debounce(v):
     marked="""SELECT *, CASE WHEN matched THEN 0 WHEN loud THEN 1 WHEN selected THEN 2 ELSE 3 END AS prio FROM (SELECT c_custkey::VARCHAR AS uid, c_custkey::VARCHAR IN (SELECT uid FROM found) AS matched,
     c_custkey::VARCHAR IN (SELECT uid FROM loud) AS loud, c_custkey::VARCHAR IN (SELECT uid FROM tier) AS selected FROM customer)"""))
 def topology_view(v):
-    return U.topology_view(v.table("customer").select(F.col("c_custkey").cast("string").alias("uid")), findings(v), loud(v), tiers(v), 400)
+    return U.topology_view(v.table("customer").select(F.col("c_custkey").cast("string").alias("uid")), findings(v), loud(v), tiers(v), 400).drop("degraded", "phenomena", "warned")
 
 
 @query("""SELECT lane, id, start_us, coalesce(end_us, start_us + 1000) AS end_us FROM (SELECT o_orderstatus AS lane, o_orderkey AS id, epoch_us(o_orderdate) AS start_us, CASE WHEN o_custkey % 3 > 0 THEN epoch_us(o_orderdate) + o_custkey END AS end_us FROM orders)""")

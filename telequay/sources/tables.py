@@ -44,6 +44,11 @@ def platform_facts(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.min_by("kernel", "name").alias("kernel"), F.min_by("runtime", "name").alias("runtime"), (F.count_distinct("kernel") > 1).alias("mixed_kernels"))
 
 
+def workload_corpus(pods: DataFrame) -> DataFrame:
+    """What tools are looked for in: an entry for each pod (name, images), its name and its containers' images in lower case."""
+    return pods.select(F.lower(F.concat_ws(" ", "name", F.array_join(F.coalesce("images", F.array().cast("array<string>")), " "))).alias("entry"))
+
+
 def scrape_targets(pods: DataFrame, prefix: str) -> DataFrame:
     """Nodes that run a pod of that name prefix."""
     return pods.where(F.col("name").startswith(prefix) & (F.col("phase") == "Running")).select("node").distinct()

@@ -296,12 +296,19 @@ def forecaster_hook(series: DataFrame, fn: Callable, horizon: int, quantiles: tu
     return series.groupBy("target").applyInPandas(run, "target string, h long, q double, value double, error string")
 
 
-def forecast_contract(forecasts: DataFrame, horizon: int) -> DataFrame:
-    """Violations of the forecaster's contract: length, order of quantiles, or a band without width."""
-    by = forecasts.groupBy("target", "h").agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("v"))
+def forecast_contract(forecasts: DataFrame, horizon: int, flat: DataFrame | None = None, slack: float = 0.05) -> DataFrame:
+    """Violations of the forecaster's contract: length, order of quantiles, a band without width, or a trend out of nothing.
+
+    ``flat`` (target, last): targets whose history doesn't move; no step of their middle quantile may be farther than
+    ``slack`` of the last value from it.
+    """
+    by = forecasts.groupBy("target", "h").agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("v"), F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("point"))
     values = F.transform("v", lambda x: x["value"])
     sorted_ = values == F.array_sort(values)
     width = F.element_at(values, -1) - F.element_at(values, 1)
-    d = by.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.bool_and(sorted_).alias("ordered"), F.min(width).alias("width"))
-    problem = F.when(F.col("n") != horizon, "length").when(~F.col("ordered"), "quantile-order").when(F.col("width") <= 0, "no-width")
+    d = by.select("target", "point", sorted_.alias("sorted"), width.alias("width"))
+    d = d.join(flat.select("target", "last"), "target", "left") if flat is not None else d.withColumn("last", F.lit(None).cast("double"))
+    away = F.abs(F.col("point") - F.col("last")) > slack * F.abs("last")
+    d = d.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.bool_and("sorted").alias("ordered"), F.min("width").alias("width"), F.coalesce(F.bool_or(away), F.lit(False)).alias("moved"))
+    problem = F.when(F.col("n") != horizon, "length").when(~F.col("ordered"), "quantile-order").when(F.col("width") <= 0, "no-width").when(F.col("moved"), "not-flat")
     return d.select("target", problem.alias("problem")).where("problem is not null")
