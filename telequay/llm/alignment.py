@@ -56,6 +56,7 @@ class Sides:
         self.bytes_a = [t.encode() if i in added else bytes(letters[c] for c in t) for i, t in enumerate(spelled)]
         self.bytes_b = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode()
                         for i, t in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
+        self.mark = self.b.piece_to_id(MARK)
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         if max(n_a, len(self.bytes_b)) > 1 << 16:
@@ -85,8 +86,9 @@ class Sides:
         text = "".join(own)
         raw = text.encode()
         a = self.a.encode(text, add_special_tokens=False).ids
-        # B puts a blank in front of what it gets: that of the first chunk, or a token of its own before a line end
-        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        # B puts a blank in front of what it gets: that of the first chunk, or a token of its own before a line end;
+        # to nothing at all it adds none, so the single blank that ends a text is its token
+        b = [self.mark] if text == " " else self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
         ends = np.cumsum([len(c.encode()) for c in own])
         cut = []
         for ids, of, length in ((a, self.bytes_a, self.length_a), (b, self.bytes_b, self.length_b)):

@@ -248,6 +248,12 @@ def test_encodings_equal_the_libraries_on_any_letters():
                 assert np.frombuffer(x, "<u2").tolist() == a.encode(" " + t, add_special_tokens=False).ids and np.frombuffer(y, "<u2").tolist() == b.encode(t), repr(t)
 
 
+def test_a_blank_at_the_end_of_a_text_is_a_token(spark):
+    texts = ["word ", "x  ", "one\ntwo ", " ", "\n ", "it's </s> ", "plain"]
+    got = {r.doc_id: tuple(r)[1:] for r in alignment.align_documents(documents(spark, texts).withColumnRenamed("extra", "row"), vocabulary_a=A, vocabulary_b=B).collect()}
+    assert [got[i] for i in range(len(texts))] == list(aligned(texts)) and all(got[i][0] > 0 for i in range(len(texts)))
+
+
 @pytest.mark.parametrize("work", [1, 2, 3, 7, 1000])
 def test_pieces_of_the_merge_path(work):
     r = random.Random(work)
