@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telequay.functions import ladder as L
@@ -152,12 +153,11 @@ def already_crossed(v):
     / CASE WHEN abs(max(value) FILTER (k = 1)) > 0 THEN abs(max(value) FILTER (k = 1)) ELSE 1 END AS s FROM
     (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY arrival DESC) AS k FROM readings) GROUP BY ALL)""", "readings"))
 def flat(v):
-    d = v.readings().groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "value"))), lambda x: x["value"]).alias("series"))
-    tail = F.when(F.size("series") > 64, F.slice("series", -64, 64)).otherwise(F.col("series"))
-    n = F.size(tail).cast("double")
-    mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.sqrt(F.aggregate(tail, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n) / F.abs(F.element_at("series", -1))
-    return d.select("stream_id", F.size("series").cast("long").alias("n"), F.round(spread, 9).alias("spread"), L.is_flat(F.col("series"), 0.5).alias("flat"))
+    newest = F.row_number().over(W.partitionBy("stream_id").orderBy(F.col("arrival").desc()))
+    tail = F.collect_list(F.when(F.col("k") <= 64, F.struct("arrival", "value")))  # only the last are held
+    d = v.readings().select("stream_id", "arrival", "value", newest.alias("k")).groupBy("stream_id").agg(
+        F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(tail), lambda x: x["value"]).alias("series"))
+    return d.select("stream_id", "n", F.round(L.spread(F.col("series")), 9).alias("spread"), L.is_flat(F.col("series"), 0.5).alias("flat"))
 
 
 @query(with_views("""SELECT arrival, CASE WHEN late IS NULL THEN 'wide' WHEN (late - early) / 240.0::DOUBLE <= 0.2::DOUBLE THEN 'tight'
