@@ -96,14 +96,18 @@ def context_list(entries: DataFrame) -> DataFrame:
 
 
 def insight_rollup(findings: DataFrame) -> DataFrame:
-    """Totals by tick: all, full, degraded, with supporting members met, over more than the entity (``spanned``), with something at risk."""
+    """Totals by tick: all, full, degraded, with supporting members met, over more than the entity (``spanned``), with something at risk (``risky``)."""
     n = lambda c, name: F.count_if(c).alias(name)
-    return findings.groupBy("tick_seq").agg(F.count(F.lit(1)).alias("total"), n("full", "full"), n(~F.col("full"), "degraded"), n(F.col("supporting") > 0, "supported"), n("spanned", "spanned"), n(F.col("at_risk") > 0, "at_risk"))
+    return findings.groupBy("tick_seq").agg(F.count(F.lit(1)).alias("total"), n("full", "full"), n(~F.col("full"), "degraded"), n(F.col("supporting") > 0, "supported"), n("spanned", "spanned"), n(F.col("risky"), "at_risk"))
 
 
 def on_call_top(findings: DataFrame, k: int) -> DataFrame:
-    """The k findings to look at first: those with something at risk, then full ones, then by key.  Every task keeps k rows of its own."""
-    return findings.orderBy((F.col("at_risk") > 0).desc(), F.col("full").desc(), "uid", "phenomenon", "tick_seq").limit(k)
+    """The k findings to look at first: those with something at risk (``risky``), then full ones, then by key.  Every task keeps k rows of its own."""
+    return in_call_order(findings).limit(k)
+
+
+def in_call_order(findings: DataFrame) -> DataFrame:
+    return findings.orderBy(F.col("risky").desc(), F.col("full").desc(), "uid", "phenomenon", "tick_seq")
 
 
 def compare_digests(recorded: DataFrame, replayed: DataFrame, key: str = "tick_seq") -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from telequay.functions import identity as I
 from telequay.operators import detect as D
 from telequay.operators import surfaces as U
+from telequay.operators.lineage import cut
 from telequay.params import DAY
 from telequay.sources import exposition as E
 from telequay.sources import tables as T
 
-from .detection import _CTE, _EV, _RADIUS, _TIER, _values, bindings, components, findings, loud, radius, scoped_members, tiers
+from .detection import _CTE, _EV, _RADIUS, _TIER, _values, bindings, components, findings, loud, risk_inputs, scoped_members, tiers
 from .registry import query
 from .views import with_views
 
@@ -160,7 +161,8 @@ def warning_debounce(v):
     marked="""SELECT *, CASE WHEN matched THEN 0 WHEN loud THEN 1 WHEN selected THEN 2 ELSE 3 END AS prio FROM (SELECT c_custkey::VARCHAR AS uid, c_custkey::VARCHAR IN (SELECT uid FROM found) AS matched,
     c_custkey::VARCHAR IN (SELECT uid FROM loud) AS loud, c_custkey::VARCHAR IN (SELECT uid FROM tier) AS selected FROM customer)"""))
 def topology_view(v):
-    return U.topology_view(v.table("customer").select(F.col("c_custkey").cast("string").alias("uid")), findings(v), loud(v), tiers(v), 400).drop("degraded", "phenomena", "warned")
+    c = cut(components(v))  # findings and loud states read them
+    return U.topology_view(v.table("customer").select(F.col("c_custkey").cast("string").alias("uid")), findings(v, c), loud(v, c), tiers(v), 400).drop("degraded", "phenomena", "warned")
 
 
 @query("""SELECT lane, id, start_us, coalesce(end_us, start_us + 1000) AS end_us FROM (SELECT o_orderstatus AS lane, o_orderkey AS id, epoch_us(o_orderdate) AS start_us, CASE WHEN o_custkey % 3 > 0 THEN epoch_us(o_orderdate) + o_custkey END AS end_us FROM orders)""")
@@ -173,10 +175,9 @@ _WIDE = "phenomenon IN (SELECT phenomenon FROM members WHERE signal IN ('s-error
 
 
 def risky(v):
-    """Findings with what is at risk around them, and whether their phenomenon looks beyond the entity."""
-    f, near = radius(v)
+    """Findings, whether anything is at risk around them, and whether their phenomenon looks beyond the entity."""
     wide = scoped_members(v).where("on_scope <> 'anchor'").select("phenomenon", F.lit(True).alias("spanned")).distinct()
-    return D.with_at_risk(f, near).join(F.broadcast(wide), "phenomenon", "left").na.fill(False, ["spanned"])  # a few authored phenomena
+    return D.any_at_risk(*risk_inputs(v)).join(F.broadcast(wide), "phenomenon", "left").na.fill(False, ["spanned"])  # a few authored phenomena
 
 
 @query(with_views(f"""SELECT tick_seq, count(*) AS total, count(*) FILTER ("full") AS "full", count(*) FILTER (NOT "full") AS degraded, count(*) FILTER (supporting > 0) AS supported, count(*) FILTER ({_WIDE}) AS spanned,
@@ -250,7 +251,9 @@ def binding_qa(v):
 
 @query(with_views("""SELECT tick_seq, uid, phenomenon, round(completeness, 6) AS completeness, "full", at_risk FROM risky ORDER BY at_risk > 0 DESC, "full" DESC, uid, phenomenon, tick_seq LIMIT 20""", "components", "bindings", "linked", **_EV, **_RADIUS))
 def on_call_top(v):
-    return U.on_call_top(risky(v), 20).select("tick_seq", "uid", "phenomenon", F.round("completeness", 6).alias("completeness"), "full", "at_risk")
+    f, *around = risk_inputs(v)
+    top = cut(U.on_call_top(D.any_at_risk(f, *around), 20))  # only their number of entities is shown
+    return U.in_call_order(D.count_at_risk(top, *around)).select("tick_seq", "uid", "phenomenon", F.round("completeness", 6).alias("completeness"), "full", "at_risk")
 
 
 @query("""SELECT o_custkey AS entity, rank, o_orderkey AS id, epoch_us(o_orderdate) AS start_us FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders)""")
