@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 @dataclass(frozen=True)
 class Gate:
@@ -124,6 +126,22 @@ def covered(d: DataFrame, samples: DataFrame) -> DataFrame:
     return steps.withColumn("pos", F.col("place") + F.col("h") + 1).join(s, ["stream", "pos"]).select("f_id", "class", "h", "b.lo", "b.hi", "realized")
 
 
+def with_coverage(d: DataFrame, samples: DataFrame, horizon: int) -> DataFrame:
+    """Scored traces of at most ``horizon`` steps with points and inside: how many of their steps can be compared (``covered``), and how many lie in the band.
+
+    A sample knows the next ``horizon`` ones, so a trace meets one row and no row is made for a step.
+    """
+    s = numbered_samples(samples, 1).select("stream", "pos", "value")
+    s = s.withColumn("ahead", F.collect_list(F.struct("value")).over(W.partitionBy("stream").orderBy("pos").rowsBetween(1, horizon)))
+    own = F.struct(F.col("pos").alias("place"), "ahead")
+    start = F.struct((F.col("pos") - 1).alias("place"), F.slice(F.concat(F.array(F.struct("value")), F.col("ahead")), 1, horizon).alias("ahead"))  # nothing stands before the first sample
+    s = s.select("stream", F.explode(F.when(F.col("pos") == 1, F.array(start, own)).otherwise(F.array(own))).alias("s")).select("stream", "s.*")
+    steps = F.slice(F.arrays_zip("lo", "hi", "ahead"), F.lit(1), F.col("steps").cast("int"))
+    inside = F.size(F.filter(steps, lambda x: x["ahead"]["value"].between(x["lo"], x["hi"])))
+    shown = lambda c: F.when(~F.col("skipped"), c).otherwise(F.lit(0)).cast("long")
+    return d.join(s, ["stream", "place"]).withColumns({"points": shown(F.col("steps")), "inside": shown(inside)})
+
+
 def event_ledger(d: DataFrame) -> DataFrame:
     """Physical crossings: class, stream, crossing_us, hover (sticky), first_hover (what its first trace said) and the best lead; null: never warned ahead."""
     e = d.where("crossing_us is not null").groupBy("class", "stream", "crossing_us").agg(
@@ -131,19 +149,24 @@ def event_ledger(d: DataFrame) -> DataFrame:
     return e.withColumn("lead", F.when(~F.col("hover"), F.col("lead")))
 
 
-def figures(d: DataFrame, samples: DataFrame, gate: Gate) -> DataFrame:
-    """One row a class.
+def figures(d: DataFrame, samples: DataFrame, gate: Gate, horizon: int | None = None) -> DataFrame:
+    """One row a class.  With ``horizon`` (no trace has more steps) traces are scored once and their steps counted in their rows.
 
     Errors are whole steps within a horizon, so the exact medians keep a number for each of a few values.
     """
     n = lambda c: F.count_if(c)
+    if horizon is not None:
+        d = cut(with_coverage(d, samples, horizon).select("class", "stream", "seq", "silence", "skipped", "full_obs", "actual_h", "crossing_us", "hover", "err", "frac", "in_band", "points", "inside"))
     ok, crossed, warns = ~F.col("skipped"), F.col("actual_h").isNotNull(), F.col("silence").isNull()
     a = d.groupBy("class").agg(
         n(ok).alias("forecasts"), n(F.col("skipped")).alias("skipped"), n(crossed).alias("crossings"), n(crossed & warns).alias("warned"), n(crossed & ~warns).alias("missed"),
         n(ok & warns & (crossed | F.col("full_obs"))).alias("observed"), n(ok & warns & ~crossed & F.col("full_obs")).alias("false_warnings"), n(ok & ~warns & ~crossed).alias("silences_correct"),
         n(F.col("in_band")).alias("in_band"), F.percentile("err", 0.5).alias("median_err"), F.percentile("frac", 0.5).alias("median_frac"))
     inside = F.col("realized").between(F.col("lo"), F.col("hi"))
-    c = covered(d, samples).groupBy("class").agg(F.count(F.lit(1)).alias("points"), n(inside).alias("inside"))
+    if horizon is None:
+        c = covered(d, samples).groupBy("class").agg(F.count(F.lit(1)).alias("points"), n(inside).alias("inside"))
+    else:
+        c = d.groupBy("class").agg(F.sum("points").alias("points"), F.sum("inside").alias("inside"))
     e = event_ledger(d).groupBy("class").agg(n(~F.col("hover")).alias("events"), n(F.col("lead") >= gate.min_lead).alias("events_warned"), n(F.col("first_hover")).alias("hover_excluded"))
     out = a.join(c, "class", "left").join(e, "class", "left").na.fill(0, ["points", "inside", "events", "events_warned", "hover_excluded"])
     share = lambda x, y: F.try_divide(x, y)
@@ -165,6 +188,6 @@ def verdicts(f: DataFrame, gate: Gate) -> DataFrame:
                           "reasons": F.coalesce(thin, F.concat_ws(",", failed))})
 
 
-def forecast_gate(traces: DataFrame, samples: DataFrame, gate: Gate, cadence_us: int) -> DataFrame:
-    """Traces and samples to one verdict a class."""
-    return verdicts(figures(scored(traces, samples, gate, cadence_us), samples, gate), gate)
+def forecast_gate(traces: DataFrame, samples: DataFrame, gate: Gate, cadence_us: int, horizon: int | None = None) -> DataFrame:
+    """Traces (with ``horizon``: of so many steps at most) and samples to one verdict a class."""
+    return verdicts(figures(scored(traces, samples, gate, cadence_us), samples, gate, horizon), gate)

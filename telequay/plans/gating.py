@@ -91,7 +91,7 @@ def event_ledger(v):
 
 @query(with_views("SELECT class, warned AS n, median_err AS median_error, round(median_frac, 6) AS median_relative FROM fig", "readings", **_CTE))
 def ttc_error(v):
-    f = T.figures(outcomes(v), levels(v), GATE)
+    f = T.figures(outcomes(v), levels(v), GATE, HORIZON)
     return f.select("class", F.col("warned").alias("n"), F.col("median_err").alias("median_error"), F.round("median_frac", 6).alias("median_relative"))
 
 
@@ -108,7 +108,7 @@ _SHOWN = ("forecasts", "skipped", "crossings", "warned", "missed", "observed", "
     concat_ws(',', CASE WHEN NOT coverage BETWEEN {GATE.coverage[0]} AND {GATE.coverage[1]} THEN 'coverage' END, CASE WHEN event_recall < {GATE.recall} THEN 'event-recall' END,
     CASE WHEN false_rate > {GATE.false_rate} THEN 'false-warnings' END, CASE WHEN in_band_rate < {GATE.in_band} THEN 'in-band' END) AS failed FROM fig)""", "readings", **_CTE))
 def gate_verdict(v):
-    return T.forecast_gate(traces(v), levels(v), GATE, CADENCE).select("class", *_SHOWN, "verdict", "reasons")
+    return T.forecast_gate(traces(v), levels(v), GATE, CADENCE, HORIZON).select("class", *_SHOWN, "verdict", "reasons")
 
 
 DROP = 0.15
@@ -133,5 +133,5 @@ def ab_compare(v):
     origins = T.rolling_origins(T.segments(numbered, DROP).withColumn("segment", spliced), LAST_N, 4)
     metric = F.element_at(F.split("target", r"\|"), 2)
     origins = origins.withColumns({"class": F.substring_index("target", "|", 2), "bar": F.when(metric == "error", 30.0).otherwise(42.0), "direction": F.when(metric == "error", "below").otherwise("above")})
-    f = T.figures(T.scored(T.forecast_traces(origins, HORIZON, Z, CADENCE, RATIO), s, GATE, CADENCE), s, GATE)
+    f = T.figures(T.scored(T.forecast_traces(origins, HORIZON, Z, CADENCE, RATIO), s, GATE, CADENCE), s, GATE, HORIZON)
     return f.select(F.substring_index("class", "|", 1).alias("arm"), F.substring_index("class", "|", -1).alias("class"), "forecasts", "crossings", F.col("missed").alias("hidden"), "points", "inside", "events", "events_warned", "false_warnings")

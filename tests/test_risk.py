@@ -76,3 +76,32 @@ def test_rows_stay_where_they_are_when_they_meet_ticks(spark):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning(slot" not in plan
     assert {r.idx: r["count"] for r in d.groupBy("idx").count().collect()} == {1: 101, 2: 100, 3: 99}
+
+
+def test_edges_are_dealt_out_before_equal_ones_are_sought(spark):
+    pods = spark.createDataFrame([("p1", 5, "n1", ["c1", "c1", "c2"]), ("p2", 5, "n1", ["c1"])], "pod string, event_us long, node string, claims array<string>")
+    slices = spark.createDataFrame([("s", 1, 5, ["p1", "p2"]), ("s", 2, 5, ["p1"])], "service string, slice long, event_us long, pods array<string>")
+    leases = spark.createDataFrame([("n1", 7), ("n1", 7)], "node string, renewed_us long")
+    names = [("Pod", "p1"), ("Pod", "p2"), ("Node", "n1"), ("Claim", "c1"), ("Claim", "c2"), ("Service", "s")]
+    ends = spark.createDataFrame([(k, x, f"i|{x}", 0) for k, x in names], "kind string, name string, key string, since_us long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        d = G.derive_edges(pods, slices, leases, ends, spark.createDataFrame([(10,)], "snap_us long"))
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan[plan.index("Exchange"):plan.index("Union")] and len(d.collect()) == 2 + 3 + 2 + 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_steps_counted_in_rows_are_those_listed(spark):
+    from telequay.operators import gate as T
+
+    gate = T.Gate(min_future=2, lookback=2, min_forecasts=1, min_crossings=0, min_events=0)
+    rnd = random.Random(3)
+    samples = spark.createDataFrame([(s, 10 * i, float(rnd.randrange(20))) for s in "ab" for i in range(9)] + [("a", 30, 4.0)], "stream string, at_us long, value double")
+    traces = [(f"{s}{b}", "c" if s == "a" else "d", s, b, 10 * b - 5, 12.0, "above", [5.0] * 4, [15.0] * (4 if b % 2 else 3), None if b % 2 else "no-crossing", 10, None, None) for s in "abx" for b in range(9)]
+    traces = spark.createDataFrame(traces, "f_id string, class string, stream string, seq long, basis_us long, bar double, direction string, lo array<double>, hi array<double>, silence string, ttc_us long, earliest_us long, latest_us long")
+    d = T.scored(traces, samples, gate, 10)
+    assert d.where("place = 0").count() == 2
+    listed, counted = (sorted(T.figures(d, samples, gate, h).collect()) for h in (None, 4))
+    assert listed == counted and all(0 < r.inside < r.points for r in counted)
