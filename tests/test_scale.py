@@ -4,6 +4,7 @@ import datetime
 import random
 
 from telequay import plans
+from telequay.operators import detect as D
 from telequay.operators import forecast as P
 from telequay.operators import topology as G
 from telequay.streaming import live
@@ -72,3 +73,51 @@ def test_steps_of_streams_carry_what_is_held(spark):
             elif last >= 0 and now - last <= 900:
                 want.append((k, now, True, last))
     assert got == sorted(want) and any(x[2] for x in got)
+
+
+def shuffled(spark, run):
+    """Bytes that ``run`` shuffles."""
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    written = lambda: sum(e.apply(i).totalShuffleWrite() for e in [executors()] for i in range(e.size()))
+    before = written()
+    run()
+    return written() - before
+
+
+def around_a_hub(spark):
+    """(edges, leaves) of a hub with 1,500 leaves."""
+    leaves = [(1, "runs-on", f"leaf-{i}", "hub", 1 + i % 2) for i in range(1500)]
+    t = spark.createDataFrame(leaves, "tick_seq long, type string, from_key string, to_key string, verdict int")
+    return t, spark.createDataFrame([(1, x[2]) for x in leaves], "tick_seq long, key string")
+
+
+def test_two_hops_around_a_hub_are_not_shuffled(spark):
+    t, origins, n = *around_a_hub(spark), []
+    assert shuffled(spark, lambda: n.append(G.reach(t, origins).where("hop = 2 and length(path) > 0").count())) < 2_000_000
+    assert n == [1500 * 1499]
+
+
+def test_two_hops_equal_their_definition(spark):
+    r = random.Random(11)
+    names = ["a", "b", "b>", "b>c", "c", "d-1", "d", "e", "f", "g"] + [f"x{i}" for i in range(12)]
+    edges = sorted({(tick, r.choice(["runs", "runs-on", "mounts"]), r.choice(names), r.choice(names[:8]), r.randint(1, 2)) for tick in (1, 2) for _ in range(45)})
+    edges += [(3, "runs", x, y, 2) for x in ("x1", "x2", "x3") for y in ("x1", "x2", "x3")] + [(3, "runs", "x4", y, 1) for y in ("x1", "x2", "x3")]  # all of them alike
+    t = spark.createDataFrame(edges, "tick_seq long, type string, from_key string, to_key string, verdict int")
+    near = {(k, a, b, y, v) for k, y, f, o, v in edges for a, b in ((f, o), (o, f))}
+    want = {}
+    for tick in (1, 2, 3):
+        for key in names:
+            best = lambda walks: min(walks, key=lambda w: (-w[0], w[1].encode()))
+            one = {}
+            for k, a, b, y, v in near:
+                if (k, a) == (tick, key) and b != key:
+                    one.setdefault(b, []).append((v, f"{key}>{y}>{b}"))
+            one = {b: best(w) for b, w in one.items()}
+            two = {}
+            for k, a, b, y, v in near:
+                if k == tick and a in one and b != key and b not in one:
+                    two.setdefault(b, []).append((min(v, one[a][0]), f"{one[a][1]}>{y}>{b}"))
+            want |= {(tick, key, b, 1): w for b, w in one.items()} | {(tick, key, b, 2): best(w) for b, w in two.items()}
+    origins = spark.createDataFrame([(tick, key) for tick in (1, 2, 3) for key in names for _ in "12"], "tick_seq long, key string")
+    got = G.reach(t, origins).collect()
+    assert {(x.tick_seq, x.key, x.target, x.hop): (x.verdict, x.path) for x in got} == want and len(got) == len(want)
