@@ -121,3 +121,11 @@ def test_two_hops_equal_their_definition(spark):
     origins = spark.createDataFrame([(tick, key) for tick in (1, 2, 3) for key in names for _ in "12"], "tick_seq long, key string")
     got = G.reach(t, origins).collect()
     assert {(x.tick_seq, x.key, x.target, x.hop): (x.verdict, x.path) for x in got} == want and len(got) == len(want)
+
+
+def test_closure_around_a_hub_is_not_shuffled(spark):
+    t, origins, n = *around_a_hub(spark), []
+    tier = origins.selectExpr("key AS uid", "explode(array('p', 'q')) AS phenomenon")
+    spans = spark.createDataFrame([("p", 2, ["runs-on"]), ("q", 2, ["mounts", "runs-on"])], "phenomenon string, depth int, types array<string>")
+    near = lambda: D.closure(tier, spans, t, G.containment(origins, t))[0].where("hop = 2 and phenomena = 'p,q' and length(path) > 0")
+    assert shuffled(spark, lambda: n.append(near().count())) < 2_000_000 and n == [1500 * 1499]
