@@ -129,3 +129,17 @@ def test_closure_around_a_hub_is_not_shuffled(spark):
     spans = spark.createDataFrame([("p", 2, ["runs-on"]), ("q", 2, ["mounts", "runs-on"])], "phenomenon string, depth int, types array<string>")
     near = lambda: D.closure(tier, spans, t, G.containment(origins, t))[0].where("hop = 2 and phenomena = 'p,q' and length(path) > 0")
     assert shuffled(spark, lambda: n.append(near().count())) < 2_000_000 and n == [1500 * 1499]
+
+
+def test_a_forecast_cycle_goes_through_samples_once(spark):
+    r = random.Random(7)
+    rows = [(f"s{k}", i, r.choice([1.0, 5.0, 50.0, 50.0 + i]), 60 * i, r.random() < 0.05) for k in range(40) for i in range(r.choice([3, 20, 90]))]
+    series = spark.createDataFrame(rows, "target string, idx long, value double, at_us long, point boolean")
+    targets = spark.createDataFrame([(f"s{k}", 60.0 + k, "above", "gauge", 1) for k in range(41)], "target string, bar double, direction string, type string, streams int")
+    settings = dict(horizon=12, quantiles=(0.1, 0.5, 0.9), cadence_us=60, min_context=4, max_explained=0.9, flat_epsilon=0.005, max_band_ratio=0.5, drop=0.4)
+    got = P.forecast_cycle(targets, series, **settings)
+    assert "Window" not in got._jdf.queryExecution().toString()  # one row a target is left
+    listed = P.forecast_cycle(targets, series.drop("point"), series.where("point").select("target", "idx"), **settings)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, listed.collect())) and got.select("outcome").distinct().count() > 3
+    cuts = {x.target: x.splice_idx for x in P.splice_context(series, P.gauge_reset(series, 0.4), series.where("point").select("target", "idx"), 4, 0.9).collect()}
+    assert {x.target: x.splice_idx for x in got.collect() if x.target != "s40"} == cuts and any(cuts.values())
