@@ -308,6 +308,24 @@ def test_language_probabilities_equal_brute_force(spark):
     assert n.tolist() == [len(t) for t in texts] and np.allclose(got[:, 0], want, rtol=1e-5)
 
 
+def test_language_tables_leave_nothing_out(spark):
+    """Every n-gram has the value of a model of all n-grams, whether it goes to every task or is joined."""
+    texts = ["the cat sat on the mat", "a dog and a cat", "eine katze", "zwei katzen und ein hund", "", None, "12 34", "un gato y zwei dogs", "qqq \U00010400"] * 3
+    langs = (["en", "en", "de", "de", "en", "de", "en", None, None]) * 3
+    docs = documents(spark, texts, lang=langs)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    m = language.learn(spark.createDataFrame([(t, x) for i, (t, x) in enumerate(zip(texts, langs)) if t is not None and x and fold(i) != 1], "text string, lang string"))
+    want, n = language.Scorer(m).entropies([t or "" for t in texts])
+    for entries in (4_000_000, 30, 2, 0):
+        got = {r.doc_id: r for r in language.identify(docs, entries=entries).collect()}
+        assert len(got) == len(texts)
+        for i, r in got.items():
+            if n[i]:
+                assert r.entropy == pytest.approx(want[i].min(), rel=1e-5) and r.lang_pred == m.languages[want[i].argmin()]
+            else:
+                assert (r.lang_pred, r.entropy, r.score) == ("und", 0, 0)
+
+
 def test_index_finds_keys():
     k = np.unique(np.random.default_rng(0).integers(0, 1 << 62, 5000).astype(np.uint64))
     index = Index(k)
