@@ -4,7 +4,9 @@ A document is its set of five-word shingles, weighted by tf * idf.  Improved
 consistent weighted sampling draws K samples whose agreement estimates the
 weighted Jaccard similarity; bands of samples give candidate groups; every
 link is verified by the exact weighted Jaccard similarity.  The document
-frequency of every shingle is counted exactly, by shards of its hash.
+frequency of every shingle is counted exactly, by shards of its hash.  Copies of
+one text count once there: else what a large group of near copies shares would
+weigh less than what one of them has alone, and the group fall apart as it grows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .words import Shingles, chunks, mix64, random_table, shingles, words
 BLOCK_BYTES, BLOCKS_A_SHARD = 8 << 20, 8
 BANDS, ROWS = 12, 4
 _SEEDS = random_table(BANDS * ROWS, 41)
+#: By so many least hashes of shingles copies are told; documents up to which a bit each (is it one) goes to every task.
+_MARKS, FEW = random_table(4, 43), 1 << 27
 
 
 def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -41,8 +45,18 @@ def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
 _GAMMA: list[np.ndarray] = []
 
 
+def _least(s: Shingles) -> pa.Array:
+    """The least hash of each text's shingles under each seed of ``_MARKS``, text by text; null for texts without shingles."""
+    has = np.diff(s.first) > 0
+    out = np.zeros((has.size, len(_MARKS)), np.uint64)
+    if has.any():
+        for k, seed in enumerate(_MARKS):
+            out[has, k] = np.minimum.reduceat(mix64(s.keys ^ seed), s.first[:-1][has])
+    return pa.array(out.ravel().view(np.int64), mask=np.repeat(~has, len(_MARKS)))
+
+
 def text_blocks(documents: DataFrame) -> DataFrame:
-    """block, n (texts with words), texts (doc_id, text_hash and text of about ``BLOCK_BYTES`` of text, an Arrow stream)."""
+    """block, n (texts with words), texts (doc_id, text_hash and text of about ``BLOCK_BYTES`` of text, an Arrow stream), marks (``_least`` of the texts)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -53,31 +67,59 @@ def text_blocks(documents: DataFrame) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)
-                n = sum(int((np.diff(words(x.column("text")).first) > 0).sum()) for x in chunks(part))
+                marks = pa.concat_arrays([_least(shingles(words(x.column("text")))) for x in chunks(part)])
+                n = (len(marks) - marks.null_count) // len(_MARKS)
                 yield pa.RecordBatch.from_pydict({"block": [f"{TaskContext.get().partitionId()}-{number}"], "n": [n],
-                                                  "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+                                                  "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "marks": pa.ListArray.from_arrays([0, len(marks)], marks)})
                 number += 1
 
-    return _keyed(documents).mapInArrow(run, "block string, n long, texts binary")
+    return _keyed(documents).mapInArrow(run, "block string, n long, texts binary, marks array<long>")
 
 
 def _texts(raw: bytes) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all().combine_chunks()
 
 
+def originals(blocks: DataFrame) -> DataFrame:
+    """block, firsts (packed bits, one for each text), many (how many are set): texts that are the first one with each of their marks.
+
+    Two texts have a mark in common with the probability of their (unweighted) Jaccard similarity, so of copies of one
+    text hardly more than one is a first.
+    """
+    k = len(_MARKS)
+    marks = blocks.select("block", F.posexplode("marks").alias("pos", "mark")).where("mark is not null")
+    won = marks.groupBy(F.pmod("pos", F.lit(k)).alias("k"), "mark").agg(F.min(F.struct("block", F.floor(F.col("pos") / k).cast("int").alias("at"))).alias("s"))
+    won = won.select("s.*").groupBy("block", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+
+    def bits(own: pa.Table) -> pa.Table:
+        at = own.column("at").to_numpy()
+        set_ = np.zeros(at.max() + 1, bool)
+        set_[at] = True
+        return pa.table({"block": own.column("block").slice(0, 1), "firsts": pa.array([pack(np.packbits(set_))], pa.binary()), "many": pa.array([at.size])})
+
+    return won.select("block", "at").groupBy("block").applyInArrow(bits, "block string, firsts binary, many long")
+
+
 def document_counts(blocks: DataFrame, shards: int) -> DataFrame:
     """block, shard, df (packed): in how many documents each of the block's distinct shingles is, by shard in ascending order.
 
     A shard has a range of the hashes.  Each block sends the shingles of the
     shard once with the number of its texts that have them; the shard adds them
-    up over all blocks and answers each.
+    up over all blocks and answers each.  Where blocks have ``firsts`` (as
+    ``originals`` gives them) only these texts count; what none of them has is in one.
     """
+    sifted = "firsts" in blocks.columns
 
     def ask(batches):
         for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), batch.column("texts")):
-                parts = [shingles(words(x.column("text"))).keys for b in _texts(raw.as_py()).to_batches() for x in chunks(b)]
-                keys, counts = distinct(np.concatenate([np.empty(0, np.uint64), *parts]))
+            for i, (block, raw) in enumerate(zip(batch.column("block").to_pylist(), batch.column("texts"))):
+                parts = [shingles(words(x.column("text"))) for b in _texts(raw.as_py()).to_batches() for x in chunks(b)]
+                many = np.concatenate([np.empty(0, np.int64), *(np.diff(s.first) for s in parts)])  # shingles of each text
+                one = np.ones(many.size, np.int64)
+                if sifted:
+                    bits = batch.column("firsts")[i].as_py()
+                    one[:] = np.unpackbits(unpack(bits), count=many.size) if bits is not None else 0  # bits end at the last first one
+                keys, counts = counted([np.concatenate([np.empty(0, np.uint64), *(s.keys for s in parts)]), np.repeat(one, many)])
                 at = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
                 own = np.flatnonzero(np.diff(at))
                 cut = lambda x: pa.array([pack(x[at[k]:at[k + 1]]) for k in own], pa.binary())  # noqa: B023, E731
@@ -90,10 +132,11 @@ def document_counts(blocks: DataFrame, shards: int) -> DataFrame:
         keys = [np.cumsum(unpack(x)) for x in table.column("keys").to_pylist()]
         counts = [unpack(x) for x in table.column("counts").to_pylist()]
         every, total = counted([x for pair in zip(keys, counts) for x in pair])
+        total = np.maximum(total, 1)
         df = [pack(total[np.searchsorted(every, x)].astype(np.uint32)) for x in keys]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "df": pa.array(df, pa.binary())})
 
-    return blocks.select("block", "texts").mapInArrow(ask, "shard long, block string, keys binary, counts binary").groupBy("shard").applyInArrow(
+    return blocks.select("block", "texts", *["firsts"] * sifted).mapInArrow(ask, "shard long, block string, keys binary, counts binary").groupBy("shard").applyInArrow(
         answer, "block string, shard long, df binary")
 
 
@@ -170,12 +213,16 @@ def samples(s: Shingles, weights: np.ndarray, block: int = 1 << 17) -> np.ndarra
     return out
 
 
-def sketches(documents: DataFrame) -> tuple[DataFrame, int]:
+def sketches(documents: DataFrame, sifted: bool = False) -> tuple[DataFrame, int]:
     """doc_id, text_hash, node (hash of the words; null without words), weight, bands (array of long), df (packed document
-    frequencies of the text's shingles) of every row; and the number of documents with words."""
+    frequencies of the text's shingles) of every row; and the number of documents with words.  ``sifted``: both are of ``originals`` only."""
     blocks = written(text_blocks(documents))
     n, many = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    shards = max(width(documents.sparkSession), -(-many // BLOCKS_A_SHARD))
+    shards, asking = max(width(documents.sparkSession), -(-many // BLOCKS_A_SHARD)), blocks
+    if sifted:
+        firsts = written(originals(blocks))
+        asking = blocks.join(F.broadcast(firsts) if n <= FEW else firsts, "block", "left")
+        n = firsts.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
 
     def sketch(own: pa.Table, answers: pa.Table) -> pa.Table:
         texts = [x for b in _texts(own.column("texts")[0].as_py()).to_batches() for x in chunks(b)]
@@ -202,7 +249,7 @@ def sketches(documents: DataFrame) -> tuple[DataFrame, int]:
                                           pa.array(total[s.first[1:]] - total[s.first[:-1]]), lists, pa.array(own, pa.binary())],
                                          names=["doc_id", "text_hash", "node", "weight", "bands", "df"])
 
-    rows = blocks.select("block", "texts").groupBy("block").cogroup(document_counts(blocks, shards).groupBy("block")).applyInArrow(
+    rows = blocks.select("block", "texts").groupBy("block").cogroup(document_counts(asking, shards).groupBy("block")).applyInArrow(
         sketch, "doc_id long, text_hash long, node long, weight double, bands array<long>, df binary")
     return rows, n
 
@@ -323,7 +370,8 @@ def classes(documents: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """doc_id, text_hash, linked (has words), n (rows), class_id, class_size, first (stands for its class) for every distinct (doc_id, text).
 
     Texts are linked at a weighted Jaccard similarity >= ``threshold``; classes
-    are connected by links.  Texts with the same words (case and white space
+    are connected by links.  Document frequencies are those among ``originals``,
+    so a group of copies of any size counts about once.  Texts with the same words (case and white space
     aside) are one node.  Null texts and texts without words are never linked
     and kept.  A text of fewer than five words has one shingle, of all its
     words.  The text with the smallest doc_id stands for its class, of several
@@ -337,7 +385,7 @@ def classes(documents: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     as many, so a group of any size spreads over many tasks and no pair but a
     link becomes a row.  No link that could join two classes is lost.
     """
-    rows, n = sketches(documents)
+    rows, n = sketches(documents, sifted=True)
     rows = written(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")
     nodes = written(rows.where("node is not null").groupBy("node").agg(

@@ -374,6 +374,20 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [1 << 27, 0])
+def test_near_duplicates_within_a_large_group(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW", few)
+    base, texts = made(700, 200).split(), []
+    for k in range(80):  # near copies of one text, each with three words of its own: alike by 0.86, whatever the size of the group
+        w = list(base)
+        for x in range(3 * (k > 0)):
+            w[5 * ((7 * k + 13 * x) % 39)] = f"own{k}x{x}"
+        texts.append(" ".join(w))
+    texts += [made(800 + i, 200) for i in range(40)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {i: 0 if i < 80 else i for i in range(120)}
+
+
 def test_document_frequencies_are_those_of_each_shingle(spark):
     texts = [made(950 + i, 4000) for i in range(40)]  # so many shingles that some share the first 20 bits of their hash
     texts = [f"{t} {texts[0][:3000]}" if i % 3 else t for i, t in enumerate(texts)] + ["one two three four five " * 50, None, ""]
