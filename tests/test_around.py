@@ -27,3 +27,14 @@ def test_counted_walks_equal_listed_ones(spark, seed, types):
     rows = lambda d: sorted(map(str, d.collect()))
     assert rows(want) == rows(got) and want.count() > 3
     assert rows(D.spanned_coverage(c, m, reached, want)) == rows(D.coverage_around(c, m, pairs, got).select("tick_seq", "uid", "metric", "phenomenon"))
+
+
+def test_edges_are_held_once_for_all_ticks(spark):
+    links = [(t, "runs-on", "a", f"b{k}", 1 + (t + k) % 2) for t in range(20) for k in range(3)] + [(3, "mounts", "b0", "a", 2), (4, "mounts", "b1", "a", 1)]
+    links = spark.createDataFrame(links, "tick_seq long, type string, from_key string, to_key string, verdict int")
+    got = {(r.lo, r.hi): r.at for r in G.paired(links).collect()}
+    # a row a pair, the better verdict of edges both ways, a's runs-on told
+    want = {("a", f"b{k}"): [16 * t + 4 + (2 if (t, k) == (3, 0) else 1 + (t + k) % 2) for t in range(20)] for k in range(3)}
+    assert got == want
+    back = G.by_tick(G.gathered(links))
+    assert G.gathered(links).count() == 5 and sorted(back.select(links.columns).collect()) == sorted(links.collect())
