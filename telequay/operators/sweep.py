@@ -9,7 +9,7 @@ from telequay.functions.ladder import ladder, member_check, well_above_line
 from telequay.operators import detect as D
 from telequay.operators import signals as S
 from telequay.operators.lineage import cut
-from telequay.operators.topology import paired
+from telequay.operators.topology import by_tick, edges_among, gathered, paired
 from telequay.params import Params
 
 #: What a member's check consults: columns of ``observations``.
@@ -77,9 +77,9 @@ def replay(seen: DataFrame, ticks: DataFrame, members: DataFrame, relations: Dat
     gives them, with point_id.  ``runs`` (tick_seq, run_id): a restart begins a run, and no cascade reaches over it.
     """
     components, own = checked(settings(seen, grid), members)
-    components, edges = cut(components), cut(traversed)  # several branches read them
+    components, edges = cut(components), cut(gathered(traversed))  # several branches read them
     tick = F.substring_index("tick_seq", "|", -1).cast("long")  # the topology of a tick serves all settings
-    found = D.match_around(components, own, cut(paired(edges)), tick=tick)
+    found = D.match_around(components, own, cut(paired(by_tick(edges))), tick=tick)
     keys = by_point(ticks, grid).withColumn("point_id", F.substring_index("tick_seq", "|", 1)).join(F.broadcast(grid.select("point_id", "floor", "cascade_us")), "point_id")
     keys = keys.withColumn("tick", F.substring_index("tick_seq", "|", -1).cast("long"))
     if runs is not None:
@@ -88,6 +88,7 @@ def replay(seen: DataFrame, ticks: DataFrame, members: DataFrame, relations: Dat
     found = cut(found.join(keys, "tick_seq").where(F.col("full") | (F.col("completeness") >= F.col("floor"))))
     widest = grid.agg(F.max("cascade_us")).first()[0]
     timed = found.select(F.concat_ws("|", "point_id", run.cast("string")).alias("run_id"), F.col("tick").alias("tick_seq"), "now_us", "uid", "phenomenon")
+    edges = cut(by_tick(edges_among(edges, timed.select(F.col("uid").alias("key")))))  # a cascade relates findings, so both ends have some
     pairs = D.cascade_pairs(timed, relations, edges, widest).withColumn("point_id", F.substring_index("run_id", "|", 1))
     pairs = pairs.join(F.broadcast(grid.select("point_id", "cascade_us")), "point_id").where(F.col("trigger_us") >= F.col("now_us") - F.col("cascade_us"))
     return (found.select("point_id", F.col("tick").alias("tick_seq"), "now_us", "uid", "phenomenon", "completeness", "full", "suspect"),
